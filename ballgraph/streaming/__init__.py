@@ -1,0 +1 @@
+"""No streaming operators: everything this library computes is a batch job."""
