@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values the results depend on.
@@ -50,30 +50,41 @@ def ball_radius(a: Column, b: Column, c: Column, soft: bool = True, beta: float
     return F.when(_is_obtuse(x, y, z), top / F.lit(2.0)).otherwise(circum)
 
 
-def ball_radius_slopes(
-    a: Column, b: Column, c: Column, soft: bool = True, beta: float = 10.0
-) -> tuple[Column, Column, Column]:
-    """Partial derivatives of ``ball_radius`` by each side."""
-    x, y, z = _sorted_sides(a, b, c)
-    area_sq = _area_sq(x, y, z)
-    radius = x * y * z / (F.lit(4.0) * F.sqrt(F.greatest(area_sq, F.lit(AREA_FLOOR))))
-    free = area_sq > F.lit(AREA_FLOOR)
-
-    def acute(m: Column, p: Column, q: Column) -> Column:
-        bend = F.when(free, m * (p * p + q * q - m * m) / (F.lit(8.0) * area_sq)).otherwise(0.0)
-        return radius * (F.lit(1.0) / m - bend)
+def with_ball(df: DataFrame, soft: bool = True, beta: float = 10.0) -> DataFrame:
+    """Adds the radius ``R_`` and its derivatives ``ra, rb, rc`` by the sides in columns ``a, b, c``.
 
+    Built in stages of plain columns, so that the generated code computes each part once.
+    """
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
+    df = df.withColumns(dict(zip(("_x", "_y", "_z"), _sorted_sides(a, b, c))))
+    df = df.withColumns({"_area": _area_sq(x, y, z), "_wide": _is_obtuse(x, y, z)})
+    circum = x * y * z / (F.lit(4.0) * F.sqrt(F.greatest("_area", F.lit(AREA_FLOOR))))
+    bt = F.lit(float(beta))
     if soft:
-        bt = F.lit(float(beta))
-        total = F.exp(bt * (a - z)) + F.exp(bt * (b - z)) + F.exp(bt * (c - z))
-        wide = [F.exp(bt * (s - z)) / total / F.lit(2.0) for s in (a, b, c)]
-    else:
-        a_top = (a >= b) & (a >= c)
-        b_top = ~a_top & (b >= c)
-        wide = [F.when(t, F.lit(0.5)).otherwise(0.0) for t in (a_top, b_top, ~a_top & ~b_top)]
-    obtuse = _is_obtuse(x, y, z)
-    sharp = [acute(a, b, c), acute(b, a, c), acute(c, a, b)]
-    return tuple(F.when(obtuse, w).otherwise(s) for w, s in zip(wide, sharp))
+        parts = {"_ea": F.exp(bt * (a - z)), "_eb": F.exp(bt * (b - z)), "_ec": F.exp(bt * (c - z))}
+    else:  # the longest side has all the weight
+        parts = {
+            "_ea": ((a >= b) & (a >= c)).cast("double"),
+            "_eb": (((a < b) | (a < c)) & (b >= c)).cast("double"),
+            "_ec": ((a < c) & (b < c)).cast("double"),
+        }
+    df = df.withColumns(parts | {"_circum": circum})
+    total = F.col("_ea") + F.col("_eb") + F.col("_ec")
+    top = z + F.log(total) / bt if soft else z
+    df = df.withColumns({
+        "R_": F.when(F.col("_wide"), top / F.lit(2.0)).otherwise(F.col("_circum")), "_total": total,
+    })
+
+    def slope(share: str, m: Column, p: Column, q: Column) -> Column:
+        bend = F.when(
+            F.col("_area") > F.lit(AREA_FLOOR), m * (p * p + q * q - m * m) / (F.lit(8.0) * F.col("_area"))
+        ).otherwise(0.0)
+        sharp = F.col("_circum") * (F.lit(1.0) / m - bend)
+        return F.when(F.col("_wide"), F.col(share) / F.col("_total") / F.lit(2.0)).otherwise(sharp)
+
+    df = df.withColumns({"ra": slope("_ea", a, b, c), "rb": slope("_eb", b, a, c), "rc": slope("_ec", c, a, b)})
+    return df.drop("_x", "_y", "_z", "_area", "_wide", "_circum", "_total", *parts)
 
 
 def attract(r: Column, kind: str, tau: float) -> tuple[Column, Column]:

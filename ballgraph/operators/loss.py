@@ -51,12 +51,12 @@ def triangle_losses(
     placed: DataFrame, phi: str = "student", tau: float = 1.0, gamma: float = 1.0,
     soft: bool = True, beta: float = 10.0,
 ) -> DataFrame:
-    """Adds (r, loss, pull): the diameter r = 2R, the weighted loss and its derivative by R.
+    """Adds (r, loss, pull, ra, rb, rc): the diameter r = 2R, the weighted loss, its derivative by R
+    and those of R by the sides.
 
     Rows are (positive BOOLEAN, w); a negative row's loss is gamma * w * repulsion.
     """
-    sides = F.col("a"), F.col("b"), F.col("c")
-    rows = placed.withColumn("r", F.lit(2.0) * kernels.ball_radius(*sides, soft=soft, beta=beta))
+    rows = kernels.with_ball(placed, soft, beta).withColumn("r", F.lit(2.0) * F.col("R_")).drop("R_")
     near, near_slope = kernels.attract(F.col("r"), phi, tau)
     away, away_slope = kernels.repel(F.col("r"), phi, tau)
     weight = F.when(F.col("positive"), F.col("w")).otherwise(F.lit(float(gamma)) * F.col("w"))
@@ -72,17 +72,17 @@ def mean_loss(losses: DataFrame, n_positive: int) -> DataFrame:
 
 
 def gradients(
-    losses: DataFrame, n_components: int, n_positive: int, alpha: float = 1.0,
-    soft: bool = True, beta: float = 10.0,
+    losses: DataFrame, n_components: int, n_positive: int, alpha: float = 1.0
 ) -> DataFrame:
     """(id, g0.., loss) per touched vertex: closed-form derivatives, summed with one shuffle.
 
     ``loss`` books each triangle's loss with its first corner, so one pass yields both.
     """
-    sa, sb, sc = kernels.ball_radius_slopes(F.col("a"), F.col("b"), F.col("c"), soft=soft, beta=beta)
     scale = F.lit(float(alpha) / max(n_positive, 1))
-    force = lambda slope, side: F.when(F.col(side) > 0, F.col("pull") * scale * slope / F.col(side)).otherwise(0.0)
-    rows = losses.withColumns({"fa": force(sa, "a"), "fb": force(sb, "b"), "fc": force(sc, "c")})
+    force = lambda side: F.when(
+        F.col(side) > 0, F.col("pull") * scale * F.col(f"r{side}") / F.col(side)
+    ).otherwise(0.0)
+    rows = losses.withColumns({f"f{side}": force(side) for side in "abc"})
 
     def push(me: str, first: tuple[str, str], second: tuple[str, str], loss: Column) -> Column:
         parts = [

@@ -10,34 +10,28 @@ from ballgraph.functions.draws import draw, first_ok, pick
 REDRAWS = 4  # pre-drawn values per rejected vertex before the next free id is taken
 
 
-def positive_picks(ks: Column, i: Column, j: Column, rep: Column, n: int, seed: int, epoch: int,
-                   hasher: str = "xxhash64") -> tuple[Column, Column]:
-    """(position in ks, vertex). Without a candidate the position is NULL and the vertex uniform."""
-    size = F.size(ks)
-    at = F.when(size > 0, F.pmod(draw(seed, epoch, "pos", i, j, rep, hasher=hasher), size))
-    other = after(pick(n, seed, epoch, "any", i, j, rep, hasher=hasher), [i, j], n)
-    return at, F.coalesce(F.get(ks, at.cast("int")), other)
-
-
-def after(x: Column, taken: list[Column], n: int) -> Column:
-    """x, or the next id (mod n) that is not taken."""
-    for _ in taken:
-        hit = None
-        for t in taken:
-            hit = (x == t) if hit is None else hit | (x == t)
-        x = F.when(hit, F.pmod(x + 1, F.lit(n))).otherwise(x)
-    return x
+def next_free(x: Column, taken: list[Column], n: int) -> Column:
+    """x, or the first of its successors (mod n) that is not taken."""
+    tries = [F.pmod(x + step, F.lit(n)) for step in range(len(taken) + 1)]
+    return first_ok(tries[:-1], lambda c: ~c.isin(*taken), tries[-1])
 
 
 def positive_triplets(candidates: DataFrame, n: int, per_edge: int, seed: int, epoch: int,
                       hasher: str = "xxhash64") -> DataFrame:
-    """(i, j, k, rep[, w]): one uniform pick from the candidate bag per edge and repeat."""
+    """(i, j, k, rep[, w]): one uniform pick from the candidate bag per edge and repeat.
+
+    An edge without candidates takes any other vertex, and has no w.
+    """
+    i, j, rep, size = F.col("i"), F.col("j"), F.col("rep"), F.size("ks")
     reps = candidates.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1))))
-    at, k = positive_picks(F.col("ks"), F.col("i"), F.col("j"), F.col("rep"), n, seed, epoch, hasher)
+    at = F.when(size > 0, F.pmod(draw(seed, epoch, "pos", i, j, rep, hasher=hasher), size)).cast("int")
+    any_ = F.when(size == 0, pick(n, seed, epoch, "any", i, j, rep, hasher=hasher))
+    drawn = reps.withColumns({"_at": at, "_any": any_})
+    k = F.coalesce(F.get("ks", F.col("_at")), next_free(F.col("_any"), [i, j], n))
     cols = ["i", "j", k.alias("k"), "rep"]
     if "ws" in candidates.columns:
-        cols.append(F.get("ws", at.cast("int")).alias("w"))
-    return reps.select(*cols)
+        cols.append(F.get("ws", F.col("_at")).alias("w"))
+    return drawn.select(*cols)
 
 
 def negative_counts(n_positive: int, rate: float, uniform_share: float) -> tuple[int, int]:
@@ -63,19 +57,27 @@ def negative_triplets(
     rows = slots.withColumn("i", pick(n, seed, epoch, "source", slot, hasher=hasher)).join(
         lists.select("i", "js"), "i"
     )
-    free = lambda x: (x != F.col("i")) & ~F.array_contains("js", x)
-    drawn = [vertex("second", r) for r in range(REDRAWS)]
-    anywhere = first_ok(drawn, free, F.pmod(drawn[-1] + 1, F.lit(n)))
+    # The draws are columns of their own, so that the tests below only refer to them.
+    second = [f"_s{r}" for r in range(REDRAWS)]
+    third = [f"_t{r}" for r in range(REDRAWS)]
     size = F.size("js")
-    edge = F.get("js", F.pmod(draw(seed, epoch, "rank", slot, hasher=hasher), size).cast("int"))
-    rows = rows.where(size > 0).withColumn("j", F.when(slot < n_uniform, anywhere).otherwise(edge))
-    if exclude_neighbors:
-        theirs = lists.select(F.col("i").alias("j"), F.col("js").alias("js_j"))
-        rows = rows.join(theirs, "j")
+    rank = F.pmod(draw(seed, epoch, "rank", slot, hasher=hasher), size).cast("int")
+    rows = rows.where(size > 0).withColumns(
+        {c: vertex("second", r) for r, c in enumerate(second)} | {"_rank": rank}
+    )
+    free = lambda x: (x != F.col("i")) & ~F.array_contains("js", x)
+    last = F.pmod(F.col(second[-1]) + 1, F.lit(n))
+    anywhere = first_ok([F.col(c) for c in second], free, last)
+    rows = rows.withColumn(
+        "j", F.when(slot < n_uniform, anywhere).otherwise(F.get("js", F.col("_rank")))
+    ).drop(*second, "_rank")
     fits = lambda x: (x != F.col("i")) & (x != F.col("j"))
     ok = fits
     if exclude_neighbors:
+        theirs = lists.select(F.col("i").alias("j"), F.col("js").alias("js_j"))
+        rows = rows.join(theirs, "j")
         ok = lambda x: fits(x) & ~F.array_contains("js", x) & ~F.array_contains("js_j", x)
-    third = [vertex("third", r) for r in range(REDRAWS)]
-    bumped = after(F.pmod(third[-1] + 1, F.lit(n)), [F.col("i"), F.col("j")], n)
-    return rows.withColumn("k", first_ok(third, ok, bumped)).select("slot", "i", "j", "k")
+    rows = rows.withColumns({c: vertex("third", r) for r, c in enumerate(third)})
+    bumped = next_free(F.pmod(F.col(third[-1]) + 1, F.lit(n)), [F.col("i"), F.col("j")], n)
+    k = first_ok([F.col(c) for c in third], ok, bumped)
+    return rows.withColumn("k", k).select("slot", "i", "j", "k")

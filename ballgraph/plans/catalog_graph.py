@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ballgraph.operators import graph as G
 from ballgraph.operators import knn as K
-from ballgraph.plans.catalog import Tables, long_vectors, query, rounded, sql_rounded as r_
+from ballgraph.operators import layout as Y
+from ballgraph.operators import linalg as A
+from ballgraph.plans.catalog import (
+    Tables, long_vectors, query, rounded, sql_rounded as r_, sql_uniform,
+)
+from ballgraph.plans.catalog_features import doc_tfidf
+from ballgraph.sources.points import knn_summary
 
 KNN = 10
 
@@ -43,3 +50,124 @@ WHERE rank <= {KNN}""")
 def _knn_cosine(t):
     near = K.exact_knn(t.vectors(), KNN, "cosine")
     return near.select("i", "j", F.col("rank").cast("bigint").alias("rank"), rounded("d").alias("d"))
+
+
+def low_layout(t: Tables):
+    """A fixed two-column layout: the first two vector entries."""
+    return t.points().select("id", F.slice("v", 1, 2).alias("y"))
+
+
+@query("q_knn_validate", f"""WITH {SQL_KNN}, kept AS (SELECT * FROM pts WHERE label <> 9)
+SELECT (SELECT count(*) FROM kept) AS n_points, (SELECT count(*) FROM knn) AS n_rows,
+  (SELECT count(*) FROM knn WHERE j NOT IN (SELECT id FROM kept)) AS n_bad,
+  64::BIGINT AS min_width, 64::BIGINT AS max_width""")
+def _validate(t):
+    return knn_summary(knn(t), t.points().where("label <> 9"))
+
+
+@query("q_knn_edges", f"""WITH {SQL_KNN}
+SELECT i, j, {r_("exp(-d / (SELECT max(d) FROM knn))")} AS w FROM knn""")
+def _edges(t):
+    return G.knn_edges(knn(t), binarize=False).withColumn("w", rounded("w"))
+
+
+SQL_SMOOTH = f"""lists AS (SELECT i, list(j ORDER BY rank) AS js, list(d ORDER BY rank) AS ds FROM knn GROUP BY i),
+  bis AS (
+    SELECT i, js, ds, list_min(ds) AS rho, 0.0::DOUBLE AS lo, 'inf'::DOUBLE AS hi, 1.0::DOUBLE AS mid, 0 AS n FROM lists
+    UNION ALL
+    SELECT i, js, ds, rho, CASE WHEN big THEN lo ELSE mid END, CASE WHEN big THEN mid ELSE hi END,
+      CASE WHEN big THEN (lo + mid) / 2 WHEN isinf(hi) THEN mid * 2 ELSE (mid + hi) / 2 END, n + 1
+    FROM (SELECT *, list_sum(list_transform(ds, lambda x: exp(-greatest(x - rho, 0.0) / greatest(mid, 1e-300))))
+        > log2({KNN}) AS big FROM bis WHERE n < 64)),
+  sm AS (SELECT i, js, ds, rho, greatest(mid, 1e-3 * list_avg(ds)) AS sigma FROM bis WHERE n = 64),
+  mem AS (SELECT i, j, CASE WHEN d - rho <= 0 OR sigma <= 0 THEN 1.0 ELSE exp(-(d - rho) / sigma) END AS w
+    FROM (SELECT i, unnest(js) AS j, unnest(ds) AS d, rho, sigma FROM sm))"""
+
+
+def smoothed(t: Tables):
+    return G.smooth_knn(K.neighbour_lists(knn(t)), KNN)
+
+
+@query("q_smooth_knn", f"WITH RECURSIVE {SQL_KNN}, {SQL_SMOOTH} SELECT i, {r_('sigma')} AS sigma, {r_('rho')} AS rho FROM sm")
+def _smooth(t):
+    return smoothed(t).select("i", rounded("sigma").alias("sigma"), rounded("rho").alias("rho"))
+
+
+@query("q_membership", f"WITH RECURSIVE {SQL_KNN}, {SQL_SMOOTH} SELECT i, j, {r_('w')} AS w FROM mem")
+def _membership(t):
+    return G.memberships(smoothed(t)).withColumn("w", rounded("w"))
+
+
+SQL_UNION = """un AS (
+    SELECT i, j, a + b - a * b AS w FROM (
+      SELECT coalesce(x.i, y.j) AS i, coalesce(x.j, y.i) AS j, coalesce(x.w, 0) AS a, coalesce(y.w, 0) AS b
+      FROM mem x FULL JOIN mem y ON x.i = y.j AND x.j = y.i) WHERE i <> j AND a + b - a * b <> 0)"""
+
+
+def fuzzy(t: Tables):
+    return G.fuzzy_union(G.memberships(smoothed(t)))
+
+
+@query("q_fuzzy_union", f"WITH RECURSIVE {SQL_KNN}, {SQL_SMOOTH}, {SQL_UNION} SELECT i, j, {r_('w')} AS w FROM un")
+def _fuzzy(t):
+    return fuzzy(t).withColumn("w", rounded("w"))
+
+
+@query("q_sym_norm_adj", f"""WITH {SQL_KNN},
+  sy AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, 1.0::DOUBLE AS w FROM knn UNION ALL SELECT j, i, 1.0 FROM knn) GROUP BY i, j),
+  dg AS (SELECT i, sqrt(greatest(sum(w), 1e-12)) AS r FROM sy GROUP BY i)
+SELECT sy.i, sy.j, {r_("w / a.r / b.r")} AS w FROM sy JOIN dg a ON sy.i = a.i JOIN dg b ON sy.j = b.i""")
+def _sym_norm(t):
+    return G.normalized_adjacency(G.knn_edges(knn(t))).withColumn("w", rounded("w"))
+
+
+@query("q_gram", f"""WITH {SQL_PTS},
+  c AS (SELECT id, (generate_subscripts(v, 1) - 1)::BIGINT AS pos, unnest(v) AS x FROM pts)
+SELECT a.pos AS a, b.pos AS b, {r_("avg(a.x)", 8)} AS mean_a, {r_("covar_samp(a.x, b.x)", 8)} AS cov
+FROM c a JOIN c b ON a.id = b.id AND a.pos <= b.pos GROUP BY a.pos, b.pos""")
+def _gram(t):
+    width = t.points().select(F.size("v")).first()[0]
+    return A.gram_table(t.vectors(), width).withColumns({c: rounded(c, 8) for c in ("mean_a", "cov")})
+
+
+@query("q_pca")
+def _pca(t):
+    return long_vectors(A.pca(t.vectors(), 8), 5)
+
+
+@query("q_svd")
+def _svd(t):
+    rows, _ = A.truncated_svd(doc_tfidf(t), 8)
+    return long_vectors(rows, 5)
+
+
+@query("q_init_minmax", f"""WITH {SQL_PTS},
+  e AS (SELECT min(v[1]) AS l0, max(v[1]) AS h0, min(v[2]) AS l1, max(v[2]) AS h1 FROM pts)
+SELECT id, {r_("10 * (v[1] - l0) / greatest(h0 - l0, 1e-8)")} AS y0,
+  {r_("10 * (v[2] - l1) / greatest(h1 - l1, 1e-8)")} AS y1 FROM pts, e""")
+def _init_minmax(t):
+    box = Y.box_scale(low_layout(t), 2, jitter=0.0, seed=0)
+    return two_columns(box)
+
+
+def two_columns(layout, digits: int = 6):
+    return layout.select("id", *[rounded(F.get("y", F.lit(c)), digits).alias(f"y{c}") for c in (0, 1)])
+
+
+@query("q_init_random", "SELECT vec_id AS id, " + ", ".join(
+    r_(f"{sql_uniform('7', chr(39) + 'init' + chr(39), 'vec_id', str(c))} * 20.0 - 10.0") + f" AS y{c}"
+    for c in (0, 1)) + " FROM embeddings")
+def _init_random(t):
+    return two_columns(Y.random_layout(t.vectors(), 2, 7, hasher="md5"))
+
+
+@query("q_init_pca")
+def _init_pca(t):
+    return two_columns(Y.pca_layout(t.vectors(), 2, 7), 4)
+
+
+@query("q_spectral")
+def _spectral(t):
+    points = t.vectors()
+    layout = Y.spectral_layout(points, G.knn_edges(knn(t)), points.count(), 2, rounds=2, degree=8)
+    return two_columns(layout, 3)

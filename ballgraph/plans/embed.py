@@ -171,9 +171,7 @@ class _Epochs:
             losses = loss.triangle_losses(
                 placed, cfg.phi, cfg.exp_tau, cfg.gamma, cfg.use_softmax, cfg.softmax_beta
             )
-            grads = loss.gradients(
-                losses, d, self.n_positive, alpha, cfg.use_softmax, cfg.softmax_beta
-            )
+            grads = loss.gradients(losses, d, self.n_positive, alpha)
         if discrete:
             packs = layout_packs(wide, self.lists, d)
             mine = discrete_gradients(
