@@ -53,15 +53,11 @@ def _nearest(points: DataFrame, n: int, width: int, keep: int, metric: str, seed
              scratch: Scratch) -> DataFrame:
     """(q, m, d): the ``keep`` nearest of every point, itself included."""
     far = F.array(F.lit(float("inf")))
-    if n <= P.CHUNK_ROWS:
-        rows = points.withColumn("chunk", F.lit(0).cast("bigint"))
+    members, cells = P.chunked(points, n, width, seed, scratch)
+    if cells is None:
         return P.probe(
-            rows, rows.withColumn("aux", far), n, n, P.nearest_work(keep, metric), P.NEAREST_SCHEMA
+            members, members.withColumn("aux", far), n, n, P.nearest_work(keep, metric), P.NEAREST_SCHEMA
         )
-    pivots = P.hash_pivots(points, max(16, int(n ** 0.5)), width, seed)
-    assigned = scratch.save(P.assign_cells(points, pivots), "cells")
-    members, cells = P.split_cells(assigned, pivots, n)
-    members = scratch.save(members, "members")
     work = P.nearest_work(keep, metric)
     # Own chunk first: its keep-th distance bounds the search in all other chunks.
     home = scratch.save(

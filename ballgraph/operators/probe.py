@@ -105,6 +105,16 @@ def split_cells(assigned: DataFrame, pivots: np.ndarray, n_rows: int) -> tuple[D
     return chunked, Cells(pivots, cell, rmin, rmax, has_zero)
 
 
+def chunked(points: DataFrame, n: int, width: int, seed: int, scratch) -> tuple[DataFrame, Cells | None]:
+    """Points with their chunk; one chunk and no cells while they fit one."""
+    if n <= CHUNK_ROWS:
+        return points.withColumn("chunk", F.lit(0).cast("bigint")), None
+    pivots = hash_pivots(points, max(16, int(n ** 0.5)), width, seed)
+    assigned = scratch.save(assign_cells(points, pivots), "cells")
+    members, cells = split_cells(assigned, pivots, n)
+    return scratch.save(members, "members"), cells
+
+
 def _send(batch, rows: np.ndarray, chunks: np.ndarray):
     index = pa.array(rows)
     return pa.RecordBatch.from_arrays(
@@ -264,10 +274,7 @@ def nearest_work(keep: int, metric: str) -> Callable:
         if len(mid) > keep:
             cut = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + 2.0 * slack
         rows, cols = np.nonzero(rough <= cut[:, None])
-        if metric == "euclidean":
-            d = np.sqrt(((q[rows] - m[cols]) ** 2).sum(axis=1))
-        else:
-            d = 1.0 - (q[rows] * m[cols]).sum(axis=1)
+        d = pair_distance(q[rows], m[cols], metric)
         near = d <= aux[rows, 0] * (1.0 + 1e-9) + 1e-9
         rows, cols, d = rows[near], cols[near], d[near]
         order = np.lexsort((mid[cols], d, rows))
@@ -286,19 +293,33 @@ def nearest_work(keep: int, metric: str) -> Callable:
 NEAREST_SCHEMA = "q bigint, m bigint, d double"
 
 
-def closer_work() -> Callable:
-    """For every threshold of a query, how many other members are strictly closer than it."""
+def pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Row by row, from plain differences or products."""
+    if metric == "cosine":
+        return 1.0 - (a * b).sum(axis=1)
+    return np.sqrt(((a - b) ** 2).sum(axis=1))
+
+
+def closer_work(metric: str) -> Callable:
+    """For every threshold of a query, how many other members are strictly closer than it.
+
+    Only members whose rough distance is within its error bound of a threshold are measured again.
+    """
 
     def work(qid, q, aux, mid, m):
-        rough, slack = _centred(q, m)
+        if metric == "cosine":
+            rough, slack = 1.0 - q @ m.T, np.full(len(q), 1e-15 * (q.shape[1] + 16))
+        else:
+            rough, slack = _centred(q, m)
         rough[qid[:, None] == mid] = np.inf
         counts = np.empty(aux.shape, dtype=np.int64)
         for s in range(aux.shape[1]):
             t = aux[:, s]
-            sure = rough < (t * t - slack)[:, None]
-            rows, cols = np.nonzero(~sure & (rough <= (t * t + slack)[:, None]))
-            d = np.sqrt(((q[rows] - m[cols]) ** 2).sum(axis=1))
-            counts[:, s] = sure.sum(axis=1) + np.bincount(rows, weights=d < t[rows], minlength=len(q))
+            level = t if metric == "cosine" else t * t
+            sure = rough < (level - slack)[:, None]
+            rows, cols = np.nonzero(~sure & (rough <= (level + slack)[:, None]))
+            closer = pair_distance(q[rows], m[cols], metric) < t[rows]
+            counts[:, s] = sure.sum(axis=1) + np.bincount(rows, weights=closer, minlength=len(q))
         slots = np.tile(np.arange(aux.shape[1], dtype=np.int64), len(q))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(qid, aux.shape[1])), pa.array(slots), pa.array(counts.ravel())],
