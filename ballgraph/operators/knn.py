@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,12 +55,10 @@ def _nearest(points: DataFrame, n: int, width: int, keep: int, metric: str, seed
              scratch: Scratch) -> DataFrame:
     """(q, m, d): the ``keep`` nearest of every point, itself included."""
     far = F.array(F.lit(float("inf")))
+    work = P.nearest_work(keep, metric)
     members, cells = P.chunked(points, n, width, seed, scratch)
     if cells is None:
-        return P.probe(
-            members, members.withColumn("aux", far), n, n, P.nearest_work(keep, metric), P.NEAREST_SCHEMA
-        )
-    work = P.nearest_work(keep, metric)
+        return P.probe(members, members.withColumn("aux", far), n, n, work, P.NEAREST_SCHEMA)
     # Own chunk first: its keep-th distance bounds the search in all other chunks.
     home = scratch.save(
         P.probe(members, members.withColumn("aux", far), n, n, work, P.NEAREST_SCHEMA), "home"
@@ -73,26 +73,46 @@ def _nearest(points: DataFrame, n: int, width: int, keep: int, metric: str, seed
     return top_rows(home.unionByName(rest), "q", ["d", "m"], keep, "r").select("q", "m", "d")
 
 
-def exact_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0) -> DataFrame:
-    """Exact neighbours; every point gets min(k, n-1) of them."""
+def searched(points: DataFrame, k: int, metric: str, search: Callable, label: str) -> DataFrame:
+    """Runs ``search(vectors, n, width, keep, scratch) -> (q, m, d)`` and ranks what it finds.
+
+    The search sees every distinct vector once, so a vector with very many copies costs no more than
+    another. It returns up to ``keep`` = k+1 members per vector, itself among them.
+    """
     check_args(k, metric)
     shape = validate_points(points)
-    scratch = Scratch(points.sparkSession, "knn")
+    scratch = Scratch(points.sparkSession, label)
     vectors = prepared(points, metric)
     n, width = shape["n"], shape["max_width"]
     distinct = vectors.select(F.xxhash64("v").alias("h")).distinct().count()
     if distinct == n:
-        found = _nearest(vectors, n, width, k + 1, metric, seed, scratch).select(
+        found = search(vectors, n, width, k + 1, scratch).select(
             F.col("q").alias("i"), F.col("m").alias("j"), "d"
         )
-    else:
-        reps, copies, owner = _copies(vectors, k + 1)
-        reps = scratch.save(reps, "distinct")
-        near = _nearest(reps, reps.count(), width, k + 1, metric, seed, scratch)
-        lists = near.join(copies, near.m == copies.u).select("q", "j", "d")
-        short = top_rows(lists, "q", ["d", "j"], k + 1, "r").select("q", "j", "d")
-        found = owner.join(short, owner.u == short.q).select("i", "j", "d")
-    return ranked(found, k)
+        return ranked(found, k)
+    reps, copies, owner = _copies(vectors, k + 1)
+    reps = scratch.save(reps, "distinct")
+    near = search(reps, reps.count(), width, k + 1, scratch)
+    lists = near.join(copies, near.m == copies.u).select("q", "j", "d")
+    short = top_rows(lists, "q", ["d", "j"], k + 1, "r").select("q", "j", "d")
+    return ranked(owner.join(short, owner.u == short.q).select("i", "j", "d"), k)
+
+
+def exact_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0) -> DataFrame:
+    """Exact neighbours; every point gets min(k, n-1) of them."""
+    return searched(
+        points, k, metric,
+        lambda vectors, n, width, keep, scratch: _nearest(vectors, n, width, keep, metric, seed, scratch),
+        "knn",
+    )
+
+
+def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: the share of the exact neighbour pairs that the other search found."""
+    hit = approximate.select("i", "j", F.lit(1.0).alias("hit"))
+    return exact.join(hit, ["i", "j"], "left").agg(
+        F.avg(F.coalesce("hit", F.lit(0.0))).alias("recall")
+    )
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballgraph.functions.arrow import add_columns, list_array
 from ballgraph.functions.vectors import list_matrix
 
 CHUNK_ROWS = 4096           # members per chunk
@@ -173,58 +174,67 @@ def plan_by_bounds(queries: DataFrame, cells: Cells, metric: str, skip_own: bool
     return queries.select(*cols).mapInArrow(run, QUERY_SCHEMA)
 
 
+def nearest_cells(points: DataFrame, pivots: np.ndarray, n_probe: int) -> DataFrame:
+    """Adds ``cells``: the numbers of the ``n_probe`` nearest pivots, nearest first."""
+    shared = points.sparkSession.sparkContext.broadcast(pivots)
+    n = min(n_probe, len(pivots))
+
+    def near(batch):
+        x = list_matrix(batch.column("v"))
+        found = [
+            np.argsort(_pivot_distances(x[s:s + QUERY_ROWS], shared.value), axis=1, kind="stable")[:, :n]
+            for s in range(0, len(x), QUERY_ROWS)
+        ]
+        return {"cells": list_array(np.concatenate(found).ravel().astype(np.int64), np.full(len(x), n))}
+
+    return add_columns(points, [], near, {"cells": "array<bigint>"})
+
+
 def plan_by_lists(queries: DataFrame, cells: Cells, n_probe: int) -> DataFrame:
     """Query rows (id, v, aux) -> one row per chunk of the ``n_probe`` nearest cells."""
-    shared = queries.sparkSession.sparkContext.broadcast(cells)
-
-    def run(batches):
-        c = shared.value
-        n = min(n_probe, len(c.pivots))
-        rows_at_once = max(1, PLAN_ENTRIES // len(c))
-        for batch in batches:
-            x = list_matrix(batch.column("v"))
-            for s in range(0, len(x), rows_at_once):
-                dp = _pivot_distances(x[s:s + rows_at_once], c.pivots)
-                chosen = np.zeros(dp.shape, dtype=bool)
-                near = np.argpartition(dp, n - 1, axis=1)[:, :n]
-                np.put_along_axis(chosen, near, True, axis=1)
-                rows, chunks = np.nonzero(chosen[:, c.cell])
-                if len(rows):
-                    yield _send(batch, rows + s, chunks)
+    table = queries.sparkSession.createDataFrame(
+        [(int(c), chunk) for chunk, c in enumerate(cells.cell)], "cell bigint, chunk bigint"
+    )
+    rows = nearest_cells(queries.select("id", "v", "aux"), cells.pivots, n_probe)
+    rows = rows.select("id", "v", "aux", F.explode("cells").alias("cell"))
+    return rows.join(F.broadcast(table), "cell").select("chunk", "id", "v", "aux")
 
-    return queries.select("id", "v", "aux").mapInArrow(run, QUERY_SCHEMA)
 
+def _stream(batches, work: Callable, decode: Callable | None):
+    """Rows sorted by (chunk, part, side): members (side 0) are kept, queries (side 1) stream by.
 
-def _stream(batches, work: Callable):
-    """Rows sorted by (chunk, part, side): members (side 0) are kept, queries (side 1) stream by."""
+    ``decode(chunk, codes)`` turns members that travel as short codes into vectors.
+    """
     key, ids, vecs, member = None, [], [], None
     for batch in batches:
         if not batch.num_rows:
             continue
         chunk, part = batch.column("chunk").to_numpy(), batch.column("part").to_numpy()
         side, row_id = batch.column("side").to_numpy(), batch.column("id").to_numpy()
-        x, aux = list_matrix(batch.column("v")), batch.column("aux")
+        v, aux = batch.column("v"), batch.column("aux")
         turn = (np.diff(chunk) != 0) | (np.diff(part) != 0) | (np.diff(side) != 0)
         cuts = [0, *(np.flatnonzero(turn) + 1), len(chunk)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             here = (chunk[lo], part[lo])
             if here != key:
                 key, ids, vecs, member = here, [], [], None
+            x = list_matrix(v.slice(lo, hi - lo)) if side[lo] == 0 or ids else None
             if side[lo] == 0:
                 ids.append(row_id[lo:hi])
-                vecs.append(x[lo:hi])
+                vecs.append(decode(chunk[lo], x) if decode else x)
             elif ids:
                 if member is None:
                     member = np.concatenate(ids), np.concatenate(vecs)
                 for s in range(lo, hi, QUERY_ROWS):
                     e = min(s + QUERY_ROWS, hi)
-                    out = work(row_id[s:e], x[s:e], list_matrix(aux.slice(s, e - s)), *member)
+                    out = work(row_id[s:e], x[s - lo:e - lo], list_matrix(aux.slice(s, e - s)), *member)
                     if out is not None:
                         yield out
 
 
 def probe(
-    members: DataFrame, queries: DataFrame, n_rows: int, n_probes: int, work: Callable, schema: str
+    members: DataFrame, queries: DataFrame, n_rows: int, n_probes: int, work: Callable, schema: str,
+    decode: Callable | None = None,
 ) -> DataFrame:
     """Runs ``work(query ids, vectors, aux, member ids, member vectors)`` for every chunk.
 
@@ -245,7 +255,7 @@ def probe(
     )
     laid_out = left.unionByName(right).repartition(n_tasks, "chunk", "part")
     return laid_out.sortWithinPartitions("chunk", "part", "side").mapInArrow(
-        lambda batches: _stream(batches, work), schema
+        lambda batches: _stream(batches, work, decode), schema
     )
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from ballgraph.operators import community as M
 from ballgraph.operators import graph as G
+from ballgraph.operators import ivf as I
 from ballgraph.operators import knn as K
 from ballgraph.operators import layout as Y
 from ballgraph.operators import linalg as A
+from ballgraph.operators import probe as P
+from ballgraph.operators.neighbours import knn as knn_by
 from ballgraph.plans.catalog import (
     Tables, long_vectors, query, rounded, sql_rounded as r_, sql_uniform,
 )
@@ -171,3 +178,79 @@ def _spectral(t):
     points = t.vectors()
     layout = Y.spectral_layout(points, G.knn_edges(knn(t)), points.count(), 2, rounds=2, degree=8)
     return two_columns(layout, 3)
+
+
+@query("q_modularity", f"""WITH RECURSIVE {SQL_KNN}, {SQL_SMOOTH}, {SQL_UNION},
+  e AS (SELECT a.label AS ci, b.label AS cj, w FROM un JOIN pts a ON un.i = a.id JOIN pts b ON un.j = b.id),
+  c AS (SELECT ci, sum(w) FILTER (ci = cj) AS inside, sum(w) AS total FROM e GROUP BY ci)
+SELECT {r_("sum(coalesce(inside, 0)) / sum(total) - sum(total * total) / (sum(total) * sum(total))")} AS modularity FROM c""")
+def _modularity(t):
+    members = t.points().select("id", F.col("label").alias("c"))
+    return M.modularity(fuzzy(t), members).select(rounded("modularity").alias("modularity"))
+
+
+@query("q_louvain")
+def _louvain(t):
+    return M.louvain(fuzzy(t))
+
+
+@query("q_knn_recall", f"""WITH {SQL_KNN},
+  ap AS (SELECT i, j FROM (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY
+      sqrt(list_sum(list_transform(list_zip(a.v[1:32], b.v[1:32]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), b.id) AS r
+    FROM pts a, pts b WHERE a.id <> b.id) WHERE r <= {KNN})
+SELECT {r_("avg(CASE WHEN ap.i IS NULL THEN 0.0 ELSE 1.0 END)", 9)} AS recall
+FROM knn LEFT JOIN ap ON knn.i = ap.i AND knn.j = ap.j""")
+def _recall(t):
+    half = t.vectors().select("id", F.slice("v", 1, 32).alias("v"))
+    return K.recall(K.exact_knn(half, KNN), knn(t)).select(rounded("recall", 9).alias("recall"))
+
+
+@query("q_ivf_probe", f"""WITH {SQL_PTS},
+  c AS (SELECT label, pos, avg(x) AS x FROM (
+    SELECT label, (generate_subscripts(v, 1) - 1) AS pos, unnest(v) AS x FROM pts) GROUP BY label, pos),
+  cn AS (SELECT label, list(x ORDER BY pos) AS v FROM c GROUP BY label)
+SELECT id, cell, rank FROM (SELECT p.id, cn.label::BIGINT AS cell, row_number() OVER (PARTITION BY p.id ORDER BY
+    list_sum(list_transform(list_zip(p.v, cn.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), cn.label) AS rank
+  FROM pts p, cn) WHERE rank <= 3""")
+def _ivf_probe(t):
+    means = t.points().groupBy("label").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m")
+    ).orderBy("label")
+    centres = np.array([r.m for r in means.collect()])
+    near = P.nearest_cells(t.vectors(), centres, 3).select("id", F.posexplode("cells").alias("pos", "cell"))
+    return near.select("id", "cell", (F.col("pos") + 1).cast("bigint").alias("rank"))
+
+
+def listed(near):
+    return near.select("i", "j", F.col("rank").cast("bigint").alias("rank"), rounded("d").alias("d"))
+
+
+@query("q_knn_nndescent")
+def _nndescent(t):
+    return listed(knn_by(t.vectors(), KNN, "nndescent", init="random", max_rounds=6))
+
+
+@query("q_knn_ivf")
+def _ivf(t):
+    return listed(knn_by(t.vectors(), KNN, "ivf", n_lists=64, n_probe=8))
+
+
+@query("q_knn_ivfpq")
+def _ivfpq(t):
+    return listed(knn_by(t.vectors(), KNN, "ivfpq", n_lists=16, n_probe=4, refine=2))
+
+
+@query("q_knn_lsh")
+def _lsh(t):
+    return listed(knn_by(t.vectors(), KNN, "lsh", hashes=2))
+
+
+@query("q_pq_encode")
+def _pq(t):
+    points = t.vectors()
+    width = points.select(F.size("v")).first()[0]
+    slices = I.subspaces(width)
+    coded = I.encode(points, slices, I.train_codebooks(points, points.count(), slices, 0, iterations=5))
+    return coded.select("id", F.posexplode("codes").alias("pos", "code")).withColumn(
+        "pos", F.col("pos").cast("bigint")
+    )

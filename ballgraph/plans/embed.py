@@ -20,7 +20,7 @@ from ballgraph.operators.knn import METRICS, neighbour_lists
 from ballgraph.operators.linalg import pca
 from ballgraph.operators.neighbours import METHODS, knn
 from ballgraph.session import Scratch
-from ballgraph.sources.points import dense_codes, is_dense, validate_knn, validate_points
+from ballgraph.sources.points import validate_knn, validate_points, with_positions
 
 INITS = ("pca", "spectral", "random")
 RADII = ("euclidean", "discrete")
@@ -84,14 +84,6 @@ class Fit:
     n: int
 
 
-def _positions(points: DataFrame, shape: dict, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
-    """Points keyed by 0..n-1, and the way back if the ids were something else."""
-    if is_dense(shape):
-        return points.select("id", "v"), None
-    codes = scratch.save(dense_codes(points.select("id"), "id", "pos", scratch), "positions")
-    return points.join(codes, "id").select(F.col("pos").alias("id"), "v"), codes
-
-
 class _Epochs:
     """The written inputs of the epochs and the job that makes one step."""
 
@@ -207,7 +199,7 @@ def fit(points: DataFrame, cfg: EmbedConfig | None = None, **params) -> Fit:
     scratch = Scratch(spark, "fit")
     shape = validate_points(points)
     n, width, d = shape["n"], shape["max_width"], cfg.n_components
-    indexed, codes = _positions(points, shape, scratch)
+    indexed, codes = with_positions(points, shape, scratch)
     if cfg.pca_components and cfg.pca_components < width:
         indexed, width = pca(indexed, cfg.pca_components, width), cfg.pca_components
     indexed = scratch.save(indexed, "points")

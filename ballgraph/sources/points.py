@@ -91,6 +91,16 @@ def is_dense(shape: dict) -> bool:
     return shape["lo"] == 0 and shape["hi"] == shape["n"] - 1 and shape["ids"] == shape["n"]
 
 
+def with_positions(
+    points: DataFrame, shape: dict, scratch: Scratch
+) -> tuple[DataFrame, DataFrame | None]:
+    """Points keyed by 0..n-1, and (id, pos) as the way back if the ids were something else."""
+    if is_dense(shape):
+        return points.select("id", "v"), None
+    codes = scratch.save(dense_codes(points.select("id"), "id", "pos", scratch), "positions")
+    return points.join(codes, "id").select(F.col("pos").alias("id"), "v"), codes
+
+
 def out_of_range(knn: DataFrame, points: DataFrame) -> DataFrame:
     """Neighbour rows that name an id which is not a point."""
     ids = points.select(F.col("id").alias("j"))
