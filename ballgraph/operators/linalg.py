@@ -50,23 +50,26 @@ def _add_partials(batches):
         )
 
 
-def gram(points: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, covariance with divisor n-1); only matrices of the width reach the driver.
+PARTIAL_SCHEMA = "n double, total array<double>, cross array<double>"
 
-    Tasks fold their points, two further rounds fold the tasks' matrices.
-    """
-    if width > GRAM_WIDTH_LIMIT:
-        raise ValueError(f"width {width} is above {GRAM_WIDTH_LIMIT}; use truncated_svd")
-    schema = "n double, total array<double>, cross array<double>"
-    partial = points.select("v").mapInArrow(_partial_gram, schema)
-    fold = max(1, int(points.sparkSession.sparkContext.defaultParallelism ** 0.5))
-    folded = partial.repartition(fold).mapInArrow(_add_partials, schema)
-    n, total, cross = 0.0, np.zeros(width), np.zeros(width * width)
-    for row in folded.toLocalIterator():
+
+def _folded(partials: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """Sum of the tasks' partial rows: folded by a few tasks first, then on the driver."""
+    fold = max(1, int(partials.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    n, total, cross = 0.0, 0.0, 0.0
+    for row in partials.repartition(fold).mapInArrow(_add_partials, PARTIAL_SCHEMA).toLocalIterator():
         n, total, cross = n + row.n, total + np.array(row.total), cross + np.array(row.cross)
+    return int(n), total, cross
+
+
+def gram(points: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(n, mean, covariance with divisor n-1); only matrices of the width reach the driver."""
+    if width > GRAM_WIDTH_LIMIT:
+        raise ValueError(f"width {width} is above {GRAM_WIDTH_LIMIT}; use pca, which avoids the square matrix")
+    n, total, cross = _folded(points.select("v").mapInArrow(_partial_gram, PARTIAL_SCHEMA))
     mean = total / n
     centred = cross.reshape(width, width) - n * np.outer(mean, mean)
-    return int(n), mean, centred / max(n - 1.0, 1.0)
+    return n, mean, centred / max(n - 1.0, 1.0)
 
 
 def gram_table(points: DataFrame, width: int) -> DataFrame:
@@ -114,19 +117,42 @@ def pca(points: DataFrame, n_components: int, width: int | None = None) -> DataF
     """Centred projection on the leading components; every other column is kept."""
     width = width or points.select(F.size("v")).first()[0]
     if width > GRAM_WIDTH_LIMIT:
-        return _wide_pca(points, n_components)
-    mean, components, _ = pca_model(points, n_components, width)
+        mean, components, _ = wide_pca_model(points, n_components, width)
+    else:
+        mean, components, _ = pca_model(points, n_components, width)
     return project(points, mean, components)
 
 
-def _wide_pca(points: DataFrame, n_components: int) -> DataFrame:
-    """PCA of very wide points: truncated SVD of the centred cells."""
-    mean = points.agg(vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m")).scalar()
-    centred = points.withColumn("v", F.zip_with("v", mean, lambda x, m: x - m))
-    cells = centred.select("id", F.posexplode("v").alias("pos", "value"))
-    terms = cells.select("id", F.col("pos").cast("string").alias("term"), "value")
-    rows, _ = truncated_svd(terms, n_components)
-    return points.drop("v").join(rows, "id")
+def wide_pca_model(
+    points: DataFrame, n_components: int, width: int, oversample: int = 8, passes: int = 6, seed: int = 0
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``pca_model`` without the width x width matrix: block iteration with width x few matrices."""
+    spark = points.sparkSession
+    mean = np.array(points.agg(vector_to_array(Summarizer.mean(array_to_vector("v")))).first()[0])
+    few = min(n_components + oversample, width)
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, few)))[0]
+    for _ in range(passes):
+        shared = spark.sparkContext.broadcast((mean, basis))
+
+        def multiply(batches):
+            centre, block = shared.value
+            n, cross = 0, 0.0
+            for batch in batches:
+                x = list_matrix(batch.column("v"))
+                if len(x):
+                    x = x - centre
+                    n, cross = n + len(x), cross + x.T @ (x @ block)
+            if n:
+                yield pa.RecordBatch.from_pydict({
+                    "n": pa.array([float(n)]), "total": pa.array([[0.0]]), "cross": pa.array([cross.ravel()]),
+                })
+
+        n, _, cross = _folded(points.select("v").mapInArrow(multiply, PARTIAL_SCHEMA))
+        image = cross.reshape(width, few)
+        values, vectors = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2.0)
+        top, basis = basis @ vectors[:, ::-1], np.linalg.qr(image)[0]
+    keep = min(n_components, few)
+    return mean, _fix_signs(top[:, :keep]), values[::-1][:keep] / max(n - 1.0, 1.0)
 
 
 def _weighted_sum(cells: DataFrame, factor: DataFrame, on: str, by: str, width: int, bytes_: int) -> DataFrame:

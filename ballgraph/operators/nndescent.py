@@ -64,20 +64,28 @@ def _pools(graph: DataFrame, size: int, seed: int, round_: int) -> DataFrame:
     return fresh.unionByName(known).select("hub", "a", "fresh")
 
 
-def _start(vectors: DataFrame, n: int, width: int, keep: int, metric: str, seed: int, init: str,
+def _start(vectors: DataFrame, n: int, width: int, others: int, metric: str, seed: int, init: str,
            scratch) -> DataFrame:
-    """(q, m, d) of the first lists."""
-    if init == "cells":
-        members, _ = P.chunked(vectors, n, width, seed, scratch)
-        rows = members.withColumn("aux", F.array(F.lit(float("inf"))))
-        return P.probe(members, rows, n, n, P.nearest_work(keep, metric), P.NEAREST_SCHEMA)
-    if init != "random":
+    """(q, m, d) of the first lists, at most ``others`` each.
+
+    Lists from inside the cells alone would never lead out of them, so a third stays random.
+    """
+    if init not in ("cells", "random"):
         raise ValueError(f"unknown start {init!r}; use 'cells' or 'random'")
+    links = others if init == "random" else max(2, others // 3)
     picks = vectors.select(
-        F.col("id").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(keep))).alias("r")
+        F.col("id").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(links))).alias("r")
     )
     picks = picks.select("q", draws.pick(n, seed, "start", F.col("q"), F.col("r")).alias("m"))
-    return measured(picks.where("q <> m").distinct(), vectors, metric)
+    far = measured(picks.where("q <> m").distinct(), vectors, metric)
+    if init == "random":
+        return far
+    members, _ = P.chunked(vectors, n, width, seed, scratch)
+    rows = members.withColumn("aux", F.array(F.lit(float("inf"))))
+    close = P.probe(members, rows, n, n, P.nearest_work(others, metric), P.NEAREST_SCHEMA)
+    close = top_rows(close.where("q <> m"), "q", ["d", "m"], max(1, others - links), "r")
+    both = close.select("q", "m", "d").unionByName(far)
+    return both.groupBy("q", "m").agg(F.min("d").alias("d"))
 
 
 def nndescent_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
@@ -88,14 +96,12 @@ def nndescent_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: in
     A pool holds at most ``pool`` fresh and ``pool`` known points, so a point that many list is no
     larger than another. Rounds stop when fewer than ``delta`` * n * k entries changed.
     """
-    keep_self = 1
-
     def search(vectors, n, width, keep, scratch):
         size = pool or max(10, min(30, keep))
         ids, back = with_positions(vectors, point_shape(vectors), scratch)
         ids = scratch.save(ids, "vectors")
-        others = keep - keep_self
-        first = _start(ids, n, width, keep, metric, seed, init, scratch).where("q <> m")
+        others = keep - 1
+        first = _start(ids, n, width, others, metric, seed, init, scratch)
         graph = scratch.save(
             top_rows(first, "q", ["d", "m"], others, "r").select("q", "m", "d", F.lit(True).alias("fresh")),
             "round0",
