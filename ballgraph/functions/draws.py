@@ -1,54 +1,60 @@
-"""Random draws as hashes of keys.
+"""Random draws as hashes of keys, as SQL text.
 
-A draw depends only on (seed, keys), never on partitioning, task order or retries, so a sample is
-the same after a repartition or after an executor was lost.
+A draw depends only on its constants (seed, epoch, purpose) and key columns, never on partitioning,
+task order or retries, so a sample is the same after a repartition or after an executor was lost. The
+constants form one string literal: Spark passes strings to generated code by reference, so the code of
+one epoch is reused by the next.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 DRAW_BITS = 60
 
 
-def _key(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+def number(x) -> str:
+    """A double literal."""
+    return f"({float(x)!r}D)"
 
 
-def draw(*keys, hasher: str = "xxhash64") -> Column:
-    """Integer in [0, 2**60). Plain Python values are literals, Columns are data.
+def draw(consts: tuple, *cols: str, hasher: str = "xxhash64") -> str:
+    """Integer in [0, 2**60) from constants and SQL column expressions.
 
     ``md5`` gives the same integers in any engine that has md5; ``xxhash64`` is the fast default.
     """
-    cols = [_key(k) for k in keys]
+    const = "'" + "|".join(str(c) for c in consts) + "'"
     if hasher == "md5":
-        text = F.concat_ws("|", *[c.cast("string") for c in cols])
-        return F.conv(F.substring(F.md5(text), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
+        text = ", ".join([const, *(f"cast({c} AS string)" for c in cols)])
+        return f"cast(conv(substr(md5(concat_ws('|', {text})), 1, {DRAW_BITS // 4}), 16, 10) AS bigint)"
     if hasher == "xxhash64":
-        return F.shiftrightunsigned(F.xxhash64(*cols), 64 - DRAW_BITS)
+        return f"shiftrightunsigned(xxhash64({', '.join([const, *cols])}), {64 - DRAW_BITS})"
     raise ValueError(f"unknown hasher {hasher!r}")
 
 
-def pick(n, *keys, hasher: str = "xxhash64") -> Column:
+def modulo(x: str, n: int) -> str:
+    """x mod n as a value Spark knows to be present; a nullable join key would be computed a second
+    time by the null filter that Spark derives from the join."""
+    return f"coalesce(pmod({x}, {int(n)}L), 0L)"
+
+
+def pick(n: int, consts: tuple, *cols: str, hasher: str = "xxhash64") -> str:
     """Integer in [0, n)."""
-    return F.pmod(draw(*keys, hasher=hasher), _key(n).cast("bigint"))
+    return modulo(draw(consts, *cols, hasher=hasher), n)
 
 
-def uniform(*keys, hasher: str = "xxhash64") -> Column:
+def uniform(consts: tuple, *cols: str, hasher: str = "xxhash64") -> str:
     """Double in [0, 1) with 53 random bits."""
-    return F.shiftright(draw(*keys, hasher=hasher), DRAW_BITS - 53) / F.lit(float(1 << 53))
+    return f"(shiftright({draw(consts, *cols, hasher=hasher)}, {DRAW_BITS - 53}) / {number(1 << 53)})"
 
 
-def gauss(*keys, hasher: str = "xxhash64") -> Column:
+def gauss(consts: tuple, *cols: str, hasher: str = "xxhash64") -> str:
     """Standard normal by Box-Muller."""
-    u1 = F.lit(1.0) - uniform(*keys, "u1", hasher=hasher)
-    u2 = uniform(*keys, "u2", hasher=hasher)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+    u1, u2 = (uniform((*consts, u), *cols, hasher=hasher) for u in ("u1", "u2"))
+    return f"(sqrt(-2D * ln(1D - {u1})) * cos({number(2.0 * math.pi)} * {u2}))"
 
 
-def first_ok(candidates: list[Column], ok, otherwise: Column) -> Column:
+def first_ok(candidates: list[str], ok, otherwise: str) -> str:
     """First candidate that passes ``ok``; rejection sampling over pre-drawn values."""
-    return F.coalesce(*[F.when(ok(c), c) for c in candidates], otherwise)
+    tries = ", ".join(f"CASE WHEN {ok(c)} THEN {c} END" for c in candidates)
+    return f"coalesce({tries}, {otherwise})"

@@ -1,9 +1,14 @@
-"""Similarity kernel, enclosing-ball radius, loss terms and their derivatives as Column expressions."""
+"""Similarity kernel, enclosing-ball radius, loss terms and their derivatives, as SQL text.
+
+The fit builds these once per epoch; one piece of text is one call to the JVM, where the same built up
+from Column operators would be hundreds.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+
+from ballgraph.functions.draws import number
 
 # Fixed values the results depend on.
 TAU_FLOOR = 1e-9      # smallest kernel temperature
@@ -11,43 +16,46 @@ RIGHT_SLACK = 1e-9    # slack of the right-angle test
 AREA_FLOOR = 1e-9     # floor of the squared triangle area
 LOG_FLOOR = 1e-6      # floor inside the cross-entropy logarithms
 
+PHIS = ("student", "exp")
+
 
-def phi(r: Column, kind: str = "student", tau: float = 1.0) -> Column:
+def phi(r: str, kind: str = "student", tau: float = 1.0) -> str:
     if kind == "student":
-        return F.lit(1.0) / (F.lit(1.0) + r * r)
+        return f"(1D / (1D + {r} * {r}))"
     if kind == "exp":
-        return F.exp(-r / F.lit(max(float(tau), TAU_FLOOR)))
-    raise ValueError(f"unknown kernel {kind!r}; use 'student' or 'exp'")
+        return f"exp(-{r} / {number(max(float(tau), TAU_FLOOR))})"
+    raise ValueError(f"unknown kernel {kind!r}; use one of {PHIS}")
+
+
+def _sorted_sides(a: str, b: str, c: str) -> tuple[str, str, str]:
+    middle = f"greatest(least({a}, {b}), least(greatest({a}, {b}), {c}))"
+    return f"least({a}, {b}, {c})", middle, f"greatest({a}, {b}, {c})"
 
 
-def _sorted_sides(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
-    middle = F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))
-    return F.least(a, b, c), middle, F.greatest(a, b, c)
+def _area_sq(x: str, y: str, z: str) -> str:
+    s = f"(({x} + {y} + {z}) / 2D)"
+    return f"({s} * ({s} - {x}) * ({s} - {y}) * ({s} - {z}))"
 
 
-def _area_sq(x: Column, y: Column, z: Column) -> Column:
-    s = (x + y + z) / F.lit(2.0)
-    return s * (s - x) * (s - y) * (s - z)
+def _is_obtuse(x: str, y: str, z: str) -> str:
+    return f"({z} * {z} >= {x} * {x} + {y} * {y} - {number(RIGHT_SLACK)})"
 
 
-def _is_obtuse(x: Column, y: Column, z: Column) -> Column:
-    return z * z >= x * x + y * y - F.lit(RIGHT_SLACK)
+def _circumradius(x: str, y: str, z: str, area_sq: str) -> str:
+    return f"({x} * {y} * {z} / (4D * sqrt(greatest({area_sq}, {number(AREA_FLOOR)}))))"
 
 
-def ball_radius(a: Column, b: Column, c: Column, soft: bool = True, beta: float = 10.0) -> Column:
+def ball_radius(a: str, b: str, c: str, soft: bool = True, beta: float = 10.0) -> str:
     """Radius of the smallest ball around a triangle, from its side lengths.
 
     Acute: the circumradius. Right or obtuse: half the longest side, where ``soft`` replaces the
     maximum by a logsumexp (shifted by the maximum, so large sides do not overflow).
     """
     x, y, z = _sorted_sides(a, b, c)
-    circum = x * y * z / (F.lit(4.0) * F.sqrt(F.greatest(_area_sq(x, y, z), F.lit(AREA_FLOOR))))
-    if soft:
-        bt = F.lit(float(beta))
-        top = z + F.log(F.exp(bt * (x - z)) + F.exp(bt * (y - z)) + F.lit(1.0)) / bt
-    else:
-        top = z
-    return F.when(_is_obtuse(x, y, z), top / F.lit(2.0)).otherwise(circum)
+    bt = number(beta)
+    top = f"({z} + ln(exp({bt} * ({x} - {z})) + exp({bt} * ({y} - {z})) + 1D) / {bt})" if soft else z
+    sharp = _circumradius(x, y, z, _area_sq(x, y, z))
+    return f"(CASE WHEN {_is_obtuse(x, y, z)} THEN {top} / 2D ELSE {sharp} END)"
 
 
 def with_ball(df: DataFrame, soft: bool = True, beta: float = 10.0) -> DataFrame:
@@ -55,55 +63,44 @@ def with_ball(df: DataFrame, soft: bool = True, beta: float = 10.0) -> DataFrame
 
     Built in stages of plain columns, so that the generated code computes each part once.
     """
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    x, y, z = F.col("_x"), F.col("_y"), F.col("_z")
-    df = df.withColumns(dict(zip(("_x", "_y", "_z"), _sorted_sides(a, b, c))))
-    df = df.withColumns({"_area": _area_sq(x, y, z), "_wide": _is_obtuse(x, y, z)})
-    circum = x * y * z / (F.lit(4.0) * F.sqrt(F.greatest("_area", F.lit(AREA_FLOOR))))
-    bt = F.lit(float(beta))
+    bt = number(beta)
+    x, y, z = _sorted_sides("a", "b", "c")
+    df = df.selectExpr("*", f"{x} AS _x", f"{y} AS _y", f"{z} AS _z")
     if soft:
-        parts = {"_ea": F.exp(bt * (a - z)), "_eb": F.exp(bt * (b - z)), "_ec": F.exp(bt * (c - z))}
-    else:  # the longest side has all the weight
-        parts = {
-            "_ea": ((a >= b) & (a >= c)).cast("double"),
-            "_eb": (((a < b) | (a < c)) & (b >= c)).cast("double"),
-            "_ec": ((a < c) & (b < c)).cast("double"),
-        }
-    df = df.withColumns(parts | {"_circum": circum})
-    total = F.col("_ea") + F.col("_eb") + F.col("_ec")
-    top = z + F.log(total) / bt if soft else z
-    df = df.withColumns({
-        "R_": F.when(F.col("_wide"), top / F.lit(2.0)).otherwise(F.col("_circum")), "_total": total,
-    })
-
-    def slope(share: str, m: Column, p: Column, q: Column) -> Column:
-        bend = F.when(
-            F.col("_area") > F.lit(AREA_FLOOR), m * (p * p + q * q - m * m) / (F.lit(8.0) * F.col("_area"))
-        ).otherwise(0.0)
-        sharp = F.col("_circum") * (F.lit(1.0) / m - bend)
-        return F.when(F.col("_wide"), F.col(share) / F.col("_total") / F.lit(2.0)).otherwise(sharp)
-
-    df = df.withColumns({"ra": slope("_ea", a, b, c), "rb": slope("_eb", b, a, c), "rc": slope("_ec", c, a, b)})
-    return df.drop("_x", "_y", "_z", "_area", "_wide", "_circum", "_total", *parts)
-
-
-def attract(r: Column, kind: str, tau: float) -> tuple[Column, Column]:
+        parts = [f"exp({bt} * ({s} - _z)) AS _e{s}" for s in "abc"]
+        top = f"(_z + ln(_ea + _eb + _ec) / {bt})"
+    else:  # the longest side, the first of equals, has all the weight
+        longest = {"a": "a >= b AND a >= c", "b": "a < b AND b >= c", "c": "a < c AND b < c"}
+        parts = [f"CASE WHEN {test} THEN 1D ELSE 0D END AS _e{s}" for s, test in longest.items()]
+        top = "_z"
+    df = df.selectExpr(
+        "*", *parts, f"{_is_obtuse('_x', '_y', '_z')} AS _wide", f"{_area_sq('_x', '_y', '_z')} AS _area"
+    )
+    df = df.selectExpr("*", f"{_circumradius('_x', '_y', '_z', '_area')} AS _circum", "_ea + _eb + _ec AS _total")
+
+    def slope(m: str, p: str, q: str) -> str:
+        bend = (f"CASE WHEN _area > {number(AREA_FLOOR)} "
+                f"THEN {m} * ({p} * {p} + {q} * {q} - {m} * {m}) / (8D * _area) ELSE 0D END")
+        return f"CASE WHEN _wide THEN _e{m} / _total / 2D ELSE _circum * (1D / {m} - {bend}) END AS r{m}"
+
+    return df.selectExpr(
+        "*", f"CASE WHEN _wide THEN {top} / 2D ELSE _circum END AS R_",
+        slope("a", "b", "c"), slope("b", "a", "c"), slope("c", "a", "b"),
+    )
+
+
+def attract(r: str, kind: str, tau: float) -> tuple[str, str]:
     """-ln(max(q, floor)) and its derivative by r, for triangles that should be small."""
-    q = phi(r, kind, tau)
-    loss = -F.log(F.greatest(q, F.lit(LOG_FLOOR)))
-    if kind == "student":
-        slope = F.lit(2.0) * r / (F.lit(1.0) + r * r)
-    else:
-        slope = F.lit(1.0 / max(float(tau), TAU_FLOOR))
-    return loss, F.when(q >= LOG_FLOOR, slope).otherwise(0.0)
+    q, floor = phi(r, kind, tau), number(LOG_FLOOR)
+    slope = f"2D * {r} / (1D + {r} * {r})" if kind == "student" else number(1.0 / max(float(tau), TAU_FLOOR))
+    return f"(-ln(greatest({q}, {floor})))", f"(CASE WHEN {q} >= {floor} THEN {slope} ELSE 0D END)"
 
 
-def repel(r: Column, kind: str, tau: float) -> tuple[Column, Column]:
+def repel(r: str, kind: str, tau: float) -> tuple[str, str]:
     """-ln(max(1-q, floor)) and its derivative by r, for triangles that should be large."""
-    q = phi(r, kind, tau)
-    loss = -F.log(F.greatest(F.lit(1.0) - q, F.lit(LOG_FLOOR)))
+    q, floor = phi(r, kind, tau), number(LOG_FLOOR)
     if kind == "student":
-        slope = F.lit(-2.0) / (r * (F.lit(1.0) + r * r))
+        slope = f"-2D / ({r} * (1D + {r} * {r}))"
     else:
-        slope = -q / (F.lit(1.0) - q) / F.lit(max(float(tau), TAU_FLOOR))
-    return loss, F.when(F.lit(1.0) - q >= LOG_FLOOR, slope).otherwise(0.0)
+        slope = f"-{q} / (1D - {q}) / {number(max(float(tau), TAU_FLOOR))}"
+    return f"(-ln(greatest(1D - {q}, {floor})))", f"(CASE WHEN 1D - {q} >= {floor} THEN {slope} ELSE 0D END)"

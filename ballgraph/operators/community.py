@@ -64,7 +64,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 5, max_
         start = best = modularity(level, members, resolution).first()[0]
         current, quiet = members, 0
         for round_ in range(1, max_rounds + 1):
-            half = F.pmod(draws.draw(seed, depth, round_ // 2, F.col("id")), F.lit(2)) == round_ % 2
+            half = F.expr(f"{draws.pick(2, (seed, depth, round_ // 2), 'id')} = {round_ % 2}")
             current = scratch.save(
                 _best_moves(level, degree, current, whole, resolution, half), f"members{depth}-{round_}"
             )

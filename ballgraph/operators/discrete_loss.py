@@ -48,7 +48,7 @@ def _attract(r: np.ndarray, phi: str, tau: float):
     return -np.log(np.maximum(q, LOG_FLOOR)), np.where(q >= LOG_FLOOR, slope, 0.0)
 
 
-def discrete_gradients(
+def discrete_gradient_rows(
     positives: DataFrame, packed: DataFrame, n_components: int, n_positive: int, alpha: float = 1.0,
     phi: str = "student", tau: float = 1.0, beta: float = 10.0,
 ) -> DataFrame:

@@ -99,7 +99,7 @@ def subsamples(points: DataFrame, repeats: int, size: int, seed: int, hasher: st
     """
     drawn = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     drawn = drawn.withColumn(
-        "u", draws.draw(seed, "sample", F.col("repeat"), F.col("id"), hasher=hasher)
+        "u", F.expr(draws.draw((seed, "sample"), "repeat", "id", hasher=hasher))
     )
     return top_rows(drawn, "repeat", ["u", "id"], size, "r").select(
         F.col("repeat").cast("bigint").alias("repeat"), "id"

@@ -29,7 +29,7 @@ def centres(points: DataFrame, n: int, n_centres: int, seed: int, iterations: in
     share = n_centres * TRAIN_PER_CENTRE / n
     train = points
     if share < 1.0:
-        train = points.where(draws.uniform(seed, "train", F.col("id")) < share)
+        train = points.where(f"{draws.uniform((seed, 'train'), 'id')} < {draws.number(share)}")
     model = KMeans(
         k=n_centres, seed=seed, maxIter=iterations, initMode="random", featuresCol="x"
     ).fit(train.select(array_to_vector("v").alias("x")))

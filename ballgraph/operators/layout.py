@@ -35,7 +35,7 @@ def box_scale(layout: DataFrame, n_components: int, jitter: float, seed: int,
         lo, hi = F.col(f"_e.lo{c}"), F.col(f"_e.hi{c}")
         x = F.lit(BOX) * (F.get("y", F.lit(c)) - lo) / F.greatest(hi - lo, F.lit(SPAN_FLOOR))
         if jitter:
-            x = x + draws.gauss(seed, "jitter", F.col("id"), c, hasher=hasher) * jitter
+            x = x + F.expr(draws.gauss((seed, "jitter", c), "id", hasher=hasher)) * jitter
         cols.append(x)
     return layout.withColumn("_e", ends).select("id", F.array(*cols).alias("y"))
 
@@ -48,7 +48,7 @@ def pca_layout(points: DataFrame, n_components: int, seed: int, width: int | Non
 def random_layout(points: DataFrame, n_components: int, seed: int, hasher: str = "xxhash64") -> DataFrame:
     """Uniform in [-10, 10)."""
     span = [
-        draws.uniform(seed, "init", F.col("id"), c, hasher=hasher) * (2.0 * BOX) - BOX
+        F.expr(draws.uniform((seed, "init", c), "id", hasher=hasher)) * (2.0 * BOX) - BOX
         for c in range(n_components)
     ]
     return points.select("id", F.array(*span).alias("y"))
@@ -56,7 +56,7 @@ def random_layout(points: DataFrame, n_components: int, seed: int, hasher: str =
 
 def tiny_layout(points: DataFrame, n_components: int, seed: int) -> DataFrame:
     """Normal draws of size 1e-3, for a graph without edges."""
-    span = [draws.gauss(seed, "empty", F.col("id"), c) * EMPTY_SPREAD for c in range(n_components)]
+    span = [F.expr(draws.gauss((seed, "empty", c), "id")) * EMPTY_SPREAD for c in range(n_components)]
     return points.select("id", F.array(*span).alias("y"))
 
 
@@ -106,7 +106,7 @@ def leading_eigenvectors(
         "edges",
     )
     width = min(n_vectors + oversample, n)
-    rest = [draws.gauss(seed, "block", F.col("i"), c) for c in range(1, width)]
+    rest = [F.expr(draws.gauss((seed, "block", c), "i")) for c in range(1, width)]
     block = scratch.save(
         degree_root.select(F.col("i").alias("id"), F.array(F.col("r"), *rest).alias("q")), "start"
     )

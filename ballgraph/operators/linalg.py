@@ -199,7 +199,7 @@ def truncated_svd(
     n_rows = cells.select("id").distinct().count()
     width = min(n_components + oversample, n_terms, n_rows)
     term_bytes, row_bytes = n_terms * (width * 8 + 40), n_rows * (width * 8 + 24)
-    start = F.array(*[draws.gauss(seed, F.col("term"), c) for c in range(width)])
+    start = F.array(*[F.expr(draws.gauss((seed, c), "term")) for c in range(width)])
     block = cells.select("term").distinct().select("term", start.alias("q"))
     for step in range(passes + 1):
         left = scratch.save(_weighted_sum(cells, block, "term", "id", width, term_bytes), f"left{step}")

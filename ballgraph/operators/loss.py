@@ -5,10 +5,11 @@ Layouts are wide here: ``(id, y0, y1, ...)``, so that every expression is genera
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballgraph.functions import kernels
+from ballgraph.functions.draws import number
 
 BROADCAST_BYTES = 64 << 20
 
@@ -31,20 +32,14 @@ def fits_broadcast(n_points: int, n_components: int) -> bool:
 
 def place(triplets: DataFrame, wide: DataFrame, n_components: int, small: bool) -> DataFrame:
     """Joins the coordinates of the three corners and adds the side lengths a, b, c."""
+    ys = coords(n_components)
     for corner in "ijk":
-        at = wide.select(
-            F.col("id").alias(corner), *[F.col(y).alias(f"{corner}_{y}") for y in coords(n_components)]
-        )
+        at = wide.selectExpr(f"id AS {corner}", *[f"{y} AS {corner}_{y}" for y in ys])
         triplets = triplets.join(F.broadcast(at) if small else at, corner)
-
-    def side(p: str, q: str) -> Column:
-        total = None
-        for y in coords(n_components):
-            gap = F.col(f"{p}_{y}") - F.col(f"{q}_{y}")
-            total = gap * gap if total is None else total + gap * gap
-        return F.sqrt(total)
-
-    return triplets.withColumns({"a": side("i", "j"), "b": side("i", "k"), "c": side("j", "k")})
+    side = lambda p, q: "sqrt(" + " + ".join(f"({p}_{y} - {q}_{y}) * ({p}_{y} - {q}_{y})" for y in ys) + ")"
+    return triplets.selectExpr(
+        "*", f"{side('i', 'j')} AS a", f"{side('i', 'k')} AS b", f"{side('j', 'k')} AS c"
+    )
 
 
 def triangle_losses(
@@ -56,14 +51,13 @@ def triangle_losses(
 
     Rows are (positive BOOLEAN, w); a negative row's loss is gamma * w * repulsion.
     """
-    rows = kernels.with_ball(placed, soft, beta).withColumn("r", F.lit(2.0) * F.col("R_")).drop("R_")
-    near, near_slope = kernels.attract(F.col("r"), phi, tau)
-    away, away_slope = kernels.repel(F.col("r"), phi, tau)
-    weight = F.when(F.col("positive"), F.col("w")).otherwise(F.lit(float(gamma)) * F.col("w"))
-    return rows.withColumns({
-        "loss": weight * F.when(F.col("positive"), near).otherwise(away),
-        "pull": F.lit(2.0) * weight * F.when(F.col("positive"), near_slope).otherwise(away_slope),
-    })
+    rows = kernels.with_ball(placed, soft, beta).selectExpr("*", "2D * R_ AS r")
+    (near, near_slope), (away, away_slope) = kernels.attract("r", phi, tau), kernels.repel("r", phi, tau)
+    push = f"{number(gamma)} * w"
+    return rows.selectExpr(
+        "*", f"CASE WHEN positive THEN w * {near} ELSE {push} * {away} END AS loss",
+        f"2D * CASE WHEN positive THEN w * {near_slope} ELSE {push} * {away_slope} END AS pull",
+    )
 
 
 def mean_loss(losses: DataFrame, n_positive: int) -> DataFrame:
@@ -71,34 +65,35 @@ def mean_loss(losses: DataFrame, n_positive: int) -> DataFrame:
     return losses.agg((F.sum("loss") / F.lit(float(max(n_positive, 1)))).alias("loss"))
 
 
-def gradients(
+def gradient_rows(
     losses: DataFrame, n_components: int, n_positive: int, alpha: float = 1.0
 ) -> DataFrame:
-    """(id, g0.., loss) per touched vertex: closed-form derivatives, summed with one shuffle.
+    """(id, g0.., loss), three rows per triangle: closed-form derivatives by its corners.
 
     ``loss`` books each triangle's loss with its first corner, so one pass yields both.
     """
-    scale = F.lit(float(alpha) / max(n_positive, 1))
-    force = lambda side: F.when(
-        F.col(side) > 0, F.col("pull") * scale * F.col(f"r{side}") / F.col(side)
-    ).otherwise(0.0)
-    rows = losses.withColumns({f"f{side}": force(side) for side in "abc"})
+    scale = number(float(alpha) / max(n_positive, 1))
+    ys = coords(n_components)
+    rows = losses.selectExpr(
+        *[f"{c}_{y}" for c in "ijk" for y in ys], "i", "j", "k",
+        f"loss / {number(max(n_positive, 1))} AS share",
+        *[f"CASE WHEN {s} > 0 THEN pull * {scale} * r{s} / {s} ELSE 0D END AS f{s}" for s in "abc"],
+    )
 
-    def push(me: str, first: tuple[str, str], second: tuple[str, str], loss: Column) -> Column:
+    def push(me: str, first: str, second: str, loss: str) -> str:
+        (f1, p), (f2, q) = first, second
         parts = [
-            (F.col(first[0]) * (F.col(f"{me}_{y}") - F.col(f"{first[1]}_{y}"))
-             + F.col(second[0]) * (F.col(f"{me}_{y}") - F.col(f"{second[1]}_{y}"))).alias(f"g{n}")
-            for n, y in enumerate(coords(n_components))
+            f"f{f1} * ({me}_{y} - {p}_{y}) + f{f2} * ({me}_{y} - {q}_{y}) AS g{n}" for n, y in enumerate(ys)
         ]
-        return F.struct(F.col(me).alias("id"), *parts, loss.alias("loss"))
+        return f"struct({me} AS id, {', '.join(parts)}, {loss} AS loss)"
 
-    share = F.col("loss") / F.lit(float(max(n_positive, 1)))
-    corners = F.array(
-        push("i", ("fa", "j"), ("fb", "k"), share),
-        push("j", ("fa", "i"), ("fc", "k"), F.lit(0.0)),
-        push("k", ("fb", "i"), ("fc", "j"), F.lit(0.0)),
-    )
-    return sum_gradients(rows.select(F.inline(corners)), n_components)
+    corners = push("i", "aj", "bk", "share"), push("j", "ai", "ck", "0D"), push("k", "bi", "cj", "0D")
+    return rows.selectExpr(f"inline(array({', '.join(corners)}))")
+
+
+def gradients(losses: DataFrame, n_components: int, n_positive: int, alpha: float = 1.0) -> DataFrame:
+    """(id, g0.., loss) per touched vertex, summed with one shuffle."""
+    return sum_gradients(gradient_rows(losses, n_components, n_positive, alpha), n_components)
 
 
 def sum_gradients(rows: DataFrame, n_components: int) -> DataFrame:
@@ -115,58 +110,60 @@ OPTIMIZERS = ("sparse_adam", "adagrad", "sgd")
 
 
 def start_state(wide: DataFrame, n_components: int, optimizer: str) -> DataFrame:
-    """Adds the zero moments an optimiser needs."""
+    """Adds the step number and the zero moments an optimiser needs."""
     kinds = {"sparse_adam": ["m", "s"], "adagrad": ["s"], "sgd": []}
     if optimizer not in kinds:
         raise ValueError(f"unknown optimizer {optimizer!r}; use one of {OPTIMIZERS}")
-    zeros = {c: F.lit(0.0) for p in kinds[optimizer] for c in coords(n_components, p)}
-    return wide.withColumns(zeros) if zeros else wide
+    zeros = [f"0D AS {c}" for p in kinds[optimizer] for c in coords(n_components, p)]
+    return wide.selectExpr("*", "0L AS t", *zeros)
 
 
 def clipped(grads: DataFrame, n_components: int, max_norm: float) -> DataFrame:
     """Scales all gradients so that their joint length is at most ``max_norm``."""
-    total = sum((F.col(g) * F.col(g) for g in coords(n_components, "g")), F.lit(0.0))
-    length = grads.agg(F.sqrt(F.sum(total)).alias("len")).scalar()
+    gs = coords(n_components, "g")
+    length = grads.selectExpr(f"sqrt(sum({' + '.join(f'{g} * {g}' for g in gs)})) AS len").scalar()
     scale = F.least(F.lit(1.0), F.lit(float(max_norm)) / (length + F.lit(1e-6)))
-    return grads.withColumns({g: F.col(g) * scale for g in coords(n_components, "g")})
+    return grads.withColumns({g: F.col(g) * scale for g in gs})
 
 
 def step(
-    state: DataFrame, grads: DataFrame, n_components: int, optimizer: str, t: int,
+    state: DataFrame, rows: DataFrame, n_components: int, optimizer: str,
     learning_rate: float = 1.0, lr_decay: float = 0.0,
 ) -> DataFrame:
-    """One update. Vertices without a gradient keep their position and moments.
+    """One update from gradient rows (id, g.., loss), summed or not.
 
-    A ``loss`` column of the state is replaced by the share the gradients booked with each vertex.
+    State and gradient rows meet in one grouped sum, so a step is a single shuffle without a join.
+    Vertices without a gradient keep their position and moments. ``t`` in the state counts the steps
+    made, so the text of a step is the same in every epoch; ``loss`` is the share booked with a vertex.
     """
-    books = "loss" in state.columns
-    joined = state.drop("loss").join(grads if books else grads.drop("loss"), "id", "left")
-    touched = F.col("g0").isNotNull()
-    out = {}
+    if optimizer not in OPTIMIZERS:
+        raise ValueError(f"unknown optimizer {optimizer!r}; use one of {OPTIMIZERS}")
+    gs = coords(n_components, "g")
+    held = [c for c in state.columns if c not in ("id", "loss")]
+    mine = state.selectExpr("id", *held, *[f"CAST(NULL AS double) AS {g}" for g in gs], "0D AS loss")
+    pulls = rows.selectExpr(
+        "id", *[f"CAST(NULL AS {'bigint' if c == 't' else 'double'}) AS {c}" for c in held], *gs, "loss"
+    )
+    joined = mine.union(pulls).groupBy("id").agg(
+        *[F.max(c).alias(c) for c in held], *[F.sum(g).alias(g) for g in gs], F.sum("loss").alias("loss")
+    )
+    rate, out = number(learning_rate), {}
     for c in range(n_components):
-        y, g = F.col(f"y{c}"), F.col(f"g{c}")
+        y, g, m, s = f"y{c}", f"g{c}", f"m{c}", f"s{c}"
         if optimizer == "sgd":
-            moved = y - F.lit(learning_rate) * g
+            out[y] = f"{y} - {rate} * {g}"
         elif optimizer == "adagrad":
-            s = F.col(f"s{c}") + g * g
-            rate = learning_rate / (1.0 + (t - 1) * lr_decay)
-            moved = y - F.lit(rate) * g / (F.sqrt(s) + F.lit(ADAGRAD_EPS))
-            out[f"s{c}"] = s
-        elif optimizer == "sparse_adam":
-            m = F.col(f"m{c}") + F.lit(1.0 - ADAM_BETA1) * (g - F.col(f"m{c}"))
-            s = F.col(f"s{c}") + F.lit(1.0 - ADAM_BETA2) * (g * g - F.col(f"s{c}"))
-            rate = learning_rate * (1.0 - ADAM_BETA2 ** t) ** 0.5 / (1.0 - ADAM_BETA1 ** t)
-            moved = y - F.lit(rate) * m / (F.sqrt(s) + F.lit(ADAM_EPS))
-            out[f"m{c}"], out[f"s{c}"] = m, s
+            out[s] = f"{s} + {g} * {g}"
+            decayed = f"{rate} / (1D + t * {number(lr_decay)})"
+            out[y] = f"{y} - {decayed} * {g} / (sqrt({out[s]}) + {number(ADAGRAD_EPS)})"
         else:
-            raise ValueError(f"unknown optimizer {optimizer!r}; use one of {OPTIMIZERS}")
-        out[f"y{c}"] = moved
-    if books:
-        out["loss"] = F.col("loss")
-    kept = lambda c: F.lit(0.0) if c == "loss" else F.col(c)
-    return joined.select("id", *[
-        F.when(touched, out[c]).otherwise(kept(c)).alias(c) for c in state.columns if c != "id"
-    ])
+            b1, b2 = number(ADAM_BETA1), number(ADAM_BETA2)
+            out[m] = f"({m} + (1D - {b1}) * ({g} - {m}))"
+            out[s] = f"({s} + (1D - {b2}) * ({g} * {g} - {s}))"
+            size = f"{rate} * sqrt(1D - power({b2}, t + 1)) / (1D - power({b1}, t + 1))"
+            out[y] = f"{y} - {size} * {out[m]} / (sqrt({out[s]}) + {number(ADAM_EPS)})"
+    moved = [f"CASE WHEN g0 IS NOT NULL THEN {out[c]} ELSE {c} END AS {c}" for c in held if c != "t"]
+    return joined.selectExpr("id", "t + 1 AS t", *moved, "loss")
 
 
 def mean_edge_length(edges: DataFrame, wide: DataFrame, n_components: int, small: bool) -> DataFrame:

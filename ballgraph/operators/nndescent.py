@@ -58,7 +58,7 @@ def _pools(graph: DataFrame, size: int, seed: int, round_: int) -> DataFrame:
     turned = graph.select(F.col("q").alias("a"), F.col("m").alias("hub"), "fresh")
     both = graph.select(F.col("m").alias("a"), F.col("q").alias("hub"), "fresh").unionByName(turned)
     once = both.groupBy("hub", "a").agg(F.max("fresh").alias("fresh"))
-    drawn = once.withColumn("u", draws.draw(seed, round_, F.col("hub"), F.col("a")))
+    drawn = once.withColumn("u", F.expr(draws.draw((seed, round_), "hub", "a")))
     fresh = top_rows(drawn.where("fresh"), "hub", ["u", "a"], size, "r")
     known = top_rows(drawn.where("not fresh"), "hub", ["u", "a"], size, "r")
     return fresh.unionByName(known).select("hub", "a", "fresh")
@@ -76,7 +76,7 @@ def _start(vectors: DataFrame, n: int, width: int, others: int, metric: str, see
     picks = vectors.select(
         F.col("id").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(links))).alias("r")
     )
-    picks = picks.select("q", draws.pick(n, seed, "start", F.col("q"), F.col("r")).alias("m"))
+    picks = picks.selectExpr("q", f"{draws.pick(n, (seed, 'start'), 'q', 'r')} AS m")
     far = measured(picks.where("q <> m").distinct(), vectors, metric)
     if init == "random":
         return far

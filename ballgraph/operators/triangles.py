@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballgraph.functions.draws import draw, first_ok, pick
+from ballgraph.functions.draws import draw, first_ok, modulo, pick
 
 REDRAWS = 4  # pre-drawn values per rejected vertex before the next free id is taken
 
 
-def next_free(x: Column, taken: list[Column], n: int) -> Column:
+def next_free(x: str, taken: list[str], n: int) -> str:
     """x, or the first of its successors (mod n) that is not taken."""
-    tries = [F.pmod(x + step, F.lit(n)) for step in range(len(taken) + 1)]
-    return first_ok(tries[:-1], lambda c: ~c.isin(*taken), tries[-1])
+    tries = [modulo(f"{x} + {step}", n) for step in range(len(taken) + 1)]
+    return first_ok(tries[:-1], lambda c: f"{c} NOT IN ({', '.join(taken)})", tries[-1])
 
 
 def positive_triplets(candidates: DataFrame, n: int, per_edge: int, seed: int, epoch: int,
@@ -22,16 +22,17 @@ def positive_triplets(candidates: DataFrame, n: int, per_edge: int, seed: int, e
 
     An edge without candidates takes any other vertex, and has no w.
     """
-    i, j, rep, size = F.col("i"), F.col("j"), F.col("rep"), F.size("ks")
-    reps = candidates.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1))))
-    at = F.when(size > 0, F.pmod(draw(seed, epoch, "pos", i, j, rep, hasher=hasher), size)).cast("int")
-    any_ = F.when(size == 0, pick(n, seed, epoch, "any", i, j, rep, hasher=hasher))
-    drawn = reps.withColumns({"_at": at, "_any": any_})
-    k = F.coalesce(F.get("ks", F.col("_at")), next_free(F.col("_any"), [i, j], n))
-    cols = ["i", "j", k.alias("k"), "rep"]
-    if "ws" in candidates.columns:
-        cols.append(F.get("ws", F.col("_at")).alias("w"))
-    return drawn.select(*cols)
+    key, weighted = ("i", "j", "rep"), "ws" in candidates.columns
+    at = f"pmod({draw((seed, epoch, 'pos'), *key, hasher=hasher)}, size(ks))"
+    drawn = candidates.selectExpr("*", f"explode(sequence(0, {per_edge - 1})) AS rep").selectExpr(
+        "i", "j", "rep", "ks", *(["ws"] if weighted else []),
+        f"CASE WHEN size(ks) > 0 THEN cast({at} AS int) END AS _at",
+        f"CASE WHEN size(ks) = 0 THEN {pick(n, (seed, epoch, 'any'), *key, hasher=hasher)} END AS _any",
+    )
+    return drawn.selectExpr(
+        "i", "j", f"coalesce(get(ks, _at), {next_free('_any', ['i', 'j'], n)}) AS k", "rep",
+        *(["get(ws, _at) AS w"] if weighted else []),
+    )
 
 
 def negative_counts(n_positive: int, rate: float, uniform_share: float) -> tuple[int, int]:
@@ -50,34 +51,26 @@ def negative_triplets(
     Every slot draws its own source point with replacement, so sources are even and no key is hot;
     ``lists`` must be (i, js).
     """
-    spark = lists.sparkSession
-    slot = F.col("slot")
-    vertex = lambda what, r: pick(n, seed, epoch, what, slot, r, hasher=hasher)
-    slots = spark.range(n_uniform + n_local).select(F.col("id").alias("slot"))
-    rows = slots.withColumn("i", pick(n, seed, epoch, "source", slot, hasher=hasher)).join(
-        lists.select("i", "js"), "i"
+    vertex = lambda what, r: pick(n, (seed, epoch, what, r), "slot", hasher=hasher)
+    # Drawn values are columns of their own, so that the tests below only refer to them.
+    second, third = [f"_s{r}" for r in range(REDRAWS)], [f"_t{r}" for r in range(REDRAWS)]
+    sources = lists.sparkSession.range(n_uniform + n_local).withColumnRenamed("id", "slot").selectExpr(
+        "slot", f"{vertex('source', 0)} AS i"
+    )
+    rank = f"pmod({draw((seed, epoch, 'rank', 0), 'slot', hasher=hasher)}, size(js))"
+    rows = sources.join(lists.select("i", "js").where("size(js) > 0"), "i").selectExpr(
+        "slot", "i", "js", f"coalesce(get(js, cast({rank} AS int)), -1L) AS _edge",
+        *[f"{vertex('second', r)} AS {c}" for r, c in enumerate(second)],
+        *[f"{vertex('third', r)} AS {c}" for r, c in enumerate(third)],
     )
-    # The draws are columns of their own, so that the tests below only refer to them.
-    second = [f"_s{r}" for r in range(REDRAWS)]
-    third = [f"_t{r}" for r in range(REDRAWS)]
-    size = F.size("js")
-    rank = F.pmod(draw(seed, epoch, "rank", slot, hasher=hasher), size).cast("int")
-    rows = rows.where(size > 0).withColumns(
-        {c: vertex("second", r) for r, c in enumerate(second)} | {"_rank": rank}
+    free = lambda x: f"{x} <> i AND NOT array_contains(js, {x})"
+    anywhere = first_ok(second, free, modulo(f"{second[-1]} + 1", n))
+    rows = rows.selectExpr(
+        "slot", "i", "js", f"CASE WHEN slot < {n_uniform} THEN {anywhere} ELSE _edge END AS j", *third
     )
-    free = lambda x: (x != F.col("i")) & ~F.array_contains("js", x)
-    last = F.pmod(F.col(second[-1]) + 1, F.lit(n))
-    anywhere = first_ok([F.col(c) for c in second], free, last)
-    rows = rows.withColumn(
-        "j", F.when(slot < n_uniform, anywhere).otherwise(F.get("js", F.col("_rank")))
-    ).drop(*second, "_rank")
-    fits = lambda x: (x != F.col("i")) & (x != F.col("j"))
-    ok = fits
+    ok = fits = lambda x: f"{x} <> i AND {x} <> j"
     if exclude_neighbors:
-        theirs = lists.select(F.col("i").alias("j"), F.col("js").alias("js_j"))
-        rows = rows.join(theirs, "j")
-        ok = lambda x: fits(x) & ~F.array_contains("js", x) & ~F.array_contains("js_j", x)
-    rows = rows.withColumns({c: vertex("third", r) for r, c in enumerate(third)})
-    bumped = next_free(F.pmod(F.col(third[-1]) + 1, F.lit(n)), [F.col("i"), F.col("j")], n)
-    k = first_ok([F.col(c) for c in third], ok, bumped)
-    return rows.withColumn("k", k).select("slot", "i", "j", "k")
+        rows = rows.join(lists.select(F.col("i").alias("j"), F.col("js").alias("js_j")), "j")
+        ok = lambda x: f"{fits(x)} AND NOT array_contains(js, {x}) AND NOT array_contains(js_j, {x})"
+    bumped = next_free(f"({third[-1]} + 1)", ["i", "j"], n)
+    return rows.selectExpr("slot", "i", "j", f"{first_ok(third, ok, bumped)} AS k")

@@ -215,8 +215,8 @@ SELECT event_id AS id, {r_("1.0 / (1.0 + value * value)", 9)} AS student,
 def _phi(t):
     return t["events"].select(
         F.col("event_id").alias("id"),
-        rounded(kernels.phi(F.col("value"), "student"), 9).alias("student"),
-        rounded(kernels.phi(F.col("value"), "exp", 10.0), 9).alias("expo"),
+        rounded(F.expr(kernels.phi("value", "student")), 9).alias("student"),
+        rounded(F.expr(kernels.phi("value", "exp", 10.0)), 9).alias("expo"),
     )
 
 

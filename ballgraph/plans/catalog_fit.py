@@ -44,11 +44,10 @@ def _triangle_radius(t):
     sides = t["lineitem"].select(
         "l_orderkey", "l_linenumber", *[F.expr(e).alias(n) for n, e in LINE_SIDES.items()]
     )
-    abc = F.col("a"), F.col("b"), F.col("c")
     return sides.select(
         "l_orderkey", "l_linenumber",
-        rounded(kernels.ball_radius(*abc, soft=True, beta=BETA)).alias("soft"),
-        rounded(kernels.ball_radius(*abc, soft=False)).alias("hard"),
+        rounded(F.expr(kernels.ball_radius("a", "b", "c", soft=True, beta=BETA))).alias("soft"),
+        rounded(F.expr(kernels.ball_radius("a", "b", "c", soft=False))).alias("hard"),
     )
 
 
@@ -84,7 +83,7 @@ def _pos(t):
 
 
 def sql_first_ok(what: str, ok, fallback) -> str:
-    drawn = [f"({sql_draw(str(SEED), str(EPOCH), f'{chr(39)}{what}{chr(39)}', 'slot', str(r))} % n)"
+    drawn = [f"({sql_draw(str(SEED), str(EPOCH), f'{chr(39)}{what}{chr(39)}', str(r), 'slot')} % n)"
              for r in range(R.REDRAWS)]
     tries = ", ".join(f"CASE WHEN {ok(x)} THEN {x} END" for x in drawn)
     return f"coalesce({tries}, {fallback(f'(({drawn[-1]} + 1) % n)')})"
@@ -102,10 +101,10 @@ def sql_negatives(n_uniform: str, n_local: str, exclude: bool = False) -> str:
     fits = lambda x: f"{x} <> i AND {x} <> j"
     if exclude:
         fits = lambda x: f"{x} <> i AND {x} <> j AND NOT list_contains(js, {x}) AND NOT list_contains(jj, {x})"
-    rank = sql_draw(str(SEED), str(EPOCH), "'rank'", "slot")
+    rank = sql_draw(str(SEED), str(EPOCH), "'rank'", "0", "slot")
     return f"""nn AS (SELECT count(*) AS n FROM pts),
   slots AS (SELECT unnest(range({n_uniform} + {n_local})) AS slot),
-  src AS (SELECT slot, {sql_draw(str(SEED), str(EPOCH), "'source'", "slot")} % n AS i, n FROM slots, nn),
+  src AS (SELECT slot, {sql_draw(str(SEED), str(EPOCH), "'source'", "0", "slot")} % n AS i, n FROM slots, nn),
   sec AS (SELECT slot, n, src.i, js, CASE WHEN slot < {n_uniform}
       THEN {sql_first_ok("second", free, lambda x: x).replace(" i ", " src.i ")}
       ELSE js[(1 + {rank} % len(js))::INT] END AS j FROM src JOIN lists ON src.i = lists.i),
@@ -274,8 +273,9 @@ def _gradient(t):
 
 def stepped(t: Tables, optimizer: str, step: int, **options):
     """One step from zero moments, counted as step number ``step``."""
-    state = O.start_state(O.widen(low_layout(t), 2), 2, optimizer)
-    new = O.step(state, gradient(t), 2, optimizer, step, 1.0, **options)
+    state = O.start_state(O.widen(low_layout(t), 2), 2, optimizer).withColumn("t", F.lit(step - 1))
+    rows, n_positive = losses(t)
+    new = O.step(state, O.gradient_rows(rows, 2, n_positive), 2, optimizer, 1.0, **options)
     return new.select("id", *[rounded(c, 5).alias(c) for c in ("y0", "y1")])
 
 
@@ -307,7 +307,7 @@ FROM disc JOIN wpos USING (i, j, k, rep)""")
 def _ce_loss_discrete(t):
     near, wide = lists(t).persist(), O.widen(low_layout(t), 2)
     n_positive = t.points().count() * KNN * PER_EDGE
-    grads = D.discrete_gradients(weighted(t), D.layout_packs(wide, near, 2), 2, n_positive, beta=BETA)
+    grads = D.discrete_gradient_rows(weighted(t), D.layout_packs(wide, near, 2), 2, n_positive, beta=BETA)
     return grads.agg(rounded(F.sum("loss")).alias("loss"))
 
 

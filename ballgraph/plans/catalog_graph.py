@@ -162,7 +162,7 @@ def two_columns(layout, digits: int = 6):
 
 
 @query("q_init_random", "SELECT vec_id AS id, " + ", ".join(
-    r_(f"{sql_uniform('7', chr(39) + 'init' + chr(39), 'vec_id', str(c))} * 20.0 - 10.0") + f" AS y{c}"
+    r_(f"{sql_uniform('7', chr(39) + 'init' + chr(39), str(c), 'vec_id')} * 20.0 - 10.0") + f" AS y{c}"
     for c in (0, 1)) + " FROM embeddings")
 def _init_random(t):
     return two_columns(Y.random_layout(t.vectors(), 2, 7, hasher="md5"))

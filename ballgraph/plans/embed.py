@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballgraph.operators import cech, layout, loss, triangles
-from ballgraph.operators.discrete_loss import discrete_gradients, layout_packs
+from ballgraph.operators.discrete_loss import discrete_gradient_rows, layout_packs
 from ballgraph.operators.graph import knn_edges
 from ballgraph.operators.knn import METRICS, neighbour_lists
 from ballgraph.operators.linalg import pca
@@ -146,8 +146,8 @@ class _Epochs:
             return cfg.learning_rate * left, cfg.learning_rate
         return 1.0, cfg.learning_rate * left
 
-    def gradients(self, state: DataFrame, epoch: int) -> DataFrame:
-        """(id, g.., loss) of one epoch's triangles at the layout in ``state``."""
+    def gradient_rows(self, state: DataFrame, epoch: int) -> DataFrame:
+        """(id, g.., loss) rows of one epoch's triangles at the layout in ``state``."""
         cfg, d = self.cfg, self.cfg.n_components
         alpha, _ = self.alpha(epoch)
         wide = state.select("id", *loss.coords(d))
@@ -163,24 +163,24 @@ class _Epochs:
             losses = loss.triangle_losses(
                 placed, cfg.phi, cfg.exp_tau, cfg.gamma, cfg.use_softmax, cfg.softmax_beta
             )
-            grads = loss.gradients(losses, d, self.n_positive, alpha)
+            grads = loss.gradient_rows(losses, d, self.n_positive, alpha)
         if discrete:
             packs = layout_packs(wide, self.lists, d)
-            mine = discrete_gradients(
+            mine = discrete_gradient_rows(
                 pos, packs, d, self.n_positive, alpha, cfg.phi, cfg.exp_tau, cfg.softmax_beta_discrete
             )
-            both = mine if grads is None else mine.unionByName(grads)
-            grads = loss.sum_gradients(both, d)
+            grads = mine if grads is None else mine.unionByName(grads)
         return grads
 
     def step(self, state: DataFrame, epoch: int) -> DataFrame:
         """The next state, with the epoch's loss booked per vertex."""
         cfg, d = self.cfg, self.cfg.n_components
-        grads = self.gradients(state, epoch)
+        grads = self.gradient_rows(state, epoch)
         if cfg.clip_norm is not None:
-            grads = loss.clipped(self.scratch.save(grads, "grads"), d, cfg.clip_norm)
+            summed = self.scratch.save(loss.sum_gradients(grads, d), "grads")
+            grads = loss.clipped(summed, d, cfg.clip_norm)
         _, rate = self.alpha(epoch)
-        return loss.step(state, grads, d, cfg.optimizer, epoch, rate, cfg.adagrad_lr_decay)
+        return loss.step(state, grads, d, cfg.optimizer, rate, cfg.adagrad_lr_decay)
 
 
 def start_layout(points: DataFrame, near: DataFrame, n: int, width: int, cfg: EmbedConfig) -> DataFrame:

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 from ballgraph.functions import kernels
 from ballgraph.operators import cech as C
 from ballgraph.operators import loss as O
-from ballgraph.operators.discrete_loss import discrete_gradients, layout_packs
+from ballgraph.operators.discrete_loss import discrete_gradient_rows, layout_packs
 from tests.helpers import layout_df, points_df
 
 
 def _radii(spark, sides, **kw):
     df = spark.createDataFrame([(i, *map(float, s)) for i, s in enumerate(sides)], "id int, a double, b double, c double")
-    r = kernels.ball_radius(F.col("a"), F.col("b"), F.col("c"), **kw)
+    r = F.expr(kernels.ball_radius("a", "b", "c", **kw))
     staged = kernels.with_ball(df, kw.get("soft", True), kw.get("beta", 10.0)).orderBy("id").collect()
     direct = [x.r for x in df.withColumn("r", r).orderBy("id").collect()]
     assert np.allclose(direct, [x.R_ for x in staged])
@@ -46,7 +46,7 @@ def test_large_sides_do_not_overflow(spark):
 @pytest.mark.parametrize("bad", ["cauchy", ""])
 def test_unknown_kernel(bad):
     with pytest.raises(ValueError):
-        kernels.phi(None, bad)
+        kernels.phi("r", bad)
 
 
 def _scene(spark, seed=0, n=12, m=40):
@@ -114,7 +114,7 @@ def test_discrete_gradient_equals_finite_differences(spark):
 
     def run(z):
         packs = layout_packs(O.widen(layout_df(spark, z), 2), lists, 2)
-        return O.sum_gradients(discrete_gradients(rows, packs, 2, 3, beta=10.0), 2).collect()
+        return O.sum_gradients(discrete_gradient_rows(rows, packs, 2, 3, beta=10.0), 2).collect()
 
     grads = {r.id: (r.g0, r.g1) for r in run(y)}
     h = 1e-6
@@ -129,8 +129,9 @@ def test_discrete_gradient_equals_finite_differences(spark):
 
 def _step(spark, optimizer, t, **kw):
     state = O.start_state(O.widen(layout_df(spark, [[1.0, 2.0], [3.0, 4.0]]), 2), 2, optimizer)
+    state = state.withColumn("t", F.lit(t - 1))
     grads = spark.createDataFrame([(0, 0.5, -0.25, 0.0)], "id bigint, g0 double, g1 double, loss double")
-    return {r.id: r for r in O.step(state, grads, 2, optimizer, t, 0.1, **kw).collect()}
+    return {r.id: r for r in O.step(state, grads, 2, optimizer, 0.1, **kw).collect()}
 
 
 def test_steps_by_hand(spark):
