@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballgraph.functions import draws
+from ballgraph.functions.draws import number
 from ballgraph.session import Scratch
 
 GAIN_FLOOR = 1e-12
@@ -25,62 +26,72 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) ->
 
 
 def _best_moves(edges: DataFrame, degree: DataFrame, members: DataFrame, whole: float, resolution: float,
-                turn) -> DataFrame:
-    """(id, c): every node whose ``turn`` it is goes to the neighbouring community of largest gain."""
-    at = members.join(degree, members.id == degree.i).select("id", "c", "deg")
+                turn: str) -> DataFrame:
+    """(id, c, home, deg, kept): every node whose ``turn`` it is goes to the neighbouring community of
+    largest gain, the lowest number on ties. ``kept`` is the weight of its edges into its old one.
+    """
+    at = degree.join(members.select("id", "c"), "id")
     totals = at.groupBy("c").agg(F.sum("deg").alias("total"))
-    to = members.select(F.col("id").alias("j"), "c")
+    to = members.selectExpr("id AS j", "c")
     links = edges.where("i <> j").join(to, "j").groupBy(F.col("i").alias("id"), "c").agg(F.sum("w").alias("link"))
-    stay = at.select("id", "c", F.lit(0.0).alias("link"))
+    stay = at.selectExpr("id", "c", "0D AS link")
     options = links.unionByName(stay).groupBy("id", "c").agg(F.sum("link").alias("link"))
-    own = at.select("id", F.col("c").alias("home"), "deg")
-    rated = options.join(totals, "c").join(own, "id")
-    others = F.col("total") - F.when(F.col("c") == F.col("home"), F.col("deg")).otherwise(0.0)
-    gain = F.col("link") - F.lit(resolution / whole) * F.col("deg") * others
-    rated = rated.withColumn("gain", gain)
+    own = at.selectExpr("id", "c AS home", "deg")
+    rated = options.join(totals, "c").join(own, "id").selectExpr(
+        "*", f"link - {number(resolution / whole)} * deg * (total - CASE WHEN c = home THEN deg ELSE 0D END) AS gain"
+    )
     best = rated.groupBy("id").agg(
-        F.max_by("c", F.struct(F.col("gain"), -F.col("c"))).alias("to"), F.max("gain").alias("best"),
-        F.max(F.when(F.col("c") == F.col("home"), F.col("gain"))).alias("kept"), F.first("home").alias("home"),
+        F.expr("max_by(c, struct(gain, -c)) AS to"), F.expr("max(gain) AS best"),
+        F.expr("max(CASE WHEN c = home THEN gain END) AS stay"),
+        F.expr("max(CASE WHEN c = home THEN link END) AS kept"),
+        F.expr("first(home) AS home"), F.expr("first(deg) AS deg"),
     )
-    move = turn & (F.col("best") > F.col("kept") + F.lit(GAIN_FLOOR))
-    return best.select("id", F.when(move, F.col("to")).otherwise(F.col("home")).alias("c"))
+    move = f"{turn} AND best > stay + {number(GAIN_FLOOR)}"
+    return best.selectExpr("id", f"CASE WHEN {move} THEN to ELSE home END AS c", "home", "deg", "kept")
+
+
+def _score_before(moved: DataFrame, loops: float, whole: float, resolution: float) -> float:
+    """Modularity of the communities before a round, from that round's rows."""
+    per = moved.groupBy("home").agg(F.sum("deg").alias("total"), F.sum("kept").alias("inside"))
+    row = per.agg(F.sum("inside").alias("inside"), F.expr("sum(total * total) AS square")).first()
+    return (row.inside + loops) / whole - resolution * row.square / (whole * whole)
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 5, max_rounds: int = 10,
             seed: int = 0) -> DataFrame:
     """(id, c): communities by repeated best moves and contraction of the graph.
 
-    All nodes of one half, drawn anew per round, move at once; the other half keeps still, which stops
-    neighbours from swapping places. A round counts only if modularity rose.
+    All nodes of one half, drawn anew per two rounds, move at once; the other half keeps still, which
+    stops neighbours from swapping places. The best round of a level counts, so modularity never falls.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     level = scratch.save(edges.select("i", "j", "w"), "edges0")
     whole = level.agg(F.sum("w")).first()[0]
-    names = scratch.save(level.select(F.col("i").alias("id")).distinct().select("id", F.col("id").alias("c")), "names0")
-    result = names
+    result = scratch.save(level.selectExpr("i AS id").distinct().selectExpr("id", "id AS c"), "names0")
     for depth in range(1, max_levels + 1):
-        degree = scratch.save(level.groupBy("i").agg(F.sum("w").alias("deg")), f"degree{depth}")
-        members = scratch.save(degree.select(F.col("i").alias("id"), F.col("i").alias("c")), f"members{depth}-0")
-        start = best = modularity(level, members, resolution).first()[0]
-        current, quiet = members, 0
-        for round_ in range(1, max_rounds + 1):
-            half = F.expr(f"{draws.pick(2, (seed, depth, round_ // 2), 'id')} = {round_ % 2}")
-            current = scratch.save(
-                _best_moves(level, degree, current, whole, resolution, half), f"members{depth}-{round_}"
+        degree = scratch.save(level.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("deg")), f"degree{depth}")
+        loops = level.where("i = j").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+        current = degree.selectExpr("id", "id AS c")
+        best, members, quiet, start = None, None, 0, None
+        for round_ in range(1, max_rounds + 2):
+            turn = f"{draws.pick(2, (seed, depth, round_ // 2), 'id')} = {round_ % 2}"
+            moved = scratch.save(
+                _best_moves(level, degree, current, whole, resolution, turn), f"members{depth}-{round_}"
             )
-            score = modularity(level, current, resolution).first()[0]
-            if score > best + GAIN_FLOOR:
-                best, members, quiet = score, current, 0
+            score = _score_before(moved, loops, whole, resolution)
+            if best is None or score > best + GAIN_FLOOR:
+                start = score if start is None else start
+                best, members, quiet = score, moved.selectExpr("id", "home AS c"), 0
             else:
                 quiet += 1
                 if quiet == 2:
                     break
+            current = moved
         if best <= start + GAIN_FLOOR:
             break
-        lift = members.select(F.col("id").alias("c"), F.col("c").alias("to"))
-        result = scratch.save(result.join(lift, "c").select("id", F.col("to").alias("c")), f"names{depth}")
-        ci = members.select(F.col("id").alias("i"), F.col("c").alias("ci"))
-        cj = members.select(F.col("id").alias("j"), F.col("c").alias("cj"))
+        lift = members.selectExpr("id AS c", "c AS to")
+        result = scratch.save(result.join(lift, "c").selectExpr("id", "to AS c"), f"names{depth}")
+        ci, cj = members.selectExpr("id AS i", "c AS ci"), members.selectExpr("id AS j", "c AS cj")
         level = scratch.save(
             level.join(ci, "i").join(cj, "j").groupBy(F.col("ci").alias("i"), F.col("cj").alias("j"))
             .agg(F.sum("w").alias("w")),

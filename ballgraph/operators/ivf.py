@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from ballgraph.functions.arrow import add_columns, list_array
 from ballgraph.functions.vectors import list_matrix
 from ballgraph.operators import probe as P
 from ballgraph.operators.knn import searched, top_rows
+from ballgraph.operators.linalg import PARTIAL_SCHEMA, folded
 
 # Fixed values of the index.
 MAX_LISTS = 4096
@@ -24,15 +26,18 @@ TRAIN_PER_CENTRE = 256
 MIN_SUBSPACES = 8
 
 
-def centres(points: DataFrame, n: int, n_centres: int, seed: int, iterations: int = 10) -> np.ndarray:
-    """k-means centres, trained on a hash sample once there are plenty of points per centre."""
+def _train_rows(points: DataFrame, n: int, n_centres: int, seed: int) -> DataFrame:
+    """All points, or a hash sample once there are plenty of points per centre."""
     share = n_centres * TRAIN_PER_CENTRE / n
-    train = points
-    if share < 1.0:
-        train = points.where(f"{draws.uniform((seed, 'train'), 'id')} < {draws.number(share)}")
-    model = KMeans(
-        k=n_centres, seed=seed, maxIter=iterations, initMode="random", featuresCol="x"
-    ).fit(train.select(array_to_vector("v").alias("x")))
+    if share >= 1.0:
+        return points
+    return points.where(f"{draws.uniform((seed, 'train'), 'id')} < {draws.number(share)}")
+
+
+def centres(points: DataFrame, n: int, n_centres: int, seed: int, iterations: int = 10) -> np.ndarray:
+    """k-means centres of the training rows."""
+    train = _train_rows(points, n, n_centres, seed).select(array_to_vector("v").alias("x"))
+    model = KMeans(k=n_centres, seed=seed, maxIter=iterations, initMode="random", featuresCol="x").fit(train)
     return np.array(model.clusterCenters())
 
 
@@ -74,12 +79,40 @@ def subspaces(width: int, m: int | None = None) -> list[slice]:
 
 
 def train_codebooks(points: DataFrame, n: int, slices: list[slice], seed: int, iterations: int = 10) -> list[np.ndarray]:
-    """One k-means per slice, at most 256 centres each."""
+    """One k-means per slice, at most 256 centres each, all slices in the same passes.
+
+    Tasks add up their points per centre; only centres and counts reach the driver.
+    """
+    spark, width = points.sparkSession, slices[-1].stop
     words = min(CODE_WORDS, n)
-    books = []
-    for s in slices:
-        part = points.select("id", F.slice("v", s.start + 1, s.stop - s.start).alias("v"))
-        books.append(centres(part, n, words, seed, iterations))
+    train = _train_rows(points, n, words, seed).select("v").persist()
+    start = P.hash_pivots(points, words, width, seed)
+    books = [start[:, s] for s in slices]
+    for _ in range(iterations):
+        shared = spark.sparkContext.broadcast(books)
+
+        def assign(batches):
+            counts = np.zeros((len(slices), words))
+            sums = np.zeros((words, width))
+            for batch in batches:
+                x = list_matrix(batch.column("v"))
+                if not len(x):
+                    continue
+                codes = _codes(x, slices, shared.value)
+                for c, s in enumerate(slices):
+                    counts[c] += np.bincount(codes[:, c], minlength=words)
+                    np.add.at(sums[:, s], codes[:, c], x[:, s])
+            yield pa.RecordBatch.from_pydict({
+                "n": pa.array([1.0]), "total": pa.array([counts.ravel()]), "cross": pa.array([sums.ravel()]),
+            })
+
+        _, counts, sums = folded(train.mapInArrow(assign, PARTIAL_SCHEMA))
+        counts, sums = counts.reshape(len(slices), words), sums.reshape(words, width)
+        books = [
+            np.where(counts[c][:, None] > 0, sums[:, s] / np.maximum(counts[c], 1.0)[:, None], books[c])
+            for c, s in enumerate(slices)
+        ]
+    train.unpersist()
     return books
 
 
@@ -152,8 +185,6 @@ def ivfpq_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int =
 
 def measured(pairs: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
     """(q, m) with their exact distance d."""
-    import pyarrow as pa
-
     rows = pairs.select("q", "m").join(
         vectors.select(F.col("id").alias("m"), F.col("v").alias("vm")), "m"
     ).join(vectors.select(F.col("id").alias("q"), F.col("v").alias("vq")), "q")

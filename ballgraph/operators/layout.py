@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballgraph.functions import draws
+from ballgraph.functions.draws import number
 from ballgraph.operators import graph as G
 from ballgraph.operators.linalg import (
-    BROADCAST_BYTES, _leading_signs, block_gram, gram, orthonormalise, pca, rotate,
+    BROADCAST_BYTES, block_gram, gram, leading_signs, orthonormalise, pca, rotate,
 )
 from ballgraph.session import Scratch
 
@@ -60,36 +59,45 @@ def tiny_layout(points: DataFrame, n_components: int, seed: int) -> DataFrame:
     return points.select("id", F.array(*span).alias("y"))
 
 
-def _filtered(cells: DataFrame, block: DataFrame, width: int, cut: float, degree: int,
+def _names(prefix: str, width: int) -> list[str]:
+    return [f"{prefix}{c}" for c in range(width)]
+
+
+def _wide(block: DataFrame, width: int) -> DataFrame:
+    """(id, q ARRAY) -> (id, q0, q1, ...), whose sums are generated code."""
+    return block.selectExpr("id", *[f"q[{c}] AS q{c}" for c in range(width)])
+
+
+def _spread(edges: DataFrame, block: DataFrame, columns: list[str], small: bool) -> DataFrame:
+    """Edges (i, j, w) joined with the columns of a block at j."""
+    source = block.selectExpr("id AS j", *columns)
+    return edges.join(F.broadcast(source) if small else source, "j")
+
+
+def _filtered(edges: DataFrame, block: DataFrame, width: int, cut: float, degree: int,
               small: bool, scratch: Scratch, tag: str) -> DataFrame:
     """Chebyshev polynomial of the adjacency that damps its spectrum on [-1, cut].
 
-    A step needs A q1, q1 and q0. All of it is one join of the edges with the block and one grouped
-    vector sum: edges contribute A q1, and each row itself contributes the rest.
+    A step needs A q, q and the q before (p). All of it is one join of the edges with the block and one
+    grouped sum: edges contribute A q, and each row itself contributes the rest.
     """
     centre, half = (cut - 1.0) / 2.0, (cut + 1.0) / 2.0
-    zeros = F.array(*[F.lit(0.0)] * width)
-    state = block.select("id", zeros.alias("q0"), F.col("q").alias("q1"))
+    ps, qs = _names("p", width), _names("q", width)
+    state = block.selectExpr("id", *[f"0D AS {p}" for p in ps], *qs)
     for step in range(degree):
         gain = (1.0 if step == 0 else 2.0) / half
-        source = state.select(F.col("id").alias("term"), "q1")
-        source = F.broadcast(source) if small else source
-        spread = cells.join(source, "term").select(
-            "id", F.concat(zeros, F.transform("q1", lambda x: x * F.col("value") * gain)).alias("s")
+        far = _spread(edges, state, qs, small).selectExpr(
+            "i AS id", *[f"0D AS {p}" for p in ps], *[f"{q} * w * {number(gain)} AS {q}" for q in qs]
         )
-        own = state.select("id", F.concat(
-            F.col("q1"), F.zip_with("q1", "q0", lambda x, p: -x * gain * centre - p)
-        ).alias("s"))
-        total = spread.unionByName(own).groupBy("id").agg(
-            vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")
-        )
-        state = scratch.save(
-            total.select("id", F.slice("s", 1, width).alias("q0"), F.slice("s", width + 1, width).alias("q1")),
-            f"{tag}-{step}",
+        own = state.selectExpr(
+            "id", *[f"{q} AS {p}" for p, q in zip(ps, qs)],
+            *[f"-{q} * {number(gain * centre)} - {p} AS {q}" for p, q in zip(ps, qs)],
         )
+        total = far.unionByName(own).groupBy("id").agg(*[F.sum(c).alias(c) for c in ps + qs])
+        state = scratch.save(total, f"{tag}-{step}")
         if step:
             scratch.drop(f"{tag}-{step - 1}")
-    return state.select("id", F.col("q1").alias("q"))
+    return state.selectExpr("id", f"array({', '.join(qs)}) AS q")
 
 
 def leading_eigenvectors(
@@ -101,26 +109,22 @@ def leading_eigenvectors(
     The known top vector, the root of the degrees, is the first column of the start block.
     """
     scratch = Scratch(adjacency.sparkSession, "spectral")
-    cells = scratch.save(
-        adjacency.select(F.col("i").alias("id"), F.col("j").alias("term"), F.col("w").alias("value")),
-        "edges",
-    )
+    edges = scratch.save(adjacency.select("i", "j", "w"), "edges")
     width = min(n_vectors + oversample, n)
-    rest = [F.expr(draws.gauss((seed, "block", c), "i")) for c in range(1, width)]
+    qs = _names("q", width)
+    rest = [draws.gauss((seed, "block", c), "i") for c in range(1, width)]
     block = scratch.save(
-        degree_root.select(F.col("i").alias("id"), F.array(F.col("r"), *rest).alias("q")), "start"
+        degree_root.selectExpr("i AS id", f"array({', '.join(['r', *rest])}) AS q"), "start"
     )
     block = orthonormalise(block, "id", width)
     small = n * (2 * width * 8 + 32) <= BROADCAST_BYTES
     cut, values = 0.5, None
     for r in range(rounds):
-        block = _filtered(cells, block, width, cut, degree, small, scratch, f"round{r}")
-        block = scratch.save(orthonormalise(block, "id", width), f"basis{r}")
-        image = cells.join(
-            F.broadcast(block.withColumnRenamed("id", "term")) if small
-            else block.withColumnRenamed("id", "term"), "term",
-        ).select("id", array_to_vector(F.transform("q", lambda x: x * F.col("value"))).alias("s"))
-        image = image.groupBy("id").agg(vector_to_array(Summarizer.sum(F.col("s"))).alias("p"))
+        filtered = _filtered(edges, _wide(block, width), width, cut, degree, small, scratch, f"round{r}")
+        block = scratch.save(orthonormalise(filtered, "id", width), f"basis{r}")
+        image = _spread(edges, _wide(block, width), qs, small).groupBy(F.col("i").alias("id")).agg(
+            *[F.expr(f"sum({q} * w) AS {q}") for q in qs]
+        ).selectExpr("id", f"array({', '.join(qs)}) AS p")
         both = block.join(image, "id").select("id", F.concat("q", "p").alias("q"))
         small_problem = block_gram(both, 2 * width)[:width, width:]
         values, vectors = np.linalg.eigh((small_problem + small_problem.T) / 2.0)
@@ -142,7 +146,7 @@ def spectral_layout(
     vectors, _ = leading_eigenvectors(adjacency, root, n, n_components + 1, seed=seed, **options)
     rest = vectors.select("id", F.slice("q", 2, n_components).alias("q"))
     count, mean, cov = gram(rest.select(F.col("q").alias("v")), n_components)
-    signs = _leading_signs(rest.withColumnRenamed("id", "term"), n_components)
+    signs = leading_signs(rest, "id", n_components)
     scale = BOX * signs / np.maximum(np.sqrt(np.diag(cov)), STD_FLOOR)
     cols = [
         (F.get("q", F.lit(c)) - F.lit(float(mean[c]))) * F.lit(float(scale[c]))

@@ -11,11 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballgraph.functions import draws
-from ballgraph.functions.vectors import list_matrix
+from ballgraph.functions.arrow import add_columns, list_array
+from ballgraph.functions.vectors import list_matrix, list_offsets
 from ballgraph.session import Scratch
+from ballgraph.sources.points import dense_codes
 
 GRAM_WIDTH_LIMIT = 4096         # a width x width matrix must fit one task and the driver
-BROADCAST_BYTES = 64 << 20      # largest factor that is broadcast instead of shuffled
+BROADCAST_BYTES = 64 << 20      # largest side that is broadcast instead of shuffled
+FACTOR_ENTRIES = 32 << 20       # terms x few entries up to which the SVD's factor goes to the tasks
+PARTIAL_ROWS = 4096             # rows per batch of a partial factor
 
 
 def _partial_gram(batches):
@@ -53,7 +57,7 @@ def _add_partials(batches):
 PARTIAL_SCHEMA = "n double, total array<double>, cross array<double>"
 
 
-def _folded(partials: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+def folded(partials: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     """Sum of the tasks' partial rows: folded by a few tasks first, then on the driver."""
     fold = max(1, int(partials.sparkSession.sparkContext.defaultParallelism ** 0.5))
     n, total, cross = 0.0, 0.0, 0.0
@@ -66,7 +70,7 @@ def gram(points: DataFrame, width: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, mean, covariance with divisor n-1); only matrices of the width reach the driver."""
     if width > GRAM_WIDTH_LIMIT:
         raise ValueError(f"width {width} is above {GRAM_WIDTH_LIMIT}; use pca, which avoids the square matrix")
-    n, total, cross = _folded(points.select("v").mapInArrow(_partial_gram, PARTIAL_SCHEMA))
+    n, total, cross = folded(points.select("v").mapInArrow(_partial_gram, PARTIAL_SCHEMA))
     mean = total / n
     centred = cross.reshape(width, width) - n * np.outer(mean, mean)
     return n, mean, centred / max(n - 1.0, 1.0)
@@ -147,7 +151,7 @@ def wide_pca_model(
                     "n": pa.array([float(n)]), "total": pa.array([[0.0]]), "cross": pa.array([cross.ravel()]),
                 })
 
-        n, _, cross = _folded(points.select("v").mapInArrow(multiply, PARTIAL_SCHEMA))
+        n, _, cross = folded(points.select("v").mapInArrow(multiply, PARTIAL_SCHEMA))
         image = cross.reshape(width, few)
         values, vectors = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2.0)
         top, basis = basis @ vectors[:, ::-1], np.linalg.qr(image)[0]
@@ -155,15 +159,6 @@ def wide_pca_model(
     return mean, _fix_signs(top[:, :keep]), values[::-1][:keep] / max(n - 1.0, 1.0)
 
 
-def _weighted_sum(cells: DataFrame, factor: DataFrame, on: str, by: str, width: int, bytes_: int) -> DataFrame:
-    """Sparse matrix times block: sums value * row of ``factor`` per ``by``, inside the JVM."""
-    side = F.broadcast(factor) if bytes_ <= BROADCAST_BYTES else factor
-    scaled = cells.join(side, on).select(
-        by, array_to_vector(F.transform("q", lambda x: x * F.col("value"))).alias("s")
-    )
-    return scaled.groupBy(by).agg(vector_to_array(Summarizer.sum(F.col("s"))).alias("q"))
-
-
 def block_gram(block: DataFrame, width: int) -> np.ndarray:
     """Cross products of a (key, q) block, width x width."""
     n, mean, cov = gram(block.select(F.col("q").alias("v")), width)
@@ -184,39 +179,123 @@ def orthonormalise(block: DataFrame, key: str, width: int) -> DataFrame:
 
 
 def truncated_svd(
-    terms: DataFrame, n_components: int, oversample: int = 8, passes: int = 2, seed: int = 0
+    terms: DataFrame, n_components: int, oversample: int = 8, passes: int = 4, seed: int = 0,
+    ids: DataFrame | None = None,
 ) -> tuple[DataFrame, np.ndarray]:
     """Uncentred SVD of a sparse (id, term, value) table: rows U*S as (id, v), and S.
 
-    Randomised range finder: a hash-drawn block over the terms is multiplied by the matrix and its
-    transpose a few times and orthonormalised through its small Gram matrix. Neither side of the
-    matrix is ever whole in one place; the term block is broadcast only while it is small.
+    Block iteration on A^T A. While the terms' factor (terms x few) is below ``FACTOR_ENTRIES``, a pass
+    reads the packed rows once and shuffles only the tasks' partial factors; beyond that, both
+    products are joins and grouped sums. ``ids`` adds zero rows for ids without any term.
     """
-    spark = terms.sparkSession
-    scratch = Scratch(spark, "svd")
-    cells = scratch.save(terms.select("id", "term", "value"), "cells")
-    n_terms = cells.select("term").distinct().count()
-    n_rows = cells.select("id").distinct().count()
-    width = min(n_components + oversample, n_terms, n_rows)
-    term_bytes, row_bytes = n_terms * (width * 8 + 40), n_rows * (width * 8 + 24)
-    start = F.array(*[F.expr(draws.gauss((seed, c), "term")) for c in range(width)])
+    scratch = Scratch(terms.sparkSession, "svd")
+    codes = dense_codes(terms.select("term").distinct(), "term", "code", scratch)
+    codes = scratch.save(codes, "terms")
+    packed = scratch.save(
+        terms.join(codes, "term").groupBy("id").agg(
+            F.collect_list(F.struct("code", "value")).alias("cells")
+        ).select("id", F.col("cells.code").alias("codes"), F.col("cells.value").alias("values")),
+        "rows",
+    )
+    n_terms, n_rows = codes.count(), packed.count()
+    few = min(n_components + oversample, n_terms, n_rows)
+    keep = min(n_components, few)
+    if n_terms * few <= FACTOR_ENTRIES:
+        rows, singular = _packed_svd(packed, n_terms, few, keep, passes, seed)
+    else:
+        rows, singular = _joined_svd(packed, n_terms, n_rows, few, keep, passes, seed, scratch)
+    if ids is not None:
+        zero = F.array(*[F.lit(0.0)] * keep)
+        rows = ids.select("id").join(rows, "id", "left").select("id", F.coalesce("v", zero).alias("v"))
+    return rows, singular
+
+
+def _sparse_rows(batch):
+    """Codes, values and row number of every cell of a batch of packed rows."""
+    offsets = list_offsets(batch.column("codes"))
+    row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+    return batch.column("codes").flatten().to_numpy(), batch.column("values").flatten().to_numpy(), row, offsets
+
+
+def _times(batch, block: np.ndarray) -> np.ndarray:
+    """Packed rows times a dense block."""
+    codes, values, _, offsets = _sparse_rows(batch)
+    return np.add.reduceat(values[:, None] * block[codes], offsets[:-1], axis=0)
+
+
+def _packed_svd(packed, n_terms, few, keep, passes, seed):
+    spark = packed.sparkSession
+    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_terms, few)))[0]
+    for _ in range(passes + 1):
+        shared = spark.sparkContext.broadcast(basis)
+
+        def multiply(batches):
+            block, total = shared.value, np.zeros((n_terms, few))
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                codes, values, row, _ = _sparse_rows(batch)
+                y = _times(batch, block)
+                for c in range(few):
+                    total[:, c] += np.bincount(codes, weights=values * y[row, c], minlength=n_terms)
+            touched = np.flatnonzero(total.any(axis=1))
+            for s in range(0, len(touched), PARTIAL_ROWS):
+                part = touched[s:s + PARTIAL_ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part), list_array(total[part].ravel(), np.full(len(part), few))], ["code", "q"]
+                )
+
+        partial = packed.mapInArrow(multiply, "code bigint, q array<double>")
+        summed = partial.groupBy("code").agg(
+            vector_to_array(Summarizer.sum(array_to_vector("q"))).alias("q")
+        ).toArrow()
+        image = np.zeros((n_terms, few))
+        image[summed.column("code").to_numpy()] = list_matrix(summed.column("q").combine_chunks())
+        values, vectors = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2.0)
+        top, basis = basis @ vectors[:, ::-1], np.linalg.qr(image)[0]
+    components = _fix_signs(top[:, :keep])
+    shared = spark.sparkContext.broadcast(components)
+
+    def run(batch):
+        y = _times(batch, shared.value)
+        return {"v": list_array(y.ravel(), np.full(len(y), keep))}
+
+    rows = add_columns(packed, ["codes", "values"], run, {"v": "array<double>"})
+    return rows, np.sqrt(np.maximum(values[::-1][:keep], 0.0))
+
+
+def _weighted_sum(cells: DataFrame, factor: DataFrame, on: str, by: str, width: int, bytes_: int) -> DataFrame:
+    """Sparse matrix times block: sums value * row of ``factor`` per ``by``, inside the JVM."""
+    side = F.broadcast(factor) if bytes_ <= BROADCAST_BYTES else factor
+    scaled = cells.join(side, on).select(
+        by, array_to_vector(F.transform("q", lambda x: x * F.col("value"))).alias("s")
+    )
+    return scaled.groupBy(by).agg(vector_to_array(Summarizer.sum(F.col("s"))).alias("q"))
+
+
+def _joined_svd(packed, n_terms, n_rows, few, keep, passes, seed, scratch):
+    cells = packed.select("id", F.inline(F.arrays_zip("codes", "values"))).select(
+        "id", F.col("codes").alias("term"), F.col("values").alias("value")
+    )
+    term_bytes, row_bytes = n_terms * (few * 8 + 40), n_rows * (few * 8 + 24)
+    start = F.array(*[F.expr(draws.gauss((seed, c), "term")) for c in range(few)])
     block = cells.select("term").distinct().select("term", start.alias("q"))
     for step in range(passes + 1):
-        left = scratch.save(_weighted_sum(cells, block, "term", "id", width, term_bytes), f"left{step}")
-        left = orthonormalise(left, "id", width)
-        block = scratch.save(_weighted_sum(cells, left, "id", "term", width, row_bytes), f"right{step}")
+        left = scratch.save(_weighted_sum(cells, block, "term", "id", few, term_bytes), f"left{step}")
+        left = orthonormalise(left, "id", few)
+        block = scratch.save(_weighted_sum(cells, left, "id", "term", few, row_bytes), f"right{step}")
     # block = A^T Q, so A ~ Q block^T; the small eigenproblem of block^T block gives U and S.
-    values, vectors = np.linalg.eigh(block_gram(block, width))
-    order = np.argsort(values)[::-1][: min(n_components, width)]
+    values, vectors = np.linalg.eigh(block_gram(block, few))
+    order = np.argsort(values)[::-1][:keep]
     singular = np.sqrt(np.maximum(values[order], 0.0))
-    signs = _leading_signs(rotate(block, "term", vectors[:, order]), len(order))
+    signs = leading_signs(rotate(block, "term", vectors[:, order]), "term", keep)
     return rotate(left, "id", vectors[:, order] * (singular * signs)).withColumnRenamed("q", "v"), singular
 
 
-def _leading_signs(block: DataFrame, width: int) -> np.ndarray:
+def leading_signs(block: DataFrame, key: str, width: int) -> np.ndarray:
     """Sign that makes the largest entry of every column positive."""
     tops = [
-        F.max_by(F.get("q", F.lit(c)), F.struct(F.abs(F.get("q", F.lit(c))), F.col("term")))
+        F.max_by(F.get("q", F.lit(c)), F.struct(F.abs(F.get("q", F.lit(c))), F.col(key)))
         for c in range(width)
     ]
     row = block.agg(*[t.alias(f"c{c}") for c, t in enumerate(tops)]).first()

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ballgraph.sources.points import spread
+
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 BROADCAST_TERMS = 500_000  # a vocabulary limited to this many terms is small enough to broadcast
 
@@ -23,7 +25,7 @@ STOP_WORDS = (
 
 def tokens(docs: DataFrame, text: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
     """(id, term) for every lower-cased run of two or more word characters that is no stop word."""
-    words = docs.select(
+    words = spread(docs.select("id", text)).select(
         "id", F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), F.lit(0))).alias("term")
     )
     return words.where(~F.col("term").isin(list(stop_words))) if stop_words else words

@@ -19,6 +19,12 @@ def scan_points(
     return spark.read.parquet(path).select(*cols)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input comes in fewer pieces (one small file); else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def assemble(df: DataFrame, id_col: Column, columns: list[str]) -> DataFrame:
     """Numeric columns of a wide table as one vector per row."""
     return df.select(

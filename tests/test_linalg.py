@@ -58,3 +58,15 @@ def test_random_layout_ignores_partitions(spark):
     assert (one == seven).all()
     assert one.min() >= -10 and one.max() < 10 and abs(one.mean()) < 1.0
     assert (one != column(Y.random_layout(points_df(spark, x), 2, 8), "y")).any()
+
+
+def test_svd_by_joins_and_empty_rows(spark, monkeypatch):
+    monkeypatch.setattr(A, "FACTOR_ENTRIES", 1)
+    x = np.array([[3.0, 0, 0, 1], [0, 2, 0, 0], [1, 0, 1, 0], [0, 0, 0, 0], [2, 1, 0, 3]])
+    cells = [(i, f"t{j}", float(x[i, j])) for i in range(5) for j in range(4) if x[i, j]]
+    ids = spark.range(5)
+    terms = spark.createDataFrame(cells, "id bigint, term string, value double")
+    rows, singular = A.truncated_svd(terms, 2, ids=ids)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    assert np.allclose(singular, s[:2])
+    assert _same_up_to_sign(column(rows, "v"), u[:, :2] * s[:2], 1e-6)
