@@ -58,11 +58,12 @@ def _score_before(moved: DataFrame, loops: float, whole: float, resolution: floa
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 5, max_rounds: int = 10,
-            seed: int = 0) -> DataFrame:
+            min_gain: float = 1e-4, seed: int = 0) -> DataFrame:
     """(id, c): communities by repeated best moves and contraction of the graph.
 
     All nodes of one half, drawn anew per two rounds, move at once; the other half keeps still, which
-    stops neighbours from swapping places. The best round of a level counts, so modularity never falls.
+    stops neighbours from swapping places. The best round of a level counts, so modularity never falls; a
+    level ends after two rounds, the whole after one level, that gain less than ``min_gain``.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     level = scratch.save(edges.select("i", "j", "w"), "edges0")
@@ -79,15 +80,14 @@ def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 5, max_
                 _best_moves(level, degree, current, whole, resolution, turn), f"members{depth}-{round_}"
             )
             score = _score_before(moved, loops, whole, resolution)
-            if best is None or score > best + GAIN_FLOOR:
+            quiet = 0 if best is None or score > best + min_gain else quiet + 1
+            if best is None or score > best:
                 start = score if start is None else start
-                best, members, quiet = score, moved.selectExpr("id", "home AS c"), 0
-            else:
-                quiet += 1
-                if quiet == 2:
-                    break
+                best, members = score, moved.selectExpr("id", "home AS c")
+            if quiet == 2:
+                break
             current = moved
-        if best <= start + GAIN_FLOOR:
+        if best <= start + min_gain:
             break
         lift = members.selectExpr("id AS c", "c AS to")
         result = scratch.save(result.join(lift, "c").selectExpr("id", "to AS c"), f"names{depth}")

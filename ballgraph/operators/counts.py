@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the dispersion ranking.
@@ -11,9 +11,9 @@ MEAN_FLOOR = 1e-12
 
 
 def normalize_total(counts: DataFrame, target: float = 1e4) -> DataFrame:
-    """Each row scaled to the same total. Totals are pre-aggregated, then joined back."""
-    totals = counts.groupBy("id").agg(F.sum("value").alias("total"))
-    return counts.join(totals, "id").select(
+    """Each row scaled to the same total. A row has one cell per feature, which bounds its window."""
+    total = F.sum("value").over(Window.partitionBy("id"))
+    return counts.select("*", total.alias("total")).select(
         "id", "feature",
         F.when(F.col("total") > 0, F.col("value") * F.lit(float(target)) / F.col("total"))
         .otherwise(F.col("value").cast("double")).alias("value"),

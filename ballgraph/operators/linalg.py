@@ -189,6 +189,7 @@ def truncated_svd(
     products are joins and grouped sums. ``ids`` adds zero rows for ids without any term.
     """
     scratch = Scratch(terms.sparkSession, "svd")
+    terms = scratch.save(terms.select("id", "term", "value"), "cells")
     codes = dense_codes(terms.select("term").distinct(), "term", "code", scratch)
     codes = scratch.save(codes, "terms")
     packed = scratch.save(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,8 +55,9 @@ def tfidf(
         vocab = F.broadcast(vocab)
     idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     raw = counts.join(vocab, "term").select("id", "term", (F.col("tf") * idf).alias("raw"))
-    lengths = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("len"))
-    return raw.join(lengths, "id").select("id", "term", (F.col("raw") / F.col("len")).alias("value"))
+    # A document's rows are its distinct kept terms, so one document is never a large window.
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", (F.col("raw") / length).alias("value"))
 
 
 def vectorize(
