@@ -25,26 +25,25 @@ def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) ->
     )
 
 
-def _best_moves(edges: DataFrame, degree: DataFrame, members: DataFrame, whole: float, resolution: float,
-                turn: str) -> DataFrame:
+def _best_moves(edges: DataFrame, members: DataFrame, whole: float, resolution: float, turn: str) -> DataFrame:
     """(id, c, home, deg, kept): every node whose ``turn`` it is goes to the neighbouring community of
     largest gain, the lowest number on ties. ``kept`` is the weight of its edges into its old one.
+
+    Edges are (i, j, w, deg) with the degree of i, members (id, c, deg), so that a node's own data need
+    no further join.
     """
-    at = degree.join(members.select("id", "c"), "id")
-    totals = at.groupBy("c").agg(F.sum("deg").alias("total"))
-    to = members.selectExpr("id AS j", "c")
-    links = edges.where("i <> j").join(to, "j").groupBy(F.col("i").alias("id"), "c").agg(F.sum("w").alias("link"))
-    stay = at.selectExpr("id", "c", "0D AS link")
-    options = links.unionByName(stay).groupBy("id", "c").agg(F.sum("link").alias("link"))
-    own = at.selectExpr("id", "c AS home", "deg")
-    rated = options.join(totals, "c").join(own, "id").selectExpr(
-        "*", f"link - {number(resolution / whole)} * deg * (total - CASE WHEN c = home THEN deg ELSE 0D END) AS gain"
+    totals = members.groupBy("c").agg(F.sum("deg").alias("total"))
+    far = edges.where("i <> j").join(members.selectExpr("id AS j", "c"), "j")
+    far = far.selectExpr("i AS id", "c", "w AS link", "deg", "false AS mine")
+    own = members.selectExpr("id", "c", "0D AS link", "deg", "true AS mine")
+    options = far.unionByName(own).groupBy("id", "c").agg(
+        F.sum("link").alias("link"), F.max("deg").alias("deg"), F.max("mine").alias("mine")
     )
-    best = rated.groupBy("id").agg(
-        F.expr("max_by(c, struct(gain, -c)) AS to"), F.expr("max(gain) AS best"),
-        F.expr("max(CASE WHEN c = home THEN gain END) AS stay"),
-        F.expr("max(CASE WHEN c = home THEN link END) AS kept"),
-        F.expr("first(home) AS home"), F.expr("first(deg) AS deg"),
+    gain = f"link - {number(resolution / whole)} * deg * (total - CASE WHEN mine THEN deg ELSE 0D END) AS gain"
+    best = options.join(totals, "c").selectExpr("*", gain).groupBy("id").agg(
+        F.expr("max_by(c, struct(gain, -c)) AS to"), F.expr("max(gain) AS best"), F.max("deg").alias("deg"),
+        *[F.expr(f"max(CASE WHEN mine THEN {x} END) AS {name}")
+          for x, name in (("gain", "stay"), ("link", "kept"), ("c", "home"))],
     )
     move = f"{turn} AND best > stay + {number(GAIN_FLOOR)}"
     return best.selectExpr("id", f"CASE WHEN {move} THEN to ELSE home END AS c", "home", "deg", "kept")
@@ -70,14 +69,15 @@ def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 5, max_
     whole = level.agg(F.sum("w")).first()[0]
     result = scratch.save(level.selectExpr("i AS id").distinct().selectExpr("id", "id AS c"), "names0")
     for depth in range(1, max_levels + 1):
-        degree = scratch.save(level.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("deg")), f"degree{depth}")
+        degree = scratch.save(level.groupBy("i").agg(F.sum("w").alias("deg")), f"degree{depth}")
+        weighed = scratch.save(level.join(degree, "i").select("i", "j", "w", "deg"), f"weighed{depth}")
         loops = level.where("i = j").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-        current = degree.selectExpr("id", "id AS c")
+        current = degree.selectExpr("i AS id", "i AS c", "deg")
         best, members, quiet, start = None, None, 0, None
         for round_ in range(1, max_rounds + 2):
             turn = f"{draws.pick(2, (seed, depth, round_ // 2), 'id')} = {round_ % 2}"
             moved = scratch.save(
-                _best_moves(level, degree, current, whole, resolution, turn), f"members{depth}-{round_}"
+                _best_moves(weighed, current, whole, resolution, turn), f"members{depth}-{round_}"
             )
             score = _score_before(moved, loops, whole, resolution)
             quiet = 0 if best is None or score > best + min_gain else quiet + 1

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ballgraph.functions.arrow import add_columns, list_array
+from ballgraph.functions.vectors import list_offsets
+from ballgraph.operators.scaling import column_moments
+
 # Fixed values of the dispersion ranking.
 MEAN_BINS = 20
 MEAN_FLOOR = 1e-12
@@ -75,22 +80,28 @@ def dense_rows(
 
     Rows without any listed feature stay in when ``ids`` names them.
     """
-    slot = F.create_map(*[F.lit(x) for i, f in enumerate(features) for x in (f, i)])
-    placed = counts.select("id", "value", F.element_at(slot, F.col("feature")).alias("pos"))
-    filled = placed.where(F.col("pos").isNotNull()).groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("cells")
+    width = len(features)
+    slots = counts.sparkSession.createDataFrame(list(enumerate(features)), "pos int, feature string")
+    placed = counts.join(F.broadcast(slots), "feature")  # the list of columns of the result
+    packed = placed.groupBy("id").agg(
+        F.collect_list("pos").alias("pos"), F.collect_list("value").alias("x")
     )
     if ids is not None:
-        filled = ids.select("id").join(filled, "id", "left")
-    at = lambda p: F.coalesce(F.element_at("cells", p), F.lit(0.0))
-    positions = F.sequence(F.lit(0), F.lit(len(features) - 1))
-    return filled.select("id", F.transform(positions, at).alias("v"))
+        empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+        packed = ids.select("id").join(packed, "id", "left").select("id", empty("pos", "int"), empty("x", "double"))
+
+    def fill(batch):
+        out = np.zeros((batch.num_rows, width))
+        rows = np.repeat(np.arange(batch.num_rows), np.diff(list_offsets(batch.column("pos"))))
+        out[rows, batch.column("pos").flatten().to_numpy()] = batch.column("x").flatten().to_numpy()
+        return {"v": list_array(out.ravel(), np.full(len(out), width))}
+
+    return add_columns(packed.select("id", "pos", F.col("x").cast("array<double>")), ["pos", "x"], fill,
+                       {"v": "array<double>"})
 
 
 def scale_clip(rows: DataFrame, n_rows: int, max_value: float = 10.0) -> DataFrame:
     """z-scores by sample std (1 where there is no spread), cut at ``max_value``."""
-    from ballgraph.operators.scaling import column_moments
-
     grow = F.lit((n_rows / (n_rows - 1.0)) ** 0.5)
     moments = column_moments(rows).select(F.struct("mean", "std").alias("m")).scalar()
     z = F.zip_with(

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ballgraph.session import Scratch
 from ballgraph.sources.points import spread
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-BROADCAST_TERMS = 500_000  # a vocabulary limited to this many terms is small enough to broadcast
+BROADCAST_BYTES = 64 << 20   # largest vocabulary that is broadcast
+ROW_BYTES = 48               # of a vocabulary row besides its term
 
 # Common English function words, the default stop list.
 STOP_WORDS = (
@@ -49,9 +51,16 @@ def vocabulary(counts: DataFrame, min_df: int = 2, max_features: int | None = No
 def tfidf(
     counts: DataFrame, n_docs: int, min_df: int = 2, max_features: int | None = None
 ) -> DataFrame:
-    """(id, term, value): tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1."""
-    vocab = vocabulary(counts, min_df, max_features).select("term", "df")
-    if max_features is not None and max_features <= BROADCAST_TERMS:
+    """(id, term, value): tf * (ln((1+n)/(1+df)) + 1), each document scaled to length 1.
+
+    The counts are written once and read by both passes. The vocabulary is written too, and goes to
+    the tasks if its measured size allows; a term of every document then makes no hot join key.
+    """
+    scratch = Scratch(counts.sparkSession, "tfidf")
+    counts = scratch.save(counts.select("id", "term", "tf"), "counts")
+    vocab = scratch.save(vocabulary(counts, min_df, max_features).select("term", "df"), "vocabulary")
+    size = vocab.agg(F.sum(F.octet_length("term") + F.lit(ROW_BYTES))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         vocab = F.broadcast(vocab)
     idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     raw = counts.join(vocab, "term").select("id", "term", (F.col("tf") * idf).alias("raw"))

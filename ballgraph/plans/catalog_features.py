@@ -11,6 +11,7 @@ from ballgraph.operators import scaling as S
 from ballgraph.operators import scores as R
 from ballgraph.operators import text as X
 from ballgraph.plans.catalog import Tables, long_vectors, query, rounded, sql_rounded as r_
+from ballgraph.plans.datasets import count_points, table_points, text_points
 from ballgraph.sources.points import assemble
 
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -394,3 +395,29 @@ def _scatter(t):
     emb = points.select("id", F.slice("v", 1, 2).alias("y"))
     plot = R.scatter_table(emb, points.select("id", "label"))
     return plot.withColumns({"x0": rounded("x0"), "x1": rounded("x1")})
+
+
+SQL_TABLE = """lv AS (SELECT 'b' || p_brand AS f, p_brand AS b, NULL AS ty, 2 + row_number() OVER (ORDER BY p_brand) - 1 AS pos
+    FROM (SELECT DISTINCT p_brand FROM part)
+  UNION ALL SELECT 't' || p_type, NULL, p_type, 2 + (SELECT count(DISTINCT p_brand) FROM part)
+      + row_number() OVER (ORDER BY p_type) - 1 FROM (SELECT DISTINCT p_type FROM part)),
+  cells AS (SELECT p_partkey AS id, pos, CASE WHEN p_brand = b OR p_type = ty THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM part, lv
+    UNION ALL SELECT p_partkey, 0, p_retailprice::DOUBLE FROM part
+    UNION ALL SELECT p_partkey, 1, p_size::DOUBLE FROM part),
+  s AS (SELECT pos, avg(x) AS m, stddev_pop(x) AS sd FROM cells GROUP BY pos)"""
+
+
+@query("q_table_points", f"""WITH {SQL_TABLE}
+SELECT id, pos::BIGINT AS pos, {r_("(x - m) / (CASE WHEN sd > 0 THEN sd ELSE 1 END)")} AS x FROM cells JOIN s USING (pos)""")
+def _table_points(t):
+    return long_vectors(table_points(t["part"], "p_partkey", ["p_brand", "p_type"], ["p_retailprice", "p_size"]))
+
+
+@query("q_text_points")
+def _text_points(t):
+    return long_vectors(text_points(t.docs(), n_components=8, max_features=MAX_FEATURES), 5)
+
+
+@query("q_count_points")
+def _count_points(t):
+    return long_vectors(count_points(cell_counts(t), n_top=200, n_components=10), 5)

@@ -19,6 +19,7 @@ from ballgraph.plans.catalog import (
     Tables, long_vectors, query, rounded, sql_rounded as r_, sql_uniform,
 )
 from ballgraph.plans.catalog_features import doc_tfidf
+from ballgraph.plans.datasets import cluster_labels
 from ballgraph.sources.points import knn_summary
 
 KNN = 10
@@ -254,3 +255,8 @@ def _pq(t):
     return coded.select("id", F.posexplode("codes").alias("pos", "code")).withColumn(
         "pos", F.col("pos").cast("bigint")
     )
+
+
+@query("q_cluster_labels")
+def _cluster(t):
+    return cluster_labels(t.vectors(), KNN)
