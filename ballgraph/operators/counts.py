@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ballgraph.functions.arrow import add_columns, list_array
 from ballgraph.functions.vectors import list_offsets
 from ballgraph.operators.scaling import column_moments
+from ballgraph.session import Scratch
 
 # Fixed values of the dispersion ranking.
 MEAN_BINS = 20
@@ -47,6 +48,7 @@ def dispersions(logged: DataFrame, n_rows: int) -> DataFrame:
         F.log1p("m").alias("mean"),
         F.when(F.col("var") > 0, F.log(F.col("var") / F.col("m"))).alias("dispersion"),
     )
+    stats = Scratch(logged.sparkSession, "dispersions").save(stats, "moments")  # read three times below
     span = stats.agg(F.struct(F.min("mean").alias("lo"), F.max("mean").alias("hi")).alias("s")).scalar()
     binned = stats.withColumn("_s", span)
     step = F.ceil((F.col("mean") - F.col("_s.lo")) / (F.col("_s.hi") - F.col("_s.lo")) * MEAN_BINS)

@@ -49,7 +49,7 @@ def intruder_ranks(points: DataFrame, near: DataFrame, metric: str = "euclidean"
     if cells is not None:
         queries = scratch.save(P.plan_by_bounds(queries, cells, metric, skip_own=False), "planned")
         n_probes = queries.count()
-    counted = P.probe(members, queries, n, n_probes, P.closer_work(metric), P.CLOSER_SCHEMA)
+    counted = P.probe(members, queries, n, n_probes, len(cells) if cells else 1, P.closer_work(metric), P.CLOSER_SCHEMA)
     total = counted.groupBy("q", "slot").agg((F.sum("n") + 1).alias("rank"))
     names = sought.select("id", F.posexplode("js").alias("slot", "j"))
     return names.join(total, (names.id == total.q) & (names.slot == total.slot)).select(

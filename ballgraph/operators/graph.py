@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ballgraph.functions.arrow import add_columns
 from ballgraph.functions.vectors import list_offsets
+from ballgraph.session import Scratch
 
 # Fixed values of the bandwidth search.
 BISECTION_STEPS = 64
@@ -133,11 +134,15 @@ def degrees(edges: DataFrame) -> DataFrame:
 DEGREE_FLOOR = 1e-12
 
 
-def normalized_adjacency(edges: DataFrame) -> DataFrame:
-    """(i, j, w): D^-1/2 (W + W^T) D^-1/2."""
-    both = symmetric_sum(edges)
-    root = degrees(both).select("i", F.sqrt(F.greatest("deg", F.lit(DEGREE_FLOOR))).alias("r"))
+def normalized_adjacency(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(i, j, w) of D^-1/2 (W + W^T) D^-1/2, and (i, r), the roots of the degrees."""
+    scratch = Scratch(edges.sparkSession, "adjacency")
+    both = scratch.save(symmetric_sum(edges), "both")
+    root = scratch.save(
+        degrees(both).select("i", F.sqrt(F.greatest("deg", F.lit(DEGREE_FLOOR))).alias("r")), "root"
+    )
     other = root.select(F.col("i").alias("j"), F.col("r").alias("rj"))
-    return both.join(root, "i").join(other, "j").select(
+    scaled = both.join(root, "i").join(other, "j").select(
         "i", "j", (F.col("w") / F.col("r") / F.col("rj")).alias("w")
     )
+    return scaled, root

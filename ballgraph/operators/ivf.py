@@ -64,7 +64,7 @@ def ivf_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
         queries = members.select("id", "v", F.array(F.lit(float("inf"))).alias("aux"))
         planned = scratch.save(P.plan_by_lists(queries, cells, n_probe), "planned")
         found = P.probe(
-            members, planned, n, planned.count(), P.nearest_work(keep, metric), P.NEAREST_SCHEMA
+            members, planned, n, planned.count(), len(cells), P.nearest_work(keep, metric), P.NEAREST_SCHEMA
         )
         return top_rows(found, "q", ["d", "m"], keep, "r").select("q", "m", "d")
 
@@ -173,7 +173,7 @@ def ivfpq_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int =
         queries = vectors.select("id", "v", F.array(F.lit(float("inf"))).alias("aux"))
         planned = scratch.save(P.plan_by_lists(queries, cells, n_probe), "planned")
         found = P.probe(
-            coded, planned, n, planned.count(), P.nearest_work(wide, metric), P.NEAREST_SCHEMA, decode
+            coded, planned, n, planned.count(), len(cells), P.nearest_work(wide, metric), P.NEAREST_SCHEMA, decode
         )
         best = top_rows(found, "q", ["d", "m"], wide, "r").select("q", "m", "d")
         if not refine:

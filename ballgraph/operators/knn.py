@@ -58,10 +58,10 @@ def _nearest(points: DataFrame, n: int, width: int, keep: int, metric: str, seed
     work = P.nearest_work(keep, metric)
     members, cells = P.chunked(points, n, width, seed, scratch)
     if cells is None:
-        return P.probe(members, members.withColumn("aux", far), n, n, work, P.NEAREST_SCHEMA)
+        return P.probe(members, members.withColumn("aux", far), n, n, 1, work, P.NEAREST_SCHEMA)
     # Own chunk first: its keep-th distance bounds the search in all other chunks.
     home = scratch.save(
-        P.probe(members, members.withColumn("aux", far), n, n, work, P.NEAREST_SCHEMA), "home"
+        P.probe(members, members.withColumn("aux", far), n, n, len(cells), work, P.NEAREST_SCHEMA), "home"
     )
     bound = home.groupBy("q").agg(F.count("*").alias("c"), F.max("d").alias("d"))
     reach = F.when(F.col("c") >= keep, F.col("d")).otherwise(F.lit(float("inf")))
@@ -69,7 +69,7 @@ def _nearest(points: DataFrame, n: int, width: int, keep: int, metric: str, seed
         "id", "v", F.array(reach).alias("aux"), F.col("chunk").alias("own")
     )
     planned = scratch.save(P.plan_by_bounds(queries, cells, metric, skip_own=True), "planned")
-    rest = P.probe(members, planned, n, planned.count(), work, P.NEAREST_SCHEMA)
+    rest = P.probe(members, planned, n, planned.count(), len(cells), work, P.NEAREST_SCHEMA)
     return top_rows(home.unionByName(rest), "q", ["d", "m"], keep, "r").select("q", "m", "d")
 
 

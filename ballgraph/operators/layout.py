@@ -141,8 +141,7 @@ def spectral_layout(
     """Eigenvectors 2..d+1 of the normalised adjacency, centred, unit sample std, times 10."""
     if edges.isEmpty():
         return tiny_layout(points, n_components, seed)
-    adjacency = G.normalized_adjacency(edges)
-    root = G.degrees(G.symmetric_sum(edges)).select("i", F.sqrt("deg").alias("r"))
+    adjacency, root = G.normalized_adjacency(edges)
     vectors, _ = leading_eigenvectors(adjacency, root, n, n_components + 1, seed=seed, **options)
     rest = vectors.select("id", F.slice("q", 2, n_components).alias("q"))
     count, mean, cov = gram(rest.select(F.col("q").alias("v")), n_components)

@@ -61,7 +61,7 @@ def lsh_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
             F.array(F.lit(float("inf"))).alias("aux"),
         )
         found = P.probe(
-            members, queries, n, n * tables, P.nearest_work(keep, metric), P.NEAREST_SCHEMA
+            members, queries, n, n * tables, n, P.nearest_work(keep, metric), P.NEAREST_SCHEMA
         )
         once = found.groupBy("q", "m").agg(F.min("d").alias("d"))
         return top_rows(once, "q", ["d", "m"], keep, "r").select("q", "m", "d")

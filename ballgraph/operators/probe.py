@@ -20,6 +20,8 @@ from ballgraph.functions.arrow import add_columns, list_array
 from ballgraph.functions.vectors import list_matrix
 
 CHUNK_ROWS = 4096           # members per chunk
+SMALL_CELL = 512            # members per cell where few columns make pruning strong;
+FEW_COLUMNS = 16            # beyond, most cells are probed and fewer, larger ones move less data
 QUERY_ROWS = 1024           # queries multiplied with a chunk at a time
 SPLIT_QUERIES = 65_536      # queries of one chunk handled by one task at most
 MAX_PIVOTS = 4096
@@ -110,7 +112,8 @@ def chunked(points: DataFrame, n: int, width: int, seed: int, scratch) -> tuple[
     """Points with their chunk; one chunk and no cells while they fit one."""
     if n <= CHUNK_ROWS:
         return points.withColumn("chunk", F.lit(0).cast("bigint")), None
-    pivots = hash_pivots(points, max(16, int(n ** 0.5)), width, seed)
+    per_cell = SMALL_CELL if width <= FEW_COLUMNS else CHUNK_ROWS
+    pivots = hash_pivots(points, max(16, n // per_cell), width, seed)
     assigned = scratch.save(assign_cells(points, pivots), "cells")
     members, cells = split_cells(assigned, pivots, n)
     return scratch.save(members, "members"), cells
@@ -233,17 +236,21 @@ def _stream(batches, work: Callable, decode: Callable | None):
 
 
 def probe(
-    members: DataFrame, queries: DataFrame, n_rows: int, n_probes: int, work: Callable, schema: str,
-    decode: Callable | None = None,
+    members: DataFrame, queries: DataFrame, n_rows: int, n_probes: int, n_chunks: int, work: Callable,
+    schema: str, decode: Callable | None = None,
 ) -> DataFrame:
     """Runs ``work(query ids, vectors, aux, member ids, member vectors)`` for every chunk.
 
-    ``n_rows`` bounds the queries one chunk can receive, ``n_probes`` estimates all query rows.
+    ``n_rows`` bounds the queries one chunk can receive, ``n_probes`` estimates all query rows. The
+    members of a chunk are copied to each part of its queries, so parts are made only to bound a
+    task, or to occupy the cores when there are few chunks.
     """
     cores = members.sparkSession.sparkContext.defaultParallelism
-    per_task = max(256, min(SPLIT_QUERIES, -(-n_probes // (2 * cores))))
-    splits = -(-n_rows // per_task)
-    n_tasks = max(cores, min(100_000, -(-n_probes // SPLIT_QUERIES)))
+    per_part = SPLIT_QUERIES
+    if n_chunks < 4 * cores:
+        per_part = max(256, min(SPLIT_QUERIES, -(-n_probes // (2 * cores))))
+    splits = -(-n_rows // per_part)
+    n_tasks = max(2 * cores, min(100_000, -(-n_probes // SPLIT_QUERIES)))
     none = F.array(F.lit(0.0))
     left = members.select(
         "chunk", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ballgraph.functions.vectors import as_doubles
+from ballgraph.session import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +23,10 @@ class Tables:
     def __getitem__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def saved(self, df: DataFrame) -> DataFrame:
+        """A written copy of a table that the query reads more than once."""
+        return Scratch(self.spark, "query").save(df, "table")
+
     def points(self) -> DataFrame:
         """(id, v, label) of the embeddings table."""
         return self["embeddings"].select(

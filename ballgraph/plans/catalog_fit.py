@@ -158,9 +158,9 @@ def max_distance(near) -> float:
 
 
 def weighted(t: Tables):
-    near = knn(t).persist()
+    near = t.saved(knn(t))
     rows = positives(t, neighbour_lists(near))
-    return C.triangle_weights(rows, t.vectors(), None, max_distance(near), "euclidean", True, BETA)
+    return C.triangle_weights(t.saved(rows), t.vectors(), None, max_distance(near), "euclidean", True, BETA)
 
 
 @query("q_cech_weights", f"WITH {SQL_KNN}, {SQL_WEIGHTED} SELECT i, j, k, rep, {r_('w')} AS w FROM wpos")
@@ -174,8 +174,8 @@ def _cech_weights(t):
     FROM tri JOIN pts p ON tri.i = p.id JOIN pts q ON tri.j = q.id JOIN pts s ON tri.k = s.id)
 SELECT i, j, pos, k, {r_("exp(-4 * " + sql_radius("a", "b", "c") + " / (SELECT max(d) FROM knn))")} AS w FROM sd""")
 def _candidate_weights(t):
-    near = knn(t).persist()
-    packed = C.packs(t.vectors(), neighbour_lists(near))
+    near = t.saved(knn(t))
+    packed = t.saved(C.packs(t.vectors(), neighbour_lists(near)))
     rows = C.weighted_candidates(packed, max_distance(near), True, BETA)
     flat = rows.select("i", "j", F.posexplode(F.arrays_zip("ks", "ws")).alias("pos", "z"))
     return flat.select("i", "j", F.col("pos").cast("bigint").alias("pos"),
@@ -201,8 +201,8 @@ def sql_discrete(points: str, v: str, square_floor: str) -> str:
 @query("q_cech_discrete", f"""WITH {SQL_KNN}, {SQL_POS}, {sql_discrete("pts", "v", "1e-12")}
 SELECT i, j, k, rep, {r_("r")} AS r FROM disc""")
 def _cech_discrete(t):
-    near = lists(t).persist()
-    rows = C.discrete_radii(positives(t, near), C.packs(t.vectors(), near), BETA)
+    near = t.saved(lists(t))
+    rows = C.discrete_radii(positives(t, near), t.saved(C.packs(t.vectors(), near)), BETA)
     return rows.select("i", "j", "k", "rep", rounded("r").alias("r"))
 
 
@@ -219,7 +219,7 @@ SQL_TRIANGLES = f"""{SQL_WEIGHTED}, {sql_negatives(SQL_HALF, SQL_HALF)},
 
 
 def losses(t: Tables):
-    near = lists(t).persist()
+    near = t.saved(lists(t))
     neg = negatives(t, True, True, near=near).select("i", "j", "k", F.lit(1.0).alias("w"))
     pos = weighted(t).select("i", "j", "k", "w")
     rows = pos.withColumn("positive", F.lit(True)).unionByName(neg.withColumn("positive", F.lit(False)))
@@ -305,7 +305,7 @@ def _adam(t):
 SELECT {r_(f"sum(w * -ln(greatest(1 / (1 + 4 * r * r), 1e-6))) / ({SQL_N} * {KNN * PER_EDGE})")} AS loss
 FROM disc JOIN wpos USING (i, j, k, rep)""")
 def _ce_loss_discrete(t):
-    near, wide = lists(t).persist(), O.widen(low_layout(t), 2)
+    near, wide = t.saved(lists(t)), O.widen(low_layout(t), 2)
     n_positive = t.points().count() * KNN * PER_EDGE
     grads = D.discrete_gradient_rows(weighted(t), D.layout_packs(wide, near, 2), 2, n_positive, beta=BETA)
     return grads.agg(rounded(F.sum("loss")).alias("loss"))

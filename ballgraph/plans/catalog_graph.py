@@ -20,7 +20,8 @@ from ballgraph.plans.catalog import (
 )
 from ballgraph.plans.catalog_features import doc_tfidf
 from ballgraph.plans.datasets import cluster_labels
-from ballgraph.sources.points import knn_summary
+from ballgraph.operators.scaling import standardize_columns
+from ballgraph.sources.points import assemble, knn_summary
 
 KNN = 10
 
@@ -44,6 +45,18 @@ def knn(t: Tables, k: int = KNN):
     return K.exact_knn(t.vectors(), k)
 
 
+@query("q_knn_lines")
+def _knn_lines(t):
+    """Many points of few columns: too many pairs for SQL, compared with brute force in the tests."""
+    lines = t["lineitem"].selectExpr(
+        "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS id",
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    ).dropDuplicates(["id"])
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    points = assemble(standardize_columns(lines, columns), F.col("id"), columns)
+    return listed(K.exact_knn(t.saved(points), 5))
+
+
 @query("q_knn_euclidean", f"WITH {SQL_KNN} SELECT i, j, rank, {r_('d')} AS d FROM knn")
 def _knn(t):
     return knn(t).select("i", "j", F.col("rank").cast("bigint").alias("rank"), rounded("d").alias("d"))
@@ -126,7 +139,7 @@ def _fuzzy(t):
   dg AS (SELECT i, sqrt(greatest(sum(w), 1e-12)) AS r FROM sy GROUP BY i)
 SELECT sy.i, sy.j, {r_("w / a.r / b.r")} AS w FROM sy JOIN dg a ON sy.i = a.i JOIN dg b ON sy.j = b.i""")
 def _sym_norm(t):
-    return G.normalized_adjacency(G.knn_edges(knn(t))).withColumn("w", rounded("w"))
+    return G.normalized_adjacency(G.knn_edges(knn(t)))[0].withColumn("w", rounded("w"))
 
 
 @query("q_gram", f"""WITH {SQL_PTS},

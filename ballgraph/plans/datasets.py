@@ -14,6 +14,7 @@ from ballgraph.operators.knn import neighbour_lists
 from ballgraph.operators.labels import label_index, one_hot
 from ballgraph.operators.linalg import pca, truncated_svd
 from ballgraph.operators.neighbours import knn
+from ballgraph.session import Scratch
 from ballgraph.sources.points import assemble
 
 
@@ -36,9 +37,10 @@ def count_points(
     """(id, v): counts (id, feature, value) -> equal totals, log, most variable features, PCA."""
     ids = counts.select("id").distinct()
     n_rows = ids.count()
-    logged = C.log1p(C.normalize_total(counts))
+    scratch = Scratch(counts.sparkSession, "counts")
+    logged = scratch.save(C.log1p(C.normalize_total(counts)), "logged")
     top = C.highly_variable(logged, n_rows, n_top).select("feature").collect()  # n_top names
-    rows = C.dense_rows(logged, sorted(r.feature for r in top), ids)
+    rows = scratch.save(C.dense_rows(logged, sorted(r.feature for r in top), ids), "rows")
     if do_scale:
         rows = C.scale_clip(rows, n_rows)
     return pca(rows, min(n_components, len(top)), len(top))
