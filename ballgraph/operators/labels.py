@@ -82,3 +82,12 @@ def one_hot(
             names.append(name)
     kept = [F.col(c) for c in df.columns if c not in columns and c not in numeric]
     return df.select(*kept, *out), names
+
+
+def one_hot_terms(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(id, term, value): the same zeros and ones as a long sparse table, for any number of levels."""
+    cells = F.array(*[
+        F.struct(F.concat(F.lit(f"{c}_"), F.col(c).cast("string")).alias("term"), F.lit(1.0).alias("value"))
+        for c in columns
+    ])
+    return df.select("id", F.inline(cells)).where(F.col("term").isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ballgraph.functions.vectors import as_doubles
 from ballgraph.session import Scratch
+from ballgraph.sources.points import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,10 @@ class Tables:
         """A written copy of a table that the query reads more than once."""
         return Scratch(self.spark, "query").save(df, "table")
 
+    def folder_for(self, name: str) -> str:
+        """A new folder for tables that a query writes and reads back."""
+        return Scratch(self.spark, "query").path(name)
+
     def points(self) -> DataFrame:
         """(id, v, label) of the embeddings table."""
         return self["embeddings"].select(
@@ -37,7 +42,7 @@ class Tables:
         return self.points().select("id", "v")
 
     def docs(self) -> DataFrame:
-        return self["documents"].select(F.col("doc_id").alias("id"), "text")
+        return spread(self["documents"].select(F.col("doc_id").alias("id"), "text"))
 
 
 def query(name: str, sql: str | None = None):

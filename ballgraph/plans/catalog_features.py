@@ -12,6 +12,7 @@ from ballgraph.operators import scores as R
 from ballgraph.operators import text as X
 from ballgraph.plans.catalog import Tables, long_vectors, query, rounded, sql_rounded as r_
 from ballgraph.plans.datasets import count_points, table_points, text_points
+from ballgraph.sources import stores
 from ballgraph.sources.points import assemble
 
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -421,3 +422,43 @@ def _text_points(t):
 @query("q_count_points")
 def _count_points(t):
     return long_vectors(count_points(cell_counts(t), n_top=200, n_components=10), 5)
+
+
+@query("q_one_hot_terms", """
+SELECT p_partkey AS id, 'p_brand_' || p_brand AS term, 1.0::DOUBLE AS value FROM part
+UNION ALL SELECT p_partkey, 'p_name_' || p_name, 1.0 FROM part""")
+def _one_hot_terms(t):
+    rows = t["part"].select(F.col("p_partkey").alias("id"), "p_brand", "p_name")
+    return L.one_hot_terms(rows, ["p_brand", "p_name"])
+
+
+@query("q_embedding_store", f"""WITH {SQL_POINTS}
+SELECT id, {r_("v[1]")} AS y0, {r_("v[2]")} AS y1, 'first_two' AS method, 5::BIGINT AS k, s::BIGINT AS seed
+FROM pts, (SELECT unnest([0, 1]) AS s)""")
+def _embedding_store(t):
+    path = t.folder_for("store")
+    emb = t.points().select("id", F.slice("v", 1, 2).alias("y"))
+    for seed in (0, 1, 2):
+        stores.write_embedding(emb, path, "first_two", "embeddings", 5, seed)
+    rows = stores.read_embeddings(t.spark, path, method="first_two", k=5).where("seed < 2")
+    return rows.select(
+        "id", *[rounded(F.get("y", F.lit(c))).alias(f"y{c}") for c in (0, 1)], "method",
+        F.col("k").cast("bigint").alias("k"), F.col("seed").cast("bigint").alias("seed"),
+    )
+
+
+@query("q_report_store", f"WITH {SQL_SCORES} SELECT method, metric, value, event_id, dataset, k, seed FROM sc")
+def _report_store(t):
+    path = t.folder_for("reports")
+    stores.write_reports(event_scores(t), path)
+    schema = f"{R.SCORE_SCHEMA}, event_id bigint"
+    return t.spark.read.schema(schema).json(path).select(
+        "method", "metric", "value", "event_id", "dataset", "k", "seed"
+    )
+
+
+@query("q_cube_store", f"WITH {SQL_CUBE} SELECT dataset, method, metric, k, seed, value FROM cube")
+def _cube_store(t):
+    path = t.folder_for("cube")
+    stores.write_cube(event_cube(t), path)
+    return t.spark.read.parquet(path).select("dataset", "method", "metric", "k", "seed", "value")

@@ -10,7 +10,9 @@ from ballgraph.operators import discrete_loss as D
 from ballgraph.operators import loss as O
 from ballgraph.operators import triangles as R
 from ballgraph.operators.knn import neighbour_lists
-from ballgraph.plans.catalog import Tables, query, rounded, sql_draw, sql_rounded as r_
+from ballgraph.plans.catalog import (
+    Tables, query, rounded, sql_draw, sql_rounded as r_, sql_uniform,
+)
 from ballgraph.plans.catalog_graph import KNN, SQL_KNN, knn, low_layout
 from ballgraph.plans.embed import fit
 
@@ -206,8 +208,10 @@ def _cech_discrete(t):
     return rows.select("i", "j", "k", "rep", rounded("r").alias("r"))
 
 
+SQL_EMB = "emb AS (SELECT id, v[1] AS y0, v[2] AS y1 FROM pts)"
+
 SQL_TRIANGLES = f"""{SQL_WEIGHTED}, {sql_negatives(SQL_HALF, SQL_HALF)},
-  emb AS (SELECT id, v[1] AS y0, v[2] AS y1 FROM pts),
+  {SQL_EMB},
   tri AS (SELECT i, j, k, w, TRUE AS positive FROM wpos UNION ALL SELECT i, j, k, 1.0, FALSE FROM neg),
   pl AS (SELECT tri.*, p.y0 AS i0, p.y1 AS i1, q.y0 AS j0, q.y1 AS j1, s.y0 AS k0, s.y1 AS k1,
       sqrt((p.y0 - q.y0) ^ 2 + (p.y1 - q.y1) ^ 2) AS a, sqrt((p.y0 - s.y0) ^ 2 + (p.y1 - s.y1) ^ 2) AS b,
@@ -322,6 +326,21 @@ def _mean_edge(t):
     return mean.select(rounded("mean_edge").alias("mean_edge"))
 
 
+SQL_START = "emb AS (SELECT id, " + ", ".join(
+    f"{sql_uniform(str(SEED), chr(39) + 'init' + chr(39), str(c), 'id')} * 20.0 - 10.0 AS y{c}" for c in (0, 1)
+) + " FROM pts)"
+
+
+@query("q_fit_epoch", sql_step(lambda y, g: f"{y} - 1000.0 * {g}").replace(SQL_EMB, SQL_START))
+def _fit_epoch(t):
+    """The whole fit for one epoch: neighbours, start, samples, weights, gradient, step."""
+    out = fit(
+        t.vectors(), n_neighbors=KNN, init="random", n_epochs=1, random_state=SEED, hasher="md5",
+        triplets_per_edge=PER_EDGE, negative_rate_triplets=1 / PER_EDGE, optimizer="sgd", learning_rate=1000.0,
+    )
+    return out.embedding.select("id", *[rounded(F.get("y", F.lit(c)), 5).alias(f"y{c}") for c in (0, 1)])
+
+
 @query("q_embed")
 def _embed(t):
     return fit(t.vectors(), n_epochs=10, epochs_print=10).embedding.select(

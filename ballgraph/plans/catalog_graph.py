@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from ballgraph.functions import vectors as V
 from ballgraph.operators import community as M
 from ballgraph.operators import graph as G
 from ballgraph.operators import ivf as I
@@ -48,11 +49,8 @@ def knn(t: Tables, k: int = KNN):
 @query("q_knn_lines")
 def _knn_lines(t):
     """Many points of few columns: too many pairs for SQL, compared with brute force in the tests."""
-    lines = t["lineitem"].selectExpr(
-        "xxhash64(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS id",
-        "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-    ).dropDuplicates(["id"])
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    lines = t.saved(t["lineitem"].select(F.monotonically_increasing_id().alias("id"), *columns))
     points = assemble(standardize_columns(lines, columns), F.col("id"), columns)
     return listed(K.exact_knn(t.saved(points), 5))
 
@@ -227,11 +225,7 @@ SELECT id, cell, rank FROM (SELECT p.id, cn.label::BIGINT AS cell, row_number()
     list_sum(list_transform(list_zip(p.v, cn.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), cn.label) AS rank
   FROM pts p, cn) WHERE rank <= 3""")
 def _ivf_probe(t):
-    means = t.points().groupBy("label").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m")
-    ).orderBy("label")
-    centres = np.array([r.m for r in means.collect()])
-    near = P.nearest_cells(t.vectors(), centres, 3).select("id", F.posexplode("cells").alias("pos", "cell"))
+    near = P.nearest_cells(t.vectors(), label_means(t), 3).select("id", F.posexplode("cells").alias("pos", "cell"))
     return near.select("id", "cell", (F.col("pos") + 1).cast("bigint").alias("rank"))
 
 
@@ -273,3 +267,84 @@ def _pq(t):
 @query("q_cluster_labels")
 def _cluster(t):
     return cluster_labels(t.vectors(), KNN)
+
+
+SQL_LISTED = f"WITH {SQL_KNN} SELECT i, j, rank, {r_('d')} AS d FROM knn"
+
+
+@query("q_knn_ivf_all_lists", SQL_LISTED)
+def _ivf_all(t):
+    return listed(knn_by(t.vectors(), KNN, "ivf", n_lists=12, n_probe=12))
+
+
+@query("q_knn_ivfpq_all_refined", SQL_LISTED)
+def _ivfpq_all(t):
+    points = t.vectors()
+    return listed(knn_by(points, KNN, "ivfpq", n_lists=4, n_probe=4, iterations=3, refine=points.count()))
+
+
+@query("q_knn_lsh_one_bucket", SQL_LISTED)
+def _lsh_all(t):
+    return listed(knn_by(t.vectors(), KNN, "lsh", tables=6, hashes=1, width=1e4))
+
+
+SQL_LABEL_MEANS = """c AS (SELECT label, pos, avg(x) AS x FROM (
+    SELECT label, (generate_subscripts(v, 1) - 1) AS pos, unnest(v) AS x FROM pts) GROUP BY label, pos),
+  cn AS (SELECT label, list(x ORDER BY pos) AS v FROM c GROUP BY label)"""
+
+
+def label_means(t: Tables) -> np.ndarray:
+    means = t.points().groupBy("label").agg(
+        vector_to_array(Summarizer.mean(array_to_vector("v"))).alias("m")
+    ).orderBy("label")
+    return np.array([r.m for r in means.collect()])
+
+
+@query("q_pq_codes", f"""WITH {SQL_PTS}, {SQL_LABEL_MEANS}
+SELECT id, pos, code FROM (SELECT p.id, s.pos::BIGINT AS pos, cn.label AS code, row_number() OVER (PARTITION BY p.id, s.pos
+    ORDER BY list_sum(list_transform(list_zip(p.v[s.pos * 8 + 1:s.pos * 8 + 8], cn.v[s.pos * 8 + 1:s.pos * 8 + 8]),
+      lambda p: (p[1] - p[2]) * (p[1] - p[2]))), cn.label) AS r
+  FROM pts p, cn, (SELECT unnest(range(8)) AS pos) s) WHERE r = 1""")
+def _pq_codes(t):
+    """Codes against fixed codebooks, the label means."""
+    means = label_means(t)
+    slices = I.subspaces(means.shape[1])
+    coded = I.encode(t.vectors(), slices, [means[:, s] for s in slices])
+    return coded.select("id", F.posexplode("codes").alias("pos", "code")).withColumn(
+        "pos", F.col("pos").cast("bigint")
+    )
+
+
+def products(rows, digits: int = 6):
+    """(id, sq, next): squared length of each row and its product with the row of the next id."""
+    after = rows.selectExpr("id - 1 AS id", "v AS w")
+    return rows.join(after, "id", "left").select(
+        "id", rounded(V.dot(F.col("v"), F.col("v")), digits).alias("sq"),
+        rounded(V.dot(F.col("v"), F.col("w")), digits).alias("next"),
+    )
+
+
+def sql_products(source: str) -> str:
+    dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+    return (f"SELECT a.id, {r_(dot('a.v', 'a.v'))} AS sq, CASE WHEN b.id IS NOT NULL THEN {r_(dot('a.v', 'b.v'))} END AS next "
+            f"FROM {source} a LEFT JOIN {source} b ON b.id = a.id + 1")
+
+
+@query("q_pca_full", f"""WITH {SQL_PTS},
+  m AS (SELECT pos, avg(x) AS m FROM (SELECT generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM pts) GROUP BY pos),
+  ml AS (SELECT list(m ORDER BY pos) AS m FROM m),
+  ce AS (SELECT id, list_transform(list_zip(v, m), lambda p: p[1] - p[2]) AS v FROM pts, ml)
+{sql_products("ce")}""")
+def _pca_full(t):
+    """All components: a rotation of the centred points keeps their products."""
+    points = t.vectors()
+    width = points.select(F.size("v")).first()[0]
+    return products(t.saved(A.pca(points, width, width)))
+
+
+@query("q_svd_full", f"WITH {SQL_PTS} {sql_products('pts')}")
+def _svd_full(t):
+    """All components: the rows U*S keep the products of the input rows."""
+    cells = t.vectors().select("id", F.posexplode("v").alias("pos", "value"))
+    rows, _ = A.truncated_svd(cells.select("id", F.col("pos").cast("string").alias("term"), "value"), 64, passes=0)
+    return products(t.saved(rows))

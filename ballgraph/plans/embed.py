@@ -58,13 +58,14 @@ class EmbedConfig:
     anneal: str = "loss"     # "loss" scales the loss, "step" the learning rate
     clip_norm: float | None = None
     random_state: int = 42
+    hasher: str = "xxhash64"  # "md5" draws the same numbers outside Spark
     epochs_print: int = 10
 
     def __post_init__(self):
         choices = {
             "metric": METRICS, "nn_method": METHODS, "init": INITS, "high_dim_cech": RADII,
             "low_dim_cech": RADII, "phi": ("student", "exp"), "optimizer": loss.OPTIMIZERS,
-            "anneal": ANNEALS,
+            "anneal": ANNEALS, "hasher": ("xxhash64", "md5"),
         }
         for name, allowed in choices.items():
             if getattr(self, name) not in allowed:
@@ -121,7 +122,7 @@ class _Epochs:
     def positives(self, epoch: int) -> DataFrame:
         cfg = self.cfg
         rows = triangles.positive_triplets(
-            self.cand, self.n, cfg.triplets_per_edge, cfg.random_state, epoch
+            self.cand, self.n, cfg.triplets_per_edge, cfg.random_state, epoch, cfg.hasher
         )
         return (rows if self.cached else self.weigh(rows)).select("i", "j", "k", "w")
 
@@ -131,7 +132,7 @@ class _Epochs:
             return None
         rows = triangles.negative_triplets(
             self.lists, self.n, *self.n_negative, cfg.random_state, epoch,
-            cfg.exclude_neighbors_in_negative_triplets,
+            cfg.exclude_neighbors_in_negative_triplets, cfg.hasher,
         ).drop("slot")
         rows = self.weigh(rows) if cfg.use_triplet_weight_in_ce_loss else rows.withColumn("w", F.lit(1.0))
         return rows.select("i", "j", "k", "w")
@@ -185,7 +186,7 @@ class _Epochs:
 
 def start_layout(points: DataFrame, near: DataFrame, n: int, width: int, cfg: EmbedConfig) -> DataFrame:
     if cfg.init == "random":
-        return layout.random_layout(points, cfg.n_components, cfg.random_state)
+        return layout.random_layout(points, cfg.n_components, cfg.random_state, cfg.hasher)
     if cfg.init == "spectral":
         edges = knn_edges(near, cfg.binarize_for_spectral_init)
         return layout.spectral_layout(points, edges, n, cfg.n_components, cfg.random_state)
@@ -197,12 +198,13 @@ def fit(points: DataFrame, cfg: EmbedConfig | None = None, **params) -> Fit:
     cfg = cfg or EmbedConfig(**params)
     spark = points.sparkSession
     scratch = Scratch(spark, "fit")
+    points = scratch.save(points.select("id", "v"), "input")
     shape = validate_points(points)
     n, width, d = shape["n"], shape["max_width"], cfg.n_components
     indexed, codes = with_positions(points, shape, scratch)
     if cfg.pca_components and cfg.pca_components < width:
         indexed, width = pca(indexed, cfg.pca_components, width), cfg.pca_components
-    indexed = scratch.save(indexed, "points")
+    indexed = scratch.save(indexed, "points") if codes is not None or width != shape["max_width"] else indexed
     near = scratch.save(
         knn(indexed, cfg.n_neighbors, cfg.nn_method, cfg.metric, cfg.random_state, **cfg.nn_options), "knn"
     )

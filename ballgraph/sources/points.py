@@ -9,6 +9,12 @@ from ballgraph.functions.vectors import as_doubles
 from ballgraph.session import Scratch
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan's rows over all cores when its files come in fewer pieces; else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_points(
     spark: SparkSession, path: str, id_col: str, vector_col: str, label_col: str | None = None
 ) -> DataFrame:
@@ -16,13 +22,7 @@ def scan_points(
     cols = [F.col(id_col).cast("bigint").alias("id"), as_doubles(F.col(vector_col)).alias("v")]
     if label_col is not None:
         cols.append(F.col(label_col).cast("bigint").alias("label"))
-    return spark.read.parquet(path).select(*cols)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input comes in fewer pieces (one small file); else unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spread(spark.read.parquet(path).select(*cols))
 
 
 def assemble(df: DataFrame, id_col: Column, columns: list[str]) -> DataFrame:

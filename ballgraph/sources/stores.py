@@ -49,8 +49,8 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_reports(scores: DataFrame, path: str) -> None:
-    """Scores as JSON lines, one folder per run."""
-    scores.write.mode("overwrite").partitionBy("dataset", "k", "seed").json(path)
+    """Scores as JSON lines, one folder and one file per run."""
+    scores.repartition("dataset", "k", "seed").write.mode("overwrite").partitionBy("dataset", "k", "seed").json(path)
 
 
 def write_cube(cube: DataFrame, path: str) -> None:
