@@ -47,8 +47,9 @@ def intruder_ranks(points: DataFrame, near: DataFrame, metric: str = "euclidean"
     queries = members.select("id", "v", "chunk").join(sought.select("id", "aux"), "id")
     n_probes = n
     if cells is not None:
-        queries = scratch.save(P.plan_by_bounds(queries, cells, metric, skip_own=False), "planned")
-        n_probes = queries.count()
+        plan = lambda rows: P.plan_by_bounds(rows, cells, metric, skip_own=False)
+        queries = scratch.save(queries, "queries")
+        n_probes, queries = P.probe_estimate(queries, n, plan), plan(queries)
     counted = P.probe(members, queries, n, n_probes, len(cells) if cells else 1, P.closer_work(metric), P.CLOSER_SCHEMA)
     total = counted.groupBy("q", "slot").agg((F.sum("n") + 1).alias("rank"))
     names = sought.select("id", F.posexplode("js").alias("slot", "j"))

@@ -68,8 +68,10 @@ def _nearest(points: DataFrame, n: int, width: int, keep: int, metric: str, seed
     queries = members.join(bound, members.id == bound.q).select(
         "id", "v", F.array(reach).alias("aux"), F.col("chunk").alias("own")
     )
-    planned = scratch.save(P.plan_by_bounds(queries, cells, metric, skip_own=True), "planned")
-    rest = P.probe(members, planned, n, planned.count(), len(cells), work, P.NEAREST_SCHEMA)
+    queries = scratch.save(queries, "queries")
+    plan = lambda rows: P.plan_by_bounds(rows, cells, metric, skip_own=True)
+    n_probes = P.probe_estimate(queries, n, plan)
+    rest = P.probe(members, plan(queries), n, n_probes, len(cells), work, P.NEAREST_SCHEMA)
     return top_rows(home.unionByName(rest), "q", ["d", "m"], keep, "r").select("q", "m", "d")
 
 

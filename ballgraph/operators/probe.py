@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballgraph.functions import draws
 from ballgraph.functions.arrow import add_columns, list_array
 from ballgraph.functions.vectors import list_matrix
 
@@ -27,6 +28,7 @@ SPLIT_QUERIES = 65_536      # queries of one chunk handled by one task at most
 MAX_PIVOTS = 4096
 PIVOT_ENTRIES = 4 << 20     # pivots * width, the size bound of the broadcast
 MAX_CHUNKS = 200_000        # bounds the broadcast table of chunks
+ESTIMATE_ROWS = 10_000      # queries planned to estimate the number of probes
 PLAN_ENTRIES = 4 << 20      # rows * chunks compared at a time when planning probes
 
 
@@ -177,6 +179,13 @@ def plan_by_bounds(queries: DataFrame, cells: Cells, metric: str, skip_own: bool
     return queries.select(*cols).mapInArrow(run, QUERY_SCHEMA)
 
 
+def probe_estimate(queries: DataFrame, n: int, plan: Callable) -> int:
+    """About how many rows ``plan(queries)`` has, counted on a hash sample; it only sizes tasks."""
+    share = min(1.0, ESTIMATE_ROWS / n)
+    some = queries.where(f"{draws.uniform(('estimate',), 'id')} < {draws.number(share)}")
+    return max(1, int(plan(some).count() / share))
+
+
 def nearest_cells(points: DataFrame, pivots: np.ndarray, n_probe: int) -> DataFrame:
     """Adds ``cells``: the numbers of the ``n_probe`` nearest pivots, nearest first."""
     shared = points.sparkSession.sparkContext.broadcast(pivots)

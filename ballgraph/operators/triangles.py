@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ballgraph.functions.draws import draw, first_ok, modulo, pick
 
+SLOTS_PER_TASK = 4_000_000
 REDRAWS = 4  # pre-drawn values per rejected vertex before the next free id is taken
 
 
@@ -54,9 +55,10 @@ def negative_triplets(
     vertex = lambda what, r: pick(n, (seed, epoch, what, r), "slot", hasher=hasher)
     # Drawn values are columns of their own, so that the tests below only refer to them.
     second, third = [f"_s{r}" for r in range(REDRAWS)], [f"_t{r}" for r in range(REDRAWS)]
-    sources = lists.sparkSession.range(n_uniform + n_local).withColumnRenamed("id", "slot").selectExpr(
-        "slot", f"{vertex('source', 0)} AS i"
-    )
+    spark, total = lists.sparkSession, n_uniform + n_local
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // SLOTS_PER_TASK))
+    slots = spark.range(0, total, 1, tasks).withColumnRenamed("id", "slot")
+    sources = slots.selectExpr("slot", f"{vertex('source', 0)} AS i")
     rank = f"pmod({draw((seed, epoch, 'rank', 0), 'slot', hasher=hasher)}, size(js))"
     rows = sources.join(lists.select("i", "js").where("size(js) > 0"), "i").selectExpr(
         "slot", "i", "js", f"coalesce(get(js, cast({rank} AS int)), -1L) AS _edge",
