@@ -45,12 +45,14 @@ def intruder_ranks(points: DataFrame, near: DataFrame, metric: str = "euclidean"
     ).select(F.col("i").alias("id"), F.col("l.j").alias("js"), F.col("l.d").alias("aux"))
     members, cells = P.chunked(vectors, n, shape["max_width"], seed, scratch)
     queries = members.select("id", "v", "chunk").join(sought.select("id", "aux"), "id")
-    n_probes = n
-    if cells is not None:
+    work, schema = P.closer_work(metric), P.CLOSER_SCHEMA
+    if cells is None:
+        parts = P.own_parts(points.sparkSession, n, 1)
+        counted = P.probe(P.with_parts(members, parts), P.with_parts(queries, parts), n, work, schema)
+    else:
         plan = lambda rows: P.plan_by_bounds(rows, cells, metric, skip_own=False)
         queries = scratch.save(queries, "queries")
-        n_probes, queries = P.probe_estimate(queries, n, plan), plan(queries)
-    counted = P.probe(members, queries, n, n_probes, len(cells) if cells else 1, P.closer_work(metric), P.CLOSER_SCHEMA)
+        counted = P.probe_planned(members, queries, n, len(cells), plan, work, schema)
     total = counted.groupBy("q", "slot").agg((F.sum("n") + 1).alias("rank"))
     names = sought.select("id", F.posexplode("js").alias("slot", "j"))
     return names.join(total, (names.id == total.q) & (names.slot == total.slot)).select(

@@ -49,11 +49,6 @@ def _bounded_lists(n: int, width: int, n_lists: int) -> int:
     return max(1, min(list_count(n, n_lists), P.PIVOT_ENTRIES // max(width, 1)))
 
 
-def _probes(n: int, cells: P.Cells, n_probe: int) -> int:
-    """About how many (query, chunk) rows a search has."""
-    return max(1, n * n_probe * len(cells) // len(cells.pivots))
-
-
 def ivf_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
             n_lists: int = MAX_LISTS, n_probe: int = N_PROBE, iterations: int = 10) -> DataFrame:
     """Neighbours among the members of the ``n_probe`` lists nearest to each point.
@@ -67,9 +62,9 @@ def ivf_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
         members, cells = P.split_cells(scratch.save(P.assign_cells(vectors, pivots), "cells"), pivots, n)
         members = scratch.save(members, "members")
         queries = members.select("id", "v", F.array(F.lit(float("inf"))).alias("aux"))
-        planned, n_probes = P.plan_by_lists(queries, cells, n_probe), _probes(n, cells, n_probe)
-        found = P.probe(
-            members, planned, n, n_probes, len(cells), P.nearest_work(keep, metric), P.NEAREST_SCHEMA
+        plan = lambda rows: P.plan_by_lists(rows, cells, n_probe)
+        found = P.probe_planned(
+            members, queries, n, len(cells), plan, P.nearest_work(keep, metric), P.NEAREST_SCHEMA
         )
         return top_rows(found, "q", ["d", "m"], keep, "r").select("q", "m", "d")
 
@@ -176,9 +171,9 @@ def ivfpq_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int =
             return np.concatenate(parts, axis=1) + coarse[cell[chunk]]
 
         queries = vectors.select("id", "v", F.array(F.lit(float("inf"))).alias("aux"))
-        planned, n_probes = P.plan_by_lists(queries, cells, n_probe), _probes(n, cells, n_probe)
-        found = P.probe(
-            coded, planned, n, n_probes, len(cells), P.nearest_work(wide, metric), P.NEAREST_SCHEMA, decode
+        plan = lambda rows: P.plan_by_lists(rows, cells, n_probe)
+        found = P.probe_planned(
+            coded, queries, n, len(cells), plan, P.nearest_work(wide, metric), P.NEAREST_SCHEMA, decode
         )
         best = top_rows(found, "q", ["d", "m"], wide, "r").select("q", "m", "d")
         if not refine:

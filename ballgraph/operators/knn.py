@@ -54,24 +54,19 @@ def _copies(points: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFra
 def _nearest(points: DataFrame, n: int, width: int, keep: int, metric: str, seed: int,
              scratch: Scratch) -> DataFrame:
     """(q, m, d): the ``keep`` nearest of every point, itself included."""
-    far = F.array(F.lit(float("inf")))
     work = P.nearest_work(keep, metric)
     members, cells = P.chunked(points, n, width, seed, scratch)
     if cells is None:
-        return P.probe(members, members.withColumn("aux", far), n, n, 1, work, P.NEAREST_SCHEMA)
+        return P.probe_own(members, n, 1, work)
     # Own chunk first: its keep-th distance bounds the search in all other chunks.
-    home = scratch.save(
-        P.probe(members, members.withColumn("aux", far), n, n, len(cells), work, P.NEAREST_SCHEMA), "home"
-    )
+    home = scratch.save(P.probe_own(members, n, len(cells), work), "home")
     bound = home.groupBy("q").agg(F.count("*").alias("c"), F.max("d").alias("d"))
     reach = F.when(F.col("c") >= keep, F.col("d")).otherwise(F.lit(float("inf")))
-    queries = members.join(bound, members.id == bound.q).select(
+    queries = scratch.save(members.join(bound, members.id == bound.q).select(
         "id", "v", F.array(reach).alias("aux"), F.col("chunk").alias("own")
-    )
-    queries = scratch.save(queries, "queries")
+    ), "queries")
     plan = lambda rows: P.plan_by_bounds(rows, cells, metric, skip_own=True)
-    n_probes = P.probe_estimate(queries, n, plan)
-    rest = P.probe(members, plan(queries), n, n_probes, len(cells), work, P.NEAREST_SCHEMA)
+    rest = P.probe_planned(members, queries, n, len(cells), plan, work, P.NEAREST_SCHEMA)
     return top_rows(home.unionByName(rest), "q", ["d", "m"], keep, "r").select("q", "m", "d")
 
 

@@ -46,23 +46,16 @@ def lsh_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
         keyed = scratch.save(bucket_keys(vectors, directions / unit, shifts, tables), "keyed")
         rows = keyed.select("id", "v", F.explode("keys").alias("key"))
         sizes = keyed.select(F.explode("keys").alias("key")).groupBy("key").count()
-        parts = sizes.where("count > 1").select(
-            "key", F.ceil(F.col("count") / F.lit(P.CHUNK_ROWS)).alias("parts")
+        shared = sizes.where("count > 1").selectExpr(
+            "key", f"ceil(count / {P.CHUNK_ROWS}) AS chunks", f"CAST(ceil(count / {P.SPLIT_QUERIES}) AS int) AS parts"
         )
-        rows = rows.join(parts, "key")
-        part = F.pmod(F.xxhash64("id"), F.col("parts"))
-        members = rows.select(F.xxhash64("key", part.cast("bigint")).alias("chunk"), "id", "v")
-        visits = rows.select(
-            "key", "id", "v",
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
-        )
-        queries = visits.select(
-            F.xxhash64("key", "part").alias("chunk"), "id", "v",
-            F.array(F.lit(float("inf"))).alias("aux"),
-        )
-        found = P.probe(
-            members, queries, n, n * tables, n, P.nearest_work(keep, metric), P.NEAREST_SCHEMA
+        rows = rows.join(shared, "key")
+        members = rows.selectExpr("xxhash64(key, pmod(xxhash64(id), chunks)) AS chunk", "id", "v", "parts")
+        visits = rows.selectExpr("key", "id", "v", "parts", "explode(sequence(0L, chunks - 1)) AS c")
+        queries = visits.selectExpr(
+            "xxhash64(key, c) AS chunk", "id", "v", "parts", "array(double('inf')) AS aux"
         )
+        found = P.probe(members, queries, n * tables, P.nearest_work(keep, metric), P.NEAREST_SCHEMA)
         once = found.groupBy("q", "m").agg(F.min("d").alias("d"))
         return top_rows(once, "q", ["d", "m"], keep, "r").select("q", "m", "d")
 

@@ -81,8 +81,7 @@ def _start(vectors: DataFrame, n: int, width: int, others: int, metric: str, see
     if init == "random":
         return far
     members, cells = P.chunked(vectors, n, width, seed, scratch)
-    rows = members.withColumn("aux", F.array(F.lit(float("inf"))))
-    close = P.probe(members, rows, n, n, len(cells) if cells else 1, P.nearest_work(others, metric), P.NEAREST_SCHEMA)
+    close = P.probe_own(members, n, len(cells) if cells else 1, P.nearest_work(others, metric))
     close = top_rows(close.where("q <> m"), "q", ["d", "m"], max(1, others - links), "r")
     both = close.select("q", "m", "d").unionByName(far)
     return both.groupBy("q", "m").agg(F.min("d").alias("d"))

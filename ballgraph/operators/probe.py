@@ -179,11 +179,40 @@ def plan_by_bounds(queries: DataFrame, cells: Cells, metric: str, skip_own: bool
     return queries.select(*cols).mapInArrow(run, QUERY_SCHEMA)
 
 
-def probe_estimate(queries: DataFrame, n: int, plan: Callable) -> int:
-    """About how many rows ``plan(queries)`` has, counted on a hash sample; it only sizes tasks."""
+def _part_size(spark, n_probes: int, n_chunks: int) -> int:
+    """Queries per part: a bounded number, fewer when there are too few chunks to occupy the cores."""
+    cores = spark.sparkContext.defaultParallelism
+    if n_chunks >= 4 * cores:
+        return SPLIT_QUERIES
+    return max(256, min(SPLIT_QUERIES, -(-n_probes // (2 * cores))))
+
+
+def with_parts(df: DataFrame, table: DataFrame | int) -> DataFrame:
+    """Adds ``parts``, the number of parts the queries of a row's chunk are split into."""
+    if isinstance(table, int):
+        return df.withColumn("parts", F.lit(table))
+    joined = df.join(F.broadcast(table), "chunk", "left")  # at most one row per chunk
+    return joined.withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
+def own_parts(spark, n: int, n_chunks: int) -> int:
+    """Parts when every point only visits its own chunk."""
+    return -(-min(n, 2 * CHUNK_ROWS) // _part_size(spark, n, n_chunks))
+
+
+def popular_chunks(queries: DataFrame, n: int, n_chunks: int, plan: Callable) -> tuple[int, DataFrame]:
+    """About how many rows ``plan(queries)`` has, and (chunk, parts) of the chunks with many of them.
+
+    Counted on a hash sample of the queries; the counts only size tasks, they change no result.
+    """
+    spark = queries.sparkSession
     share = min(1.0, ESTIMATE_ROWS / n)
     some = queries.where(f"{draws.uniform(('estimate',), 'id')} < {draws.number(share)}")
-    return max(1, int(plan(some).count() / share))
+    counts = [(r["chunk"], r["count"] / share) for r in plan(some).groupBy("chunk").count().collect()]
+    total = max(1, int(sum(c for _, c in counts)))
+    size = _part_size(spark, total, n_chunks)
+    split = [(chunk, int(-(-c // size))) for chunk, c in counts if c > size]
+    return total, spark.createDataFrame(split, "chunk bigint, parts int")
 
 
 def nearest_cells(points: DataFrame, pivots: np.ndarray, n_probe: int) -> DataFrame:
@@ -245,29 +274,21 @@ def _stream(batches, work: Callable, decode: Callable | None):
 
 
 def probe(
-    members: DataFrame, queries: DataFrame, n_rows: int, n_probes: int, n_chunks: int, work: Callable,
-    schema: str, decode: Callable | None = None,
+    members: DataFrame, queries: DataFrame, n_probes: int, work: Callable, schema: str,
+    decode: Callable | None = None,
 ) -> DataFrame:
     """Runs ``work(query ids, vectors, aux, member ids, member vectors)`` for every chunk.
 
-    ``n_rows`` bounds the queries one chunk can receive, ``n_probes`` estimates all query rows. The
-    members of a chunk are copied to each part of its queries, so parts are made only to bound a
-    task, or to occupy the cores when there are few chunks.
+    Both sides carry ``parts``: the members of a chunk are copied to each part, a query goes to one.
+    ``n_probes`` estimates the number of query rows.
     """
     cores = members.sparkSession.sparkContext.defaultParallelism
-    per_part = SPLIT_QUERIES
-    if n_chunks < 4 * cores:
-        per_part = max(256, min(SPLIT_QUERIES, -(-n_probes // (2 * cores))))
-    splits = -(-n_rows // per_part)
     n_tasks = max(2 * cores, min(100_000, -(-n_probes // SPLIT_QUERIES)))
-    none = F.array(F.lit(0.0))
-    left = members.select(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part"),
-        F.lit(0).alias("side"), "id", "v", none.alias("aux"),
+    left = members.selectExpr(
+        "chunk", "explode(sequence(0, parts - 1)) AS part", "0 AS side", "id", "v", "array(0D) AS aux"
     )
-    right = queries.select(
-        "chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(splits)).cast("int").alias("part"),
-        F.lit(1).alias("side"), "id", "v", "aux",
+    right = queries.selectExpr(
+        "chunk", "CAST(pmod(xxhash64(id, 1), parts) AS int) AS part", "1 AS side", "id", "v", "aux"
     )
     laid_out = left.unionByName(right).repartition(n_tasks, "chunk", "part")
     return laid_out.sortWithinPartitions("chunk", "part", "side").mapInArrow(
@@ -275,6 +296,24 @@ def probe(
     )
 
 
+def probe_own(members: DataFrame, n: int, n_chunks: int, work: Callable) -> DataFrame:
+    """Every point against the members of its own chunk."""
+    rows = with_parts(members, own_parts(members.sparkSession, n, n_chunks))
+    queries = rows.withColumn("aux", F.array(F.lit(float("inf"))))
+    return probe(rows, queries, n, work, NEAREST_SCHEMA)
+
+
+def probe_planned(
+    members: DataFrame, queries: DataFrame, n: int, n_chunks: int, plan: Callable, work: Callable,
+    schema: str, decode: Callable | None = None,
+) -> DataFrame:
+    """Every query against the chunks that ``plan`` sends it to."""
+    n_probes, popular = popular_chunks(queries, n, n_chunks, plan)
+    return probe(
+        with_parts(members, popular), with_parts(plan(queries), popular), n_probes, work, schema, decode
+    )
+
+
 def _centred(q: np.ndarray, m: np.ndarray):
     """Squared distances by one matrix product around the chunk's centre, and their error bound."""
     centre = m.mean(axis=0)

@@ -117,3 +117,15 @@ def test_search_plans_have_no_cross_product(spark):
 def test_recall_of_itself(spark):
     near = K.exact_knn(points_df(spark, blobs(20)[0]), 3)
     assert K.recall(near, near).first().recall == 1.0
+
+
+def test_popular_chunks_are_split(spark, small_chunks, monkeypatch):
+    monkeypatch.setattr(P, "SPLIT_QUERIES", 30)
+    monkeypatch.setattr(P, "ESTIMATE_ROWS", 200)
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(300, 6)), 0.01 * rng.normal(size=(150, 6))])
+    assert_same_knn(knn_dict(K.exact_knn(points_df(spark, x), 6)), brute_knn(x, 6))
+    got = knn_dict(knn(points_df(spark, x), 6, "ivf", n_lists=5, n_probe=5))
+    assert_same_knn(got, brute_knn(x, 6))
+    lsh = knn_dict(knn(points_df(spark, x), 6, "lsh", hashes=1, tables=2, width=1e6))
+    assert_same_knn(lsh, brute_knn(x, 6))
