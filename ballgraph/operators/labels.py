@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ballgraph.session import Scratch
 from ballgraph.sources.points import dense_codes
 
-# Display names of the report.
-METHOD_NAMES = {"umap": "UMAP", "cumap": "ČUMAP"}
+# Display names of the report's metrics; those of methods are given by the caller.
 METRIC_NAMES = {
     "trustworthiness": "Trustworthiness",
     "pca_procrustes": "PCA–metric",

@@ -68,9 +68,9 @@ def test_path_labels(spark):
 
 
 def test_display_names(spark):
-    df = spark.createDataFrame([("cumap", "Wass_H0"), ("my_way", "mean_rank")], "m string, r string")
-    out = df.select(L.display_name(F.col("m"), L.METHOD_NAMES, False), L.display_name(F.col("r"), L.METRIC_NAMES, True))
-    assert [tuple(r) for r in out.collect()] == [("ČUMAP", "Wasserstein $H_0$"), ("my_way", "mean rank")]
+    df = spark.createDataFrame([("ball", "Wass_H0"), ("my_way", "mean_rank")], "m string, r string")
+    out = df.select(L.display_name(F.col("m"), {"ball": "Ball graph"}, False), L.display_name(F.col("r"), L.METRIC_NAMES, True))
+    assert [tuple(r) for r in out.collect()] == [("Ball graph", "Wasserstein $H_0$"), ("my_way", "mean rank")]
 
 
 def test_dispatch_on_the_column_type(spark):
@@ -91,44 +91,44 @@ def test_one_feature_bins_have_score_one(spark):
 
 
 SCORES = [
-    ("mnist", "umap", "trustworthiness", 5, 0, 0.9), ("mnist", "umap", "trustworthiness", 5, 1, 0.7),
-    ("mnist", "umap", "trustworthiness", 5, 2, float("nan")), ("mnist", "cumap", "trustworthiness", 5, 0, 0.8),
-    ("mnist", "umap", "other", 99, 0, 1.0),
+    ("mnist", "first", "trustworthiness", 5, 0, 0.9), ("mnist", "first", "trustworthiness", 5, 1, 0.7),
+    ("mnist", "first", "trustworthiness", 5, 2, float("nan")), ("mnist", "second", "trustworthiness", 5, 0, 0.8),
+    ("mnist", "first", "other", 99, 0, 1.0),
 ]
 
 
 def test_missing_scores(spark):
     scores = spark.createDataFrame(SCORES, R.SCORE_SCHEMA)
-    cube = R.result_cube(scores, ["umap", "cumap"], ["trustworthiness"], [5], [0, 1, 2])
+    cube = R.result_cube(scores, ["first", "second"], ["trustworthiness"], [5], [0, 1, 2])
     got = {(r.method, r.seed): r.value for r in cube.collect()}
-    assert got == {("umap", 0): 0.9, ("umap", 1): 0.7, ("umap", 2): None,
-                   ("cumap", 0): 0.8, ("cumap", 1): None, ("cumap", 2): None}
+    assert got == {("first", 0): 0.9, ("first", 1): 0.7, ("first", 2): None,
+                   ("second", 0): 0.8, ("second", 1): None, ("second", 2): None}
     stats = {r.method: r for r in R.seed_stats(cube).collect()}
-    assert stats["umap"].mean == pytest.approx(0.8) and stats["umap"]["std"] == pytest.approx(math.sqrt(0.02))
-    assert stats["cumap"]["std"] is None and stats["cumap"].n_seeds == 1
+    assert stats["first"].mean == pytest.approx(0.8) and stats["first"]["std"] == pytest.approx(math.sqrt(0.02))
+    assert stats["second"]["std"] is None and stats["second"].n_seeds == 1
 
 
 def test_reports_and_stores(spark, tmp_path):
     folder = tmp_path / "reports"
     folder.mkdir()
-    (folder / "mnist__5__0.json").write_text('{"umap": {"trustworthiness": 0.9, "Wass_H0": NaN}}')
-    (folder / "mnist__5__1.json").write_text('{"umap": {}}')
-    (folder / "notes.json").write_text('{"umap": {"trustworthiness": 0.1}}')
+    (folder / "mnist__5__0.json").write_text('{"first": {"trustworthiness": 0.9, "Wass_H0": NaN}}')
+    (folder / "mnist__5__1.json").write_text('{"first": {}}')
+    (folder / "notes.json").write_text('{"first": {"trustworthiness": 0.1}}')
     rows = stores.read_reports(spark, str(folder)).collect()
     assert {(r.dataset, r.k, r.seed, r.method, r.metric) for r in rows} == {
-        ("mnist", 5, 0, "umap", "trustworthiness"), ("mnist", 5, 0, "umap", "Wass_H0")}
+        ("mnist", 5, 0, "first", "trustworthiness"), ("mnist", 5, 0, "first", "Wass_H0")}
     emb, path = layout_df(spark, [[1.0, 2.0], [3.0, 4.0]]), str(tmp_path / "emb")
-    stores.write_embedding(emb, path, "umap", "mnist", 5, 0)
-    stores.write_embedding(emb, path, "umap", "mnist", 5, 1)
-    stores.write_embedding(emb.limit(1), path, "umap", "mnist", 5, 1)
+    stores.write_embedding(emb, path, "first", "mnist", 5, 0)
+    stores.write_embedding(emb, path, "first", "mnist", 5, 1)
+    stores.write_embedding(emb.limit(1), path, "first", "mnist", 5, 1)
     assert stores.read_embeddings(spark, path).count() == 3
-    assert stores.read_embeddings(spark, path, seed=1, method="umap").count() == 1
+    assert stores.read_embeddings(spark, path, seed=1, method="first").count() == 1
     with pytest.raises(ValueError):
         stores.read_embeddings(spark, path, colour=1)
     scores = spark.createDataFrame(SCORES, R.SCORE_SCHEMA)
     stores.write_reports(scores, str(tmp_path / "scores"))
     assert spark.read.json(str(tmp_path / "scores")).count() == 5
-    cube = R.result_cube(scores, ["umap"], ["trustworthiness"], [5], [0])
+    cube = R.result_cube(scores, ["first"], ["trustworthiness"], [5], [0])
     stores.write_cube(cube, str(tmp_path / "cube"))
     assert spark.read.parquet(str(tmp_path / "cube")).where("dataset = 'mnist'").count() == 1
 
