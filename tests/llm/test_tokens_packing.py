@@ -95,7 +95,7 @@ def test_pack_rows(spark, specs):
     rows += [(100 + i, "word " * rng.randint(1, 2500)) for i in range(150)]
     got = pack(docs(spark, rows), tokenizer_path("byte_bpe_50k.json")).collect()
     n = check_packing(got, rows, tok)
-    assert n == -(-sum(r.length for r in got) // 1024)  # as few as there can be here
+    assert n <= -(-sum(r.length for r in got) // 1024) + 1  # the lower bound, and one more
     assert pack(docs(spark, rows).limit(0), tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
