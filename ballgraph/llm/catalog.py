@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ballgraph.llm import oracles
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -42,3 +44,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from ballgraph.llm.packing import pack
 
     return pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query("op8_site_lines", oracles.SITE_LINES)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.site_lines import drop_boilerplate
+
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return drop_boilerplate(docs, counts=True)
+
+
+@query("op10_quality", oracles.QUALITY)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.divergence import quality
+
+    return quality(table(spark, folder, "documents"))
