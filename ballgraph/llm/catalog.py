@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ballgraph.llm import oracles
 
@@ -59,3 +60,46 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from ballgraph.llm.divergence import quality
 
     return quality(table(spark, folder, "documents"))
+
+
+#: Fixed values of the url query.
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+LISTED_LABELS = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+
+
+@query("op3_url_filter", oracles.url_filter(URL_RULES, LISTED_LABELS))
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, folder, "pages"), URL_RULES, listed_labels=LISTED_LABELS)
+
+
+@query("op5_decontamination")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_warc_derivatives")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.warc import derive, page_responses
+
+    records = derive(page_responses(table(spark, folder, "pages")))
+    return records.withColumnRenamed("key", "page_id").withColumn("record", F.sha2("record", 256)).withColumnRenamed(
+        "record", "record_sha256"
+    )
+
+
+@query("op7_chat_format", oracles.CHAT)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.chat import format_turns, read_back
+
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
+    path = tokenizer_path("byte_bpe_50k.json")
+    return read_back(format_turns(turns.union(more), path), path)

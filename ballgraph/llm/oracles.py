@@ -71,3 +71,38 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        AND NOT (n_words >= {dv.MIN_WORDS} AND word_divergence > {dv.MAX_WORD_DIVERGENCE}) AS kept
 FROM judged
 """
+
+
+def url_filter(rules: list[tuple[str, str]], labels: tuple[str, ...]) -> str:
+    values = ", ".join(f"('{v}', '{r}', '{r[:r.index('/')]}', '{r[r.index('/'):]}')" for v, r in rules)
+    names = ", ".join(f"'{x}'" for x in labels)
+    return f"""
+WITH rules(says, rule, h, p) AS (VALUES {values}),
+rest AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0
+                THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM parts, rules
+         WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r),
+hits AS (SELECT *, EXISTS (SELECT 1 FROM unnest(string_split(host, '.')) AS l(x) WHERE x IN ({names})) AS listed
+         FROM parts)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM hits LEFT JOIN fits USING (r)
+"""
+
+CHAT = r"""
+WITH every AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+               UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+rows_ AS (SELECT *, length(regexp_replace(text, '(\\|###|</turn>|<\|)', '\\\1', 'g')) AS chars,
+                 CASE WHEN role = 'assistant' THEN text ELSE '' END AS trained,
+                 CASE role WHEN 'assistant' THEN 15 WHEN 'system' THEN 12 WHEN 'user' THEN 10
+                      ELSE 11 + length(regexp_replace(role, '(\\|###|</turn>|<\|)', '\\\1', 'g')) END + 8 AS marks
+          FROM every)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(length(trained))::BIGINT AS loss_chars,
+       sha256(string_agg(trained, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       sum(chars + marks)::BIGINT AS formatted_chars
+FROM rows_ GROUP BY conv_id
+"""
