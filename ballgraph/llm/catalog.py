@@ -103,3 +103,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
     path = tokenizer_path("byte_bpe_50k.json")
     return read_back(format_turns(turns.union(more), path), path)
+
+
+@query("op1_class_lm")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.class_lm import score_texts
+
+    return score_texts(table(spark, folder, "documents").select("doc_id", "text"))
