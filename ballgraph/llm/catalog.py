@@ -110,3 +110,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from ballgraph.llm.class_lm import score_texts
 
     return score_texts(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op2_ngram_jaccard")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.jaccard import jaccard_join
+
+    return jaccard_join(table(spark, folder, "documents").select("doc_id", "text"))
