@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballgraph.llm.common import BROADCAST_ROWS, SPACE_CLASS
+from ballgraph.llm.common import SPACE_CLASS, broadcast_if_small
 from ballgraph.session import Scratch
 
 #: Frequent words of the languages; each is a bin of the word histogram.
@@ -29,6 +29,11 @@ MIN_CHARS = 300
 MAX_WORD_DIVERGENCE = 0.06
 MIN_WORDS = 100
 
+VERDICTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_divergence", "word_divergence",
+    "base_failed", "kept",
+)
+
 #: Beyond so many repeated windows, a sort by window replaces a search in their list.
 SEARCHED = 48
 
@@ -120,17 +125,9 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     ))
 
 
-def quality(
-    docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)
-) -> DataFrame:
-    """``keep`` columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the divergences and verdicts.
-
-    Null texts have no words and fail the base rules, as empty ones do. Null languages are a language of their own.
-    Every row is judged by itself, repeated rows alike; the references cover all rows. Other columns are ignored; an
-    empty table gives no rows. A language's reference is broadcast if there are at most ``BROADCAST_ROWS`` languages.
-    """
-    spark = docs.sparkSession
-    references = language_references(docs, text, lang)
+def _judged(docs: DataFrame, text: str, lang: str, keep: list[str]) -> DataFrame:
+    """``keep`` as ``_bg_keep0``, ``_bg_keep1`` and so on, with the counts, the divergences and the verdicts."""
+    held = Scratch(docs.sparkSession, "quality").save(language_references(docs, text, lang), "references")
     names = [f"_bg_keep{i}" for i in range(len(keep))]
     rows = histograms(docs.select(
         *[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text).alias("_bg_text"), F.col(lang).alias("_bg_own")
@@ -144,10 +141,8 @@ def quality(
         F.expr("cast(size(_bg_lines) - size(array_distinct(_bg_lines)) as bigint)").alias("n_dup_lines"),
         F.col("_bg_repeat").cast("bigint").alias("n_repeat_words"),
     )
-    held = Scratch(spark, "quality").save(references, "references")  # one row per language
-    small = held.count() <= BROADCAST_ROWS
-    rows = rows.join(
-        F.broadcast(held) if small else held, F.col("_bg_lang").eqNullSafe(F.col("ref_lang")), "left"
+    rows = rows.join(  # one row per language
+        broadcast_if_small(held, held.count()), F.col("_bg_lang").eqNullSafe(F.col("ref_lang")), "left"
     )
     rows = rows.withColumns({
         "char_divergence": F.expr(f"round({_divergence('_bg_hc', 'ref_c')}, 6)"),
@@ -155,11 +150,24 @@ def quality(
         "base_failed": F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"),
         "_bg_all": F.expr("aggregate(_bg_hc, 0L, (a, x) -> a + x)"),
     })
-    verdict = (
-        f"not base_failed and not (_bg_all >= {MIN_CHARS} and char_divergence > {MAX_CHAR_DIVERGENCE})"
-        f" and not (n_words >= {MIN_WORDS} and word_divergence > {MAX_WORD_DIVERGENCE})"
-    )
-    return rows.select(
-        *[F.col(n).alias(c) for c, n in zip(keep, names)], "n_words", "word_chars", "n_symbols", "n_dup_lines",
-        "n_repeat_words", "char_divergence", "word_divergence", "base_failed", F.expr(verdict).alias("kept"),
-    )
+    # one sum instead of a conjunction: a filter on the verdict stays above the join and what is computed for it
+    return rows.withColumn("kept", F.expr(
+        f"cast(base_failed as int) + if(_bg_all >= {MIN_CHARS} and char_divergence > {MAX_CHAR_DIVERGENCE}, 1, 0)"
+        f" + if(n_words >= {MIN_WORDS} and word_divergence > {MAX_WORD_DIVERGENCE}, 1, 0) = 0"
+    )).select(*names, *VERDICTS)
+
+
+def quality(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> DataFrame:
+    """The id with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the divergences and verdicts.
+
+    Null texts have no words and fail the base rules, as empty ones do. Null languages are a language of their own.
+    Every row is judged by itself, repeated rows alike; the references cover all rows. Other columns are ignored; an
+    empty table gives no rows.
+    """
+    return _judged(docs, text, lang, [id_column]).withColumnRenamed("_bg_keep0", id_column)
+
+
+def drop_rejected(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    names = [F.col(f"_bg_keep{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return _judged(docs, text, lang, docs.columns).where("kept").select(*names)
