@@ -23,7 +23,7 @@ from ballgraph.llm.tokens import read_tokenizer
 from ballgraph.session import Scratch
 
 #: Memory bound of a worker's memo of encoded chunks, the longest chunk it keeps, and texts encoded together.
-MEMO_CHUNKS = 800_000
+MEMO_CHUNKS = 1_000_000
 MEMO_CHARS = 64
 STEP_BYTES = 2_000_000
 
@@ -39,51 +39,43 @@ class ChunkIds:
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
+        self.tokenizer = tokenizer
+        self.known: dict[str, bytes] = {}  # by the chunk without the space in front of it
+        self.opening: dict[str, bytes] = {}  # chunks that open a text, with no space in front
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [
-            np.asarray(e.ids, "<u4").tobytes()
+            array("I", e.ids).tobytes()
             for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         ]
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        parts = text.replace("\n", " \n").split(" ")
-        # a part that follows a space has it in front; one that follows a line feed has that already
-        return parts[:1] + [p if p[:1] == "\n" else " " + p for p in parts[1:]]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
-        cut, odd = [], []
-        for text in texts:
-            if _RUN.search(text):
-                odd.append(text)
-                cut.append(None)
-            else:
-                cut.append(self.chunks(text) if text else [])
-        if len(self.known) > MEMO_CHUNKS:
+        # a line feed opens a chunk as a space does, and stays in it
+        cut = [None if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        seen: set[str] = set()
+        for parts in cut:
+            if parts:
+                seen.update(parts[1:])
+        if len(self.known) + len(seen) > MEMO_CHUNKS:
             self.known.clear()
-        unknown: set[str] = set()
-        for chunks in cut:
-            if chunks:
-                unknown.update(chunks)
-        unknown.difference_update(self.known)
-        unknown.discard("")
-        fresh = list(unknown)
-        values = dict(zip(fresh, self._encode(fresh)))
-        long = {k: v for k, v in values.items() if len(k) > MEMO_CHARS}
-        self.known.update(values if not long else {k: v for k, v in values.items() if len(k) <= MEMO_CHARS})
-        known = self.known if not long else {**long}
-        whole = iter(self._encode(odd))
-        out = []
-        for chunks in cut:
-            if chunks is None:
-                out.append(next(whole))
-            elif not long:
-                out.append(b"".join([known[c] for c in chunks if c]))
-            else:
-                out.append(b"".join([long.get(c) or self.known[c] for c in chunks if c]))
+        fresh = [p for p in seen if p not in self.known]
+        self.known.update(zip(fresh, self._encode([p if p[:1] == "\n" else " " + p for p in fresh])))
+        first = list({parts[0] for parts in cut if parts} - self.opening.keys())
+        if len(self.opening) + len(first) > MEMO_CHUNKS // 8:
+            self.opening.clear()
+            first = list({parts[0] for parts in cut if parts})
+        self.opening.update(zip(first, self._encode(first)))
+        whole = iter(self._encode([t for t, parts in zip(texts, cut) if parts is None]))
+        known = self.known.__getitem__
+        out = [
+            next(whole) if parts is None else self.opening[parts[0]] + b"".join(map(known, parts[1:]))
+            for parts in cut
+        ]
+        for memo, keys in ((self.known, fresh), (self.opening, first)):
+            for key in keys:
+                if len(key) > MEMO_CHARS:
+                    del memo[key]
         return out
 
 
