@@ -270,6 +270,8 @@ def _small_groups(rows: DataFrame) -> DataFrame:
                     if len(held) > 1:
                         yield flush()
                     now, held = root, []
+                if held and held[-1][0] == own:
+                    continue
                 held.append((own, copies, np.frombuffer(s, np.uint64)))
         if len(held) > 1:
             yield flush()
@@ -303,10 +305,15 @@ def _tiled_groups(rows: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("n", "ascending"), ("cls", "ascending")])
+        owners = table.column("cls").to_numpy()  # a class has one tile, so a repeat follows its like
+        table = table.filter(pa.array(np.append(True, owners[1:] != owners[:-1])))
         owners, copies = table.column("cls").to_numpy(), table.column("copies").to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()]
-        second = int((table.column("side").to_numpy() == 0).sum())
-        split = 0 if second == len(sets) else second
+        split, pair = int((table.column("side").to_numpy() == 0).sum()), table.column("pair")[0].as_py()
+        if pair["left"] == pair["right"]:
+            split = 0
+        elif split in (0, len(sets)):  # the other tile got no set
+            return pa.table({c: pa.array([], t) for c, t in _FOUND_TYPES.items()})
         out = _found(owners, *compare(owners, copies, sets, split))
         return pa.table({c: pa.array(out[c], t) for c, t in _FOUND_TYPES.items()})
 
@@ -314,13 +321,13 @@ def _tiled_groups(rows: DataFrame) -> DataFrame:
 
 
 def join_rows(docs: DataFrame, text_column: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(row, id, n_shingles, component_id, n_links) for docs (row, id, text). ``row`` numbers the rows."""
+    """(row, id, n_shingles, component_id, n_links) for docs (row, id, text). ``row`` numbers the rows once read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = scratch.save(set_rows(docs, text_column), "rows")
     classes = scratch.save(
         rows.where("n > 0").groupBy("f1", "f2").agg(
-            F.min("id").alias("least"), F.min("row").alias("first"), F.count("*").alias("copies"),
+            F.min("id").alias("least"), F.count("*").alias("copies"),
             F.first("n").alias("n"), F.first("low").alias("low"),
         ).withColumn("cls", F.monotonically_increasing_id()), "classes",
     )
@@ -330,7 +337,7 @@ def join_rows(docs: DataFrame, text_column: str = "text", broadcast_rows: int =
     shared = shared_counts(docs, text_column, buckets)
     able = scratch.save(
         classes.join(shared, "f1", "left").where("coalesce(shared, 0) >= low - floor(n / 5)").select(
-            "f1", "f2", "cls", "first", "copies"
+            "f1", "f2", "cls", "least", "copies"
         ), "able",
     )
     n_able = able.count()
@@ -340,13 +347,14 @@ def join_rows(docs: DataFrame, text_column: str = "text", broadcast_rows: int =
         prints = [_fingerprint(s) for s in own]
         yield {"f1": [p[0] for p in prints], "f2": [p[1] for p in prints], "n": [len(s) for s in own], "s": [s.tobytes() for s in own]}
 
-    wanted = broadcast_if_small(able.select(F.col("first").alias("row")), n_able, broadcast_rows)
+    # by id, which the data hold; rows that share a class's id and set are taken once when sets are compared
+    wanted = broadcast_if_small(able.select("least"), n_able, broadcast_rows)
     read = arrow_rows(
-        docs.join(wanted, "row", "left_semi").select(text_bytes(text_column).alias("t")), sets,
-        "f1 bigint, f2 bigint, n bigint, s binary",
+        docs.join(wanted, docs["id"].eqNullSafe(wanted["least"]), "left_semi").select(text_bytes(text_column).alias("t")),
+        sets, "f1 bigint, f2 bigint, n bigint, s binary",
     )
     held = scratch.save(
-        read.join(broadcast_if_small(able.drop("first"), n_able, broadcast_rows), ["f1", "f2"]).select("cls", "n", "copies", "s"),
+        read.join(broadcast_if_small(able.drop("least"), n_able, broadcast_rows), ["f1", "f2"]).select("cls", "n", "copies", "s"),
         "sets",
     )
     edges = prefix_edges(held, frequency_sketch(held), buckets)

@@ -65,7 +65,7 @@ def drop_boilerplate(
         ).withColumn("_bg_text", F.array_join("_bg_kept", "\n")).select(
             *[F.col("_bg_text").alias(c) if c == text else F.col(c) for c in columns],
             F.greatest(F.size("_bg_lines"), F.lit(0)).cast("bigint").alias("_bg_n"),
-            (F.size("_bg_lines") - F.size("_bg_kept")).cast("bigint").alias("_bg_d"),
+            F.coalesce(F.size("_bg_lines") - F.size("_bg_kept"), F.lit(0)).cast("bigint").alias("_bg_d"),
         )
     else:
         rows = docs.select(
@@ -82,7 +82,7 @@ def drop_boilerplate(
         )
         salted = bad.select(
             F.col("h").alias("bad_h"), F.col("k").alias("bad_k"),
-            F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("bad_salt"),
+            F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("bad_salt"),
         )
         joined = lines.join(
             salted,

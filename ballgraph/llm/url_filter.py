@@ -79,15 +79,18 @@ class Level:
         return out
 
     @classmethod
-    def build(cls, keys: DataFrame, n: int) -> Level:
-        """From (a, b) hashes. Bits of a word are merged in tasks; at most one row per word comes back."""
-        n_bits = 64 * max(1, math.ceil(n * BITS_PER_KEY / 64))
+    def build(cls, keys: DataFrame, n: int, level: int) -> Level:
+        """From (a, b) hashes. Bits of a word are merged in tasks; at most one row per word comes back.
+
+        Each level has a size of its own, so keys that look alike in one differ in another.
+        """
+        n_bits = 64 * (math.ceil(n * BITS_PER_KEY / 64) + 3) - (2 * level + 1)
         at = F.expr(f"explode(transform(sequence(0L, {TESTS - 1}L), i -> (pmod(a, {n_bits}L) + i * pmod(b, {n_bits}L)) % {n_bits}L))")
         rows = keys.select(at.alias("at")).select(
             F.expr("at div 64").alias("w"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit")
         )
         found = rows.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
-        words = np.zeros(n_bits // 64, np.uint64)
+        words = np.zeros(-(-n_bits // 64), np.uint64)
         words[found["w"].to_numpy("int64")] = found["bits"].to_numpy("int64").view(np.uint64)
         return cls(n_bits, words)
 
@@ -125,12 +128,12 @@ def build_cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch) -> C
     n = own.count()
     if not n:
         return Cascade([])
-    levels = [Level.build(own, n)]
+    levels = [Level.build(own, n, 0)]
     other = scratch.save(_passing(every, levels[0]).join(own, ["a", "b"], "left_anti"), "level-1")
     while (n := other.count()) > 0:
         if len(levels) == MAX_LEVELS:
             raise ValueError("the cascade does not end: a listed and an unlisted key have equal hashes")
-        levels.append(Level.build(other, n))
+        levels.append(Level.build(other, n, len(levels)))
         own, other = other, scratch.save(_passing(own, levels[-1]), f"level-{len(levels)}")
     return Cascade(levels)
 
