@@ -24,10 +24,9 @@ TRAINED = "assistant"
 RESERVED = tuple(f"### {r.capitalize()}: " for r in ROLES) + ("### Role ", ": ", "</turn>\n")
 OTHER, COLON, END = 3, 4, 5
 
-#: A backslash is put before these in a text, and taken away again.
-ESCAPED = r"\\|###|</turn>|<\|"
-_ESCAPE = re.compile(f"({ESCAPED})")
-_UNESCAPE = re.compile(rf"\\({ESCAPED})")
+#: A backslash is put before these in a text, and taken away again: none of ``###``, ``</turn>``, ``<|`` stays bare.
+_ESCAPE = re.compile(r"(\\|#(?=##)|</turn>|<\|)")
+_UNESCAPE = re.compile(r"\\(\\|#|</turn>|<\|)")
 
 
 def escape(text: str) -> str:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from ballgraph.llm import divergence as dv
+from ballgraph.llm.site_lines import MIN_PAGES, RATIO
 
-SITE_LINES = """
+SITE_LINES = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 lines AS (SELECT DISTINCT r, source, line FROM (SELECT r, source, unnest(lines) AS line FROM docs)
           WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 bad AS (SELECT l.source, line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-        GROUP BY l.source, line, total HAVING count(*) >= 5 AND count(*) > 0.05 * total),
+        GROUP BY l.source, line, total HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO} * total),
 lists AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
 kept AS (SELECT d.*, CASE WHEN l.bad IS NULL THEN d.lines
                      ELSE list_filter(d.lines, lambda x: NOT list_contains(l.bad, x)) END AS kept
@@ -90,14 +91,21 @@ SELECT page_id, host, path, rule, coalesce(says, CASE WHEN listed THEN 'block' E
 FROM hits LEFT JOIN fits USING (r)
 """
 
-CHAT = r"""
+def _escaped(text: str) -> str:
+    """Length of an escaped text: a character more for each control string, and for each place where ### begins."""
+    return (
+        f"(length({text}) + len(regexp_extract_all({text}, '\\\\|</turn>|<\\|'))"
+        f" + coalesce(list_sum(list_transform(regexp_extract_all({text}, '###+'), lambda x: length(x) - 2)), 0))"
+    )
+
+
+CHAT = f"""
 WITH every AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-               UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-               UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-rows_ AS (SELECT *, length(regexp_replace(text, '(\\|###|</turn>|<\|)', '\\\1', 'g')) AS chars,
-                 CASE WHEN role = 'assistant' THEN text ELSE '' END AS trained,
+               UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+               UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+rows_ AS (SELECT *, {_escaped('text')} AS chars, CASE WHEN role = 'assistant' THEN text ELSE '' END AS trained,
                  CASE role WHEN 'assistant' THEN 15 WHEN 'system' THEN 12 WHEN 'user' THEN 10
-                      ELSE 11 + length(regexp_replace(role, '(\\|###|</turn>|<\|)', '\\\1', 'g')) END + 8 AS marks
+                      ELSE 11 + {_escaped('role')} END + 8 AS marks
           FROM every)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ballgraph.llm.common import BROADCAST_ROWS
 from ballgraph.session import Scratch
 
+#: Share of a host's pages above which a line is boilerplate, and pages it must be on at least. Copies of whole pages
+#: are for near-duplicate removal to find; a lower share would empty a page that many copies hold.
+RATIO = 0.08
+MIN_PAGES = 5
 #: Parts into which a hot line's rows are dealt when the boilerplate list is too long to broadcast.
 SALTS = 16
 
@@ -39,7 +43,7 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float, min_p
 
 
 def drop_boilerplate(
-    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5,
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
     counts: bool = False, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The documents without their host's boilerplate lines; all columns and rows stay.
