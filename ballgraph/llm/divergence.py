@@ -54,16 +54,19 @@ def histograms(docs: DataFrame, text: str, lang: str) -> DataFrame:
         "_bg_n": F.expr("cast(size(_bg_w) as bigint)"),
         "_bg_chars": F.expr("cast(char_length(_bg_t) as bigint)"),
         "_bg_word_chars": F.expr("cast(char_length(array_join(_bg_w, '')) as bigint)"),
-        # every bin once after the words' bins: a bin's count is the gap between first places in sorted order
+        # every bin once after the words' bins: a bin's count is the gap between two changes in sorted order
         "_bg_at": F.expr(
             f"sort_array(concat(transform(_bg_w, w -> array_position(array({words}), w)),"
             f" sequence(0L, {bins + 1}L)))"
         ),
         "_bg_classes": F.expr(f"array({', '.join(f'cast({k} as bigint)' for k in kept)})"),
     })
+    out = out.withColumn(
+        "_bg_ends", F.expr("filter(sequence(1, size(_bg_at) - 1), i -> _bg_at[i] <> _bg_at[i - 1])")
+    )
     return out.withColumns({
         "_bg_hw": F.expr(
-            f"transform(sequence(0L, {bins}L), k -> array_position(_bg_at, k + 1) - array_position(_bg_at, k) - 1)"
+            f"transform(sequence(0, {bins}), k -> cast(_bg_ends[k] - if(k = 0, 0, _bg_ends[k - 1]) - 1 as bigint))"
         ),
         "_bg_hc": F.expr(
             "concat(_bg_classes, array(_bg_chars - _bg_word_chars,"
