@@ -36,13 +36,16 @@ def candidate_triangles(lists: DataFrame) -> DataFrame:
 
 
 def packs(points: DataFrame, lists: DataFrame) -> DataFrame:
-    """(i, v, js, nv): a point with its neighbours' vectors, flattened in rank order."""
+    """(i, v, js, nv): every point with its neighbours' vectors, flattened in rank order."""
     near = lists.select("i", F.posexplode("js").alias("pos", "j"))
     vecs = points.select(F.col("id").alias("j"), F.col("v").alias("w"))
     lined = near.join(vecs, "j").groupBy("i").agg(
         F.array_sort(F.collect_list(F.struct("pos", "j", "w"))).alias("l")
     ).select("i", F.col("l.j").alias("js"), F.flatten("l.w").alias("nv"))
-    return points.select(F.col("id").alias("i"), "v").join(lined, "i")
+    return points.select(F.col("id").alias("i"), "v").join(lined, "i", "left").select(
+        "i", "v", F.expr("coalesce(js, cast(array() as array<bigint>))").alias("js"),
+        F.expr("coalesce(nv, cast(array() as array<double>))").alias("nv"),
+    )
 
 
 def _rows_of(offsets: np.ndarray) -> np.ndarray:
@@ -77,7 +80,7 @@ def weighted_candidates(
             row.append(_rows_of(list_offsets(batch.column(ids))))
             third.append(batch.column(ids).flatten().to_numpy())
             flat = batch.column(vecs).flatten().to_numpy()
-            vk.append(flat.reshape(len(third[-1]), -1))
+            vk.append(flat.reshape(len(third[-1]), vi.shape[1]))
         order = np.argsort(np.concatenate(row), kind="stable")  # N(i) before N(j) in every row
         row = np.concatenate(row)[order]
         third, vk = np.concatenate(third)[order], np.concatenate(vk)[order]

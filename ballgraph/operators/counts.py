@@ -71,10 +71,6 @@ def highly_variable(logged: DataFrame, n_rows: int, n_top: int) -> DataFrame:
     return ranked.orderBy(F.desc("norm"), "feature").limit(n_top)
 
 
-def keep_features(counts: DataFrame, features: DataFrame) -> DataFrame:
-    return counts.join(features.select("feature"), "feature", "left_semi")
-
-
 def dense_rows(
     counts: DataFrame, features: list[str], ids: DataFrame | None = None
 ) -> DataFrame:

@@ -24,7 +24,10 @@ def layout_packs(wide: DataFrame, lists: DataFrame, n_components: int) -> DataFr
     lined = near.groupBy("i").agg(
         F.array_sort(F.collect_list(F.struct("pos", "j", "y"))).alias("l")
     ).select("i", F.col("l.j").alias("js"), F.flatten("l.y").alias("ny"))
-    return at.withColumnRenamed("j", "i").join(lined, "i")
+    return at.withColumnRenamed("j", "i").join(lined, "i", "left").select(
+        "i", "y", F.expr("coalesce(js, cast(array() as array<bigint>))").alias("js"),
+        F.expr("coalesce(ny, cast(array() as array<double>))").alias("ny"),
+    )
 
 
 def _corner_data(batch):

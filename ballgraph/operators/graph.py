@@ -13,10 +13,9 @@ from ballgraph.functions.arrow import add_columns
 from ballgraph.functions.vectors import list_offsets
 from ballgraph.session import Scratch
 
-# Fixed values of the bandwidth search.
-BISECTION_STEPS = 64
-SIGMA_FLOOR = 1e-3   # share of a row's mean distance
-INTERP_FLOOR = 1e-5
+SIGMA_FLOOR = 1e-3   # fixed value: share of a row's mean distance
+TOLERANCE = 1e-13    # of the sum of a row's memberships
+MAX_STEPS = 200      # more than halving a bracket of doubles can need
 
 
 def knn_edges(knn: DataFrame, binarize: bool = True) -> DataFrame:
@@ -43,47 +42,64 @@ def _padded(column) -> np.ndarray:
 
 
 def _row_rho(d: np.ndarray, local_connectivity: float, nonzero: bool) -> np.ndarray:
-    whole = int(math.floor(local_connectivity))
-    part = local_connectivity - whole
-    near = np.sort(np.where(d > 0, d, np.inf), axis=1) if nonzero or whole == 0 else np.sort(d, axis=1)
-    at = lambda c: near[:, min(c, near.shape[1] - 1)]
-    if whole == 0:
-        rho = part * at(0)
-    else:
-        rho = at(whole - 1)
-        if part > INTERP_FLOOR:
-            rho = rho + part * (at(whole) - rho)
+    """The sorted distances, with 0 before the first, read off at a fractional rank."""
+    if nonzero or local_connectivity < 1:
+        d = np.where(d > 0, d, np.inf)
+    line = np.concatenate([np.zeros((len(d), 1)), np.sort(d, axis=1)], axis=1)
+    rank = min(local_connectivity, d.shape[1])
+    below = line[:, math.floor(rank)]
+    with np.errstate(invalid="ignore"):
+        rho = below if rank == math.floor(rank) else below + (rank - math.floor(rank)) * (line[:, math.ceil(rank)] - below)
     return np.where(np.isfinite(rho), rho, 0.0)
 
 
-def _row_sigma(d: np.ndarray, rho: np.ndarray, target: float, steps: int) -> np.ndarray:
-    real = np.isfinite(d)
-    over = np.where(real, np.maximum(d - rho[:, None], 0.0), np.inf)
-    lo, hi, mid = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
-    for _ in range(steps):
-        mass = np.exp(-over / np.maximum(mid, np.finfo(np.float64).tiny)[:, None]).sum(axis=1)
-        big = mass > target
-        hi, lo = np.where(big, mid, hi), np.where(big, lo, mid)
-        mid = np.where(np.isinf(hi), mid * 2.0, (lo + hi) / 2.0)
-    mean = np.where(real, d, 0.0).sum(axis=1) / np.maximum(real.sum(axis=1), 1)
-    return np.maximum(mid, SIGMA_FLOOR * mean)
+def _row_sigma(d: np.ndarray, rho: np.ndarray, target: float) -> np.ndarray:
+    """The width at which sum(exp(-gap / width)) is the target, by Newton steps kept inside a bracket.
+
+    Of m gaps, z are zero. If all others were the smallest one, the width would be its share of
+    log((m - z) / (target - z)); the same with the largest bounds it from above. With z >= target no width is small
+    enough, with m <= target none large enough.
+    """
+    gap = np.where(np.isfinite(d), np.maximum(d - rho[:, None], 0.0), np.inf)
+    real = np.isfinite(gap)
+    zero, many = (gap == 0).sum(axis=1), real.sum(axis=1)
+    mean = np.where(real, d, 0.0).sum(axis=1) / np.maximum(many, 1)
+    width = np.where(many <= target, np.inf, 0.0)
+    rows = np.flatnonzero((zero < target) & (many > target))
+    if len(rows):
+        gap, real = gap[rows], real[rows]
+        spread = np.log((many[rows] - zero[rows]) / (target - zero[rows]))
+        lo = np.where(gap > 0, gap, np.inf).min(axis=1) / spread
+        hi = np.where(real, gap, 0.0).max(axis=1) / spread
+        at = (lo + hi) / 2.0
+        for _ in range(MAX_STEPS):
+            part = np.exp(-gap / at[:, None])
+            miss = part.sum(axis=1) - target
+            lo, hi = np.where(miss < 0, at, lo), np.where(miss < 0, hi, at)
+            if (np.abs(miss) <= TOLERANCE * target).all():
+                break
+            slope = (part * np.where(real, gap, 0.0)).sum(axis=1) / at ** 2
+            step = at - miss / np.maximum(slope, np.finfo(np.float64).tiny)
+            at = np.where((step > lo) & (step < hi), step, (lo + hi) / 2.0)
+        width[rows] = at
+    return np.maximum(width, SIGMA_FLOOR * mean)
 
 
 def smooth_knn(
-    lists: DataFrame, k: int, local_connectivity: float = 1.0, steps: int = BISECTION_STEPS,
+    lists: DataFrame, k: int, local_connectivity: float = 1.0,
     bandwidth: float = 1.0, nonzero: bool = False,
 ) -> DataFrame:
     """Adds (sigma, rho) to (i, js, ds): the width at which a row's memberships sum to log2(k).
 
     rho is the distance of the ``local_connectivity``-th neighbour, zeros included unless
-    ``nonzero``. Every row runs all steps, so its result does not depend on other rows.
+    ``nonzero``. A row with too few neighbours for that sum has an infinite width.
     """
     target = math.log2(max(k, 2)) * bandwidth
 
     def widths(batch):
         d = _padded(batch.column("ds"))
         rho = _row_rho(d, local_connectivity, nonzero)
-        return {"sigma": pa.array(_row_sigma(d, rho, target, steps)), "rho": pa.array(rho)}
+        return {"sigma": pa.array(_row_sigma(d, rho, target)), "rho": pa.array(rho)}
 
     return add_columns(lists, [], widths, {"sigma": "double", "rho": "double"})
 

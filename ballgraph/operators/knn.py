@@ -118,6 +118,15 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return top_rows(others, "i", ["d", "j"], k, "rank").select("i", "j", "rank", "d")
 
 
+def complete_lists(lists: DataFrame, points: DataFrame) -> DataFrame:
+    """(i, js, ds): the lists of all points; those without a neighbour have empty ones."""
+    every = points.select(F.col("id").alias("i")).join(lists, "i", "left")
+    return every.select(
+        "i", F.expr("coalesce(js, cast(array() as array<bigint>))").alias("js"),
+        F.expr("coalesce(ds, cast(array() as array<double>))").alias("ds"),
+    )
+
+
 def neighbour_lists(knn: DataFrame) -> DataFrame:
     """(i, js, ds): one row per point, in rank order."""
     packed = knn.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("rank", "j", "d"))).alias("l"))

@@ -71,11 +71,16 @@ def one_hot(
     become columns; more than ``max_levels`` of them is an error, not a truncation.
     """
     out, names = [F.col(c).cast("double").alias(c) for c in numeric], list(numeric)
-    for c in columns:
-        levels = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()
-        if len(levels) > max_levels:
+    cells = F.array(*[F.struct(F.lit(n).alias("n"), *[
+        (F.col(c) if k == n else F.lit(None).cast(df.schema[c].dataType)).alias(f"l{k}") for k, c in enumerate(columns)
+    ]) for n in range(len(columns))])
+    # one job for all columns; one row more than allowed shows that there are too many
+    found = df.select(F.inline(cells)).distinct().limit(len(columns) * (max_levels + 1) + 1).collect() if columns else []
+    for n, c in enumerate(columns):
+        levels = [r[n + 1] for r in found if r["n"] == n and r[n + 1] is not None]
+        if len(levels) > max_levels or len(found) > len(columns) * (max_levels + 1):
             raise ValueError(f"{c} has more than {max_levels} levels")
-        for level in sorted(r[0] for r in levels):
+        for level in sorted(levels):
             name = f"{c}_{level}"
             out.append(F.coalesce((F.col(c) == F.lit(level)).cast("double"), F.lit(0.0)).alias(name))
             names.append(name)

@@ -144,6 +144,11 @@ def spectral_layout(
     adjacency, root = G.normalized_adjacency(edges)
     vectors, _ = leading_eigenvectors(adjacency, root, n, n_components + 1, seed=seed, **options)
     rest = vectors.select("id", F.slice("q", 2, n_components).alias("q"))
+    # a point without an edge has a zero row in the adjacency, so its entries are zero
+    none = F.array(*[F.lit(0.0)] * n_components)
+    rest = Scratch(points.sparkSession, "spectral-rows").save(
+        points.select("id").join(rest, "id", "left").select("id", F.coalesce("q", none).alias("q")), "rest"
+    )
     count, mean, cov = gram(rest.select(F.col("q").alias("v")), n_components)
     signs = leading_signs(rest, "id", n_components)
     scale = BOX * signs / np.maximum(np.sqrt(np.diag(cov)), STD_FLOOR)

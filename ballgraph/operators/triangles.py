@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballgraph.functions.draws import draw, first_ok, modulo, pick
+from ballgraph.session import Scratch
+from ballgraph.sources.points import dense_codes
 
 SLOTS_PER_TASK = 4_000_000
 REDRAWS = 4  # pre-drawn values per rejected vertex before the next free id is taken
@@ -43,25 +45,39 @@ def negative_counts(n_positive: int, rate: float, uniform_share: float) -> tuple
     return uniform, total - uniform
 
 
+def source_ranks(lists: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, int | None]:
+    """Lists (i, js) with the points that have neighbours numbered in order, and their number if not all have."""
+    held = lists.where("size(js) > 0").select("i")
+    n_sources = held.count()
+    if n_sources == n:
+        return lists.select("i", "js"), None
+    codes = dense_codes(held, "i", "rank", scratch)
+    return scratch.save(lists.select("i", "js").join(codes, "i", "left"), "ranked"), n_sources
+
+
 def negative_triplets(
     lists: DataFrame, n: int, n_uniform: int, n_local: int, seed: int, epoch: int,
-    exclude_neighbors: bool = False, hasher: str = "xxhash64",
+    exclude_neighbors: bool = False, hasher: str = "xxhash64", n_sources: int | None = None,
 ) -> DataFrame:
     """(slot, i, j, k). Slots below ``n_uniform`` draw j anywhere outside N(i); the others take an edge.
 
     Every slot draws its own source point with replacement, so sources are even and no key is hot;
-    ``lists`` must be (i, js).
+    ``lists`` must be (i, js). Where points have no neighbours, ``lists`` is that of ``source_ranks`` and
+    ``n_sources`` its number of sources.
     """
+    ranked = n_sources is not None
     vertex = lambda what, r: pick(n, (seed, epoch, what, r), "slot", hasher=hasher)
     # Drawn values are columns of their own, so that the tests below only refer to them.
     second, third = [f"_s{r}" for r in range(REDRAWS)], [f"_t{r}" for r in range(REDRAWS)]
     spark, total = lists.sparkSession, n_uniform + n_local
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // SLOTS_PER_TASK))
     slots = spark.range(0, total, 1, tasks).withColumnRenamed("id", "slot")
-    sources = slots.selectExpr("slot", f"{vertex('source', 0)} AS i")
-    rank = f"pmod({draw((seed, epoch, 'rank', 0), 'slot', hasher=hasher)}, size(js))"
-    rows = sources.join(lists.select("i", "js").where("size(js) > 0"), "i").selectExpr(
-        "slot", "i", "js", f"coalesce(get(js, cast({rank} AS int)), -1L) AS _edge",
+    source = pick(n_sources if ranked else n, (seed, epoch, "source", 0), "slot", hasher=hasher)
+    sources = slots.selectExpr("slot", f"{source} AS rank")
+    held = lists.where("size(js) > 0").selectExpr("rank" if ranked else "i AS rank", "i", "js")
+    entry = f"pmod({draw((seed, epoch, 'rank', 0), 'slot', hasher=hasher)}, size(js))"
+    rows = sources.join(held, "rank").selectExpr(
+        "slot", "i", "js", f"coalesce(get(js, cast({entry} AS int)), -1L) AS _edge",
         *[f"{vertex('second', r)} AS {c}" for r, c in enumerate(second)],
         *[f"{vertex('third', r)} AS {c}" for r, c in enumerate(third)],
     )
@@ -72,7 +88,9 @@ def negative_triplets(
     )
     ok = fits = lambda x: f"{x} <> i AND {x} <> j"
     if exclude_neighbors:
-        rows = rows.join(lists.select(F.col("i").alias("j"), F.col("js").alias("js_j")), "j")
+        rows = rows.join(lists.select(F.col("i").alias("j"), F.col("js").alias("js_j")), "j", "left").withColumn(
+            "js_j", F.expr("coalesce(js_j, cast(array() as array<bigint>))")
+        )
         ok = lambda x: f"{fits(x)} AND NOT array_contains(js, {x}) AND NOT array_contains(js_j, {x})"
     bumped = next_free(f"({third[-1]} + 1)", ["i", "j"], n)
     return rows.selectExpr("slot", "i", "j", f"{first_ok(third, ok, bumped)} AS k")

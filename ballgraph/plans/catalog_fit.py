@@ -9,12 +9,13 @@ from ballgraph.operators import cech as C
 from ballgraph.operators import discrete_loss as D
 from ballgraph.operators import loss as O
 from ballgraph.operators import triangles as R
-from ballgraph.operators.knn import neighbour_lists
+from ballgraph.operators.knn import complete_lists, neighbour_lists
 from ballgraph.plans.catalog import (
     Tables, query, rounded, sql_draw, sql_rounded as r_, sql_uniform,
 )
 from ballgraph.plans.catalog_graph import KNN, SQL_KNN, knn, low_layout
 from ballgraph.plans.embed import fit
+from ballgraph.session import Scratch
 
 SEED, EPOCH = 7, 1
 PER_EDGE = 2
@@ -114,6 +115,25 @@ def sql_negatives(n_uniform: str, n_local: str, exclude: bool = False) -> str:
   neg AS (SELECT slot, i, j, {sql_first_ok("third", fits, sql_after)} AS k FROM thr)"""
 
 
+SQL_RAGGED = """near AS (SELECT knn.* FROM knn JOIN pts ON knn.i = pts.id WHERE pts.label <> 9),
+  short AS (SELECT i, list(j ORDER BY rank) AS js FROM near GROUP BY i),
+  lists AS (SELECT id AS i, coalesce(js, []::BIGINT[]) AS js FROM pts LEFT JOIN short ON id = i),
+  held AS (SELECT i, js, row_number() OVER (ORDER BY i) - 1 AS rank FROM short)"""
+
+
+def sql_ragged_negatives(n_uniform: str, n_local: str, exclude: bool) -> str:
+    """``sql_negatives`` with sources drawn among the points that have a list."""
+    text = sql_negatives(n_uniform, n_local, exclude)
+    source = f"{sql_draw(str(SEED), str(EPOCH), chr(39) + 'source' + chr(39), '0', 'slot')} % n AS i, n FROM slots, nn)"
+    assert source in text and "JOIN lists ON src.i = lists.i)" in text
+    text = text.replace(source, source.replace(
+        "% n AS i, n FROM slots, nn)", "% (SELECT count(*) FROM held) AS at, n FROM slots, nn)"
+    ))
+    return text.replace("src.i, js,", "held.i, js,").replace(
+        "JOIN lists ON src.i = lists.i)", "JOIN held ON src.at = held.rank)"
+    ).replace(" src.i ", " held.i ")
+
+
 SQL_N = "(SELECT count(*) FROM pts)"
 SQL_HALF = f"round_even({SQL_N} * {KNN} * 0.5, 0)::BIGINT"
 
@@ -143,6 +163,40 @@ def _neg_excluded(t):
     return negatives(t, True, True, exclude=True)
 
 
+def ragged(t: Tables):
+    """Complete lists of a neighbour table in which the points of one label have no neighbours."""
+    near = knn(t).join(t.points().where("label <> 9").selectExpr("id AS i"), "i")
+    return complete_lists(neighbour_lists(near), t.points())
+
+
+def _ragged_negatives(t: Tables, exclude: bool):
+    n = t.points().count()
+    ranked, n_sources = R.source_ranks(ragged(t), n, Scratch(t.spark, "query"))
+    n_uniform, n_local = R.negative_counts(n * KNN, 1, 0.5)
+    return R.negative_triplets(ranked, n, n_uniform, n_local, SEED, EPOCH, exclude, "md5", n_sources)
+
+
+@query("q_neg_ragged",
+       f"WITH {SQL_KNN}, {SQL_RAGGED}, {sql_ragged_negatives(SQL_HALF, SQL_HALF, False)} SELECT slot, i, j, k FROM neg")
+def _neg_ragged(t):
+    return _ragged_negatives(t, False)
+
+
+@query("q_neg_ragged_excluded",
+       f"WITH {SQL_KNN}, {SQL_RAGGED}, {sql_ragged_negatives(SQL_HALF, SQL_HALF, True)} SELECT slot, i, j, k FROM neg")
+def _neg_ragged_excluded(t):
+    return _ragged_negatives(t, True)
+
+
+@query("q_pos_ragged", f"""WITH {SQL_KNN}, {SQL_RAGGED},
+  cand AS (SELECT a.i, a.j, list_filter(list_concat(a.js, b.js), lambda x: x <> a.i AND x <> a.j) AS ks
+    FROM (SELECT i, js, unnest(js) AS j FROM lists) a JOIN lists b ON a.j = b.i)
+SELECT i, j, ks[(1 + {sql_draw(str(SEED), str(EPOCH), "'pos'", "i", "j", "rep")} % len(ks))::INT] AS k, rep
+FROM cand, (SELECT unnest(range({PER_EDGE}))::INT AS rep)""")
+def _pos_ragged(t):
+    return positives(t, ragged(t))
+
+
 def sql_gap(p: str, q: str, v: str = "v") -> str:
     return (f"sqrt(list_sum(list_transform(list_zip({p}.{v}, {q}.{v}), "
             f"lambda p: (p[1] - p[2]) * (p[1] - p[2]))))")

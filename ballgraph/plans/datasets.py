@@ -49,10 +49,15 @@ def count_points(
 def cluster_labels(
     points: DataFrame, k: int = 15, resolution: float = 1.0, method: str = "exact", seed: int = 0
 ) -> DataFrame:
-    """(id, label): communities of the fuzzy neighbour graph, numbered from 0."""
+    """(id, label): communities of the fuzzy neighbour graph, numbered from 0.
+
+    A point without an edge is a community of its own.
+    """
     near = knn(points, k, method, seed=seed)
     graph = fuzzy_union(memberships(smooth_knn(neighbour_lists(near), k)))
-    return label_index(louvain(graph, resolution, seed=seed), "c", "label").select("id", "label")
+    found = louvain(graph, resolution, seed=seed)
+    every = points.select("id").join(found, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
+    return label_index(every, "c", "label").select("id", "label")
 
 
 def table_points(

@@ -8,7 +8,7 @@ checkpoint folder; nothing of size N passes through the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ballgraph.operators import cech, layout, loss, triangles
 from ballgraph.operators.discrete_loss import discrete_gradient_rows, layout_packs
 from ballgraph.operators.graph import knn_edges
-from ballgraph.operators.knn import METRICS, neighbour_lists
+from ballgraph.operators.knn import METRICS, complete_lists, neighbour_lists
 from ballgraph.operators.linalg import pca
 from ballgraph.operators.neighbours import METHODS, knn
 from ballgraph.session import Scratch
@@ -27,6 +27,7 @@ RADII = ("euclidean", "discrete")
 ANNEALS = ("loss", "step")
 
 
+# Parameter names and defaults of the public interface.
 @dataclass(frozen=True)
 class EmbedConfig:
     n_neighbors: int = 10
@@ -90,28 +91,27 @@ class _Epochs:
 
     def __init__(self, cfg: EmbedConfig, points: DataFrame, near: DataFrame, n: int, scratch: Scratch):
         self.cfg, self.n, self.scratch, self.points = cfg, n, scratch, points
-        self.lists = scratch.save(neighbour_lists(near), "lists").persist()
+        self.lists = scratch.save(complete_lists(neighbour_lists(near), points), "lists")
+        self.ranked, self.n_sources = triangles.source_ranks(self.lists, n, scratch)
         self.max_d = near.agg(F.max("d")).first()[0]
         self.packed = None
         discrete = cfg.high_dim_cech == "discrete"
-        self.cached = not discrete and cfg.n_neighbors > 1  # one neighbour can leave an edge no candidate
+        self.cached = not discrete and cfg.n_neighbors > 1
         if discrete or self.cached:
             self.packed = scratch.save(cech.packs(points, self.lists), "packs")
         if self.cached:
             cand = cech.weighted_candidates(self.packed, self.max_d, cfg.use_softmax, cfg.softmax_beta)
         else:
             cand = cech.candidate_triangles(self.lists)
-        self.cand = scratch.save(cand, "candidates").persist()
+        self.cand = scratch.save(cand, "candidates")
+        # an edge without candidates takes any third vertex, whose triangle has no weight yet
+        self.bare = self.cached and not self.cand.where("size(ks) = 0").isEmpty()
         self.n_positive = near.count() * cfg.triplets_per_edge
         self.n_negative = triangles.negative_counts(
             self.n_positive, cfg.negative_rate_triplets, cfg.proportion_uniform_triplets
         )
         self.small = loss.fits_broadcast(n, cfg.n_components)
 
-    def close(self) -> None:
-        self.lists.unpersist()
-        self.cand.unpersist()
-
     def weigh(self, rows: DataFrame) -> DataFrame:
         cfg = self.cfg
         return cech.triangle_weights(
@@ -124,15 +124,22 @@ class _Epochs:
         rows = triangles.positive_triplets(
             self.cand, self.n, cfg.triplets_per_edge, cfg.random_state, epoch, cfg.hasher
         )
-        return (rows if self.cached else self.weigh(rows)).select("i", "j", "k", "w")
+        columns = ["i", "j", "k", "w"]
+        if not self.cached:
+            return self.weigh(rows).select(*columns)
+        if not self.bare:
+            return rows.select(*columns)
+        return rows.where("w IS NOT NULL").select(*columns).union(
+            self.weigh(rows.where("w IS NULL").drop("w")).select(*columns)
+        )
 
     def negatives(self, epoch: int) -> DataFrame | None:
         cfg = self.cfg
         if not sum(self.n_negative):
             return None
         rows = triangles.negative_triplets(
-            self.lists, self.n, *self.n_negative, cfg.random_state, epoch,
-            cfg.exclude_neighbors_in_negative_triplets, cfg.hasher,
+            self.ranked, self.n, *self.n_negative, cfg.random_state, epoch,
+            cfg.exclude_neighbors_in_negative_triplets, cfg.hasher, self.n_sources,
         ).drop("slot")
         rows = self.weigh(rows) if cfg.use_triplet_weight_in_ce_loss else rows.withColumn("w", F.lit(1.0))
         return rows.select("i", "j", "k", "w")
@@ -223,7 +230,6 @@ def fit(points: DataFrame, cfg: EmbedConfig | None = None, **params) -> Fit:
                 log.append((epoch, float(total), float(edge)))
             scratch.drop(f"state{epoch - 1}")
             state = new
-        epochs.close()
     emb = loss.narrow(state, d)
     if codes is not None:
         emb = emb.join(codes, emb.id == codes.pos).select(codes["id"], "y")
@@ -234,7 +240,3 @@ def fit(points: DataFrame, cfg: EmbedConfig | None = None, **params) -> Fit:
 def fit_transform(points: DataFrame, **params) -> DataFrame:
     """(id, y) of the fitted layout."""
     return fit(points, **params).embedding
-
-
-def parameter_names() -> list[str]:
-    return [f.name for f in fields(EmbedConfig)]

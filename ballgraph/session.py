@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ballgraph-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
