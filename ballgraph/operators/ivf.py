@@ -11,7 +11,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballgraph.functions import draws
 from ballgraph.functions.arrow import add_columns, list_array
 from ballgraph.functions.vectors import list_matrix
 from ballgraph.operators import probe as P
@@ -22,21 +21,12 @@ from ballgraph.operators.linalg import PARTIAL_SCHEMA, folded
 MAX_LISTS = 4096
 N_PROBE = 64
 CODE_WORDS = 256     # 8-bit codes
-TRAIN_PER_CENTRE = 256
 MIN_SUBSPACES = 8
 
 
-def _train_rows(points: DataFrame, n: int, n_centres: int, seed: int) -> DataFrame:
-    """All points, or a hash sample once there are plenty of points per centre."""
-    share = n_centres * TRAIN_PER_CENTRE / n
-    if share >= 1.0:
-        return points
-    return points.where(f"{draws.uniform((seed, 'train'), 'id')} < {draws.number(share)}")
-
-
 def centres(points: DataFrame, n: int, n_centres: int, seed: int, iterations: int = 10) -> np.ndarray:
-    """k-means centres of the training rows."""
-    train = _train_rows(points, n, n_centres, seed).select(array_to_vector("v").alias("x"))
+    """k-means centres of all rows."""
+    train = points.select(array_to_vector("v").alias("x"))
     model = KMeans(k=n_centres, seed=seed, maxIter=iterations, initMode="random", featuresCol="x").fit(train)
     return np.array(model.clusterCenters())
 
@@ -45,12 +35,18 @@ def list_count(n: int, n_lists: int = MAX_LISTS) -> int:
     return max(1, min(n_lists, n // 2))
 
 
-def _bounded_lists(n: int, width: int, n_lists: int) -> int:
-    return max(1, min(list_count(n, n_lists), P.PIVOT_ENTRIES // max(width, 1)))
+def _bounded_lists(n: int, width: int, n_lists: int | None) -> int:
+    """The number asked for; without one, as many as the broadcast of the centres allows."""
+    most = max(1, P.PIVOT_ENTRIES // max(width, 1))
+    if n_lists is None:
+        return min(list_count(n), most)
+    if n_lists > most:
+        raise ValueError(f"{n_lists} lists of {width} columns are more than the {most} that can be broadcast")
+    return list_count(n, n_lists)
 
 
 def ivf_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
-            n_lists: int = MAX_LISTS, n_probe: int = N_PROBE, iterations: int = 10) -> DataFrame:
+            n_lists: int | None = None, n_probe: int = N_PROBE, iterations: int = 10) -> DataFrame:
     """Neighbours among the members of the ``n_probe`` lists nearest to each point.
 
     All lists probed gives the exact answer. Long lists are split into chunks, so they cost time but
@@ -85,7 +81,7 @@ def train_codebooks(points: DataFrame, n: int, slices: list[slice], seed: int, i
     """
     spark, width = points.sparkSession, slices[-1].stop
     words = min(CODE_WORDS, n)
-    train = _train_rows(points, n, words, seed).select("v").persist()
+    train = points.select("v").persist()
     start = P.hash_pivots(points, words, width, seed)
     books = [start[:, s] for s in slices]
     for _ in range(iterations):
@@ -145,7 +141,7 @@ def _residuals(assigned: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def ivfpq_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
-              n_lists: int = MAX_LISTS, n_probe: int = N_PROBE, m: int | None = None,
+              n_lists: int | None = None, n_probe: int = N_PROBE, m: int | None = None,
               iterations: int = 10, refine: int = 0) -> DataFrame:
     """Inverted lists whose members travel as product-quantised residuals of their list's centre.
 
