@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballgraph.operators import evaluation as E
 from ballgraph.operators import topology as T
 from ballgraph.plans.catalog import Tables, query, rounded, sql_draw, sql_rounded as r_
 from ballgraph.plans.catalog_graph import SQL_PAIRS, SQL_PTS, low_layout
+from ballgraph.plans.experiment import run_experiment
 from ballgraph.plans.report import evaluate
+from ballgraph.sources.points import scan_points
 
 K_TRUST = 15
 SEED, REPEATS, SIZE = 3, 30, 100
@@ -89,3 +94,59 @@ def _wasserstein(t):
 def _report(t):
     layouts = {"first_two": low_layout(t)}
     return evaluate(t.vectors(), layouts, K_TRUST, loop_samples=40)
+
+
+GRID_K, GRID_SEEDS = [2, 3], [0, 1]
+
+
+def axes_layout(points, k, seed):
+    """A fixed layout for the oracle: the pair of vector entries that the seed names."""
+    return points.select("id", F.slice("v", 2 * seed + 1, 2).alias("y"))
+
+
+def trust_scores(points, layouts):
+    """(method, metric, value) with the one score of the report that SQL can follow cheaply."""
+    parts = [
+        E.trustworthiness(points, layout, K_TRUST).select(
+            F.lit(name).alias("method"), F.lit("trustworthiness").alias("metric"),
+            F.col("trustworthiness").alias("value"),
+        )
+        for name, layout in layouts.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def experiment(t: Tables):
+    """Grid, layouts, store, scores, report files, cube and statistics over two seeds and two k."""
+    points = scan_points(t.spark, f"{t.folder}/embeddings.parquet", "vec_id", "embedding")
+    return run_experiment(
+        {"embeddings": points}, {"axes": axes_layout}, t.folder_for("experiment"), GRID_K, GRID_SEEDS,
+        ["trustworthiness"], trust_scores,
+    )
+
+
+SQL_GRID = f"""WITH {SQL_PAIRS},
+  grid AS (SELECT k, seed FROM (SELECT unnest({GRID_K})::BIGINT AS k), (SELECT unnest({GRID_SEEDS})::BIGINT AS seed)),
+  rk AS (SELECT i, j, rank() OVER (PARTITION BY i ORDER BY d) AS rank FROM pr),
+  lo AS (SELECT seed, i, j FROM (SELECT seed, a.id AS i, b.id AS j, row_number() OVER (PARTITION BY seed, a.id
+      ORDER BY sqrt((a.v[2 * seed + 1] - b.v[2 * seed + 1]) ^ 2 + (a.v[2 * seed + 2] - b.v[2 * seed + 2]) ^ 2), b.id) AS r
+    FROM pts a, pts b, (SELECT DISTINCT seed FROM grid) WHERE a.id <> b.id) WHERE r <= {K_TRUST}),
+  n AS (SELECT count(*)::DOUBLE AS n FROM pts),
+  trust AS (SELECT seed, 1 - 2 / (any_value(n) * {K_TRUST} * (2 * any_value(n) - 3 * {K_TRUST} - 1))
+      * sum(greatest(rank - {K_TRUST}, 0)) AS value FROM lo JOIN rk USING (i, j), n GROUP BY seed),
+  cube AS (SELECT 'embeddings' AS dataset, 'axes' AS method, 'trustworthiness' AS metric, k, seed, value
+    FROM grid JOIN trust USING (seed))"""
+
+
+@query("q_experiment_cube", f"""{SQL_GRID}
+SELECT dataset, method, metric, k, seed, {r_("value", 9)} AS value FROM cube""")
+def _experiment_cube(t):
+    return experiment(t).cube.select("dataset", "method", "metric", "k", "seed", rounded("value", 9).alias("value"))
+
+
+@query("q_experiment_stats", f"""{SQL_GRID}
+SELECT dataset, metric, method, k, {r_("avg(value)", 9)} AS mean, {r_("stddev_samp(value)", 9)} AS std,
+  count(value) AS n_seeds FROM cube GROUP BY dataset, metric, method, k""")
+def _experiment_stats(t):
+    stats = experiment(t).stats
+    return stats.select("dataset", "metric", "method", "k", rounded("mean", 9).alias("mean"), rounded("std", 9).alias("std"), "n_seeds")
