@@ -348,3 +348,51 @@ def _svd_full(t):
     cells = t.vectors().select("id", F.posexplode("v").alias("pos", "value"))
     rows, _ = A.truncated_svd(cells.select("id", F.col("pos").cast("string").alias("term"), "value"), 64, passes=0)
     return products(t.saved(rows))
+
+
+LINE_COLUMNS = ["l_quantity", "l_extendedprice / 1000.0", "l_discount * 100.0", "l_tax * 100.0"]
+
+
+def _sql_power(name: str, matrix, steps: int = 300) -> str:
+    """CTEs with the leading eigenvector (u0..u3) and value of a 4 x 4 matrix of SQL expressions over ``cov``."""
+    row = lambda r: " + ".join(f"({matrix(r, c)}) * u{c}" for c in range(4))
+    size = "sqrt(" + " + ".join(f"y{c} * y{c}" for c in range(4)) + ")"
+    return f"""{name}_it AS (SELECT 0 AS step, 0.9::DOUBLE AS u0, 0.8::DOUBLE AS u1, 0.7::DOUBLE AS u2, 0.6::DOUBLE AS u3, 0.0::DOUBLE AS value
+      UNION ALL SELECT step + 1, {", ".join(f"y{c} / {size}" for c in range(4))}, {size}
+      FROM (SELECT step, {", ".join(f"{row(c)} AS y{c}" for c in range(4))} FROM {name}_it, cov{", first_" if name == "second" else ""}
+        WHERE step < {steps})),
+  {name}_ AS (SELECT {", ".join(f"u{c} AS {name[0]}{c}" for c in range(4))}, value AS {name[0]}v FROM {name}_it WHERE step = {steps})"""
+
+
+def _cov(r: int, c: int) -> str:
+    return f"c{min(r, c)}{max(r, c)}"
+
+
+_LINE_COV = ", ".join(f"covar_samp(x{r}, x{c}) AS c{r}{c}" for r in range(4) for c in range(r, 4))
+_CENTRED = lambda u: " + ".join(f"(x{c} - m{c}) * {u}{c}" for c in range(4))
+
+
+@query("q_pca_lines", f"""WITH RECURSIVE
+  rows_ AS (SELECT l_orderkey, l_linenumber, {", ".join(f"({e})::DOUBLE AS x{c}" for c, e in enumerate(LINE_COLUMNS))} FROM lineitem),
+  mean AS (SELECT {", ".join(f"avg(x{c}) AS m{c}" for c in range(4))} FROM rows_),
+  cov AS (SELECT {_LINE_COV} FROM rows_),
+  {_sql_power("first", _cov)},
+  {_sql_power("second", lambda r, c: f"{_cov(r, c)} - fv * f{r} * f{c}")}
+SELECT l_orderkey, l_linenumber, {r_("abs(" + _CENTRED("f") + ")", 5)} AS first, {r_("abs(" + _CENTRED("s") + ")", 5)} AS second
+FROM rows_, mean, first_, second_""")
+def _pca_lines(t):
+    """Two of four components: the size of every row's scores, which depends on components and their order."""
+    vector = F.array(*[F.expr(e).cast("double") for e in LINE_COLUMNS])
+    points = t["lineitem"].select(
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), "l_orderkey", "l_linenumber", vector.alias("v")
+    )
+    flat = A.pca(points, 2, 4)
+    return flat.select(
+        "l_orderkey", "l_linenumber", *[rounded(F.abs(F.col("v")[c]), 5).alias(n) for c, n in enumerate(("first", "second"))]
+    )
+
+
+@query("q_edges_in_range", f"""WITH {SQL_KNN}
+SELECT i, j, 1.0::DOUBLE AS w FROM knn WHERE i < 300 AND j < 300""")
+def _edges_in_range(t):
+    return G.in_range(G.knn_edges(knn(t)), 300)

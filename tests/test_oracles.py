@@ -1,12 +1,13 @@
 import pytest
 
 import __spark_entry__ as contract
+from ballgraph.plans import catalog
 from tests.compare import DATA, check
 
 FOLDER = f"{DATA}/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_agrees_with_sql(spark, name):
     ok, note = check(spark, name, FOLDER)
     assert ok, note
