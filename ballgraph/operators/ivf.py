@@ -46,15 +46,19 @@ def _bounded_lists(n: int, width: int, n_lists: int | None) -> int:
 
 
 def ivf_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
-            n_lists: int | None = None, n_probe: int = N_PROBE, iterations: int = 10) -> DataFrame:
+            n_lists: int | None = None, n_probe: int = N_PROBE, iterations: int = 10,
+            pivots: np.ndarray | None = None) -> DataFrame:
     """Neighbours among the members of the ``n_probe`` lists nearest to each point.
 
     All lists probed gives the exact answer. Long lists are split into chunks, so they cost time but
-    do not fill a task.
+    do not fill a task. ``pivots`` are centres known beforehand, one list each.
     """
+    given = pivots
 
     def search(vectors, n, width, keep, scratch):
-        pivots = centres(vectors, n, _bounded_lists(n, width, n_lists), seed, iterations)
+        pivots = given
+        if pivots is None:
+            pivots = centres(vectors, n, _bounded_lists(n, width, n_lists), seed, iterations)
         members, cells = P.split_cells(scratch.save(P.assign_cells(vectors, pivots), "cells"), pivots, n)
         members = scratch.save(members, "members")
         queries = members.select("id", "v", F.array(F.lit(float("inf"))).alias("aux"))

@@ -396,3 +396,26 @@ def _pca_lines(t):
 SELECT i, j, 1.0::DOUBLE AS w FROM knn WHERE i < 300 AND j < 300""")
 def _edges_in_range(t):
     return G.in_range(G.knn_edges(knn(t)), 300)
+
+
+PROBED = 3
+
+
+@query("q_knn_ivf_label_means", f"""WITH {SQL_PTS},
+  entries AS (SELECT label, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM pts),
+  centres AS (SELECT label, list(m ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS m FROM entries GROUP BY ALL) GROUP BY label),
+  ranked AS (SELECT id, label AS cell, row_number() OVER (PARTITION BY id ORDER BY list_distance(v, c), label) AS r
+    FROM (SELECT id, v FROM pts), centres),
+  pr AS (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d
+    FROM ranked p JOIN ranked h ON p.cell = h.cell AND h.r = 1 AND p.r <= {PROBED} AND p.id <> h.id
+    JOIN pts a ON a.id = p.id JOIN pts b ON b.id = h.id)
+SELECT * FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank, {r_('d')} AS d FROM pr)
+WHERE rank <= {KNN}""")
+def _knn_ivf_label_means(t):
+    """Fixed centres, the mean of each label, and few probes: the index answers for less than all pairs."""
+    cells = t.points().select("label", F.posexplode("v").alias("pos", "x"))
+    rows = cells.groupBy("label", "pos").agg(F.avg("x").alias("m")).groupBy("label").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("c")
+    ).select("label", F.col("c.m").alias("c")).orderBy("label").collect()  # one row per label
+    near = I.ivf_knn(t.vectors(), KNN, n_probe=PROBED, pivots=np.array([r["c"] for r in rows]))
+    return near.select("i", "j", F.col("rank").cast("bigint").alias("rank"), rounded("d").alias("d"))
