@@ -156,7 +156,10 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
 
 
 def prefix_edges(sets: DataFrame, cells: np.ndarray, buckets: int) -> DataFrame:
-    """(a, b): chains through the classes that share a prefix shingle, by size, where sizes allow a link."""
+    """(a, b): runs of classes that share a prefix shingle, by size, tied to their first.
+
+    A run ends where the next size allows no link, so two that can link are in one run.
+    """
     sent = sets.sparkSession.sparkContext.broadcast(np.minimum(cells, 2**31 - 1).astype(np.int32))
 
     def deal(batch):
@@ -173,18 +176,18 @@ def prefix_edges(sets: DataFrame, cells: np.ndarray, buckets: int) -> DataFrame:
             rows = _dealt(np.concatenate(keys), buckets, np.concatenate(owners), np.concatenate(sizes))
             yield dict(zip(("bucket", "keys", "owners", "sizes"), rows))
 
-    def chain(table: pa.Table) -> pa.Table:
+    def tie(table: pa.Table) -> pa.Table:
         keys, owners, sizes = _unpacked(table, np.uint64, np.int64, np.int64)
         order = np.lexsort((owners, sizes, keys))
         keys, owners, sizes = keys[order], owners[order], sizes[order]
-        near = (keys[1:] == keys[:-1]) & (5 * sizes[:-1] >= 4 * sizes[1:])
-        a, b = owners[:-1][near], owners[1:][near]
+        near = np.append(False, (keys[1:] == keys[:-1]) & (5 * sizes[:-1] >= 4 * sizes[1:]))
+        a, b = owners[np.maximum.accumulate(np.where(near, 0, np.arange(len(near))))][near], owners[near]
         if len(a):
             a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0).T
         return pa.table({"a": a, "b": b})
 
     dealt = arrow_rows(sets.select("cls", "s"), deal, "bucket int, keys binary, owners binary, sizes binary")
-    return dealt.groupBy("bucket").applyInArrow(chain, "a bigint, b bigint").distinct()
+    return dealt.groupBy("bucket").applyInArrow(tie, "a bigint, b bigint").distinct()
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
