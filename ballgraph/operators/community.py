@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,13 +58,14 @@ def _score_before(moved: DataFrame, loops: float, whole: float, resolution: floa
     return (row.inside + loops) / whole - resolution * row.square / (whole * whole)
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 5, max_rounds: int = 10,
+def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 50, max_rounds: int = 100,
             min_gain: float = 1e-4, seed: int = 0) -> DataFrame:
     """(id, c): communities by repeated best moves and contraction of the graph.
 
     All nodes of one half, drawn anew per two rounds, move at once; the other half keeps still, which
     stops neighbours from swapping places. The best round of a level counts, so modularity never falls; a
-    level ends after two rounds, the whole after one level, that gain less than ``min_gain``.
+    level ends after two rounds, the whole after one level, that gain less than ``min_gain``. The numbers of rounds
+    and levels are only a guard; reaching one gives a warning.
     """
     scratch = Scratch(edges.sparkSession, "louvain")
     level = scratch.save(edges.select("i", "j", "w"), "edges0")
@@ -87,6 +90,8 @@ def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 5, max_
             if quiet == 2:
                 break
             current = moved
+        else:
+            warnings.warn(f"level {depth} of the communities stopped after {max_rounds + 1} rounds", stacklevel=2)
         if best <= start + min_gain:
             break
         lift = members.selectExpr("id AS c", "c AS to")
@@ -97,4 +102,6 @@ def louvain(edges: DataFrame, resolution: float = 1.0, max_levels: int = 5, max_
             .agg(F.sum("w").alias("w")),
             f"edges{depth}",
         )
+    else:
+        warnings.warn(f"the communities stopped after {max_levels} levels", stacklevel=2)
     return result

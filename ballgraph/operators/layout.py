@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ JITTER = 1e-4
 EMPTY_SPREAD = 1e-3
 SPAN_FLOOR = 1e-8
 STD_FLOOR = 1e-6
+TOLERANCE = 1e-5     # of the eigenvectors' residual
+MAX_ROUNDS = 30
 
 
 def box_scale(layout: DataFrame, n_components: int, jitter: float, seed: int,
@@ -101,12 +105,13 @@ def _filtered(edges: DataFrame, block: DataFrame, width: int, cut: float, degree
 
 
 def leading_eigenvectors(
-    adjacency: DataFrame, degree_root: DataFrame, n: int, n_vectors: int, rounds: int = 3,
-    degree: int = 10, oversample: int = 6, seed: int = 0,
+    adjacency: DataFrame, degree_root: DataFrame, n: int, n_vectors: int, rounds: int = MAX_ROUNDS,
+    degree: int = 10, oversample: int = 6, seed: int = 0, tolerance: float = TOLERANCE,
 ) -> tuple[DataFrame, np.ndarray]:
     """Largest eigenpairs of a normalised adjacency (i, j, w) by Chebyshev-filtered subspace iteration.
 
-    The known top vector, the root of the degrees, is the first column of the start block.
+    The known top vector, the root of the degrees, is the first column of the start block. Rounds end when no wanted
+    pair's residual, the length of A q - value q, is above ``tolerance``; a warning tells if that took too many.
     """
     scratch = Scratch(adjacency.sparkSession, "spectral")
     edges = scratch.save(adjacency.select("i", "j", "w"), "edges")
@@ -126,11 +131,20 @@ def leading_eigenvectors(
             *[F.expr(f"sum({q} * w) AS {q}") for q in qs]
         ).selectExpr("id", f"array({', '.join(qs)}) AS p")
         both = block.join(image, "id").select("id", F.concat("q", "p").alias("q"))
-        small_problem = block_gram(both, 2 * width)[:width, width:]
+        products = block_gram(both, 2 * width)
+        small_problem = products[:width, width:]
         values, vectors = np.linalg.eigh((small_problem + small_problem.T) / 2.0)
         values, vectors = values[::-1], vectors[:, ::-1]
         block = rotate(block, "id", vectors)
+        # of q = Q s: |A q|^2 - 2 value q.Aq + value^2
+        image_sq = np.einsum("ac,ab,bc->c", vectors, products[width:, width:], vectors)
+        along = np.einsum("ac,ab,bc->c", vectors, small_problem, vectors)
+        residual = np.sqrt(np.maximum(image_sq - 2.0 * values * along + values ** 2, 0.0))[:n_vectors].max()
+        if residual <= tolerance:
+            break
         cut = float(np.clip(values[-1], -0.9, 0.999))
+    if residual > tolerance:
+        warnings.warn(f"the spectral layout stopped after {rounds} rounds with a residual of {residual:.1e}", stacklevel=2)
     picked = block.select("id", F.slice("q", 1, n_vectors).alias("q"))
     return picked, values[:n_vectors]
 
