@@ -23,11 +23,12 @@ COMMON_WORDS = (
 #: Character classes counted by pattern; white space and all other characters are two more bins.
 CLASSES = ("[^A-Z]+", "[^0-9]+", "[^#*$%&|<>]+", "[^!\"'()+,./:;=?@\\[\\]^_`{}~\\\\-]+")
 
-#: Verdict: divergence in bits above which a document is rejected, and the least length that is judged.
+#: Verdict: divergence in bits above which a document is rejected, and the least length that is judged. Against the
+#: labels of 10,000 documents these reject none of 3,243 good ones; at 100 words, chance alone rejects one.
 MAX_CHAR_DIVERGENCE = 0.08
 MIN_CHARS = 300
 MAX_WORD_DIVERGENCE = 0.06
-MIN_WORDS = 100
+MIN_WORDS = 150
 
 VERDICTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_divergence", "word_divergence",
