@@ -10,6 +10,7 @@ NEIGHBORS = [2, 3, 5, 8, 13, 21, 34, 55]
 SEEDS = [0, 1, 2, 3, 4]
 METRICS = ["trustworthiness", "pca_procrustes", "Wass_H0", "Wass_H1"]
 
+# Fixed value: the name of a report file.
 REPORT_NAME = r"([^/\\]+)__(\d+)__(\d+)\.json$"
 
 SCORE_SCHEMA = "dataset string, method string, metric string, k bigint, seed bigint, value double"
