@@ -21,6 +21,7 @@ def _distances(x: np.ndarray, metric: str) -> np.ndarray:
     if metric == "cosine":
         d = 1.0 - x @ x.T
     else:
+        x = x - x.mean(axis=0)  # far from the origin the squares would cancel
         sq = (x * x).sum(axis=1)
         d = np.sqrt(np.maximum(sq[:, None] + sq - 2.0 * (x @ x.T), 0.0))
     d = np.maximum((d + d.T) / 2.0, 0.0)
