@@ -67,12 +67,16 @@ class Template:
             begin = at + 1
         return "".join(parts)
 
-    def read(self, ids: np.ndarray) -> tuple[str, str]:
-        """(role, text) back from the ids of a turn."""
+    def read(self, ids: np.ndarray) -> tuple[str, str, int, int, int]:
+        """(role, escaped text, its begin and end among the ids, characters of the rendered turn)."""
         marks = np.flatnonzero(ids >= self.base)
         head = ids[0] - self.base
-        role = ROLES[head] if head < OTHER else unescape(self.render(ids[1:marks[1]]))
-        return role, unescape(self.render(ids[(marks[0] if head < OTHER else marks[1]) + 1:marks[-1]]))
+        begin, end = int(marks[0 if head < OTHER else 1]) + 1, int(marks[-1])
+        text = self.render(ids[begin:end])
+        name = "" if head < OTHER else self.render(ids[1:begin - 1])
+        role = ROLES[head] if head < OTHER else unescape(name)
+        shown = sum(len(RESERVED[ids[m] - self.base]) for m in marks) + len(name) + len(text)
+        return role, text, begin, end, shown
 
 
 _WORKER: dict[int, Template] = {}
@@ -159,13 +163,16 @@ def read_back(formatted: DataFrame, tokenizer_path: str) -> DataFrame:
                         done.append(row(now))
                     now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 own = flat[cuts[n]:cuts[n + 1]]
-                role, text = template.read(own)
+                role, text, first, last, shown = template.read(own)
+                plain = unescape(text)
                 now[1] += 1
-                now[2].update(f"{role}\n{text}\n".encode())
-                trained = unescape(template.render(own[begin - start:end - start]))
-                now[3] += len(trained)
-                now[4].update(trained.encode())
-                now[5] += len(template.render(own))
+                now[2].update(f"{role}\n{plain}\n".encode())
+                if end > begin:
+                    same = (begin - start, end - start) == (first, last)
+                    trained = plain if same else unescape(template.render(own[begin - start:end - start]))
+                    now[3] += len(trained)
+                    now[4].update(trained.encode())
+                now[5] += shown
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=names)
         if now is not None:
