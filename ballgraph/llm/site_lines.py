@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ballgraph.llm.common import BROADCAST_ROWS
 from ballgraph.session import Scratch
 
-#: Share of a host's pages above which a line is boilerplate, and pages it must be on at least. Copies of whole pages
-#: are for near-duplicate removal to find; a lower share would empty a page that many copies hold.
+#: Share of a host's pages above which a line is boilerplate, and pages it must be on at least. Where rows are counted,
+#: a page that many copies hold can be emptied; the pipeline counts distinct texts.
 RATIO = 0.08
 MIN_PAGES = 5
 #: Parts into which a hot line's rows are dealt when the boilerplate list is too long to broadcast.
@@ -28,12 +28,26 @@ def _has_word(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
-def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
-    """(h, k, pages, share): lines on more than ``ratio`` of the pages of host ``h`` and on ``min_pages`` at least."""
-    rows = docs.select(F.col(host).alias("h"), F.split(F.col(text), "\n").alias("lines"))
-    lines = rows.select("h", F.explode(F.array_distinct("lines")).alias("line")).where(_has_word(F.col("line")))
-    found = lines.groupBy("h", _key(F.col("line")).alias("k")).agg(F.count("*").alias("pages"))
-    totals = docs.groupBy(F.col(host).alias("h")).agg(F.count("*").alias("total"))
+def boilerplate_lines(
+    docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, distinct: bool = False
+) -> DataFrame:
+    """(h, k, pages, share): lines on more than ``ratio`` of the pages of host ``h`` and on ``min_pages`` at least.
+
+    With ``distinct``, pages of a host that are equal byte by byte are one page; line keys, not texts, are shuffled.
+    """
+    if distinct:
+        own = docs.select(F.col(host).alias("h"), _key(F.col(text)).alias("page"), F.col(text).alias("t"))
+        keys = F.transform(F.filter(F.array_distinct(F.split("t", "\n")), _has_word), _key)
+        lines = own.groupBy("h", "page").agg(F.first(keys).alias("keys")).select("h", F.explode("keys").alias("k"))
+        pages = own.select("h", "page").distinct()
+    else:
+        rows = docs.select(F.col(host).alias("h"), F.split(F.col(text), "\n").alias("lines"))
+        lines = rows.select("h", F.explode(F.array_distinct("lines")).alias("line")).where(
+            _has_word(F.col("line"))
+        ).select("h", _key(F.col("line")).alias("k"))
+        pages = docs.select(F.col(host).alias("h"))
+    found = lines.groupBy("h", "k").agg(F.count("*").alias("pages"))
+    totals = pages.groupBy("h").agg(F.count("*").alias("total"))
     found = found.where(F.col("pages") >= min_pages).alias("f").join(
         totals.alias("t"), F.col("f.h").eqNullSafe(F.col("t.h"))
     )
@@ -44,7 +58,7 @@ def boilerplate_lines(docs: DataFrame, host: str, text: str, ratio: float, min_p
 
 def drop_boilerplate(
     docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    counts: bool = False, broadcast_rows: int = BROADCAST_ROWS,
+    counts: bool = False, broadcast_rows: int = BROADCAST_ROWS, distinct: bool = False,
 ) -> DataFrame:
     """The documents without their host's boilerplate lines; all columns and rows stay.
 
@@ -52,9 +66,10 @@ def drop_boilerplate(
     boilerplate. A null host is a host of its own, a null text stays null and counts as a page, repeated rows are
     pages of their own, and an empty table stays empty. ``counts`` adds ``n_lines`` and ``n_dropped``, replacing
     columns of that name. With more than ``broadcast_rows`` boilerplate lines, lines are joined in salted parts.
+    With ``distinct``, equal texts of a host count as one page, in a line's pages and in the host's.
     """
     scratch = Scratch(docs.sparkSession, "site-lines")
-    bad = scratch.save(boilerplate_lines(docs, host, text, ratio, min_pages).select("h", "k"), "bad")
+    bad = scratch.save(boilerplate_lines(docs, host, text, ratio, min_pages, distinct).select("h", "k"), "bad")
     columns = docs.columns
     if bad.count() <= broadcast_rows:
         lists = bad.groupBy(F.col("h").alias("_bg_h")).agg(F.collect_list("k").alias("_bg_bad"))

@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go from its documents; all documents stay."""
-    return drop_boilerplate(docs)
+    """Boilerplate lines of a source go from its documents; all documents stay, and copies count as one."""
+    return drop_boilerplate(docs, distinct=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

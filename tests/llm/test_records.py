@@ -235,3 +235,24 @@ def test_pipeline(spark, tmp_path):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert not any("very common footer" in t for t in texts.values())
     assert all(texts[n].count("\n") == 2 for n in texts)
+
+
+def test_pipeline_keeps_one_of_a_text_in_a_third_of_the_pages(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    common = "the of and to in a is that it for on was".split()
+    word = lambda: rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("etaoinshr") for _ in range(6))
+    body = lambda: "\n".join(" ".join(word() for _ in range(50)) for _ in range(4))
+    copied, footer = body(), "a footer of this site"
+    # the footer is on 10 % of the 80 distinct texts and on less than 8 % of the 120 rows
+    texts = [copied if n % 3 == 0 else body() + ("\n" + footer if n % 15 == 1 else "") for n in range(120)]
+    rows = [(n, t, "en", "site", len(t)) for n, t in enumerate(texts)]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = Scratch(spark, "test").save(stage(spark, docs, str(tmp_path)), "stage")
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert left == {0: copied} | {n: t.removesuffix("\n" + footer) for n, t in enumerate(texts) if n % 3}

@@ -57,6 +57,17 @@ def test_quality_verdict(spark):
     assert {r.doc_id for r in divergence.quality(docs).where("kept").collect()} == set(range(40))
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_distinct_pages(spark, limit):
+    rows = [(n, "big", "copied\nown text") for n in range(40)] + [(100 + n, "big", f"own {n}\nfoot") for n in range(6)]
+    rows += [(200 + n, "big", f"own {n} too") for n in range(30)] + [(300, "big", None), (301, "big", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    out = drop_boilerplate(docs, ratio=0.15, min_pages=5, broadcast_rows=limit, distinct=True)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {n: None if t is None else t.removesuffix("\nfoot") for n, _, t in rows}
+    assert drop_boilerplate(docs.limit(0), distinct=True).count() == 0
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_lines(spark, limit):
     rows = [(n, "big", f"top line\nown {n}\n\n  \nown {n}\nfoot {n % 2}") for n in range(20)]
