@@ -17,8 +17,8 @@ from ballgraph.session import Scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return drop_rejected(docs)
+    """Documents that the quality rules reject go; short ones are judged with a threshold for their length."""
+    return drop_rejected(docs, by_length=True)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,18 @@ def test_quality_verdict(spark):
     assert {r.doc_id for r in divergence.quality(docs).where("kept").collect()} == set(range(40))
 
 
+def test_short_texts_are_judged_by_length(spark):
+    rng = random.Random(7)
+    common = "the of and to in a is that it for on was".split()
+    odd = lambda: "".join(rng.choice("etaoinshr") for _ in range(6))
+    usual = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else odd() for _ in range(n))
+    texts = [usual(300) for _ in range(40)] + [usual(n) for n in (60, 80, 100, 120, 140)]
+    texts += [" ".join(odd() for _ in range(n)) for n in (110, 130, 149, 151, 300)]
+    docs = spark.createDataFrame([(n, t, "en") for n, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in divergence.quality(docs, by_length=True).where("kept").collect()} == set(range(45))
+    assert {r.doc_id for r in divergence.drop_rejected(docs, by_length=True).collect()} == set(range(45))
+
+
 @pytest.mark.parametrize("limit", [200_000, 0])
 def test_distinct_pages(spark, limit):
     rows = [(n, "big", "copied\nown text") for n in range(40)] + [(100 + n, "big", f"own {n}\nfoot") for n in range(6)]
