@@ -22,7 +22,7 @@ from ballgraph.llm.common import arrow_rows
 CRLF = "\r\n"
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -35,9 +35,12 @@ _LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "
 
 
 def page_content(page: str) -> tuple[str, dict]:
-    """(text, {title, metas, links}) of an HTML page. Text lines follow block elements; scripts and comments go."""
+    """(text, {title, metas, links}) of an HTML page. Text lines follow block elements.
+
+    Comments, scripts, styles and templates go, unless their tag closes itself; the title of a drawing is not the page's.
+    """
     text, links, metas, title = [], [], [], None
-    at, title_at = 0, None
+    at, title_at, drawings = 0, None, 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
             text.append(page[at:m.start()])
@@ -48,7 +51,9 @@ def page_content(page: str) -> tuple[str, dict]:
         name = name.lower()
         if name in _BLOCKS:
             text.append("\n")
-        if name == "title":
+        if name == "svg" and not m.group(4).endswith("/"):
+            drawings = max(0, drawings + (-1 if m.group(2) else 1))
+        if name == "title" and not drawings:
             if m.group(2) and title_at is not None and title is None:
                 title = html.unescape("".join(text[title_at:])).strip()
             title_at = None if m.group(2) else len(text)

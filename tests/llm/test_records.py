@@ -81,6 +81,15 @@ def test_page_content():
         warc.page_content(odd)
 
 
+def test_self_closed_elements_swallow_nothing():
+    page = '<p>one<svg class="i"/> two <a href="/a">three</a><script src="x.js"/> four<template/> five'
+    text, found = warc.page_content(page + "<script>no</script><style>no</style><template>no</template></p>")
+    assert text == "one two three four five" and [x["url"] for x in found["links"]] == ["/a"]
+    text, found = warc.page_content("<svg><title>icon</title></svg><title>page</title><noscript>a</noscript> <textarea>b</textarea>")
+    assert found["title"] == "page" and text.endswith("a b")
+    assert warc.page_content("a<svg/>b")[0] == "ab"
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a.com/", PAGE), (2, "http://a.com/\r\nX: y", ""), (3, None, None), (None, "http://b.com", "<p>x"), (1, "http://a.com/", PAGE)]
     pages = spark.createDataFrame([Row(page_id=a, url=b, html=c, record="clash") for a, b, c in rows], "page_id bigint, url string, html string, record string")
