@@ -397,11 +397,11 @@ def _fit_epoch(t):
 
 @query("q_embed")
 def _embed(t):
-    return fit(t.vectors(), n_epochs=10, epochs_print=10).embedding.select(
+    return fit(t.vectors()).embedding.select(
         "id", *[F.get("y", F.lit(c)).alias(f"y{c}") for c in (0, 1)]
     )
 
 
 @query("q_fit_log")
 def _fit_log(t):
-    return fit(t.vectors(), n_epochs=5, epochs_print=1, nn_method="exact").log
+    return fit(t.vectors()).log

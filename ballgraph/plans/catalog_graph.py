@@ -189,7 +189,7 @@ def _init_pca(t):
 @query("q_spectral")
 def _spectral(t):
     points = t.vectors()
-    layout = Y.spectral_layout(points, G.knn_edges(knn(t)), points.count(), 2, rounds=2, degree=8)
+    layout = Y.spectral_layout(points, G.knn_edges(knn(t)), points.count(), 2)
     return two_columns(layout, 3)
 
 
@@ -236,7 +236,7 @@ def listed(near):
 
 @query("q_knn_nndescent")
 def _nndescent(t):
-    return listed(knn_by(t.vectors(), KNN, "nndescent", init="random", max_rounds=6))
+    return listed(knn_by(t.vectors(), KNN, "nndescent"))
 
 
 @query("q_knn_ivf")
@@ -259,7 +259,7 @@ def _pq(t):
     points = t.vectors()
     width = points.select(F.size("v")).first()[0]
     slices = I.subspaces(width)
-    coded = I.encode(points, slices, I.train_codebooks(points, points.count(), slices, 0, iterations=5))
+    coded = I.encode(points, slices, I.train_codebooks(points, points.count(), slices, 0))
     return coded.select("id", F.posexplode("codes").alias("pos", "code")).withColumn(
         "pos", F.col("pos").cast("bigint")
     )
@@ -281,7 +281,7 @@ def _ivf_all(t):
 @query("q_knn_ivfpq_all_refined", SQL_LISTED)
 def _ivfpq_all(t):
     points = t.vectors()
-    return listed(knn_by(points, KNN, "ivfpq", n_lists=4, n_probe=4, iterations=3, refine=points.count()))
+    return listed(knn_by(points, KNN, "ivfpq", n_lists=4, n_probe=4, refine=points.count()))
 
 
 @query("q_knn_lsh_one_bucket", SQL_LISTED)

@@ -12,7 +12,7 @@ from ballgraph.operators import topology as T
 from ballgraph.plans.catalog import Tables, query, rounded, sql_draw, sql_rounded as r_
 from ballgraph.plans.catalog_graph import SQL_PAIRS, SQL_PTS, low_layout
 from ballgraph.plans.experiment import run_experiment
-from ballgraph.plans.report import evaluate
+from ballgraph.plans.report import LOOP_SAMPLE, evaluate
 from ballgraph.sources.points import scan_points
 
 K_TRUST = 15
@@ -79,7 +79,7 @@ def _h0(t):
 
 @query("q_h1_diagram")
 def _h1(t):
-    small = T.both_spaces(t.vectors(), low_layout(t), REPEATS, 40, SEED)
+    small = T.both_spaces(t.vectors(), low_layout(t), REPEATS, LOOP_SAMPLE, SEED)
     bars = T.diagrams(small, 1).where("dim = 1")
     return bars.withColumns({c: rounded(c) for c in ("birth", "death")})
 
@@ -93,7 +93,7 @@ def _wasserstein(t):
 @query("q_report")
 def _report(t):
     layouts = {"first_two": low_layout(t)}
-    return evaluate(t.vectors(), layouts, K_TRUST, loop_samples=40)
+    return evaluate(t.vectors(), layouts, K_TRUST)
 
 
 GRID_K, GRID_SEEDS = [2, 3], [0, 1]
