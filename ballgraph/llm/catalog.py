@@ -117,3 +117,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from ballgraph.llm.jaccard import jaccard_join
 
     return jaccard_join(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.whitening import whiten
+
+    return whiten(table(spark, folder, "embeddings"))
