@@ -119,6 +119,13 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+@query("op11_merkle_manifest", oracles.MANIFEST)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from ballgraph.llm.manifest import manifest
+
+    return manifest(table(spark, folder, "documents"))
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     from ballgraph.llm.whitening import whiten

@@ -114,3 +114,66 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sum(chars + marks)::BIGINT AS formatted_chars
 FROM rows_ GROUP BY conv_id
 """
+
+
+def _crc32(blob: str) -> str:
+    """Unsigned CRC-32 of a blob, four bits a step; the table is that of the reflected polynomial EDB88320."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    four_bits = (
+        f"list_transform(range(0, 2 * octet_length({blob})), lambda k: instr('0123456789ABCDEF', "
+        f"substr(hex({blob}), xor(k, 1) + 1, 1)) - 1)"
+    )
+    step = f"xor(c >> 4, ({table}::BIGINT[])[(xor(c, x) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {four_bits}), lambda c, x: {step}), 4294967295)"
+
+
+def _cell(name: str) -> str:
+    return f"CASE WHEN {name} IS NULL THEN '-' ELSE strlen({name}::VARCHAR) || ':' || {name}::VARCHAR END"
+
+
+def _digest(n_chars: str) -> str:
+    cells = [_cell(c) for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(cells)})"
+
+
+MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+    SELECT row_number() OVER () AS r, doc_id, lang, {_digest('n_chars')} AS leaf,
+           CASE WHEN {_crc32('encode(doc_id::VARCHAR)')} % 7 = 0 THEN {_digest('(n_chars + 1)')} END AS forged
+    FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+                  count(*) OVER (PARTITION BY lang) AS total FROM leaves),
+tree AS (SELECT 0 AS lvl, lang, i, leaf AS h, total FROM placed
+         UNION ALL
+         SELECT lvl + 1, lang, i // 2, sha256(string_agg(h, '' ORDER BY i)), (total + 1) // 2 FROM tree WHERE total > 1
+         GROUP BY lvl, lang, i // 2, total),
+subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS total
+             FROM tree WHERE total = 1),
+upper AS (SELECT 0 AS lvl, i, subroot AS h, total FROM subroots
+          UNION ALL
+          SELECT lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (total + 1) // 2 FROM upper WHERE total > 1
+          GROUP BY lvl, i // 2, total),
+steps AS (
+    SELECT p.r, l.lvl, (p.i >> l.lvl) & 1 AS odd, s.h
+    FROM placed p JOIN (SELECT DISTINCT lang, lvl FROM tree WHERE total > 1) l ON p.lang IS NOT DISTINCT FROM l.lang
+    LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM p.lang AND s.lvl = l.lvl AND s.i = xor(p.i >> l.lvl, 1)
+    UNION ALL
+    SELECT p.r, 1000 + l.lvl, (g.i >> l.lvl) & 1, s.h
+    FROM placed p JOIN subroots g ON p.lang IS NOT DISTINCT FROM g.lang
+    JOIN (SELECT DISTINCT lvl FROM upper WHERE total > 1) l ON true
+    LEFT JOIN upper s ON s.lvl = l.lvl AND s.i = xor(g.i >> l.lvl, 1)),
+proofs AS (SELECT r, sha256(coalesce(string_agg(h, '' ORDER BY lvl), '')) AS proof_sha256,
+                  list({{'odd': odd, 'h': h}} ORDER BY lvl) AS steps FROM steps GROUP BY r),
+folded AS (
+    SELECT p.*, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+           list_reduce(list_prepend({{'odd': 0::BIGINT, 'h': coalesce(forged, leaf)}}, coalesce(steps, [])),
+               lambda a, s: {{'odd': 0::BIGINT, 'h': sha256(CASE WHEN s.h IS NULL THEN a.h WHEN s.odd = 1 THEN s.h || a.h
+                                                     ELSE a.h || s.h END)}}).h AS folded_root
+    FROM placed p LEFT JOIN proofs USING (r))
+SELECT doc_id, f.lang, f.i::BIGINT AS coord, leaf, subroot, h AS root, proof_sha256, folded_root, folded_root = h AS verified
+FROM folded f JOIN subroots g ON f.lang IS NOT DISTINCT FROM g.lang JOIN (SELECT h FROM upper WHERE total = 1) ON true
+"""
