@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ballgraph.llm import oracles
+from ballgraph.llm import oracles, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,6 +126,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(table(spark, folder, "documents"))
 
 
+@query("op12_ring_shards", oracles.shards(40, sharding.VIRTUAL_NODES, sharding.WAVES, sharding.PARTS))
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, folder, "documents"), 40)
+
+
 @query("op13_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     from ballgraph.llm.whitening import whiten

@@ -117,18 +117,15 @@ FROM rows_ GROUP BY conv_id
 
 
 def _crc32(blob: str) -> str:
-    """Unsigned CRC-32 of a blob, four bits a step; the table is that of the reflected polynomial EDB88320."""
+    """Unsigned CRC-32 of a blob byte by byte; the table is that of the reflected polynomial EDB88320."""
     table = []
-    for n in range(16):
-        for _ in range(4):
+    for n in range(256):
+        for _ in range(8):
             n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
         table.append(n)
-    four_bits = (
-        f"list_transform(range(0, 2 * octet_length({blob})), lambda k: instr('0123456789ABCDEF', "
-        f"substr(hex({blob}), xor(k, 1) + 1, 1)) - 1)"
-    )
-    step = f"xor(c >> 4, ({table}::BIGINT[])[(xor(c, x) & 15) + 1])"
-    return f"xor(list_reduce(list_prepend(4294967295, {four_bits}), lambda c, x: {step}), 4294967295)"
+    values = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda x: ('0x' || x)::BIGINT)"
+    step = f"xor(c >> 8, ({table}::BIGINT[])[(xor(c, x) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, {values}), lambda c, x: {step}), 4294967295)"
 
 
 def _cell(name: str) -> str:
@@ -177,3 +174,36 @@ folded AS (
 SELECT doc_id, f.lang, f.i::BIGINT AS coord, leaf, subroot, h AS root, proof_sha256, folded_root, folded_root = h AS verified
 FROM folded f JOIN subroots g ON f.lang IS NOT DISTINCT FROM g.lang JOIN (SELECT h FROM upper WHERE total = 1) ON true
 """
+
+
+def _draw(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
+
+
+def shards(n: int, virtual_nodes: int, waves: int, parts: int) -> str:
+    """Rows one by one in the order of their arrival, each to the first shard on its way that has room."""
+    arcs, row = n * virtual_nodes, "doc_id, size, text_crc32"
+    return f"""
+WITH RECURSIVE ring AS (
+    SELECT s.s, pos, row_number() OVER (ORDER BY pos, s.s) - 1 AS arc
+    FROM (SELECT s, {_draw("'ring'", 's', 'v')} AS pos FROM range({n}) a(s), range({virtual_nodes}) b(v)) s),
+rows_ AS (SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, {_crc32("encode(coalesce(text, ''))")} AS text_crc32 FROM documents),
+hashed AS (SELECT *, {_draw("'key'", 'doc_id')} AS pos, {_draw("'wave'", row)} % {waves} AS wave,
+                  {_draw("'part'", row)} % {parts} AS part FROM rows_),
+arced AS (SELECT h.*, (SELECT count(*) FROM ring WHERE ring.pos < h.pos) % {arcs} AS arc FROM hashed h),
+ordered AS (SELECT *, row_number() OVER (ORDER BY wave, arc, part, pos, {row}) AS nth, count(*) OVER () AS total FROM arced),
+near AS (SELECT o.arc, s, min((ring.arc - o.arc + {arcs}) % {arcs}) AS far
+         FROM (SELECT DISTINCT arc FROM ordered) o, ring GROUP BY o.arc, s),
+walks AS (SELECT arc, list(s ORDER BY far) AS walk FROM near GROUP BY arc),
+arrivals AS (SELECT nth, walk, list_transform(range(0, {n}), lambda s: total // {n} + (CASE WHEN s < total % {n} THEN 1 ELSE 0 END)) AS room
+             FROM ordered JOIN walks USING (arc)),
+filled AS (
+    SELECT 0::BIGINT AS nth, list_transform(range(0, {n}), lambda s: 0::BIGINT) AS held, NULL::BIGINT AS shard
+    UNION ALL
+    SELECT nth, list_transform(held, lambda x, i: CASE WHEN i - 1 = shard THEN x + 1 ELSE x END), shard
+    FROM (SELECT a.nth, held, list_filter(walk, lambda s: held[s + 1] < room[s + 1])[1] AS shard
+          FROM filled f JOIN arrivals a ON a.nth = f.nth + 1))
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+       held[shard + 1] - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM ordered JOIN filled USING (nth)
+"""
