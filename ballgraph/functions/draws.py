@@ -13,6 +13,10 @@ import math
 DRAW_BITS = 60
 
 
+class Key(str):
+    """A constant of a draw that is the value of a column, such as the epoch of rows drawn for several epochs."""
+
+
 def number(x) -> str:
     """A double literal."""
     return f"({float(x)!r}D)"
@@ -24,6 +28,9 @@ def draw(consts: tuple, *cols: str, hasher: str = "xxhash64") -> str:
     ``md5`` gives the same integers in any engine that has md5; ``xxhash64`` is the fast default.
     """
     const = "'" + "|".join(str(c) for c in consts) + "'"
+    if any(isinstance(c, Key) for c in consts):
+        texts = [f"cast({c} AS string)" if isinstance(c, Key) else f"'{c}'" for c in consts]
+        const = f"concat_ws('|', {', '.join(texts)})"
     if hasher == "md5":
         text = ", ".join([const, *(f"cast({c} AS string)" for c in cols)])
         return f"cast(conv(substr(md5(concat_ws('|', {text})), 1, {DRAW_BITS // 4}), 16, 10) AS bigint)"

@@ -158,6 +158,20 @@ def discrete_radii(triplets: DataFrame, packed: DataFrame, beta: float = 10.0) -
     return add_columns(rows, [f"{n}_{c}" for n in "vn" for c in "ijk"], radius, {"r": "double"})
 
 
+def weighted_candidates_discrete(packed: DataFrame, max_d: float, beta: float = 10.0) -> DataFrame:
+    """``weighted_candidates`` with the discrete radius: every candidate meets the neighbours of its three corners once."""
+    lists = packed.select("i", "js")
+    rows = candidate_triangles(lists).select("i", "j", F.posexplode_outer("ks").alias("pos", "k"))
+    real = rows.where("k IS NOT NULL")
+    w = F.exp(F.col("r") * F.lit(-2.0 / max(float(max_d), REACH_FLOOR)))
+    weighed = discrete_radii(real, packed, beta).withColumn("w", w).select("i", "j", "pos", "k", "w")
+    bare = rows.where("k IS NULL").select("i", "j", F.expr("0 AS pos"), "k", F.lit(None).cast("double").alias("w"))
+    lined = weighed.union(bare).groupBy("i", "j").agg(
+        F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("pos", "k", "w")))).alias("l")
+    )
+    return lined.select("i", "j", F.col("l.k").alias("ks"), F.col("l.w").alias("ws"))
+
+
 def triangle_weights(
     triplets: DataFrame, points: DataFrame, packed: DataFrame | None, max_d: float,
     mode: str = "euclidean", soft: bool = True, beta: float = 10.0, beta_discrete: float = 10.0,

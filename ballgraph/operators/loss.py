@@ -73,22 +73,31 @@ def gradient_rows(
     ``loss`` books each triangle's loss with its first corner, so one pass yields both.
     """
     scale = number(float(alpha) / max(n_positive, 1))
-    ys = coords(n_components)
     rows = losses.selectExpr(
-        *[f"{c}_{y}" for c in "ijk" for y in ys], "i", "j", "k",
+        *[f"{c}_{y}" for c in "ijk" for y in coords(n_components)], "i", "j", "k", *_forces(n_positive, scale)
+    )
+    return rows.selectExpr(f"inline(array({', '.join(f'struct({x})' for x in _corner_pulls(n_components))}))")
+
+
+def _forces(n_positive: int, scale: str) -> list[str]:
+    """The share of a triangle's loss, and its pull along the sides per unit of length."""
+    return [
         f"loss / {number(max(n_positive, 1))} AS share",
         *[f"CASE WHEN {s} > 0 THEN pull * {scale} * r{s} / {s} ELSE 0D END AS f{s}" for s in "abc"],
-    )
+    ]
+
 
+def _corner_pulls(n_components: int) -> list[str]:
+    """id, g0.., loss of the corners of a triangle."""
     def push(me: str, first: str, second: str, loss: str) -> str:
         (f1, p), (f2, q) = first, second
         parts = [
-            f"f{f1} * ({me}_{y} - {p}_{y}) + f{f2} * ({me}_{y} - {q}_{y}) AS g{n}" for n, y in enumerate(ys)
+            f"f{f1} * ({me}_{y} - {p}_{y}) + f{f2} * ({me}_{y} - {q}_{y}) AS g{n}"
+            for n, y in enumerate(coords(n_components))
         ]
-        return f"struct({me} AS id, {', '.join(parts)}, {loss} AS loss)"
+        return f"{me} AS id, {', '.join(parts)}, {loss} AS loss"
 
-    corners = push("i", "aj", "bk", "share"), push("j", "ai", "ck", "0D"), push("k", "bi", "cj", "0D")
-    return rows.selectExpr(f"inline(array({', '.join(corners)}))")
+    return [push("i", "aj", "bk", "share"), push("j", "ai", "ck", "0D"), push("k", "bi", "cj", "0D")]
 
 
 def gradients(losses: DataFrame, n_components: int, n_positive: int, alpha: float = 1.0) -> DataFrame:
@@ -147,6 +156,11 @@ def step(
     joined = mine.union(pulls).groupBy("id").agg(
         *[F.max(c).alias(c) for c in held], *[F.sum(g).alias(g) for g in gs], F.sum("loss").alias("loss")
     )
+    return joined.selectExpr(*_moved(held, n_components, optimizer, learning_rate, lr_decay))
+
+
+def _moved(held: list[str], n_components: int, optimizer: str, learning_rate: float, lr_decay: float) -> list[str]:
+    """The state's columns after a step, from the state's columns and the summed gradient."""
     rate, out = number(learning_rate), {}
     for c in range(n_components):
         y, g, m, s = f"y{c}", f"g{c}", f"m{c}", f"s{c}"
@@ -163,7 +177,87 @@ def step(
             size = f"{rate} * sqrt(1D - power({b2}, t + 1)) / (1D - power({b1}, t + 1))"
             out[y] = f"{y} - {size} * {out[m]} / (sqrt({out[s]}) + {number(ADAM_EPS)})"
     moved = [f"CASE WHEN g0 IS NOT NULL THEN {out[c]} ELSE {c} END AS {c}" for c in held if c != "t"]
-    return joined.selectExpr("id", "t + 1 AS t", *moved, "loss")
+    return ["id", "t + 1 AS t", *moved, "loss"]
+
+
+class Steps:
+    """A query that grows by nesting, each part read once; Spark parses and analyses it in one go.
+
+    It has the ``selectExpr`` of a DataFrame, so the functions above build it as they build a DataFrame.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+
+    def then(self, sql: str) -> "Steps":
+        """``sql`` reads what there is so far as {here}."""
+        return Steps(f"({sql.replace('{here}', self.source)})")
+
+    def selectExpr(self, *columns: str) -> "Steps":
+        return self.then(f"SELECT {', '.join(columns)} FROM {{here}}")
+
+    def text(self) -> str:
+        return self.source.removeprefix("(").removesuffix(")")
+
+
+#: What marks the row that carries a vertex's own state among the corners of triangles.
+OWN = -1
+
+
+_CORNERS = "array(struct(i AS id, 0 AS c), struct(j AS id, 1 AS c), struct(k AS id, 2 AS c))"
+_CORNER_ROW = f"inline(CASE WHEN s = {OWN} THEN array(struct(i AS id, 0 AS c)) ELSE {_CORNERS} END)"
+
+
+def with_own_rows(triplets: DataFrame, vertices: DataFrame, epochs: tuple[int, int]) -> DataFrame:
+    """Triangles (epoch, s, i, j, k, w, positive) and one row in each epoch for each vertex itself."""
+    own = vertices.selectExpr(
+        f"explode(sequence({epochs[0]}, {epochs[1]})) AS epoch", f"{OWN}L AS s", "id AS i",
+        "CAST(NULL AS bigint) AS j", "CAST(NULL AS bigint) AS k", "CAST(NULL AS double) AS w", "false AS positive",
+    )
+    return triplets.unionByName(own)
+
+
+def by_corner(rows: DataFrame) -> DataFrame:
+    """The rows of ``with_own_rows`` by the vertices they meet: (id, c) is a row's corner, 0 for a vertex itself."""
+    return rows.selectExpr("epoch", "s", "i", "j", "k", "w", "positive", _CORNER_ROW)
+
+
+def chained_step(
+    state: Steps, held: list[str], corners: str, epoch: int, n_components: int, n_positive: int, optimizer: str,
+    learning_rate: float, lr_decay: float, alpha: float, phi: str, tau: float, gamma: float, soft: bool, beta: float,
+    small: bool,
+) -> Steps:
+    """One epoch as a query on the state before it, which it reads once; so several epochs make one job.
+
+    Corners of the written table meet the state of their vertex, triangles gather their three corners, and gradients and
+    states are summed by vertex. A ``small`` state is broadcast, and the corners of triangles bucketed by their first
+    vertex meet where they lie: one shuffle, of the sums. Else corners are bucketed by vertex like the state, meet it
+    without a shuffle and move once to their triangle. ``held`` are the state's columns but for id and loss.
+    """
+    corner = f"SELECT s, i, j, k, w, positive, {_CORNER_ROW if small else 'id, c'} FROM {corners} WHERE epoch = {epoch}"
+    ys, gs = coords(n_components), coords(n_components, "g")
+    met = state.then(
+        f"SELECT {'/*+ BROADCAST(held) */ ' if small else ''}c, s, i, j, k, w, positive, {', '.join(held)} "
+        f"FROM {{here}} AS held JOIN ({corner}) USING (id)"
+    )
+    key = "s, i, j, k, w, positive"
+    at = [f"max(CASE WHEN c = {n} THEN {y} END) AS {corner}_{y}" for n, corner in enumerate("ijk") for y in ys]
+    own = [f"max(CASE WHEN s = {OWN} THEN {h} END) AS {h}" for h in held]
+    rows = met.then(f"SELECT {key}, {', '.join(at + own)} FROM {{here}} GROUP BY {key}")
+    side = lambda p, q: "sqrt(" + " + ".join(f"({p}_{y} - {q}_{y}) * ({p}_{y} - {q}_{y})" for y in ys) + ")"
+    rows = rows.selectExpr("*", f"{side('i', 'j')} AS a", f"{side('i', 'k')} AS b", f"{side('j', 'k')} AS c")
+    rows = triangle_losses(rows, phi, tau, gamma, soft, beta)
+    rows = rows.selectExpr(
+        "s", "i", "j", "k", *held, *[f"{c}_{y}" for c in "ijk" for y in ys],
+        *_forces(n_positive, number(float(alpha) / max(n_positive, 1))),
+    )
+    none = [f"CAST(NULL AS {'bigint' if h == 't' else 'double'}) AS {h}" for h in held]
+    pulls = [f"struct({x}, {', '.join(none)})" for x in _corner_pulls(n_components)]
+    carried = ", ".join([*(f"CAST(NULL AS double) AS {g}" for g in gs), "0D AS loss", *held])
+    rows = rows.selectExpr(f"inline(CASE WHEN s = {OWN} THEN array(struct(i AS id, {carried})) ELSE array({', '.join(pulls)}) END)")
+    sums = [f"max({h}) AS {h}" for h in held] + [f"sum({g}) AS {g}" for g in (*gs, "loss")]
+    rows = rows.then(f"SELECT id, {', '.join(sums)} FROM {{here}} GROUP BY id")
+    return rows.selectExpr(*_moved(held, n_components, optimizer, learning_rate, lr_decay))
 
 
 def mean_edge_length(edges: DataFrame, wide: DataFrame, n_components: int, small: bool) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ballgraph.functions.draws import draw, first_ok, modulo, pick
+from ballgraph.functions.draws import Key, draw, first_ok, modulo, pick
 from ballgraph.session import Scratch
 from ballgraph.sources.points import dense_codes
 
@@ -19,22 +19,27 @@ def next_free(x: str, taken: list[str], n: int) -> str:
     return first_ok(tries[:-1], lambda c: f"{c} NOT IN ({', '.join(taken)})", tries[-1])
 
 
-def positive_triplets(candidates: DataFrame, n: int, per_edge: int, seed: int, epoch: int,
+def positive_triplets(candidates: DataFrame, n: int, per_edge: int, seed: int, epoch: int | tuple[int, int],
                       hasher: str = "xxhash64") -> DataFrame:
     """(i, j, k, rep[, w]): one uniform pick from the candidate bag per edge and repeat.
 
-    An edge without candidates takes any other vertex, and has no w.
+    An edge without candidates takes any other vertex, and has no w. A pair of epochs draws for all from the first to
+    the last, with a column ``epoch``.
     """
     key, weighted = ("i", "j", "rep"), "ws" in candidates.columns
+    also: list[str] = []
+    if isinstance(epoch, tuple):
+        candidates = candidates.selectExpr("*", f"explode(sequence({epoch[0]}, {epoch[1]})) AS epoch")
+        epoch, also = Key("epoch"), ["epoch"]
     at = f"pmod({draw((seed, epoch, 'pos'), *key, hasher=hasher)}, size(ks))"
     drawn = candidates.selectExpr("*", f"explode(sequence(0, {per_edge - 1})) AS rep").selectExpr(
-        "i", "j", "rep", "ks", *(["ws"] if weighted else []),
+        "i", "j", "rep", "ks", *also, *(["ws"] if weighted else []),
         f"CASE WHEN size(ks) > 0 THEN cast({at} AS int) END AS _at",
         f"CASE WHEN size(ks) = 0 THEN {pick(n, (seed, epoch, 'any'), *key, hasher=hasher)} END AS _any",
     )
     return drawn.selectExpr(
         "i", "j", f"coalesce(get(ks, _at), {next_free('_any', ['i', 'j'], n)}) AS k", "rep",
-        *(["get(ws, _at) AS w"] if weighted else []),
+        *(["get(ws, _at) AS w"] if weighted else []), *also,
     )
 
 
@@ -56,35 +61,44 @@ def source_ranks(lists: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame,
 
 
 def negative_triplets(
-    lists: DataFrame, n: int, n_uniform: int, n_local: int, seed: int, epoch: int,
+    lists: DataFrame, n: int, n_uniform: int, n_local: int, seed: int, epoch: int | tuple[int, int],
     exclude_neighbors: bool = False, hasher: str = "xxhash64", n_sources: int | None = None,
 ) -> DataFrame:
     """(slot, i, j, k). Slots below ``n_uniform`` draw j anywhere outside N(i); the others take an edge.
 
     Every slot draws its own source point with replacement, so sources are even and no key is hot;
     ``lists`` must be (i, js). Where points have no neighbours, ``lists`` is that of ``source_ranks`` and
-    ``n_sources`` its number of sources.
+    ``n_sources`` its number of sources. A pair of epochs draws for all from the first to the last, with a column
+    ``epoch``.
     """
     ranked = n_sources is not None
+    first, last, also = 0, 0, []
+    if isinstance(epoch, tuple):
+        (first, last), epoch, also = epoch, Key("epoch"), ["epoch"]
     vertex = lambda what, r: pick(n, (seed, epoch, what, r), "slot", hasher=hasher)
     # Drawn values are columns of their own, so that the tests below only refer to them.
     second, third = [f"_s{r}" for r in range(REDRAWS)], [f"_t{r}" for r in range(REDRAWS)]
     spark, total = lists.sparkSession, n_uniform + n_local
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // SLOTS_PER_TASK))
-    slots = spark.range(0, total, 1, tasks).withColumnRenamed("id", "slot")
+    every = total * (last - first + 1)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-every // SLOTS_PER_TASK))
+    slots = spark.range(0, every, 1, tasks)
+    if also:
+        slots = slots.selectExpr(f"id % {total} AS slot", f"cast({first} + id div {total} AS int) AS epoch")
+    else:
+        slots = slots.withColumnRenamed("id", "slot")
     source = pick(n_sources if ranked else n, (seed, epoch, "source", 0), "slot", hasher=hasher)
-    sources = slots.selectExpr("slot", f"{source} AS rank")
+    sources = slots.selectExpr("slot", f"{source} AS rank", *also)
     held = lists.where("size(js) > 0").selectExpr("rank" if ranked else "i AS rank", "i", "js")
     entry = f"pmod({draw((seed, epoch, 'rank', 0), 'slot', hasher=hasher)}, size(js))"
     rows = sources.join(held, "rank").selectExpr(
-        "slot", "i", "js", f"coalesce(get(js, cast({entry} AS int)), -1L) AS _edge",
+        "slot", "i", "js", *also, f"coalesce(get(js, cast({entry} AS int)), -1L) AS _edge",
         *[f"{vertex('second', r)} AS {c}" for r, c in enumerate(second)],
         *[f"{vertex('third', r)} AS {c}" for r, c in enumerate(third)],
     )
     free = lambda x: f"{x} <> i AND NOT array_contains(js, {x})"
     anywhere = first_ok(second, free, modulo(f"{second[-1]} + 1", n))
     rows = rows.selectExpr(
-        "slot", "i", "js", f"CASE WHEN slot < {n_uniform} THEN {anywhere} ELSE _edge END AS j", *third
+        "slot", "i", "js", *also, f"CASE WHEN slot < {n_uniform} THEN {anywhere} ELSE _edge END AS j", *third
     )
     ok = fits = lambda x: f"{x} <> i AND {x} <> j"
     if exclude_neighbors:
@@ -93,4 +107,4 @@ def negative_triplets(
         )
         ok = lambda x: f"{fits(x)} AND NOT array_contains(js, {x}) AND NOT array_contains(js_j, {x})"
     bumped = next_free(f"({third[-1]} + 1)", ["i", "j"], n)
-    return rows.selectExpr("slot", "i", "j", f"{first_ok(third, ok, bumped)} AS k")
+    return rows.selectExpr("slot", "i", "j", f"{first_ok(third, ok, bumped)} AS k", *also)

@@ -142,4 +142,83 @@ def test_epoch_plan_has_no_cross_product(spark, cloud):
     state = start_state(widen(random_layout(cloud, 2, 1), 2), 2, cfg.optimizer)
     plan = epochs.step(state.withColumn("loss", F.lit(0.0)), 1)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "PythonUDF" not in plan
-    epochs.close()
+
+
+def _near(a, b):
+    return np.allclose(column(a, "y"), column(b, "y"), atol=1e-6)
+
+
+@pytest.mark.parametrize("options", [dict(), dict(high_dim_cech="discrete"), dict(optimizer="adagrad", adagrad_lr_decay=0.1),
+                                     dict(anneal_learning_rate=True, optimizer="sgd", negative_rate_triplets=0)])
+@pytest.mark.parametrize("small", [True, False])
+def test_chained_epochs_are_single_steps(spark, cloud, monkeypatch, options, small):
+    from ballgraph.plans import embed
+
+    kw = dict(n_neighbors=4, n_epochs=7, epochs_print=7, **options)
+    monkeypatch.setattr(embed.loss, "fits_broadcast", lambda n, d: small)
+    monkeypatch.setattr(embed, "CHAIN_EPOCHS", 4)
+    chained = fit(cloud, **kw)
+    start = embed._Epochs.__init__
+
+    def singly(self, *args):
+        start(self, *args)
+        self.chained = False
+
+    monkeypatch.setattr(embed._Epochs, "__init__", singly)
+    single = fit(cloud, **kw)
+    assert _near(chained.embedding, single.embedding)
+    a, b = ([tuple(r) for r in x.log.orderBy("epoch").collect()] for x in (chained, single))
+    assert np.allclose(a, b, atol=1e-6)
+
+
+def test_a_killed_fit_goes_on(spark, cloud, monkeypatch, tmp_path):
+    from ballgraph.plans import embed
+
+    kw = dict(n_neighbors=4, n_epochs=12, epochs_print=4)
+    whole = fit(cloud, **kw)
+    folder, block, calls = str(tmp_path / "fit"), embed._Epochs.block, []
+
+    def killed(self, state, first, last, *rest):
+        calls.append(first)
+        if first > 4 and len(calls) < 4:
+            raise RuntimeError("killed")
+        return block(self, state, first, last, *rest)
+
+    monkeypatch.setattr(embed._Epochs, "block", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        fit(cloud, folder=folder, **kw)
+    searched = []
+    monkeypatch.setattr(embed, "knn", lambda *a, **k: searched.append(a))
+    again = fit(cloud, folder=folder, **kw)
+    assert calls == [1, 2, 5, 5, 9] and not searched  # tables that were written are not made again
+    assert _near(whole.embedding, again.embedding)
+    assert [r.epoch for r in again.log.orderBy("epoch").collect()] == [1, 4, 8, 12]
+    assert np.allclose([tuple(r) for r in whole.log.orderBy("epoch").collect()],
+                       [tuple(r) for r in again.log.orderBy("epoch").collect()], atol=1e-6)
+    for options in (dict(kw, random_state=1), dict(kw, n_neighbors=5)):
+        with pytest.raises(ValueError, match="other points or parameters"):
+            fit(cloud, folder=folder, **options)
+
+
+def test_epochs_need_as_many_exchanges_in_both_radius_modes(spark, cloud):
+    from ballgraph.operators.knn import exact_knn
+    from ballgraph.operators.loss import start_state, widen
+    from ballgraph.plans.embed import _Epochs
+    from ballgraph.session import Scratch, plain_session
+
+    counts = {}
+    for radius in ("euclidean", "discrete"):
+        scratch = Scratch(spark, "test")
+        epochs = _Epochs(EmbedConfig(n_neighbors=4, high_dim_cech=radius), cloud, exact_knn(cloud, 4), 120, scratch)
+        epochs.small = False
+        table = epochs.draw(1, 2)
+        plain = plain_session(spark)
+        for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            plain.conf.set(key, "-1")
+        state = scratch.save(start_state(widen(random_layout(cloud, 2, 1), 2), 2, "sparse_adam").withColumn("loss", F.lit(0.0)), "start")
+        plan = epochs.chain(plain.read.parquet(scratch.path("start")), table, 1, 2)._jdf.queryExecution().toString()
+        physical = plan[plan.index("== Physical Plan =="):]
+        counts[radius] = physical.count("Exchange hashpartitioning")
+        assert "BroadcastExchange" not in physical and "Arrow" not in physical
+        scratch.drop_table(table, "drawn-2")
+    assert counts["euclidean"] == counts["discrete"] <= 5  # two an epoch, and the state that begins the block
