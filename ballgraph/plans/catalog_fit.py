@@ -254,6 +254,20 @@ def sql_discrete(points: str, v: str, square_floor: str) -> str:
     FROM (SELECT *, min(m) OVER (PARTITION BY i, j, k, rep) AS lo FROM mx) GROUP BY i, j, k, rep))"""
 
 
+SQL_BAG = "pos AS (SELECT i, j, (generate_subscripts(ks, 1) - 1)::BIGINT AS rep, unnest(ks) AS k FROM cand)"
+
+
+@query("q_candidate_weights_discrete", f"""WITH {SQL_KNN}, {SQL_CAND}, {SQL_BAG}, {sql_discrete("pts", "v", "1e-12")}
+SELECT i, j, rep AS pos, k, {r_("exp(-2 * r / (SELECT max(d) FROM knn))")} AS w FROM disc""")
+def _candidate_weights_discrete(t):
+    near = t.saved(knn(t))
+    packed = t.saved(C.packs(t.vectors(), neighbour_lists(near)))
+    rows = C.weighted_candidates_discrete(packed, max_distance(near), BETA)
+    flat = rows.select("i", "j", F.posexplode(F.arrays_zip("ks", "ws")).alias("pos", "z"))
+    return flat.select("i", "j", F.col("pos").cast("bigint").alias("pos"),
+                       F.col("z.ks").alias("k"), rounded("z.ws").alias("w"))
+
+
 @query("q_cech_discrete", f"""WITH {SQL_KNN}, {SQL_POS}, {sql_discrete("pts", "v", "1e-12")}
 SELECT i, j, k, rep, {r_("r")} AS r FROM disc""")
 def _cech_discrete(t):
