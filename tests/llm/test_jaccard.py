@@ -91,6 +91,34 @@ def test_keep_one(spark):
     assert groups <= {r.doc_id for r in kept}
 
 
+def test_keep_one_after_a_split_between_reads(spark, monkeypatch):
+    """The scan's split changes while the documents are worked on, as it does when executors join or leave."""
+    rows = corpus(6)
+    scratch = Scratch(spark, "test")
+    docs = scratch.save(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(9), "docs")
+    want = sorted(str(r.text) for r in keep_one(docs).collect())
+    join, key = jaccard.join_rows, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key), spark.conf.get("spark.sql.files.openCostInBytes")
+
+    def split(numbered):
+        out = scratch.save(join(numbered), f"joined-{len(calls)}")
+        spark.conf.set(key, "4000" if not calls else "100000000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        calls.append(1)
+        return out
+
+    calls = []
+    monkeypatch.setattr(jaccard, "join_rows", split)
+    try:
+        kept = [sorted(str(r.text) for r in keep_one(spark.read.parquet(scratch.path("docs"))).collect()) for _ in range(2)]
+    finally:
+        spark.conf.set(key, before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert len(calls) == 2 and all(len(k) == len(want) for k in kept)
+    answer = brute(rows)  # one row of each group, whatever the split
+    assert len(want) == len({c for _, _, c, links in answer if links}) + sum(1 for *_, links in answer if not links)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(100, 160)] + [(7, 7)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(35)]
