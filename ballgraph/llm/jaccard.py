@@ -1,11 +1,11 @@
 """Exact n-gram Jaccard join of whole texts by size-banded tiles and bitmap signatures.
 
-Equal shingle sets are one class. Two exact bounds keep unrelated classes apart before sets are compared:
+Equal shingle sets are one class. Three exact bounds keep unrelated classes apart before sets are compared:
 
-1. Classes that link share a shingle of their prefixes, in one global order with rare shingles first. Members of a
-   shingle's list, ordered by size, are tied where sizes allow a link: the connected groups hold all links, and only
-   texts of such groups are read again.
-2. In a group, tiles of one size band meet tiles of near bands. Bits set in one bitmap only prove missing shingles; the
+1. Of the shingles below a hash threshold, a class that links must share all but a fifth of its set with others.
+2. Classes that link share a shingle of their prefixes, in one global order with rare shingles first. Members of a
+   shingle's list, ordered by size, are chained where sizes allow a link: the connected groups hold all links.
+3. In a group, tiles of one size band meet tiles of near bands. Bits set in one bitmap only prove missing shingles; the
    bound from them decides whether the sorted arrays are intersected.
 
 Nothing is expanded into pairs: a tile returns link counts and a spanning forest.
@@ -27,6 +27,8 @@ SHINGLE = 5
 #: Texts hashed together, and hashes that one bucket's task sorts.
 STEP_BYTES = 2_000_000
 BUCKET_HASHES = 2_000_000
+#: Share of the hash space counted by the first bound. More of it rules out more classes, and moves more hashes.
+SAMPLED = 0.3
 #: Fingerprints of sets that a task remembers, so that copies are dealt out once.
 SEEN = 1_000_000
 #: Cells of the sketch that orders shingles by frequency; any order is right, a better one makes smaller groups.
@@ -38,6 +40,7 @@ TILE_SETS = 1024
 TILE_SHINGLES = 600_000
 
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_BELOW = np.uint64(int(SAMPLED * 2**64))
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -65,50 +68,24 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def set_rows(docs: DataFrame, text_column: str) -> DataFrame:
-    """(row, id, n, f1, f2, part, cells): size and fingerprint of every row's set, and the tasks' shingle counts.
-
-    A row with ``part`` has one of 256 parts of the cells of a sketch: how many of a task's shingles fall in each.
-    """
+    """(row, id, n, f1, f2, low): size, fingerprint and sampled shingles of every row's set."""
     kind = docs.schema["id"].dataType.simpleString()
-    schema = pa.schema([("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("part", pa.int32()), ("cells", pa.binary())])
-    width = CELLS // 256
 
-    def run(batches):
-        counts, ids = np.zeros(CELLS, np.int64), None
-        for batch in batches:
-            ids = batch.column(1).type
-            sets = shingle_sets(batch.column(2).to_pylist())
-            for s in sets:
-                cell = _cell(s)
-                if len(cell) > CELLS:
-                    counts += np.bincount(cell, minlength=CELLS)
-                else:
-                    np.add.at(counts, cell, 1)
-            prints = [_fingerprint(s) for s in sets]
-            own = [[len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints], [None] * len(sets), [None] * len(sets)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(x, f.type) for x, f in zip(own, schema))],
-                names=["row", "id", *schema.names],
-            )
-        if ids is not None:
-            parts = [(k, counts[k * width:(k + 1) * width]) for k in range(256)]
-            parts = [(k, x.tobytes()) for k, x in parts if x.any()]
-            none = [None] * len(parts)
-            own = [none, none, none, [k for k, _ in parts], [x for _, x in parts]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(none, pa.int64()), pa.array(none, ids), *(pa.array(x, f.type) for x, f in zip(own, schema))],
-                names=["row", "id", *schema.names],
-            )
-
-    return docs.select("row", "id", text_bytes(text_column).alias("t")).mapInArrow(
-        run, f"row bigint, id {kind}, n bigint, f1 bigint, f2 bigint, part int, cells binary"
+    def run(batch):
+        sets = shingle_sets(batch["t"])
+        prints = [_fingerprint(s) for s in sets]
+        yield {
+            "row": batch["row"], "id": batch["id"], "n": [len(s) for s in sets],
+            "f1": [p[0] for p in prints], "f2": [p[1] for p in prints],
+            "low": [int(np.searchsorted(s, _BELOW)) for s in sets],
+        }
+
+    return arrow_rows(
+        docs.select("row", "id", text_bytes(text_column).alias("t")), run,
+        f"row bigint, id {kind}, n bigint, f1 bigint, f2 bigint, low bigint",
     )
 
 
-def _cell(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
-
-
 def _dealt(keys: np.ndarray, buckets: int, *columns: np.ndarray):
     """Rows of (bucket, packed columns...), dealt by the low bits of the keys."""
     bucket = (keys % np.uint64(buckets)).astype(np.int32)
@@ -126,69 +103,103 @@ def _unpacked(table, *kinds):
     ]
 
 
-def shingle_counts(parts: DataFrame) -> np.ndarray:
-    """The cells of all tasks added up, in two steps so that no task holds the parts of all; 256 rows come back."""
+def shared_counts(docs: DataFrame, text_column: str, buckets: int) -> DataFrame:
+    """(f1, shared): of a set's sampled shingles, how many are in another set too."""
+
+    def deal(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            low, prints = [], []
+            for s in shingle_sets(batch.column(0).to_pylist()):
+                own = _fingerprint(s)
+                if own not in seen and len(s):
+                    if len(seen) < SEEN:
+                        seen.add(own)
+                    low.append(s[: np.searchsorted(s, _BELOW)])
+                    prints.append(own[0])
+            if low:
+                owners = np.repeat(np.array(prints, np.int64), [len(x) for x in low])
+                kinds = [pa.int32(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, k) for x, k in zip(_dealt(np.concatenate(low), buckets, owners), kinds)],
+                    names=["bucket", "keys", "prints"],
+                )
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, prints = _unpacked(table, np.uint64, np.int64)
+        order = np.lexsort((prints, keys))
+        keys, prints = keys[order], prints[order]
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (prints[1:] != prints[:-1]))  # copies count once
+        keys, prints = keys[fresh], prints[fresh]
+        same = keys[1:] == keys[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        own, n = np.unique(prints[shared], return_counts=True)
+        return pa.table({"f1": own, "n": n.astype(np.int64)})
+
+    dealt = docs.select(text_bytes(text_column).alias("t")).mapInArrow(deal, "bucket int, keys binary, prints binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "f1 bigint, n bigint").groupBy("f1").agg(F.sum("n").alias("shared"))
+
+
+def frequency_sketch(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall in each cell. Tasks add up their own cells; 256 rows come back."""
+    width = CELLS // 256
+
+    def run(batches):
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for s in batch.column("s").to_pylist():
+                cells += np.bincount((np.frombuffer(s, np.uint64) >> np.uint64(20)).astype(np.int64) & (CELLS - 1), minlength=CELLS) if len(s) > 8 * CELLS else 0
+                if len(s) <= 8 * CELLS:
+                    np.add.at(cells, (np.frombuffer(s, np.uint64) >> np.uint64(20)).astype(np.int64) & (CELLS - 1), 1)
+        parts = [(n, cells[n * width:(n + 1) * width]) for n in range(256)]
+        parts = [(n, x.tobytes()) for n, x in parts if x.any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([n for n, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["part", "cells"]
+        )
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in table.column("cells").to_pylist())
-        return table.slice(0, 1).select(["part"]).append_column("cells", pa.array([total.tobytes()], pa.binary()))
+        return pa.table({"part": table.column("part")[:1], "cells": pa.array([total.tobytes()], pa.binary())})
 
-    width, out, kinds = CELLS // 256, np.zeros(CELLS, np.int64), "part int, cells binary"
-    some = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    for r in some.groupBy("part", "salt").applyInArrow(add, kinds).groupBy("part").applyInArrow(add, kinds).collect():
+    out = np.zeros(CELLS, np.int64)
+    rows = sets.select("s").mapInArrow(run, "part int, cells binary")
+    for r in rows.groupBy("part").applyInArrow(add, "part int, cells binary").collect():
         out[r["part"] * width:(r["part"] + 1) * width] = np.frombuffer(r["cells"], np.int64)
     return out
 
 
-def prefix_edges(docs: DataFrame, text_column: str, counts: np.ndarray, buckets: int) -> DataFrame:
-    """(a, b): fingerprints of classes that share a prefix shingle, in runs by size, tied to their first.
+def prefix_edges(sets: DataFrame, cells: np.ndarray, buckets: int) -> DataFrame:
+    """(a, b): runs of classes that share a prefix shingle, by size, tied to their first.
 
     A run ends where the next size allows no link, so two that can link are in one run.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-
-    def deal(batches):
-        seen: set[tuple[int, int]] = set()
-        for batch in batches:
-            keys, owners, sizes = [], [], []
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                prints = _fingerprint(s)
-                if prints in seen or not len(s):
-                    continue
-                if len(seen) < SEEN:
-                    seen.add(prints)
-                own = prints[0]
-                length = len(s) - (4 * len(s) + 4) // 5 + 1
-                rank = sent.value[_cell(s)]
-                order = np.lexsort((s, rank)) if len(s) < 64 else None
-                if order is None:  # only the prefix needs its place in the order
-                    border = np.partition(rank, length - 1)[length - 1]
-                    first = np.flatnonzero(rank <= border)
-                    order = first[np.lexsort((s[first], rank[first]))]
-                keys.append(s[order[:length]])
-                owners.append(np.full(length, own, np.int64))
-                sizes.append(np.full(length, len(s), np.int64))
-            if keys:
-                rows = _dealt(np.concatenate(keys), buckets, np.concatenate(owners), np.concatenate(sizes))
-                kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(rows, kinds)], names=["bucket", "keys", "owners", "sizes"]
-                )
+    sent = sets.sparkSession.sparkContext.broadcast(np.minimum(cells, 2**31 - 1).astype(np.int32))
+
+    def deal(batch):
+        keys, owners, sizes = [], [], []
+        for own, s in zip(batch["cls"], batch["s"]):
+            s = np.frombuffer(s, np.uint64)
+            length = len(s) - (4 * len(s) + 4) // 5 + 1
+            rank = sent.value[(s >> np.uint64(20)).astype(np.int64) & (CELLS - 1)]
+            prefix = s[np.lexsort((s, rank))[:length]]
+            keys.append(prefix)
+            owners.append(np.full(length, own, np.int64))
+            sizes.append(np.full(length, len(s), np.int64))
+        if keys:
+            rows = _dealt(np.concatenate(keys), buckets, np.concatenate(owners), np.concatenate(sizes))
+            yield dict(zip(("bucket", "keys", "owners", "sizes"), rows))
 
     def tie(table: pa.Table) -> pa.Table:
         keys, owners, sizes = _unpacked(table, np.uint64, np.int64, np.int64)
         order = np.lexsort((owners, sizes, keys))
         keys, owners, sizes = keys[order], owners[order], sizes[order]
-        fresh = np.append(True, (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1]))  # copies of other tasks
-        keys, owners, sizes = keys[fresh], owners[fresh], sizes[fresh]
         near = np.append(False, (keys[1:] == keys[:-1]) & (5 * sizes[:-1] >= 4 * sizes[1:]))
         a, b = owners[np.maximum.accumulate(np.where(near, 0, np.arange(len(near))))][near], owners[near]
         if len(a):
             a, b = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0).T
         return pa.table({"a": a, "b": b})
 
-    texts = docs.select(text_bytes(text_column).alias("t"))
-    dealt = texts.mapInArrow(deal, "bucket int, keys binary, owners binary, sizes binary")
+    dealt = arrow_rows(sets.select("cls", "s"), deal, "bucket int, keys binary, owners binary, sizes binary")
     return dealt.groupBy("bucket").applyInArrow(tie, "a bigint, b bigint").distinct()
 
 
@@ -329,21 +340,21 @@ def join_rows(docs: DataFrame, text_column: str = "text", broadcast_rows: int =
     """(row, id, n_shingles, component_id, n_links) for docs (row, id, text). ``row`` numbers the rows once read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    written = scratch.save(set_rows(docs, text_column), "rows")
-    rows = written.where("part IS NULL").drop("part", "cells")
+    rows = scratch.save(set_rows(docs, text_column), "rows")
     classes = scratch.save(
         rows.where("n > 0").groupBy("f1", "f2").agg(
-            F.min("id").alias("least"), F.count("*").alias("copies"), F.first("n").alias("n"),
+            F.min("id").alias("least"), F.count("*").alias("copies"),
+            F.first("n").alias("n"), F.first("low").alias("low"),
         ).withColumn("cls", F.monotonically_increasing_id()), "classes",
     )
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (5 * BUCKET_HASHES)))
+    total = rows.agg(F.sum("low")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_HASHES))
 
-    counts = shingle_counts(written.where("part IS NOT NULL").select("part", "cells"))
-    edges = prefix_edges(docs, text_column, counts, buckets)
-    groups = scratch.save(components(spark, edges, scratch, "groups"), "roots")
+    shared = shared_counts(docs, text_column, buckets)
     able = scratch.save(
-        classes.join(groups.withColumnRenamed("node", "f1"), "f1").select("f1", "f2", "cls", "least", "copies", "root"), "able"
+        classes.join(shared, "f1", "left").where("coalesce(shared, 0) >= low - floor(n / 5)").select(
+            "f1", "f2", "cls", "least", "copies"
+        ), "able",
     )
     n_able = able.count()
 
@@ -358,10 +369,13 @@ def join_rows(docs: DataFrame, text_column: str = "text", broadcast_rows: int =
         docs.join(wanted, docs["id"].eqNullSafe(wanted["least"]), "left_semi").select(text_bytes(text_column).alias("t")),
         sets, "f1 bigint, f2 bigint, n bigint, s binary",
     )
-    grouped = scratch.save(
-        read.join(broadcast_if_small(able.drop("least"), n_able, broadcast_rows), ["f1", "f2"]).select("root", "cls", "n", "copies", "s"),
+    held = scratch.save(
+        read.join(broadcast_if_small(able.drop("least"), n_able, broadcast_rows), ["f1", "f2"]).select("cls", "n", "copies", "s"),
         "sets",
     )
+    edges = prefix_edges(held, frequency_sketch(held), buckets)
+    roots = components(spark, edges, scratch, "groups")
+    grouped = scratch.save(held.join(roots.withColumnRenamed("node", "cls"), "cls"), "grouped")
     sizes = grouped.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     large = scratch.save(sizes.where(f"sets > {TILE_SETS} or shingles > {TILE_SHINGLES}").select("root"), "large")
     few = broadcast_if_small(large, large.count(), broadcast_rows)
