@@ -7,6 +7,7 @@ carries the digest of its own block. Every response is handled by itself; nothin
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import html
 import json
@@ -21,10 +22,11 @@ from ballgraph.llm.common import arrow_rows
 #: Ends of lines in headers; a record ends with two of them.
 CRLF = "\r\n"
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I,
-)
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
+_INSIDE = re.compile(r"[^>\"']+")
+_SPECIAL = re.compile(r"[>\"']")
+#: Elements whose content is not text of the page.
+_DROPPED = ("script", "style", "template")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACES = re.compile(r"[ \t\r\f\v\u00a0]+")
 _BLOCKS = frozenset(
@@ -34,31 +36,127 @@ _BLOCKS = frozenset(
 _LINKS = {"a": "href", "area": "href", "link": "href", "img": "src", "iframe": "src", "source": "src"}
 
 
+class _Ends:
+    """Places of strings that a scan looks for again and again; what is not there is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.lower, self.next = page, None, {}
+        self.dead, self.special = set(), []
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` comes next from ``at`` on, or the page's length. ``at`` never goes back."""
+        found = self.next.get(what, -1)
+        if found < at:
+            found = self.page.find(what, at)
+            found = self.next[what] = len(self.page) if found < 0 else found
+        return found
+
+    def closing(self, name: str, at: int) -> int:
+        """Where the content of an element ends: behind its closing tag, or at the page's end."""
+        if self.lower is None:
+            self.lower = self.page.lower() if len(self.page.lower()) == len(self.page) else self.page
+        key = "</" + name
+        while True:
+            found = self.next.get(key + ">", -1)
+            if found < at:
+                found = self.lower.find(key, at)
+                found = self.next[key + ">"] = len(self.page) if found < 0 else found
+            if found == len(self.page):
+                return found
+            end = found + len(key)
+            while end < len(self.page) and self.page[end].isspace():
+                end += 1
+            if self.page[end:end + 1] == ">":
+                return end + 1
+            at = found + 1
+
+    def tag(self, at: int) -> int:
+        """The ``>`` that ends a tag from inside of it; quotes may hold others. The page's length if none does.
+
+        What lies behind a tag that nothing ends is remembered, so other tags that come to the same place end there too.
+        """
+        page, n, path = self.page, len(self.page), []
+        while at < n and at not in self.dead:
+            path.append(at)
+            if self.dead:
+                k = bisect.bisect_left(self.special, at)
+                at = self.special[k] if k < len(self.special) else n
+            else:
+                m = _INSIDE.match(page, at)
+                at = m.end() if m else at
+            c = page[at:at + 1]
+            if c == ">":
+                return at
+            if c and -at not in self.dead:  # a quote that nothing closes is looked through once
+                path.append(-at)
+                at = page.find(c, at + 1) + 1 or n
+            else:
+                at = n
+        if not self.dead:
+            self.special = [m.start() for m in _SPECIAL.finditer(page)]
+        self.dead.update(path)
+        return n
+
+
+def _markup(page: str):
+    """(start, end, name, closes, attributes) of the markup of a page in one forward scan; no name for what is no tag.
+
+    A ``<`` that opens no comment, declaration, instruction or whole tag is text.
+    """
+    ends, at, n = _Ends(page), 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = min(ends.find("-->", at + 4) + 3, n)
+            yield at, end, None, False, ""
+            at = end
+            continue
+        m = _TAG.match(page, at)
+        if m and m.group(1).lower() in _DROPPED and page[at + 1] != "/":
+            end = ends.find(">", m.end())  # quotes do not count in these
+            if end < n and page[end - 1] != "/":
+                end = ends.closing(m.group(1).lower(), end + 1)
+                yield at, end, None, False, ""
+                at = end
+                continue
+        end = ends.tag(m.end()) if m else n
+        if end < n:
+            yield at, end + 1, m.group(1).lower(), page[at + 1] == "/", page[m.end():end]
+            at = end + 1
+        elif page[at + 1:at + 2] in ("!", "?", "/"):
+            end = ends.find(">", at + 2)
+            if end == n:
+                at += 1
+                continue
+            yield at, end + 1, None, False, ""
+            at = end + 1
+        else:
+            at += 1
+
+
 def page_content(page: str) -> tuple[str, dict]:
     """(text, {title, metas, links}) of an HTML page. Text lines follow block elements.
 
     Comments, scripts, styles and templates go, unless their tag closes itself; the title of a drawing is not the page's.
+    The page is scanned once from front to end, so long and broken pages take time in proportion to their length.
     """
     text, links, metas, title = [], [], [], None
     at, title_at, drawings = 0, None, 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            text.append(page[at:m.start()])
-        at = m.end()
-        name = m.group(3)
+    for start, end, name, closes, inside in _markup(page):
+        if start > at:
+            text.append(page[at:start])
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name in _BLOCKS:
             text.append("\n")
-        if name == "svg" and not m.group(4).endswith("/"):
-            drawings = max(0, drawings + (-1 if m.group(2) else 1))
+        if name == "svg" and not inside.endswith("/"):
+            drawings = max(0, drawings + (-1 if closes else 1))
         if name == "title" and not drawings:
-            if m.group(2) and title_at is not None and title is None:
+            if closes and title_at is not None and title is None:
                 title = html.unescape("".join(text[title_at:])).strip()
-            title_at = None if m.group(2) else len(text)
-        elif not m.group(2) and (name in _LINKS or name == "meta"):
-            values = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m.group(4))}
+            title_at = None if closes else len(text)
+        elif not closes and (name in _LINKS or name == "meta"):
+            values = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(inside)}
             if name == "meta":
                 metas.append(values)
             elif _LINKS[name] in values:

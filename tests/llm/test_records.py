@@ -5,10 +5,13 @@ import hashlib
 import json
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import Row
 
 from ballgraph.llm import chat, class_lm, warc
@@ -81,6 +84,35 @@ def test_page_content():
         warc.page_content(odd)
 
 
+_MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|template)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I,
+)
+
+
+def plain_markup(page):
+    """What is markup, by one regular expression that reads parts of a broken page again and again."""
+    return [(m.start(), m.end(), m.group(3) and m.group(3).lower(), bool(m.group(2)), m.group(4) or "") for m in _MARKUP.finditer(page)]
+
+
+def test_markup_against_a_regular_expression():
+    rng = random.Random(1)
+    parts = ["<", ">", "<p", "</p>", '"', "'", '<a href="x">', "<script>", "</script>", "<script/>", "</script >", "<!--", "-->",
+             "<!x>", "<?y", "/>", "a", "b ", "\n", "<svg>", "<title>", "</title>", '<SCRIPT x="', "<style", "</style", "</", "<template>",
+             "</template>", "=", "<a href=y>", "/", "<script-x>"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert list(warc._markup(page)) == plain_markup(page), page
+
+
+@pytest.mark.parametrize("part", ["<script", "<a", "<!--", '<p "', "<p '\"", "</script", "<script>", "<", "<![", "<script></script ", "<a>", "<a 'x' "])
+def test_hostile_pages_take_time_in_proportion(part):
+    for page in (part * (1_000_000 // len(part)), "<a" * 200_000 + "'" + "b" * 600_000):
+        begin = time.process_time()
+        warc.page_content(page)
+        assert time.process_time() - begin < 8  # about a second on an idle machine; the regular expression takes hours
+
+
 def test_self_closed_elements_swallow_nothing():
     page = '<p>one<svg class="i"/> two <a href="/a">three</a><script src="x.js"/> four<template/> five'
     text, found = warc.page_content(page + "<script>no</script><style>no</style><template>no</template></p>")
