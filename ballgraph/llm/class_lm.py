@@ -185,24 +185,27 @@ def _unpacked(batch, classes: np.ndarray, k: int):
 
 
 def class_counts(packed: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
-    """Neighbouring classes: at most k * k rows come back."""
+    """Neighbouring classes. A task sends one packed matrix, about root-many tasks add them up, as many come back."""
     sent = packed.sparkSession.sparkContext.broadcast(classes)
+    folds = max(1, math.isqrt(packed.rdd.getNumPartitions()))
 
     def run(batches):
-        total = np.zeros((k, k))
+        total = np.zeros((k, k), np.int64)
         for batch in batches:
             for unit, right, _, _ in _unpacked(batch, sent.value, k):
-                total[sent.value[unit]] += right
-        a, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b].astype(np.int64))],
-            names=["a", "b", "n"],
-        )
-
-    out = np.zeros((k, k))
-    for r in packed.mapInArrow(run, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        out[r["a"], r["b"]] = r["n"]
-    return out
+                total[sent.value[unit]] += right.astype(np.int64)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(m, np.int64) for m in table.column("m").to_pylist())
+        return pa.table({"m": pa.array([total.tobytes()], pa.binary())})
+
+    rows = packed.mapInArrow(run, "m binary").withColumn("fold", F.pmod(F.spark_partition_id(), F.lit(folds)))
+    out = np.zeros(k * k, np.int64)
+    for r in rows.groupBy("fold").applyInArrow(add, "m binary").collect():
+        out += np.frombuffer(r["m"], np.int64)
+    return out.reshape(k, k).astype(float)
 
 
 def exchange(packed: DataFrame, classes: np.ndarray, k: int, least_gain: float = LEAST_GAIN) -> tuple[np.ndarray, np.ndarray]:
