@@ -26,6 +26,7 @@ from ballgraph.session import Scratch
 SHINGLE = 5
 #: Texts hashed together, and hashes that one bucket's task sorts.
 STEP_BYTES = 2_000_000
+DEAL_BYTES = 8_000_000
 BUCKET_HASHES = 2_000_000
 #: Share of the hash space counted by the first bound. More of it rules out more classes, and moves more hashes.
 SAMPLED = 0.3
@@ -103,14 +104,22 @@ def _unpacked(table, *kinds):
     ]
 
 
+def _in_steps(column: pa.Array):
+    """The texts of a batch in lists of about ``DEAL_BYTES``."""
+    texts = column.to_pylist()
+    for begin, stop in groups_of(texts, DEAL_BYTES):
+        yield texts[begin:stop]
+
+
 def shared_counts(docs: DataFrame, text_column: str, buckets: int) -> DataFrame:
     """(f1, shared): of a set's sampled shingles, how many are in another set too."""
 
     def deal(batches):
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        texts = (t for batch in batches for t in _in_steps(batch.column(0)))
+        for some in texts:
             low, prints = [], []
-            for s in shingle_sets(batch.column(0).to_pylist()):
+            for s in shingle_sets(some):
                 own = _fingerprint(s)
                 if own not in seen and len(s):
                     if len(seen) < SEEN:
@@ -420,18 +429,13 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
 
     Ties between rows of one id are broken by the row's place in the numbered copy that is written first, so the result
     does not depend on how ``docs`` is split when it is read again. Nulls, empty texts, repeated rows and empty tables are
-    treated as in ``jaccard_join``; all columns are kept, whatever their names.
+    treated as in ``jaccard_join``; all columns are kept, and any name but ``_bg_row`` may be one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard-keep")
-    numbered = scratch.save(
-        docs.select(F.monotonically_increasing_id().alias("_bg_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_bg_doc")),
-        "numbered",
-    )
-    own = numbered.select(
-        F.col("_bg_row").alias("row"), F.col(f"_bg_doc.`{id_column}`").alias("id"), F.col(f"_bg_doc.`{text_column}`").alias("text")
-    )
+    numbered = scratch.save(docs.withColumn("_bg_row", F.monotonically_increasing_id()), "numbered")
+    own = numbered.select(F.col("_bg_row").alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     rows = scratch.save(join_rows(own), "rows").where("n_links > 0")
     first = rows.where("id <=> component_id").groupBy("component_id").agg(F.min("row").alias("row"))
     gone = scratch.save(rows.join(first.select("row"), "row", "left_anti").select(F.col("row").alias("_bg_row")), "gone")
-    return numbered.join(broadcast_if_small(gone, gone.count()), "_bg_row", "left_anti").select("_bg_doc.*")
+    return numbered.join(broadcast_if_small(gone, gone.count()), "_bg_row", "left_anti").select(*docs.columns)
