@@ -26,6 +26,7 @@ from ballgraph.session import Scratch
 MEMO_CHUNKS = 1_000_000
 MEMO_CHARS = 64
 STEP_BYTES = 2_000_000
+ENCODED = 5_000
 
 _RUN = re.compile(r"\s[ \n]\s")
 
@@ -46,7 +47,8 @@ class ChunkIds:
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [
             array("I", e.ids).tobytes()
-            for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+            for at in range(0, len(chunks), ENCODED)  # an encoding holds much more than its ids
+            for e in self.tokenizer.encode_batch_fast(chunks[at:at + ENCODED], add_special_tokens=False)
         ]
 
     def encode(self, texts: list[str]) -> list[bytes]:
