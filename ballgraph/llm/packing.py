@@ -15,6 +15,7 @@ from array import array
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +26,15 @@ from ballgraph.session import Scratch
 #: Memory bound of a worker's memo of encoded chunks, the longest chunk it keeps, and texts encoded together.
 MEMO_CHUNKS = 1_000_000
 MEMO_CHARS = 64
-STEP_BYTES = 2_000_000
+STEP_BYTES = 4_000_000
 ENCODED = 5_000
+#: Plain chunks that are encoded as one text.
+JOINED = 250
 
 _RUN = re.compile(r"\s[ \n]\s")
+_PLAIN = re.compile(r"[^\s<]+")
+#: Fixed value: the letter in which the vocabulary spells a space.
+SPACE_LETTER = "\u0120"
 
 
 class ChunkIds:
@@ -43,6 +49,9 @@ class ChunkIds:
         self.tokenizer = tokenizer
         self.known: dict[str, bytes] = {}  # by the chunk without the space in front of it
         self.opening: dict[str, bytes] = {}  # chunks that open a text, with no space in front
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space
+        self.spaced[[n for token, n in vocabulary.items() if token.startswith(SPACE_LETTER)]] = True
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         return [
@@ -51,34 +60,77 @@ class ChunkIds:
             for e in self.tokenizer.encode_batch_fast(chunks[at:at + ENCODED], add_special_tokens=False)
         ]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian 32-bit ids of each text."""
+    def _encode_spaced(self, chunks: list[str]) -> list[bytes]:
+        """Ids of plain chunks with a space in front of each: encoded as one text, they begin where a token with a space
+        does. Lots in which that does not give as many chunks are encoded one by one."""
+        out: list[bytes] = []
+        for at in range(0, len(chunks), ENCODED):
+            some = chunks[at:at + ENCODED]
+            lines = [some[k:k + JOINED] for k in range(0, len(some), JOINED)]
+            joined = self.tokenizer.encode_batch_fast([" " + " ".join(x) for x in lines], add_special_tokens=False)
+            for line, e in zip(lines, joined):
+                ids = np.array(e.ids, np.uint32)
+                begin = np.flatnonzero(self.spaced[ids])
+                if len(begin) != len(line) or (len(begin) and begin[0]):
+                    out.extend(self._encode([" " + p for p in line]))
+                    continue
+                packed, cuts = ids.tobytes(), (np.append(begin, len(ids)) * 4).tolist()
+                out.extend(packed[x:y] for x, y in zip(cuts, cuts[1:]))
+        return out
+
+    def _spaced_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks from the memo, which learns those it lacks."""
+        found = list(map(self.known.get, chunks))
+        lacking = [n for n, b in enumerate(found) if b is None]
+        plain = [n for n in lacking if _PLAIN.fullmatch(chunks[n])]
         # a line feed opens a chunk as a space does, and stays in it
-        cut = [None if _RUN.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        seen: set[str] = set()
-        for parts in cut:
-            if parts:
-                seen.update(parts[1:])
-        if len(self.known) + len(seen) > MEMO_CHUNKS:
+        odd = [n for n in lacking if not _PLAIN.fullmatch(chunks[n])]
+        learnt = self._encode_spaced([chunks[n] for n in plain])
+        learnt += self._encode([chunks[n] if chunks[n][:1] == "\n" else " " + chunks[n] for n in odd])
+        if len(self.known) + len(learnt) > MEMO_CHUNKS:
             self.known.clear()
-        fresh = [p for p in seen if p not in self.known]
-        self.known.update(zip(fresh, self._encode([p if p[:1] == "\n" else " " + p for p in fresh])))
-        first = list({parts[0] for parts in cut if parts} - self.opening.keys())
-        if len(self.opening) + len(first) > MEMO_CHUNKS // 8:
+        for n, ids in zip(plain + odd, learnt):
+            found[n] = ids
+            if len(chunks[n]) <= MEMO_CHARS:
+                self.known[chunks[n]] = ids
+        return found
+
+    def _opening_ids(self, chunks: list[str]) -> list[bytes]:
+        lacking = [p for p in chunks if p not in self.opening]
+        learnt = dict(zip(lacking, self._encode(lacking)))
+        found = [self.opening.get(p) or learnt.get(p, b"") for p in chunks]
+        if len(self.opening) + len(learnt) > MEMO_CHUNKS // 8:
             self.opening.clear()
-            first = list({parts[0] for parts in cut if parts})
-        self.opening.update(zip(first, self._encode(first)))
-        whole = iter(self._encode([t for t, parts in zip(texts, cut) if parts is None]))
-        known = self.known.__getitem__
-        out = [
-            next(whole) if parts is None else self.opening[parts[0]] + b"".join(map(known, parts[1:]))
-            for parts in cut
-        ]
-        for memo, keys in ((self.known, fresh), (self.opening, first)):
-            for key in keys:
-                if len(key) > MEMO_CHARS:
-                    del memo[key]
-        return out
+        self.opening.update((p, ids) for p, ids in learnt.items() if len(p) <= MEMO_CHARS)
+        return found
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The 32-bit ids of the texts one after the other, ``end`` behind each, and where each text begins."""
+        runs = [n for n, t in enumerate(texts) if _RUN.search(t)]
+        apart = set(runs)
+        cut = pa.array([t if n not in apart else "" for n, t in enumerate(texts)], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(cut, "\n", " \n"), " ")
+        offsets = lists.offsets.to_numpy()
+        flat = lists.flatten().dictionary_encode()
+        chunks = flat.dictionary.to_pylist()
+        opening = [chunks[n] for n in flat.indices.to_numpy()[offsets[:-1]].tolist()] if len(texts) else []
+        distinct = list(dict.fromkeys(opening))
+        # what a place in the texts can be: a chunk, a first chunk, a text encoded whole, the end
+        first = {p: len(chunks) + n for n, p in enumerate(distinct)}
+        blobs = self._spaced_ids(chunks) + self._opening_ids(distinct)
+        whole = len(blobs)
+        blobs += self._encode([texts[n] for n in runs]) + [array("I", [end]).tobytes()]
+        places = flat.indices.to_numpy().astype(np.int64)
+        places[offsets[:-1]] = [first[p] for p in opening]
+        places[offsets[runs]] = whole + np.arange(len(runs))
+        places = np.insert(places, offsets[1:], len(blobs) - 1)
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        pool, at = np.frombuffer(b"".join(blobs), np.uint32), np.cumsum(sizes) - sizes
+        n = sizes[places]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(at[places] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        begins = np.append(0, ends[offsets[1:] + np.arange(len(texts))])
+        return ids, begins
 
 
 _WORKER: dict[int, ChunkIds] = {}
@@ -88,7 +140,6 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int) -
     """(doc_id, piece, start, length, ids_crc32): every document's ids and ``end_id``, cut if longer than ``size``."""
     spec = open(tokenizer_path, encoding="utf-8").read()  # on the driver; tasks get the text
     sent = docs.sparkSession.sparkContext.broadcast((zlib.crc32(spec.encode()), spec))
-    end = array("I", [end_id]).tobytes()
 
     def run(batch):
         from ballgraph.llm.common import groups_of
@@ -96,13 +147,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int) -
         key, text = sent.value
         if key not in _WORKER:
             _WORKER[key] = ChunkIds(read_tokenizer(text))
-        ids, raw = batch["id"], batch["t"]
+        docs, raw = batch["id"], batch["t"]
         for begin, stop in groups_of(raw, STEP_BYTES):
             out = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            encoded = _WORKER[key].encode([t.decode("utf-8") for t in raw[begin:stop]])
-            for doc, packed in zip(ids[begin:stop], encoded):
-                packed = memoryview(packed + end)
-                total = len(packed) // 4
+            ids, begins = _WORKER[key].encode([t.decode("utf-8") for t in raw[begin:stop]], end_id)
+            packed = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            for doc, low, high in zip(docs[begin:stop], begins.tolist(), begins[1:].tolist()):
+                total = high - low
                 first = (total - 1) % size + 1
                 for piece, (at, to) in enumerate(
                     zip([0, *range(first, total, size)], range(first, total + 1, size))
@@ -111,7 +162,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int) -
                     out["piece"].append(piece)
                     out["start"].append(at)
                     out["length"].append(to - at)
-                    out["ids_crc32"].append(zlib.crc32(packed[at * 4:to * 4]))
+                    out["ids_crc32"].append(zlib.crc32(packed[(low + at) * 4:(low + to) * 4]))
             yield out
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()

@@ -42,8 +42,13 @@ def test_words_add_up(specs):
 def test_chunks_add_up(specs):
     tok = read_tokenizer(specs["byte_bpe_50k.json"])
     texts = ODD + random_texts()
-    for text, packed in zip(texts, ChunkIds(tok).encode(texts)):
-        assert packed == array("I", tok.encode(text, add_special_tokens=False).ids).tobytes(), repr(text)
+    chunks = ChunkIds(tok)
+    for _ in range(2):  # learnt, then remembered
+        ids, begins = chunks.encode(texts, 2)
+        assert len(begins) == len(texts) + 1 and begins[-1] == len(ids)
+        for text, low, high in zip(texts, begins, begins[1:]):
+            assert ids[low:high].tolist() == [*tok.encode(text, add_special_tokens=False).ids, 2], repr(text)
+    assert [len(x) for x in chunks.encode([], 2)] == [0, 1]
 
 
 def docs(spark, rows):
