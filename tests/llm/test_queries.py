@@ -12,9 +12,9 @@ def test_agrees_with_sql(spark, name):
     assert ok, note
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_thirteen_and_the_pipeline_are_registered():
     import __spark_entry__ as contract
 
     names = set(contract.queries())
     assert "pipeline" in names
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
