@@ -16,17 +16,33 @@ METRIC_NAMES = {
     "Wass_H1": "Wasserstein $H_1$",
 }
 
+# Fixed value: how file names give the label.
 PATH_LABEL = r"(?i)obj\s*(\d+)"
 
 
+#: Codes up to this size are broadcast; a row counts its value and so many bytes more. Beyond, parts of a value.
+BROADCAST_BYTES = 32 << 20
+CODE_BYTES = 64
+SALTS = 32
+
+
 def label_index(df: DataFrame, col: str, code_col: str = "code", missing: int | None = None) -> DataFrame:
     """Adds the 0-based rank of each value among the sorted distinct values.
 
-    ``missing`` is the code of NULL (-1 as category codes do); NULL keeps a NULL code without it.
+    ``missing`` is the code of NULL (-1 as category codes do); NULL keeps a NULL code without it. Codes are broadcast
+    where their measured size allows it. Beyond, both sides are salted, so neither NULL nor a value that many rows have
+    is the work of one task.
     """
     scratch = Scratch(df.sparkSession, "labels")
     distinct = df.select(col).where(F.col(col).isNotNull()).distinct()
-    out = df.join(dense_codes(distinct, col, code_col, scratch), col, "left")
+    codes = scratch.save(dense_codes(distinct, col, code_col, scratch), "coded")
+    size = codes.agg(F.sum(F.octet_length(F.col(col).cast("string")) + F.lit(CODE_BYTES))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        out = df.join(F.broadcast(codes), col, "left")
+    else:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+        out = salted.join(codes.withColumn("_salt", salts), [col, "_salt"], "left").drop("_salt")
     if missing is not None:
         out = out.withColumn(code_col, F.coalesce(code_col, F.lit(missing).cast("bigint")))
     return out

@@ -149,3 +149,21 @@ def test_scan_reads_only_its_columns(spark):
     plan = points._jdf.queryExecution().executedPlan().toString()
     assert "label" not in plan.split("ReadSchema")[1]
     assert points.count() == 500
+
+
+def test_codes_beyond_the_broadcast_are_dealt_evenly(spark, monkeypatch):
+    """A third of the rows has no value, another third has the same."""
+    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(i, None if i % 3 == 0 else "hot" if i % 3 == 1 else f"v{i % 50:02}") for i in range(3000)]
+        coded = L.label_index(spark.createDataFrame(rows, "id bigint, c string"), "c", missing=-1)
+        values = sorted({c for _, c in rows if c is not None})
+        assert {r.id: r.code for r in coded.collect()} == {i: -1 if c is None else values.index(c) for i, c in rows}
+        parts = [r["n"] for r in coded.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(parts) == 8 and max(parts) < 3000 / 3  # neither third is the work of one task
