@@ -2,7 +2,8 @@
 
 DataFrame functions only. Per document, a histogram over character classes and one over common words are compared by
 Jensen-Shannon divergence with those of all documents of the same declared language. Documents shorter than the
-minimum lengths are not judged by their histograms, unless words are judged by length. Counting rules on words, lines and repeats come first.
+minimum length are not judged by their characters; words are judged at every length, against a threshold that widens as
+texts get shorter. Counting rules on words, lines and repeats come first.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ CLASSES = ("[^A-Z]+", "[^0-9]+", "[^#*$%&|<>]+", "[^!\"'()+,./:;=?@\\[\\]^_`{}~\
 MAX_CHAR_DIVERGENCE = 0.08
 MIN_CHARS = 300
 MAX_WORD_DIVERGENCE = 0.06
-MIN_WORDS = 150
-#: By length, the word histogram of every text is judged, and chance is allowed this over the number of words if that is
-#: more than MAX_WORD_DIVERGENCE: the divergence of a sample of n words from its source falls as 1 / n.
+#: Chance is allowed this over the number of words if that is more than MAX_WORD_DIVERGENCE: the divergence of a sample
+#: of n words from its source falls as 1 / n.
 WORD_NOISE = 9.0
 
 VERDICTS = (
@@ -131,7 +131,7 @@ def repeated_windows(rows: DataFrame) -> DataFrame:
     ))
 
 
-def _judged(docs: DataFrame, text: str, lang: str, keep: list[str], by_length: bool) -> DataFrame:
+def _judged(docs: DataFrame, text: str, lang: str, keep: list[str]) -> DataFrame:
     """``keep`` as ``_bg_keep0``, ``_bg_keep1`` and so on, with the counts, the divergences and the verdicts."""
     held = Scratch(docs.sparkSession, "quality").save(language_references(docs, text, lang), "references")
     names = [f"_bg_keep{i}" for i in range(len(keep))]
@@ -158,7 +158,6 @@ def _judged(docs: DataFrame, text: str, lang: str, keep: list[str], by_length: b
     })
     odd_words = (
         f"n_words > 0 and word_divergence > greatest({MAX_WORD_DIVERGENCE}D, {WORD_NOISE}D / greatest(n_words, 1))"
-        if by_length else f"n_words >= {MIN_WORDS} and word_divergence > {MAX_WORD_DIVERGENCE}"
     )
     # one sum instead of a conjunction: a filter on the verdict stays above the join and what is computed for it
     return rows.withColumn("kept", F.expr(
@@ -167,19 +166,21 @@ def _judged(docs: DataFrame, text: str, lang: str, keep: list[str], by_length: b
     )).select(*names, *VERDICTS)
 
 
-def quality(
-    docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id", by_length: bool = False
-) -> DataFrame:
+def quality(docs: DataFrame, text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> DataFrame:
     """The id with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the divergences and verdicts.
 
     Null texts have no words and fail the base rules, as empty ones do. Null languages are a language of their own.
     Every row is judged by itself, repeated rows alike; the references cover all rows. Other columns are ignored; an
-    empty table gives no rows. ``by_length`` judges the words of texts below MIN_WORDS too, with a wider threshold.
+    empty table gives no rows. A very long text costs its task memory for its words and windows at once.
     """
-    return _judged(docs, text, lang, [id_column], by_length).withColumnRenamed("_bg_keep0", id_column)
+    return _judged(docs, text, lang, [id_column]).withColumnRenamed("_bg_keep0", id_column)
 
 
-def drop_rejected(docs: DataFrame, text: str = "text", lang: str = "lang", by_length: bool = False) -> DataFrame:
-    """The documents that the rules keep, with all their columns; ``by_length`` as in ``quality``."""
+def drop_rejected(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The documents that ``quality`` keeps, with all their columns, whatever these are named.
+
+    Null and empty texts go, null languages are one language, repeated rows stay or go together, an empty table stays
+    empty.
+    """
     names = [F.col(f"_bg_keep{i}").alias(c) for i, c in enumerate(docs.columns)]
-    return _judged(docs, text, lang, docs.columns, by_length).where("kept").select(*names)
+    return _judged(docs, text, lang, docs.columns).where("kept").select(*names)

@@ -9,8 +9,9 @@ SITE_LINES = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 lines AS (SELECT DISTINCT r, source, line FROM (SELECT r, source, unnest(lines) AS line FROM docs)
           WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-bad AS (SELECT l.source, line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
+page_lines AS (SELECT DISTINCT l.source, text, line FROM lines l JOIN docs USING (r)),
+totals AS (SELECT source, count(*) AS total FROM (SELECT DISTINCT source, text FROM documents) GROUP BY source),
+bad AS (SELECT l.source, line FROM page_lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
         GROUP BY l.source, line, total HAVING count(*) >= {MIN_PAGES} AND count(*) > {RATIO} * total),
 lists AS (SELECT source, list(line) AS bad FROM bad GROUP BY source),
 kept AS (SELECT d.*, CASE WHEN l.bad IS NULL THEN d.lines
@@ -69,7 +70,8 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, char_divergence, word_divergence,
        base_failed,
        NOT base_failed AND NOT (all_chars >= {dv.MIN_CHARS} AND char_divergence > {dv.MAX_CHAR_DIVERGENCE})
-       AND NOT (n_words >= {dv.MIN_WORDS} AND word_divergence > {dv.MAX_WORD_DIVERGENCE}) AS kept
+       AND NOT (n_words > 0 AND word_divergence
+                > greatest({dv.MAX_WORD_DIVERGENCE}, {dv.WORD_NOISE}::DOUBLE / greatest(n_words, 1))) AS kept
 FROM judged
 """
 

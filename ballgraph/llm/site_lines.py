@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 from ballgraph.llm.common import BROADCAST_ROWS
 from ballgraph.session import Scratch
 
-#: Share of a host's pages above which a line is boilerplate, and pages it must be on at least. Where rows are counted,
-#: a page that many copies hold can be emptied; the pipeline counts distinct texts.
+#: Share of a host's pages above which a line is boilerplate, and pages it must be on at least.
 RATIO = 0.08
 MIN_PAGES = 5
 #: Parts into which a hot line's rows are dealt when the boilerplate list is too long to broadcast.
@@ -29,7 +28,7 @@ def _has_word(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, distinct: bool = False
+    docs: DataFrame, host: str, text: str, ratio: float, min_pages: int, distinct: bool = True
 ) -> DataFrame:
     """(h, k, pages, share): lines on more than ``ratio`` of the pages of host ``h`` and on ``min_pages`` at least.
 
@@ -58,15 +57,17 @@ def boilerplate_lines(
 
 def drop_boilerplate(
     docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
-    counts: bool = False, broadcast_rows: int = BROADCAST_ROWS, distinct: bool = False,
+    counts: bool = False, broadcast_rows: int = BROADCAST_ROWS, distinct: bool = True,
 ) -> DataFrame:
     """The documents without their host's boilerplate lines; all columns and rows stay.
 
     A page counts once for a line it repeats. Lines are the parts between line feeds; lines without a word are never
-    boilerplate. A null host is a host of its own, a null text stays null and counts as a page, repeated rows are
-    pages of their own, and an empty table stays empty. ``counts`` adds ``n_lines`` and ``n_dropped``, replacing
+    boilerplate. A null host is a host of its own, a null text stays null and counts as a page, and an empty table
+    stays empty. ``counts`` adds ``n_lines`` and ``n_dropped``, replacing
     columns of that name. With more than ``broadcast_rows`` boilerplate lines, lines are joined in salted parts.
-    With ``distinct``, equal texts of a host count as one page, in a line's pages and in the host's.
+    Equal texts of a host count as one page, in a line's pages and in the host's, so a page does not lose its text to its
+    own copies; without ``distinct`` every row is a page, and one that many copies hold can be emptied. A text is split and
+    hashed in its row, so a very long one costs memory for its lines once.
     """
     scratch = Scratch(docs.sparkSession, "site-lines")
     bad = scratch.save(boilerplate_lines(docs, host, text, ratio, min_pages, distinct).select("h", "k"), "bad")

@@ -65,8 +65,8 @@ def test_short_texts_are_judged_by_length(spark):
     texts = [usual(300) for _ in range(40)] + [usual(n) for n in (60, 80, 100, 120, 140)]
     texts += [" ".join(odd() for _ in range(n)) for n in (110, 130, 149, 151, 300)]
     docs = spark.createDataFrame([(n, t, "en") for n, t in enumerate(texts)], "doc_id bigint, text string, lang string")
-    assert {r.doc_id for r in divergence.quality(docs, by_length=True).where("kept").collect()} == set(range(45))
-    assert {r.doc_id for r in divergence.drop_rejected(docs, by_length=True).collect()} == set(range(45))
+    assert {r.doc_id for r in divergence.quality(docs).where("kept").collect()} == set(range(45))
+    assert {r.doc_id for r in divergence.drop_rejected(docs).collect()} == set(range(45))
 
 
 @pytest.mark.parametrize("limit", [200_000, 0])
@@ -74,10 +74,10 @@ def test_distinct_pages(spark, limit):
     rows = [(n, "big", "copied\nown text") for n in range(40)] + [(100 + n, "big", f"own {n}\nfoot") for n in range(6)]
     rows += [(200 + n, "big", f"own {n} too") for n in range(30)] + [(300, "big", None), (301, "big", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
-    out = drop_boilerplate(docs, ratio=0.15, min_pages=5, broadcast_rows=limit, distinct=True)
+    out = drop_boilerplate(docs, ratio=0.15, min_pages=5, broadcast_rows=limit)
     got = {r.doc_id: r.text for r in out.collect()}
     assert got == {n: None if t is None else t.removesuffix("\nfoot") for n, _, t in rows}
-    assert drop_boilerplate(docs.limit(0), distinct=True).count() == 0
+    assert drop_boilerplate(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("limit", [200_000, 0])
@@ -88,14 +88,16 @@ def test_lines(spark, limit):
     docs = spark.createDataFrame(
         [Row(doc_id=i, source=s, text=t, n_lines="clash") for i, s, t in rows], "doc_id bigint, source string, text string, n_lines string"
     )
-    out = drop_boilerplate(docs, ratio=0.5, min_pages=5, broadcast_rows=limit)
+    out = drop_boilerplate(docs, ratio=0.5, min_pages=5, broadcast_rows=limit, distinct=False)
     assert out.columns == docs.columns
     got = {r.doc_id: r.text for r in out.collect()}
     want = {n: f"own {n}\n\n  \nown {n}\nfoot {n % 2}" for n in range(20)}  # a foot is on less than half
     want |= {100 + n: f"top line\nown {n}" for n in range(4)}  # on too few pages
     want |= {200 + n: "" for n in range(6)} | {300: None, 301: "", None: ""}
     assert got == want
-    counted = {r.doc_id: (r.n_lines, r.n_dropped) for r in drop_boilerplate(docs, ratio=0.5, counts=True, broadcast_rows=limit).collect()}
+    counted = {r.doc_id: (r.n_lines, r.n_dropped) for r in drop_boilerplate(docs, ratio=0.5, counts=True, broadcast_rows=limit, distinct=False).collect()}
+    once = {r.doc_id: r.text for r in drop_boilerplate(docs, ratio=0.5, broadcast_rows=limit).collect()}
+    assert once == want | {200 + n: "top line\nx\ntop line" for n in range(6)}  # six copies are one page
     assert counted[0] == (6, 1) and counted[203] == (3, 3) and counted[300] == (0, 0) and counted[301] == (1, 0)
     assert drop_boilerplate(docs.limit(0), broadcast_rows=limit).count() == 0
 
