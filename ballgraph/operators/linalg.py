@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,7 +20,9 @@ from ballgraph.sources.points import dense_codes
 
 GRAM_WIDTH_LIMIT = 4096         # a width x width matrix must fit one task and the driver
 BROADCAST_BYTES = 64 << 20      # largest side that is broadcast instead of shuffled
-FACTOR_ENTRIES = 32 << 20       # terms x few entries up to which the SVD's factor goes to the tasks
+TOLERANCE = 1e-6                # residual of an eigenpair, as a share of the largest eigenvalue
+MAX_PASSES = 200                # guard of the block iteration
+DEPENDENT = 1e-12               # share of the largest below which a direction depends on others
 PARTIAL_ROWS = 4096             # rows per batch of a partial factor
 
 
@@ -128,14 +132,16 @@ def pca(points: DataFrame, n_components: int, width: int | None = None) -> DataF
 
 
 def wide_pca_model(
-    points: DataFrame, n_components: int, width: int, oversample: int = 8, passes: int = 6, seed: int = 0
+    points: DataFrame, n_components: int, width: int, oversample: int = 8, seed: int = 0,
+    tolerance: float = TOLERANCE, max_passes: int = MAX_PASSES,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``pca_model`` without the width x width matrix: block iteration with width x few matrices."""
     spark = points.sparkSession
     mean = np.array(points.agg(vector_to_array(Summarizer.mean(array_to_vector("v")))).first()[0])
     few = min(n_components + oversample, width)
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, few)))[0]
-    for _ in range(passes):
+    rows = points.count()
+
+    def image(basis: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((mean, basis))
 
         def multiply(batches):
@@ -151,12 +157,98 @@ def wide_pca_model(
                     "n": pa.array([float(n)]), "total": pa.array([[0.0]]), "cross": pa.array([cross.ravel()]),
                 })
 
-        n, _, cross = folded(points.select("v").mapInArrow(multiply, PARTIAL_SCHEMA))
-        image = cross.reshape(width, few)
-        values, vectors = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2.0)
-        top, basis = basis @ vectors[:, ::-1], np.linalg.qr(image)[0]
+        _, _, cross = folded(points.select("v").mapInArrow(multiply, PARTIAL_SCHEMA))
+        return cross.reshape(width, basis.shape[1])
+
     keep = min(n_components, few)
-    return mean, _fix_signs(top[:, :keep]), values[::-1][:keep] / max(n - 1.0, 1.0)
+    start = np.random.default_rng(seed).normal(size=(width, few))
+    top, values = leading_pairs(ArrayBlocks(), start, image, few, keep, tolerance, max_passes)
+    return mean, _fix_signs(top), values / max(rows - 1.0, 1.0)
+
+
+class ArrayBlocks:
+    """Blocks of columns as arrays."""
+
+    def beside(self, left: np.ndarray, right: np.ndarray, width: int) -> np.ndarray:
+        return np.hstack([left, right])
+
+    def products(self, block: np.ndarray, width: int) -> np.ndarray:
+        return block.T @ block
+
+    def times(self, block: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        return block @ matrix
+
+
+class TableBlocks:
+    """Blocks of columns as tables (code, q), written where a later step reads them more than once."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.steps = scratch, 0
+
+    def beside(self, left: DataFrame, right: DataFrame, width: int) -> DataFrame:
+        """The columns of both; a row that ``right``, of this width, lacks is zero there."""
+        zero = F.array(*[F.lit(0.0)] * width)
+        both = left.join(right.select("code", F.col("q").alias("more")), "code", "left").select(
+            "code", F.concat("q", F.coalesce("more", zero)).alias("q")
+        )
+        self.steps += 1
+        held = self.scratch.save(both, f"basis{self.steps}")
+        if self.steps > 1:  # ``left`` was made from the basis before, which is read no more
+            self.scratch.drop(f"basis{self.steps - 1}")
+        return held
+
+    def products(self, block: DataFrame, width: int) -> np.ndarray:
+        return block_gram(block, width)
+
+    def times(self, block: DataFrame, matrix: np.ndarray) -> DataFrame:
+        return rotate(block, "code", matrix)
+
+
+def _ritz(products: np.ndarray, size: int, few: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, mixing matrix and residuals of the leading pairs of A in span S, from the products of [S, A S].
+
+    Directions of S that depend on others to rounding are left out.
+    """
+    own, cross, far = products[:size, :size], products[:size, size:], products[size:, size:]
+    length = np.sqrt(np.maximum(np.diag(own), 0.0))
+    scale = np.where(length > 0, 1.0 / np.where(length > 0, length, 1.0), 0.0)
+    values, vectors = np.linalg.eigh(own * scale[:, None] * scale)
+    held = values > values.max() * DEPENDENT
+    white = scale[:, None] * vectors[:, held] / np.sqrt(values[held])
+    values, vectors = np.linalg.eigh(white.T @ ((cross + cross.T) / 2.0) @ white)
+    values, mix = values[::-1][:few], white @ vectors[:, ::-1][:, :few]
+    of = lambda m: np.einsum("ac,ab,bc->c", mix, m, mix)
+    residual = np.sqrt(np.maximum(of(far) - 2.0 * values * of(cross) + values ** 2 * of(own), 0.0))
+    return values, mix, residual
+
+
+def leading_pairs(blocks, start, image, few: int, keep: int, tolerance: float, max_passes: int):
+    """(block of ``keep`` vectors, values): leading eigenpairs of a positive operator known by its ``image`` of a block.
+
+    Each pass searches the span of the current vectors, their residuals and the last steps, so it needs one image of a
+    block of ``few`` columns. It ends when no wanted pair's residual, the length of A x - value x, is above
+    ``tolerance`` times the largest value; a warning tells if that took too many passes.
+    """
+    basis, size = blocks.beside(start, image(start), few), few
+    for done in range(max_passes + 1):
+        values, mix, residual = _ritz(blocks.products(basis, 2 * size), size, few)
+        worst = residual[:keep].max() / max(values[0], 1e-300)
+        if worst <= tolerance or done == max_passes:
+            break
+        none = np.zeros_like(mix)
+        step = mix.copy()
+        step[:few] = 0.0  # without the part along the vectors before
+        steps = [step] if size > few else []
+        scaled = mix / np.maximum(residual, values[0] * 1e-12)
+        parts = [np.vstack([m, none]) for m in [mix, *steps]] + [np.vstack([-scaled * values, scaled])]
+        parts += [np.vstack([none, m]) for m in [mix, *steps]]
+        own = few * (len(steps) + 1)
+        moved = blocks.times(basis, np.hstack(parts))
+        rest = np.eye(few * len(parts))[:, own:own + few]
+        basis, size = blocks.beside(moved, image(blocks.times(moved, rest)), few), own + few
+    if worst > tolerance:
+        warnings.warn(f"the block iteration stopped after {max_passes} passes with a residual of {worst:.1e}", stacklevel=3)
+    return blocks.times(basis, np.vstack([mix, np.zeros_like(mix)])[:, :keep]), values[:keep]
 
 
 def block_gram(block: DataFrame, width: int) -> np.ndarray:
@@ -179,14 +271,14 @@ def orthonormalise(block: DataFrame, key: str, width: int) -> DataFrame:
 
 
 def truncated_svd(
-    terms: DataFrame, n_components: int, oversample: int = 8, passes: int = 4, seed: int = 0,
-    ids: DataFrame | None = None,
+    terms: DataFrame, n_components: int, oversample: int = 8, seed: int = 0, ids: DataFrame | None = None,
+    tolerance: float = TOLERANCE, max_passes: int = MAX_PASSES,
 ) -> tuple[DataFrame, np.ndarray]:
     """Uncentred SVD of a sparse (id, term, value) table: rows U*S as (id, v), and S.
 
-    Block iteration on A^T A. While the terms' factor (terms x few) is below ``FACTOR_ENTRIES``, a pass
-    reads the packed rows once and shuffles only the tasks' partial factors; beyond that, both
-    products are joins and grouped sums. ``ids`` adds zero rows for ids without any term.
+    ``leading_pairs`` of A^T A on tables of terms. While a block of terms is below ``BROADCAST_BYTES`` it is sent to the
+    tasks, which read the packed rows once and shuffle only their partial images; beyond that, both products are joins
+    and grouped sums. ``ids`` adds zero rows for ids without any term.
     """
     scratch = Scratch(terms.sparkSession, "svd")
     terms = scratch.save(terms.select("id", "term", "value"), "cells")
@@ -201,14 +293,44 @@ def truncated_svd(
     n_terms, n_rows = codes.count(), packed.count()
     few = min(n_components + oversample, n_terms, n_rows)
     keep = min(n_components, few)
-    if n_terms * few <= FACTOR_ENTRIES:
-        rows, singular = _packed_svd(packed, n_terms, few, keep, passes, seed)
+    draw = F.array(*[F.expr(draws.gauss((seed, c), "term")) for c in range(few)])
+    start = scratch.save(codes.select("code", draw.alias("q")), "start")
+    small = n_terms * (few * 8 + 40) <= BROADCAST_BYTES
+    cells = packed.select("id", F.inline(F.arrays_zip("codes", "values"))).select(
+        "id", F.col("codes").alias("code"), F.col("values").alias("value")
+    )
+
+    def image(block: DataFrame) -> DataFrame:
+        if small:
+            return _packed_image(packed, _dense(block, n_terms, few))
+        left = scratch.save(_weighted_sum(cells, block, "code", "id", n_terms * (few * 8 + 40)), "left")
+        return _weighted_sum(cells, left, "id", "code", n_rows * (few * 8 + 24))
+
+    top, values = leading_pairs(TableBlocks(scratch), start, image, few, keep, tolerance, max_passes)
+    top = scratch.save(top, "vectors")
+    top = scratch.save(rotate(top, "code", np.diag(leading_signs(top, "code", keep))), "components")
+    if small:
+        shared = terms.sparkSession.sparkContext.broadcast(_dense(top, n_terms, keep))
+
+        def run(batch):
+            y = _times(batch, shared.value)
+            return {"v": list_array(y.ravel(), np.full(len(y), keep))}
+
+        rows = add_columns(packed, ["codes", "values"], run, {"v": "array<double>"})
     else:
-        rows, singular = _joined_svd(packed, n_terms, n_rows, few, keep, passes, seed, scratch)
+        rows = _weighted_sum(cells, top, "code", "id", n_terms * (keep * 8 + 40)).withColumnRenamed("q", "v")
     if ids is not None:
         zero = F.array(*[F.lit(0.0)] * keep)
         rows = ids.select("id").join(rows, "id", "left").select("id", F.coalesce("v", zero).alias("v"))
-    return rows, singular
+    return rows, np.sqrt(np.maximum(values, 0.0))
+
+
+def _dense(block: DataFrame, n: int, width: int) -> np.ndarray:
+    """A block below BROADCAST_BYTES as an array whose rows follow the codes."""
+    held = block.toArrow()
+    out = np.zeros((n, width))
+    out[held.column("code").to_numpy()] = list_matrix(held.column("q").combine_chunks())
+    return out
 
 
 def _sparse_rows(batch):
@@ -224,48 +346,32 @@ def _times(batch, block: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values[:, None] * block[codes], offsets[:-1], axis=0)
 
 
-def _packed_svd(packed, n_terms, few, keep, passes, seed):
-    spark = packed.sparkSession
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_terms, few)))[0]
-    for _ in range(passes + 1):
-        shared = spark.sparkContext.broadcast(basis)
+def _packed_image(packed: DataFrame, block: np.ndarray) -> DataFrame:
+    """(code, q): A^T A times a block. A task holds the block and its own partial image and sends the rows it touched."""
+    n_terms, few = block.shape
+    shared = packed.sparkSession.sparkContext.broadcast(block)
 
-        def multiply(batches):
-            block, total = shared.value, np.zeros((n_terms, few))
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes, values, row, _ = _sparse_rows(batch)
-                y = _times(batch, block)
-                for c in range(few):
-                    total[:, c] += np.bincount(codes, weights=values * y[row, c], minlength=n_terms)
-            touched = np.flatnonzero(total.any(axis=1))
-            for s in range(0, len(touched), PARTIAL_ROWS):
-                part = touched[s:s + PARTIAL_ROWS]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part), list_array(total[part].ravel(), np.full(len(part), few))], ["code", "q"]
-                )
-
-        partial = packed.mapInArrow(multiply, "code bigint, q array<double>")
-        summed = partial.groupBy("code").agg(
-            vector_to_array(Summarizer.sum(array_to_vector("q"))).alias("q")
-        ).toArrow()
-        image = np.zeros((n_terms, few))
-        image[summed.column("code").to_numpy()] = list_matrix(summed.column("q").combine_chunks())
-        values, vectors = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2.0)
-        top, basis = basis @ vectors[:, ::-1], np.linalg.qr(image)[0]
-    components = _fix_signs(top[:, :keep])
-    shared = spark.sparkContext.broadcast(components)
-
-    def run(batch):
-        y = _times(batch, shared.value)
-        return {"v": list_array(y.ravel(), np.full(len(y), keep))}
-
-    rows = add_columns(packed, ["codes", "values"], run, {"v": "array<double>"})
-    return rows, np.sqrt(np.maximum(values[::-1][:keep], 0.0))
-
-
-def _weighted_sum(cells: DataFrame, factor: DataFrame, on: str, by: str, width: int, bytes_: int) -> DataFrame:
+    def multiply(batches):
+        block, total = shared.value, np.zeros((n_terms, few))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes, values, row, _ = _sparse_rows(batch)
+            y = _times(batch, block)
+            for c in range(few):
+                total[:, c] += np.bincount(codes, weights=values * y[row, c], minlength=n_terms)
+        touched = np.flatnonzero(total.any(axis=1))
+        for s in range(0, len(touched), PARTIAL_ROWS):
+            part = touched[s:s + PARTIAL_ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part), list_array(total[part].ravel(), np.full(len(part), few))], ["code", "q"]
+            )
+
+    partial = packed.mapInArrow(multiply, "code bigint, q array<double>")
+    return partial.groupBy("code").agg(vector_to_array(Summarizer.sum(array_to_vector("q"))).alias("q"))
+
+
+def _weighted_sum(cells: DataFrame, factor: DataFrame, on: str, by: str, bytes_: int) -> DataFrame:
     """Sparse matrix times block: sums value * row of ``factor`` per ``by``, inside the JVM."""
     side = F.broadcast(factor) if bytes_ <= BROADCAST_BYTES else factor
     scaled = cells.join(side, on).select(
@@ -274,25 +380,6 @@ def _weighted_sum(cells: DataFrame, factor: DataFrame, on: str, by: str, width:
     return scaled.groupBy(by).agg(vector_to_array(Summarizer.sum(F.col("s"))).alias("q"))
 
 
-def _joined_svd(packed, n_terms, n_rows, few, keep, passes, seed, scratch):
-    cells = packed.select("id", F.inline(F.arrays_zip("codes", "values"))).select(
-        "id", F.col("codes").alias("term"), F.col("values").alias("value")
-    )
-    term_bytes, row_bytes = n_terms * (few * 8 + 40), n_rows * (few * 8 + 24)
-    start = F.array(*[F.expr(draws.gauss((seed, c), "term")) for c in range(few)])
-    block = cells.select("term").distinct().select("term", start.alias("q"))
-    for step in range(passes + 1):
-        left = scratch.save(_weighted_sum(cells, block, "term", "id", few, term_bytes), f"left{step}")
-        left = orthonormalise(left, "id", few)
-        block = scratch.save(_weighted_sum(cells, left, "id", "term", few, row_bytes), f"right{step}")
-    # block = A^T Q, so A ~ Q block^T; the small eigenproblem of block^T block gives U and S.
-    values, vectors = np.linalg.eigh(block_gram(block, few))
-    order = np.argsort(values)[::-1][:keep]
-    singular = np.sqrt(np.maximum(values[order], 0.0))
-    signs = leading_signs(rotate(block, "term", vectors[:, order]), "term", keep)
-    return rotate(left, "id", vectors[:, order] * (singular * signs)).withColumnRenamed("q", "v"), singular
-
-
 def leading_signs(block: DataFrame, key: str, width: int) -> np.ndarray:
     """Sign that makes the largest entry of every column positive."""
     tops = [

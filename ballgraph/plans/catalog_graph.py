@@ -347,7 +347,7 @@ def _pca_full(t):
 def _svd_full(t):
     """All components: the rows U*S keep the products of the input rows."""
     cells = t.vectors().select("id", F.posexplode("v").alias("pos", "value"))
-    rows, _ = A.truncated_svd(cells.select("id", F.col("pos").cast("string").alias("term"), "value"), 64, passes=0)
+    rows, _ = A.truncated_svd(cells.select("id", F.col("pos").cast("string").alias("term"), "value"), 64)
     return products(t.saved(rows))
 
 
@@ -393,6 +393,30 @@ def _pca_lines(t):
     )
 
 
+_LINE_PRODUCTS = ", ".join(f"sum(x{r} * x{c}) AS c{r}{c}" for r in range(4) for c in range(r, 4))
+_ALONG = lambda u: " + ".join(f"x{c} * {u}{c}" for c in range(4))
+
+
+@query("q_svd_lines", f"""WITH RECURSIVE
+  rows_ AS (SELECT l_orderkey, l_linenumber, {", ".join(f"({e})::DOUBLE AS x{c}" for c, e in enumerate(LINE_COLUMNS))} FROM lineitem),
+  cov AS (SELECT {_LINE_PRODUCTS} FROM rows_),
+  {_sql_power("first", _cov)},
+  {_sql_power("second", lambda r, c: f"{_cov(r, c)} - fv * f{r} * f{c}")}
+SELECT l_orderkey, l_linenumber, {r_("abs(" + _ALONG("f") + ")", 5)} AS first, {r_("abs(" + _ALONG("s") + ")", 5)} AS second
+FROM rows_, first_, second_""")
+def _svd_lines(t):
+    """Two of four components of a sparse table whose cells are the numbers of every line; discounts and taxes of 0 have none."""
+    vector = F.array(*[F.expr(e).cast("double") for e in LINE_COLUMNS])
+    cells = t["lineitem"].select(
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), F.posexplode(vector).alias("pos", "value")
+    ).where("value <> 0").select("id", F.concat(F.lit("x"), "pos").alias("term"), "value")
+    rows, _ = A.truncated_svd(cells, 2)
+    return rows.select(
+        F.floor(F.col("id") / 16).alias("l_orderkey"), (F.col("id") % 16).cast("int").alias("l_linenumber"),
+        *[rounded(F.abs(F.col("v")[c]), 5).alias(n) for c, n in enumerate(("first", "second"))],
+    )
+
+
 @query("q_edges_in_range", f"""WITH {SQL_KNN}
 SELECT i, j, 1.0::DOUBLE AS w FROM knn WHERE i < 300 AND j < 300""")
 def _edges_in_range(t):
