@@ -398,14 +398,15 @@ _ALONG = lambda u: " + ".join(f"x{c} * {u}{c}" for c in range(4))
 
 
 @query("q_svd_lines", f"""WITH RECURSIVE
-  rows_ AS (SELECT l_orderkey, l_linenumber, {", ".join(f"({e})::DOUBLE AS x{c}" for c, e in enumerate(LINE_COLUMNS))} FROM lineitem),
+  rows_ AS (SELECT l_orderkey, l_linenumber, {", ".join(f"sum(({e})::DOUBLE) AS x{c}" for c, e in enumerate(LINE_COLUMNS))}
+    FROM lineitem GROUP BY l_orderkey, l_linenumber),
   cov AS (SELECT {_LINE_PRODUCTS} FROM rows_),
   {_sql_power("first", _cov)},
   {_sql_power("second", lambda r, c: f"{_cov(r, c)} - fv * f{r} * f{c}")}
 SELECT l_orderkey, l_linenumber, {r_("abs(" + _ALONG("f") + ")", 5)} AS first, {r_("abs(" + _ALONG("s") + ")", 5)} AS second
 FROM rows_, first_, second_""")
 def _svd_lines(t):
-    """Two of four components of a sparse table whose cells are the numbers of every line; discounts and taxes of 0 have none."""
+    """Two of four components of a sparse table: the numbers of every line are cells, those of one key add up, zeros have none."""
     vector = F.array(*[F.expr(e).cast("double") for e in LINE_COLUMNS])
     cells = t["lineitem"].select(
         (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("id"), F.posexplode(vector).alias("pos", "value")
