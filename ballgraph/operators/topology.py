@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ballgraph.functions.vectors import l2_normalised
 from ballgraph.operators.evaluation import as_points, subsamples
+from ballgraph.operators.forest import spanning_forest
+from ballgraph.session import Scratch
 
 MEDIAN_FLOOR = 1e-12
 SAMPLE_LIMIT = 4000   # a sub-sample's distance matrix must fit one task
@@ -152,6 +154,26 @@ def diagrams(samples: DataFrame, max_dim: int = 1, metric: str = "euclidean") ->
     return samples.groupBy("repeat", "space").applyInPandas(run, DIAGRAM_SCHEMA)
 
 
+def sample_distances(samples: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """(repeat, space, i, j, d), i < j: all distances inside sub-samples, whose size is bounded by SAMPLE_LIMIT."""
+    other = samples.selectExpr("repeat", "space", "id AS j", "v AS vj")
+    pairs = samples.selectExpr("repeat", "space", "id AS i", "v AS vi").join(other, ["repeat", "space"]).where("i < j")
+    straight = "sqrt(aggregate(zip_with(vi, vj, (x, y) -> (x - y) * (x - y)), 0D, (a, x) -> a + x))"
+    angle = "greatest(1D - aggregate(zip_with(vi, vj, (x, y) -> x * y), 0D, (a, x) -> a + x), 0D)"
+    d = f"CASE WHEN space = 'high' THEN {angle} ELSE {straight} END" if metric == "cosine" else straight
+    return pairs.selectExpr("repeat", "space", "i", "j", f"{d} AS d")
+
+
+def component_bars(samples: DataFrame, metric: str = "euclidean") -> DataFrame:
+    """Bars of dimension 0 of every sub-sample: edge lengths of its minimum spanning tree over its median distance."""
+    pairs = Scratch(samples.sparkSession, "bars").save(sample_distances(samples, metric), "pairs")
+    middle = pairs.groupBy("repeat", "space").agg(F.greatest(F.median("d"), F.lit(MEDIAN_FLOOR)).alias("median"))
+    tree = spanning_forest(pairs.selectExpr("struct(repeat, space) AS g", "i", "j", "d AS w"))
+    return tree.selectExpr("g.repeat AS repeat", "g.space AS space", "w").join(
+        F.broadcast(middle), ["repeat", "space"]  # one row per sub-sample
+    ).selectExpr("repeat", "space", "0L AS dim", "0D AS birth", "w / median AS death")
+
+
 def line_transport(a: np.ndarray, b: np.ndarray) -> float:
     """Distance of two diagrams whose births are all 0: deaths match in order or go to the diagonal."""
     a, b = np.sort(a), np.sort(b)

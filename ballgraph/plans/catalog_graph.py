@@ -15,6 +15,7 @@ from ballgraph.operators import knn as K
 from ballgraph.operators import layout as Y
 from ballgraph.operators import linalg as A
 from ballgraph.operators import probe as P
+from ballgraph.operators.forest import spanning_forest
 from ballgraph.operators.neighbours import knn as knn_by
 from ballgraph.plans.catalog import (
     Tables, long_vectors, query, rounded, sql_rounded as r_, sql_uniform,
@@ -418,6 +419,23 @@ def _svd_lines(t):
     )
 
 
+@query("q_spanning_forest", f"""WITH RECURSIVE {SQL_KNN},
+  nodes AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM pts),
+  es AS (SELECT least(i, j) AS i, greatest(i, j) AS j, min(d) AS w FROM knn GROUP BY ALL),
+  ordered AS (SELECT e.*, a.n AS na, b.n AS nb, row_number() OVER (ORDER BY w, i, j) AS step
+    FROM es e JOIN nodes a ON a.id = i JOIN nodes b ON b.id = j),
+  grown AS (SELECT 0::BIGINT AS step, (SELECT list(n ORDER BY n) FROM nodes) AS root, false AS kept
+    UNION ALL
+    SELECT o.step, CASE WHEN root[na] = root[nb] THEN root
+        ELSE list_transform(root, lambda x: CASE WHEN x = root[na] THEN root[nb] ELSE x END) END, root[na] <> root[nb]
+    FROM grown g JOIN ordered o ON o.step = g.step + 1)
+SELECT i, j, {r_("w")} AS w FROM ordered JOIN grown USING (step) WHERE kept""")
+def _spanning_forest(t):
+    """Of the neighbour graph: the heights at which its parts merge."""
+    edges = knn(t).selectExpr("0L AS g", "i", "j", "d AS w")
+    return spanning_forest(edges).select("i", "j", rounded("w").alias("w"))
+
+
 @query("q_edges_in_range", f"""WITH {SQL_KNN}
 SELECT i, j, 1.0::DOUBLE AS w FROM knn WHERE i < 300 AND j < 300""")
 def _edges_in_range(t):

@@ -72,9 +72,25 @@ def _median(t):
     return T.medians(samples(t)).withColumn("median", rounded("median"))
 
 
-@query("q_h0_diagram")
+@query("q_h0_diagram", f"""WITH RECURSIVE {SQL_PTS}, {SQL_SAMPLE},
+  sp AS (SELECT repeat, id, 'high' AS space, v FROM sm JOIN pts USING (id)
+    UNION ALL SELECT repeat, id, 'low', v[1:2] FROM sm JOIN pts USING (id)),
+  nu AS (SELECT repeat, space, v, row_number() OVER (PARTITION BY repeat, space ORDER BY id) AS n FROM sp),
+  pr AS (SELECT a.repeat, a.space, a.n, b.n AS m, list_distance(a.v, b.v) AS d
+    FROM nu a JOIN nu b ON a.repeat = b.repeat AND a.space = b.space),
+  md AS (SELECT repeat, space, median(d) AS median FROM pr WHERE n < m GROUP BY repeat, space),
+  far AS (SELECT repeat, space, n, list(CASE WHEN m = n THEN 'infinity'::DOUBLE ELSE d END ORDER BY m) AS ds
+    FROM pr GROUP BY repeat, space, n),
+  prim AS (SELECT repeat, space, 0 AS step, ds AS reach, NULL::DOUBLE AS w FROM far WHERE n = 1
+    UNION ALL
+    SELECT p.repeat, p.space, step + 1, list_transform(list_zip(reach, ds),
+      lambda x: CASE WHEN isinf(x[1]) OR isinf(x[2]) THEN 'infinity'::DOUBLE ELSE least(x[1], x[2]) END), list_min(reach)
+    FROM prim p JOIN far f ON p.repeat = f.repeat AND p.space = f.space AND f.n = list_position(reach, list_min(reach))
+    WHERE NOT isinf(list_min(reach)))
+SELECT repeat, space, 0::BIGINT AS dim, 0.0::DOUBLE AS birth, {r_("w / median")} AS death
+FROM prim JOIN md USING (repeat, space) WHERE w IS NOT NULL""")
 def _h0(t):
-    return T.diagrams(samples(t), 0).withColumn("death", rounded("death"))
+    return T.component_bars(samples(t)).withColumn("death", rounded("death"))
 
 
 @query("q_h1_diagram")

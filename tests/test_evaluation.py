@@ -149,3 +149,15 @@ def test_report(spark):
     assert got["self", "pca_procrustes"] == pytest.approx(1.0)
     assert got["self", "Wass_H0"] == pytest.approx(0.0, abs=1e-9)
     assert got["flat", "Wass_H0"] > 0
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_component_bars_are_those_of_the_matrix(spark, metric):
+    x, _ = blobs(12, 2, 4, seed=8)
+    x[3] = x[4]  # a merge at height 0
+    samples = T.both_spaces(points_df(spark, x), layout_df(spark, x[:, :2]), 2, 15, 1, metric)
+    key = lambda r: (r.repeat, r.space, r.death)
+    got = sorted(T.component_bars(samples, metric).collect(), key=key)
+    want = sorted(T.diagrams(samples, 0, metric).collect(), key=key)
+    assert [(r.repeat, r.space, r.dim, r.birth) for r in got] == [(r.repeat, r.space, r.dim, r.birth) for r in want]
+    assert np.allclose([r.death for r in got], [r.death for r in want], atol=1e-6)

@@ -1,9 +1,11 @@
 import math
+import random
 
 import numpy as np
 import pytest
 
 from ballgraph.operators import community as M
+from ballgraph.operators import forest
 from ballgraph.operators import graph as G
 from ballgraph.operators import layout as Y
 from ballgraph.operators.knn import exact_knn, neighbour_lists
@@ -92,3 +94,32 @@ def test_louvain_finds_separate_blobs(spark):
     assert score > 0.6 > single
     for group in np.unique(c):
         assert len(set(labels[c == group])) == 1
+
+
+def _kruskal(edges):
+    root, kept = {}, set()
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for g, w, i, j in sorted({(str(g), w, min(i, j), max(i, j)) for g, i, j, w in edges if w is not None and i != j}):
+        if top((g, i)) != top((g, j)):
+            root[top((g, i))] = top((g, j))
+            kept.add((g, i, j, w))
+    return kept
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1])
+def test_spanning_forest_matches_kruskal(spark, monkeypatch, limit):
+    monkeypatch.setattr(forest, "BROADCAST_BYTES", limit)
+    rng = random.Random(9)
+    edges = [(g, rng.randrange(40), rng.randrange(40), float(rng.randrange(6))) for g in ("a", "b", None) for _ in range(70)]
+    edges += [("path", n, n + 1, float(n % 3)) for n in range(60)] + [("star", 0, n, 1.0) for n in range(1, 30)]
+    edges += [("loop", 1, 1, 0.0), ("none", 1, 2, None), ("a", 7, 7, 0.0), ("two", 3, 4, 2.0), ("two", 4, 3, 1.0)]
+    table = spark.createDataFrame(edges, "g string, i bigint, j bigint, w double").repartition(5)
+    got = [(str(r.g), r.i, r.j, r.w) for r in forest.spanning_forest(table).collect()]
+    assert set(got) == _kruskal(edges) and len(got) == len(set(got))
+    empty = forest.spanning_forest(table.limit(0))
+    assert empty.columns == ["g", "i", "j", "w"] and empty.count() == 0
