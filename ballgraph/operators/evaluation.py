@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +19,8 @@ from ballgraph.operators.linalg import gram, pca
 from ballgraph.session import Scratch
 from ballgraph.sources.points import validate_points
 
+SAMPLE_MARGIN = 6   # square roots of the size that a sample's bound allows for chance
+
 
 def as_points(layout: DataFrame) -> DataFrame:
     return layout.select("id", F.col("y").alias("v"))
@@ -98,12 +103,20 @@ def pca_procrustes(points: DataFrame, layout: DataFrame) -> DataFrame:
 def subsamples(points: DataFrame, repeats: int, size: int, seed: int, hasher: str = "xxhash64") -> DataFrame:
     """(repeat, id): per repeat the ``size`` ids with the smallest draws, without replacement.
 
-    Each task keeps only its own smallest ``size`` rows per repeat before the shuffle.
+    Only ids whose draw is below a bound become rows. The bound is somewhat above what ``size`` of all points need; while
+    a repeat has too few ids below it, it is raised, so the sample is exact.
     """
-    drawn = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    drawn = drawn.withColumn(
-        "u", F.expr(draws.draw((seed, "sample"), "repeat", "id", hasher=hasher))
-    )
-    return top_rows(drawn, "repeat", ["u", "id"], size, "r").select(
-        F.col("repeat").cast("bigint").alias("repeat"), "id"
-    )
+    scratch = Scratch(points.sparkSession, "subsamples")
+    n, whole = points.count(), 1 << draws.DRAW_BITS
+    u = draws.draw((seed, "sample"), "r", "id", hasher=hasher)
+    bound = whole * (size + SAMPLE_MARGIN * (math.isqrt(size) + 1)) // max(n, 1)
+    for turn in itertools.count():
+        bound = min(bound, whole)
+        drawn = f"filter(transform(sequence(0, {repeats - 1}), r -> struct(r AS repeat, {u} AS u)), x -> x.u < {bound}L)"
+        hits = points.select("id", F.expr(f"inline({drawn})"))
+        found = scratch.save(top_rows(hits, "repeat", ["u", "id"], size, "r").select(
+            F.col("repeat").cast("bigint").alias("repeat"), "id"
+        ), f"drawn{turn}")
+        if bound == whole or found.count() == repeats * min(size, n):
+            return found
+        bound *= 4

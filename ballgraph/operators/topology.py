@@ -121,7 +121,7 @@ def both_spaces(
         raise ValueError(f"a sub-sample has at most {SAMPLE_LIMIT} points")
     if size < 2:
         raise ValueError("a sub-sample needs two points")
-    sample = subsamples(points, repeats, size, seed, hasher).persist()
+    sample = subsamples(points, repeats, size, seed, hasher)
     high = points.select("id", l2_normalised(F.col("v")).alias("v") if metric == "cosine" else "v")
     return sampled_vectors(high, sample, "high").unionByName(
         sampled_vectors(as_points(layout), sample, "low")

@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pytest
 
+from ballgraph.functions import draws
 from ballgraph.operators import evaluation as E
 from ballgraph.operators import probe as P
 from ballgraph.operators import topology as T
@@ -60,6 +61,19 @@ def test_subsamples_are_whole_and_repeatable(spark):
     assert all(len(ids) == 30 for ids in per.values()) and per[0] != per[1]
 
 
+@pytest.mark.parametrize("margin", [6, -4])
+def test_subsamples_are_the_smallest_draws(spark, monkeypatch, margin):
+    monkeypatch.setattr(E, "SAMPLE_MARGIN", margin)  # a bound that is too low is raised
+    points = points_df(spark, np.zeros((300, 1)))
+    u = draws.draw((5, "sample"), "repeat", "id")
+    every = points.crossJoin(spark.range(6).selectExpr("cast(id AS int) AS repeat")).selectExpr("repeat", "id", f"{u} AS u")
+    ranked = sorted((r.repeat, r.u, r.id) for r in every.collect())
+    want = {(g, i) for g in range(6) for _, _, i in [x for x in ranked if x[0] == g][:40]}
+    got = [tuple(r) for r in E.subsamples(points, 6, 40, 5).collect()]
+    assert set(got) == want and len(got) == 240
+    assert E.subsamples(points, 2, 400, 5).count() == 600 and E.subsamples(points.limit(0), 2, 9, 5).count() == 0
+
+
 def _dist(x):
     return T._distances(np.asarray(x, dtype=float), "euclidean")
 
