@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ballgraph.operators import scores as S
 from ballgraph.plans.embed import fit_transform
 from ballgraph.plans.report import evaluate
-from ballgraph.sources.stores import read_embeddings, read_reports, write_cube, write_embedding
+from ballgraph.sources.stores import merge_reports, read_embeddings, read_reports, write_embedding
 
 Layout = Callable[[DataFrame, int, int], DataFrame]
 
@@ -51,7 +51,8 @@ def run_experiment(
     """Runs every (dataset, k, seed) of the grid with every method, below ``folder``.
 
     Layouts go to the embedding store and are scored from there, so a run can be scored again without being fitted
-    again; the cube and the statistics come from the report files, so runs of several sessions add up.
+    again; the cube and the statistics come from the report files, so runs of several sessions add up, and only datasets
+    with new reports are merged again.
     """
     spark = next(iter(datasets.values())).sparkSession
     neighbors, seeds, metrics = neighbors or S.NEIGHBORS, seeds or S.SEEDS, metrics or S.METRICS
@@ -67,6 +68,5 @@ def run_experiment(
         }
         write_report(spark, reports, run, score(points, layouts))
     found = read_reports(spark, reports)
-    cube = S.result_cube(found, list(methods), metrics, neighbors, seeds, latest="path")
-    write_cube(cube, f"{folder}/cube")
+    cube = merge_reports(spark, reports, f"{folder}/cube", list(methods), metrics, neighbors, seeds)
     return Experiment(found, cube, S.seed_stats(cube))

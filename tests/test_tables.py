@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -167,3 +168,30 @@ def test_codes_beyond_the_broadcast_are_dealt_evenly(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(parts) == 8 and max(parts) < 3000 / 3  # neither third is the work of one task
+
+
+def test_only_datasets_with_new_reports_are_merged_again(spark, tmp_path):
+    reports, path = tmp_path / "reports", str(tmp_path / "cube")
+    reports.mkdir()
+
+    def report(dataset, k, value):
+        (reports / f"{dataset}__{k}__0.json").write_text(json.dumps({"m": {"trust": value}}))
+
+    def merge(ks=(2, 3)):
+        rows = stores.merge_reports(spark, str(reports), path, ["m"], ["trust"], list(ks), [0]).collect()
+        return {(r.dataset, r.k): r.value for r in rows}
+
+    files = lambda d: sorted(str(f) for f in (tmp_path / "cube" / f"dataset={d}").iterdir())
+    report("one", 2, 0.5)
+    report("two", 2, 0.25)
+    assert merge() == {("one", 2): 0.5, ("one", 3): None, ("two", 2): 0.25, ("two", 3): None}
+    held = files("one"), files("two")
+    assert merge()["one", 2] == 0.5 and (files("one"), files("two")) == held
+    report("two", 3, 0.75)
+    report("three", 2, 1.0)
+    second = merge()
+    assert second["two", 3] == 0.75 and second["two", 2] == 0.25 and second["three", 2] == 1.0 and second["one", 2] == 0.5
+    assert files("one") == held[0] and files("two") != held[1]
+    (reports / "one__2__0.json").write_text(json.dumps({"m": {"trust": 0.125}}))
+    assert merge()["one", 2] == 0.125
+    assert merge((2,)) == {("one", 2): 0.125, ("two", 2): 0.25, ("three", 2): 1.0}  # another grid
