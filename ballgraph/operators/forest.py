@@ -11,7 +11,8 @@ from ballgraph.session import Scratch
 KEY_BYTES = 64   # of a component and where it goes, with room for a short group name
 
 
-def _small(rows: int, table: DataFrame) -> DataFrame:
+def small(rows: int, table: DataFrame) -> DataFrame:
+    """``table`` of at most ``rows`` short rows, broadcast if that many fit."""
     return F.broadcast(table) if rows * KEY_BYTES <= BROADCAST_BYTES else table
 
 
@@ -29,7 +30,7 @@ def _pointers(lightest: DataFrame, scratch: Scratch, tag: str) -> tuple[DataFram
     n = held.count()
     while True:
         turn += 1
-        ahead = _small(n, held.selectExpr("g", "c AS to", "to AS after"))
+        ahead = small(n, held.selectExpr("g", "c AS to", "to AS after"))
         # a target without a pointer has no edge left; with pointers for both ends of an edge there is none
         moved = held.join(ahead, ["g", "to"], "left").selectExpr(
             "g", "c", "coalesce(after, to) AS to", "after IS NOT NULL AND after <> to AS moved"
@@ -68,8 +69,8 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         chosen = lightest.select("g", "e").distinct()
         kept = chosen if kept is None else kept.unionByName(chosen)
         pointers, n = _pointers(lightest.select("g", "c", "to"), scratch, f"pointers{rounds}")
-        from_a = _small(n, pointers.selectExpr("g", "c AS a", "to AS ra"))
-        from_b = _small(n, pointers.selectExpr("g", "c AS b", "to AS rb"))
+        from_a = small(n, pointers.selectExpr("g", "c AS a", "to AS ra"))
+        from_b = small(n, pointers.selectExpr("g", "c AS b", "to AS rb"))
         merged = level.join(from_a, ["g", "a"]).join(from_b, ["g", "b"]).where("ra <> rb")
         merged = merged.groupBy("g", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(
             F.min("e").alias("e")
@@ -79,3 +80,35 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
     if kept is None:
         return known.selectExpr("g.name AS g", "i", "j", "w").limit(0)
     return kept.selectExpr("g.name AS g", "e.i AS i", "e.j AS j", "e.w AS w")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, c): the connected component of every node (id) under the edges (i, j), by the same contraction.
+
+    ``c`` is a node of the component, the same for all. Loops and repeated edges change nothing; a node without an
+    edge is its own component; without nodes there are no rows.
+    """
+    scratch = Scratch(nodes.sparkSession, "components")
+    level = edges.where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    level = scratch.save(level, "edges0")
+    result = scratch.save(nodes.selectExpr("id", "id AS c"), "names0")
+    rounds = 0
+    while not level.isEmpty():
+        rounds += 1
+        ends = level.selectExpr("a AS c", "struct(a, b, b AS to) AS x").unionByName(
+            level.selectExpr("b AS c", "struct(a, b, a AS to) AS x")
+        )
+        lightest = ends.groupBy("c").agg(F.min("x").alias("x")).selectExpr("0 AS g", "c", "x.to AS to")
+        pointers, n = _pointers(scratch.save(lightest, f"lightest{rounds}"), scratch, f"pointers{rounds}")
+        result = scratch.save(
+            result.join(small(n, pointers.selectExpr("c", "to")), "c", "left").selectExpr("id", "coalesce(to, c) AS c"),
+            f"names{rounds}",
+        )
+        from_a, from_b = (small(n, pointers.selectExpr(f"c AS {x}", f"to AS r{x}")) for x in "ab")
+        merged = level.join(from_a, "a").join(from_b, "b").where("ra <> rb")
+        level = scratch.save(
+            merged.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"edges{rounds}"
+        )
+        for old in ("edges", "names"):
+            scratch.drop(f"{old}{rounds - 1}")
+    return result

@@ -205,7 +205,7 @@ def _modularity(t):
 
 @query("q_louvain")
 def _louvain(t):
-    return M.louvain(fuzzy(t))
+    return M.communities(fuzzy(t))
 
 
 @query("q_knn_recall", f"""WITH {SQL_KNN},

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ballgraph.operators import counts as C
 from ballgraph.operators import scaling as S
 from ballgraph.operators import text as X
-from ballgraph.operators.community import louvain
+from ballgraph.operators.community import communities
 from ballgraph.operators.graph import fuzzy_union, memberships, smooth_knn
 from ballgraph.operators.knn import neighbour_lists
 from ballgraph.operators.labels import label_index, one_hot
@@ -55,7 +55,7 @@ def cluster_labels(
     """
     near = knn(points, k, method, seed=seed)
     graph = fuzzy_union(memberships(smooth_knn(neighbour_lists(near), k)))
-    found = louvain(graph, resolution, seed=seed)
+    found = communities(graph, resolution, seed=seed)
     every = points.select("id").join(found, "id", "left").select("id", F.coalesce("c", "id").alias("c"))
     return label_index(every, "c", "label").select("id", "label")
 

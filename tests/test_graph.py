@@ -83,11 +83,11 @@ def test_spectral_layout_without_edges(spark):
     assert y.shape == (5, 2) and np.abs(y).max() < 1e-2
 
 
-def test_louvain_finds_separate_blobs(spark):
+def test_communities_find_separate_blobs(spark):
     x, labels = blobs(30, 3, 6, seed=3)
     near = exact_knn(points_df(spark, x), 6)
     graph = G.fuzzy_union(G.memberships(G.smooth_knn(neighbour_lists(near), 6))).persist()
-    found = M.louvain(graph)
+    found = M.communities(graph)
     c = column(found, "c")
     score = M.modularity(graph, found).first().modularity
     single = M.modularity(graph, found.selectExpr("id", "id as c")).first().modularity
@@ -96,6 +96,75 @@ def test_louvain_finds_separate_blobs(spark):
         assert len(set(labels[c == group])) == 1
 
 
+def _parts(ids, pairs):
+    return {frozenset(g) for g in _groups(ids, pairs)}
+
+
+def _groups(ids, pairs):
+    near = {i: {i} for i in ids}
+    for i, j in pairs:
+        if near[i] is not near[j]:
+            near[i] |= near[j]
+            for x in near[j]:
+                near[x] = near[i]
+    return near.values()
+
+
+def test_communities_are_connected_and_no_worse_than_before_refinement(spark):
+    rng = np.random.default_rng(0)
+    group = np.arange(72) // 9
+    w = np.triu(np.where(rng.random((72, 72)) < np.where(group[:, None] == group, 0.5, 0.03), rng.integers(1, 4, (72, 72)), 0), 1)
+    w = (w + w.T).astype(float)
+    w[70, 70] = 2.0
+    w[71] = w[:, 71] = 0.0
+    w[71, 71] = 1.0  # joined to nobody
+    rows = [(i, j, float(w[i, j])) for i, j in zip(*map(lambda x: x.tolist(), np.nonzero(w)))]
+    graph = spark.createDataFrame(rows, "i bigint, j bigint, w double").persist()
+    found = M.communities(graph)
+    c = {r.id: r.c for r in found.collect()}
+    assert found.count() == len(c) == len({i for i, _, _ in rows})
+    inside = _parts(c, [(i, j) for i, j, _ in rows if c[i] == c[j]])
+    assert len(inside) == len({*c.values()})
+    before = M.communities(graph, refine=False)
+    assert M.modularity(graph, found).first().modularity >= M.modularity(graph, before).first().modularity - 1e-12
+
+
+def test_refined_parts_are_connected_and_raise_modularity(spark, near):
+    graph = G.fuzzy_union(G.memberships(G.smooth_knn(neighbour_lists(near), 8))).persist()
+    scratch = M.Scratch(spark, "refine")
+    level = M._Level(graph, graph.agg({"w": "sum"}).first()[0], 1.0, scratch, "t")
+    one = level.nodes.selectExpr("id", "pmod(id, 2) AS c", "deg")  # communities that mean nothing
+    parts = {r.id: (r.c, r.s) for r in M._refine(level, one, scratch, 1, 100, 5).collect()}
+    assert {i: c for i, (c, _) in parts.items()} == {i: i % 2 for i in parts}
+    s = {i: x for i, (_, x) in parts.items()}
+    inside = _parts(s, [(r.i, r.j) for r in graph.collect() if s[r.i] == s[r.j]])
+    assert len(inside) == len({*s.values()}) < len(s)
+    assert all(len({i % 2 for i in p}) == 1 for p in inside)
+    frame = spark.createDataFrame(list(s.items()), "id bigint, c bigint")
+    single = frame.selectExpr("id", "id AS c")
+    assert M.modularity(graph, frame).first()[0] > M.modularity(graph, single).first()[0]
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 1])
+def test_components_match_plain_ones(spark, monkeypatch, limit):
+    monkeypatch.setattr(forest, "BROADCAST_BYTES", limit)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(100 + n, 101 + n) for n in range(20)] + [(5, 5)]
+    ids = [*range(60), *range(100, 121)]
+    nodes = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    found = forest.components(nodes, spark.createDataFrame(pairs, "i bigint, j bigint").repartition(4)).collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.c, set()).add(r.id)
+    assert {frozenset(g) for g in groups.values()} == _parts(ids, pairs) and len(found) == len(ids)
+    assert all(c in g for c, g in groups.items())
+    assert forest.components(nodes.limit(0), spark.createDataFrame(pairs, "i bigint, j bigint").limit(0)).count() == 0
+
+
+def test_communities_of_nothing(spark):
+    assert M.communities(spark.createDataFrame([], "i bigint, j bigint, w double")).count() == 0
+
+
 def _kruskal(edges):
     root, kept = {}, set()
 
