@@ -22,14 +22,19 @@ from ballgraph.functions.vectors import list_matrix
 
 CHUNK_ROWS = 4096           # members per chunk
 SMALL_CELL = 512            # members per cell where few columns make pruning strong;
-FEW_COLUMNS = 16            # beyond, most cells are probed and fewer, larger ones move less data
-QUERY_ROWS = 1024           # queries multiplied with a chunk at a time
+FEW_COLUMNS = 16            # beyond, most cells are probed and fewer, larger ones move less data:
+WIDE_CHUNKS = 8             # so many times the members, while
+CHUNK_BYTES = 16 << 20      # their vectors take no more than this
+QUERY_ROWS = 1024           # queries multiplied with a chunk at a time, fewer where
+WORK_ENTRIES = 4 << 20      # queries * members is larger
+PAIR_ENTRIES = 1 << 20      # pairs * width measured again at a time
+SEND_ENTRIES = 1 << 19      # entries of the vectors in one batch of planned queries
 SPLIT_QUERIES = 65_536      # queries of one chunk handled by one task at most
 MAX_PIVOTS = 4096
 PIVOT_ENTRIES = 4 << 20     # pivots * width, the size bound of the broadcast
 MAX_CHUNKS = 200_000        # bounds the broadcast table of chunks
 ESTIMATE_ROWS = 10_000      # queries planned to estimate the number of probes
-PLAN_ENTRIES = 4 << 20      # rows * chunks compared at a time when planning probes
+PLAN_ENTRIES = 1 << 19      # rows * chunks compared at a time when planning probes
 
 
 @dataclass
@@ -45,6 +50,22 @@ class Cells:
     def __len__(self) -> int:
         return len(self.cell)
 
+    def between(self) -> np.ndarray:
+        """Distances of the pivots, computed once in a process."""
+        if not hasattr(self, "_between"):
+            step = max(1, PLAN_ENTRIES // len(self.pivots))
+            self._between = np.concatenate([
+                _pivot_distances(self.pivots[s:s + step], self.pivots) for s in range(0, len(self.pivots), step)
+            ])
+        return self._between
+
+
+def chunk_rows(width: int) -> int:
+    """Members per chunk: more of many columns, as every chunk there is sent most of the queries."""
+    if width <= FEW_COLUMNS:
+        return CHUNK_ROWS
+    return max(CHUNK_ROWS, min(WIDE_CHUNKS * CHUNK_ROWS, CHUNK_BYTES // (8 * width)))
+
 
 def _pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     sq = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2.0 * (x @ pivots.T)
@@ -85,11 +106,11 @@ def assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 def split_cells(assigned: DataFrame, pivots: np.ndarray, n_rows: int) -> tuple[DataFrame, Cells]:
     """Adds ``chunk`` to assigned points and describes the chunks."""
-    chunk_rows = max(CHUNK_ROWS, -(-n_rows // (MAX_CHUNKS // 2)))
+    most = max(chunk_rows(pivots.shape[1]), -(-n_rows // (MAX_CHUNKS // 2)))
     sizes = np.zeros(len(pivots), dtype=np.int64)
     for row in assigned.groupBy("cell").count().collect():
         sizes[row["cell"]] = row["count"]
-    parts = np.maximum(1, -(-sizes // chunk_rows))
+    parts = np.maximum(1, -(-sizes // most))
     first = np.concatenate([[0], np.cumsum(parts)[:-1]])
     table = assigned.sparkSession.createDataFrame(
         [(int(c), int(p), int(f)) for c, (p, f) in enumerate(zip(parts, first))],
@@ -114,20 +135,23 @@ def chunked(points: DataFrame, n: int, width: int, seed: int, scratch) -> tuple[
     """Points with their chunk; one chunk and no cells while they fit one."""
     if n <= CHUNK_ROWS:
         return points.withColumn("chunk", F.lit(0).cast("bigint")), None
-    per_cell = SMALL_CELL if width <= FEW_COLUMNS else CHUNK_ROWS
+    per_cell = SMALL_CELL if width <= FEW_COLUMNS else chunk_rows(width)
     pivots = hash_pivots(points, max(16, n // per_cell), width, seed)
     assigned = scratch.save(assign_cells(points, pivots), "cells")
     members, cells = split_cells(assigned, pivots, n)
     return scratch.save(members, "members"), cells
 
 
-def _send(batch, rows: np.ndarray, chunks: np.ndarray):
-    index = pa.array(rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(chunks.astype(np.int64)), batch.column("id").take(index),
-         batch.column("v").take(index), batch.column("aux").take(index)],
-        ["chunk", "id", "v", "aux"],
-    )
+def _send(batch, rows: np.ndarray, chunks: np.ndarray, width: int):
+    """One row per row number and chunk, in batches of bounded size however many chunks a query is sent to."""
+    step = max(1, SEND_ENTRIES // max(width, 1))
+    for s in range(0, len(rows), step):
+        index = pa.array(rows[s:s + step])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(chunks[s:s + step].astype(np.int64)), batch.column("id").take(index),
+             batch.column("v").take(index), batch.column("aux").take(index)],
+            ["chunk", "id", "v", "aux"],
+        )
 
 
 QUERY_SCHEMA = "chunk bigint, id bigint, v array<double>, aux array<double>"
@@ -144,7 +168,7 @@ def plan_by_bounds(queries: DataFrame, cells: Cells, metric: str, skip_own: bool
 
     def run(batches):
         c = shared.value
-        between = _pivot_distances(c.pivots, c.pivots)
+        between = c.between()
         rows_at_once = max(1, PLAN_ENTRIES // len(c))
         for batch in batches:
             x = list_matrix(batch.column("v"))
@@ -172,8 +196,7 @@ def plan_by_bounds(queries: DataFrame, cells: Cells, metric: str, skip_own: bool
                 if own is not None:
                     keep[np.arange(e - s), own[s:e]] = False
                 rows, chunks = np.nonzero(keep)
-                if len(rows):
-                    yield _send(batch, rows + s, chunks)
+                yield from _send(batch, rows + s, chunks, x.shape[1])
 
     cols = ["id", "v", "aux"] + (["own"] if skip_own else [])
     return queries.select(*cols).mapInArrow(run, QUERY_SCHEMA)
@@ -244,9 +267,10 @@ def plan_by_lists(queries: DataFrame, cells: Cells, n_probe: int) -> DataFrame:
 def _stream(batches, work: Callable, decode: Callable | None):
     """Rows sorted by (chunk, part, side): members (side 0) are kept, queries (side 1) stream by.
 
-    ``decode(chunk, codes)`` turns members that travel as short codes into vectors.
+    ``decode(chunk, codes)`` turns members that travel as short codes into vectors. ``work(ids, vectors)`` gets the
+    members of a chunk once and returns what answers a block of its queries.
     """
-    key, ids, vecs, member = None, [], [], None
+    key, ids, vecs, answer = None, [], [], None
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -258,17 +282,19 @@ def _stream(batches, work: Callable, decode: Callable | None):
         for lo, hi in zip(cuts[:-1], cuts[1:]):
             here = (chunk[lo], part[lo])
             if here != key:
-                key, ids, vecs, member = here, [], [], None
+                key, ids, vecs, answer = here, [], [], None
             x = list_matrix(v.slice(lo, hi - lo)) if side[lo] == 0 or ids else None
             if side[lo] == 0:
                 ids.append(row_id[lo:hi])
                 vecs.append(decode(chunk[lo], x) if decode else x)
             elif ids:
-                if member is None:
-                    member = np.concatenate(ids), np.concatenate(vecs)
-                for s in range(lo, hi, QUERY_ROWS):
-                    e = min(s + QUERY_ROWS, hi)
-                    out = work(row_id[s:e], x[s - lo:e - lo], list_matrix(aux.slice(s, e - s)), *member)
+                if answer is None:
+                    held = np.concatenate(ids)
+                    answer, vecs = work(held, np.concatenate(vecs)), []
+                    step = max(1, min(QUERY_ROWS, WORK_ENTRIES // len(held)))
+                for s in range(lo, hi, step):
+                    e = min(s + step, hi)
+                    out = answer(row_id[s:e], x[s - lo:e - lo], list_matrix(aux.slice(s, e - s)))
                     if out is not None:
                         yield out
 
@@ -277,7 +303,7 @@ def probe(
     members: DataFrame, queries: DataFrame, n_probes: int, work: Callable, schema: str,
     decode: Callable | None = None,
 ) -> DataFrame:
-    """Runs ``work(query ids, vectors, aux, member ids, member vectors)`` for every chunk.
+    """Runs ``work(member ids, member vectors)(query ids, vectors, aux)`` for every chunk.
 
     Both sides carry ``parts``: the members of a chunk are copied to each part, a query goes to one.
     ``n_probes`` estimates the number of query rows.
@@ -314,43 +340,112 @@ def probe_planned(
     )
 
 
-def _centred(q: np.ndarray, m: np.ndarray):
-    """Squared distances by one matrix product around the chunk's centre, and their error bound."""
-    centre = m.mean(axis=0)
-    qc, mc = q - centre, m - centre
-    q2, m2 = (qc * qc).sum(axis=1), (mc * mc).sum(axis=1)
-    slack = 1e-15 * (q.shape[1] + 16) * (q2 + m2.max())
-    return q2[:, None] + m2 - 2.0 * (qc @ mc.T), slack
+class _Bounds:
+    """Lower and upper bounds of the squared distances (cosine: distances) of queries to a chunk's members.
+
+    One matrix product in single precision around the chunk's centre, whose error bound is part of the product's last
+    two columns: a bound is as tight as its own two vectors allow, and one far member does not loosen the others.
+    """
+
+    def __init__(self, m: np.ndarray, metric: str):
+        self.m, self.cosine = m, metric == "cosine"
+        self.centre = np.zeros(m.shape[1]) if self.cosine else m.mean(axis=0)
+        mc = m - self.centre
+        self.m2 = (mc * mc).sum(axis=1)
+        self.scale = 1.0 if self.cosine else float(np.sqrt(self.m2.max())) or 1.0
+        self.m2 /= self.scale ** 2
+        self.right = self._right(mc / self.scale, np.float32)
+
+    def _share(self, kind) -> float:
+        """Bound of a product's error, as a share of the squared lengths; of 1 and the longest member for cosines."""
+        size = max(1.0, float(np.sqrt(self.m2.max()))) if self.cosine else 1.0
+        return size * (self.m.shape[1] + 16) * (1.2e-7 if kind is np.float32 else 2.3e-16)
+
+    def _right(self, mc: np.ndarray, kind) -> np.ndarray:
+        one, less = np.ones((len(mc), 1)), 1.0 - self._share(kind)
+        last = [less * one] if self.cosine else [less * self.m2[:, None], one]
+        return np.hstack([mc, *last]).astype(kind).T
+
+    def to(self, q: np.ndarray):
+        """(lower bounds as a matrix, what to add for the upper ones by query and by member)."""
+        qc = (q - self.centre) / self.scale
+        q2 = (qc * qc).sum(axis=1)
+        kind = np.float32 if q2.max() < 1e24 else np.float64  # farther ones leave the range of single precision
+        share, one = self._share(kind), np.ones((len(q), 1))
+        right = self.right if kind is np.float32 else self._right((self.m - self.centre) / self.scale, kind)
+        if self.cosine:  # queries have length 1 or 0
+            return np.hstack([-qc, one]).astype(kind) @ right, np.full(len(q), 2.0 * share), np.zeros(len(self.m))
+        left = np.hstack([-2.0 * qc, one, (1.0 - share) * q2[:, None] - 1e-30]).astype(kind)
+        return left @ right, 2.0 * share * q2 + 2e-30, 2.0 * share * self.m2
+
+    def level(self, d: np.ndarray) -> np.ndarray:
+        """Distances on the scale of the bounds."""
+        return d if self.cosine else (d / self.scale) ** 2
+
+
+def _above(x: np.ndarray, kind) -> np.ndarray:
+    """Values of another precision that are not below."""
+    with np.errstate(over="ignore"):
+        return np.nextafter(x.astype(kind), kind(np.inf))
+
+
+def _counts(bits: np.ndarray) -> np.ndarray:
+    """How many bits are set in each packed row."""
+    return np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+
+
+def _places(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the bits set in packed rows."""
+    flat = bits.ravel()
+    rows, byte = np.divmod(np.flatnonzero(flat != 0), max(bits.shape[1], 1))
+    at, bit = np.nonzero(np.unpackbits(flat[flat != 0][:, None], axis=1))
+    return rows[at], byte[at] * 8 + bit
+
+
+def _measured(q: np.ndarray, m: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
+    step = max(1, PAIR_ENTRIES // max(q.shape[1], 1))
+    parts = [
+        pair_distance(q[rows[s:s + step]], m[cols[s:s + step]], metric) for s in range(0, len(rows), step)
+    ]
+    return np.concatenate(parts) if parts else np.zeros(0)
 
 
 def nearest_work(keep: int, metric: str) -> Callable:
     """The ``keep`` members closest to each query by (distance, id), at most ``aux`` away.
 
-    A matrix product finds the candidates; everything within its error bound of the cut is measured
+    A matrix product finds the candidates; everything that its error bound cannot rule out is measured
     again from the plain differences, so the answer is exact.
     """
 
-    def work(qid, q, aux, mid, m):
-        if metric == "euclidean":
-            rough, slack = _centred(q, m)
-        else:
-            rough, slack = 1.0 - q @ m.T, np.full(len(q), 1e-15 * (q.shape[1] + 16))
-        cut = np.full(len(q), np.inf)
-        if len(mid) > keep:
-            cut = np.partition(rough, keep - 1, axis=1)[:, keep - 1] + 2.0 * slack
-        rows, cols = np.nonzero(rough <= cut[:, None])
-        d = pair_distance(q[rows], m[cols], metric)
-        near = d <= aux[rows, 0] * (1.0 + 1e-9) + 1e-9
-        rows, cols, d = rows[near], cols[near], d[near]
-        order = np.lexsort((mid[cols], d, rows))
-        rows, cols, d = rows[order], cols[order], d[order]
-        start = np.searchsorted(rows, np.arange(len(q)))
-        best = np.arange(len(rows)) - start[rows] < keep
-        if not best.any():
-            return None
-        return pa.RecordBatch.from_arrays(
-            [pa.array(qid[rows[best]]), pa.array(mid[cols[best]]), pa.array(d[best])], ["q", "m", "d"]
-        )
+    def work(mid, m):
+        bounds = _Bounds(m, metric)
+
+        def answer(qid, q, aux):
+            low, by_query, by_member = bounds.to(q)
+            cut = bounds.level(aux[:, 0] * (1.0 + 1e-9) + 1e-9) * (1.0 + 1e-9)
+            near = np.packbits(low <= _above(cut, low.dtype.type)[:, None], axis=1)
+            if len(mid) > keep:
+                many = np.flatnonzero(_counts(near) > 4 * keep)
+                some = low[many]
+                first = np.argpartition(some, keep - 1, axis=1)[:, :keep]
+                far = (np.take_along_axis(some, first, axis=1) + by_member[first]).max(axis=1) + by_query[many]
+                cut[many] = np.minimum(cut[many], far + np.abs(far) * 1e-6)
+                near[many] = np.packbits(some <= _above(cut[many], low.dtype.type)[:, None], axis=1)
+            rows, cols = _places(near)
+            d = _measured(q, m, rows, cols, metric)
+            near = d <= aux[rows, 0] * (1.0 + 1e-9) + 1e-9
+            rows, cols, d = rows[near], cols[near], d[near]
+            order = np.lexsort((mid[cols], d, rows))
+            rows, cols, d = rows[order], cols[order], d[order]
+            start = np.searchsorted(rows, np.arange(len(q)))
+            best = np.arange(len(rows)) - start[rows] < keep
+            if not best.any():
+                return None
+            return pa.RecordBatch.from_arrays(
+                [pa.array(qid[rows[best]]), pa.array(mid[cols[best]]), pa.array(d[best])], ["q", "m", "d"]
+            )
+
+        return answer
 
     return work
 
@@ -368,28 +463,37 @@ def pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 def closer_work(metric: str) -> Callable:
     """For every threshold of a query, how many other members are strictly closer than it.
 
-    Only members whose rough distance is within its error bound of a threshold are measured again.
+    Only members whose bounds lie around a threshold are measured again.
     """
 
-    def work(qid, q, aux, mid, m):
-        if metric == "cosine":
-            rough, slack = 1.0 - q @ m.T, np.full(len(q), 1e-15 * (q.shape[1] + 16))
-        else:
-            rough, slack = _centred(q, m)
-        rough[qid[:, None] == mid] = np.inf
-        counts = np.empty(aux.shape, dtype=np.int64)
-        for s in range(aux.shape[1]):
-            t = aux[:, s]
-            level = t if metric == "cosine" else t * t
-            sure = rough < (level - slack)[:, None]
-            rows, cols = np.nonzero(~sure & (rough <= (level + slack)[:, None]))
-            closer = pair_distance(q[rows], m[cols], metric) < t[rows]
-            counts[:, s] = sure.sum(axis=1) + np.bincount(rows, weights=closer, minlength=len(q))
-        slots = np.tile(np.arange(aux.shape[1], dtype=np.int64), len(q))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qid, aux.shape[1])), pa.array(slots), pa.array(counts.ravel())],
-            ["q", "slot", "n"],
-        )
+    def work(mid, m):
+        bounds, order = _Bounds(m, metric), np.argsort(mid, kind="stable")
+        ordered = mid[order]
+
+        def answer(qid, q, aux):
+            low, by_query, by_member = bounds.to(q)
+            kind = low.dtype.type
+            at = np.minimum(np.searchsorted(ordered, qid), len(mid) - 1)
+            own = np.flatnonzero(ordered[at] == qid)
+            low[own, order[at[own]]] = np.inf
+            high = low + by_member.astype(kind)
+            counts = np.empty(aux.shape, dtype=np.int64)
+            for s in range(aux.shape[1]):
+                t = aux[:, s]
+                level = bounds.level(t)
+                rim = np.abs(level) * 1e-6 + 1e-30  # of rounding the bounds' sums
+                surely = np.packbits(high < (level - by_query - rim).astype(kind)[:, None], axis=1)
+                maybe = np.packbits(low <= (level + rim).astype(kind)[:, None], axis=1)
+                rows, cols = _places(surely ^ maybe)
+                closer = _measured(q, m, rows, cols, metric) < t[rows]
+                counts[:, s] = _counts(surely) + np.bincount(rows, weights=closer, minlength=len(q)).astype(np.int64)
+            slots = np.tile(np.arange(aux.shape[1], dtype=np.int64), len(q))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(qid, aux.shape[1])), pa.array(slots), pa.array(counts.ravel())],
+                ["q", "slot", "n"],
+            )
+
+        return answer
 
     return work
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ballgraph.operators import knn as K
@@ -129,3 +130,46 @@ def test_popular_chunks_are_split(spark, small_chunks, monkeypatch):
     assert_same_knn(got, brute_knn(x, 6))
     lsh = knn_dict(knn(points_df(spark, x), 6, "lsh", hashes=1, tables=2, width=1e6))
     assert_same_knn(lsh, brute_knn(x, 6))
+
+
+def test_planned_queries_leave_in_bounded_batches(monkeypatch):
+    """However many chunks a query is sent to, a batch holds so many vector entries at most."""
+    monkeypatch.setattr(P, "SEND_ENTRIES", 40)
+    batch = pa.RecordBatch.from_pydict({
+        "id": pa.array([7, 8, 9]), "v": pa.array([[float(i)] * 4 for i in range(3)]), "aux": pa.array([[1.0], [2.0], [3.0]]),
+    })
+    rows, chunks = np.repeat(np.arange(3), 50), np.tile(np.arange(50), 3)
+    sent = list(P._send(batch, rows, chunks, 4))
+    assert max(b.num_rows for b in sent) == 10
+    table = pa.Table.from_batches(sent)
+    assert table["id"].to_pylist() == [7] * 50 + [8] * 50 + [9] * 50
+    assert table["chunk"].to_pylist() == chunks.tolist()
+    assert table["v"].to_pylist()[-1] == [2.0] * 4
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("kind", ["plain", "far member", "far query", "far cloud", "copies", "grid", "tiny"])
+def test_kernels_agree_with_plain_distances(metric, kind):
+    """The bounds of the matrix product lose no member, also where single precision is too coarse or too short."""
+    rng = np.random.default_rng(0)
+    m, q = rng.normal(size=(90, 5)), rng.normal(size=(20, 5))
+    m[3], q[4] = (1e6 if kind == "far member" else m[3]), (1e15 if kind == "far query" else q[4])
+    m, q = (m + 1e6, q + 1e6) if kind == "far cloud" else (m, q)
+    m, q = (m[np.arange(90) % 7], m[np.arange(20) % 7]) if kind == "copies" else (m, q)
+    m, q = (np.round(m), np.round(q)) if kind == "grid" else (m, q)
+    m, q = (m * 1e-30, q * 1e-30) if kind == "tiny" else (m, q)
+    if metric == "cosine":
+        m, q = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), K.COSINE_EPS) for x in (m, q))
+    mid = rng.permutation(200)[:90]
+    qid = np.concatenate([mid[:10], np.arange(300, 310)])
+    d = np.array([P.pair_distance(np.repeat(a[None], 90, axis=0), m, metric) for a in q])
+    for reach in (np.inf, 1.5):
+        got = P.nearest_work(9, metric)(mid, m)(qid, q, np.full((20, 1), reach))
+        want = [
+            (qid[a], mid[c], d[a, c]) for a in range(20)
+            for c in [c for c in np.lexsort((mid, d[a])) if d[a, c] <= reach * (1.0 + 1e-9) + 1e-9][:9]
+        ]
+        assert list(zip(*(got[c].to_pylist() for c in "qmd"))) == want
+    level = d[:, [5, 40, 80]]
+    got = np.array(P.closer_work(metric)(mid, m)(qid, q, level)["n"]).reshape(20, 3)
+    assert (got == ((d[:, None] < level[:, :, None]) & (mid != qid[:, None])[:, None]).sum(axis=2)).all()
