@@ -166,3 +166,27 @@ def test_discrete_radius_by_brute_force(spark):
         centres = [c for v in t for c in js[v]]
         far = [math.log(sum(math.exp(10 * np.linalg.norm(x[v] - x[c])) for v in t)) / 10 for c in centres]
         assert got[t] == pytest.approx(-math.log(sum(math.exp(-10 * f) for f in far)) / 10)
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_discrete_radius_moves_the_neighbours_of_one_corner_at_a_time(spark, monkeypatch, single):
+    """Uneven lists, repeated triangles, centres in several steps; a triangle never holds two corners' neighbours."""
+    monkeypatch.setattr(C, "STEP_ENTRIES", 7)
+    held, kept = [], C.add_columns
+    monkeypatch.setattr(C, "add_columns", lambda df, *a: held.append(df.columns) or kept(df, *a))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 3)) * [1.0, 1.0, 30.0]
+    x = x.astype(np.float32).astype(float) if single else x
+    js = {i: [int(j) for j in rng.choice([c for c in range(12) if c != i], i % 5, replace=False)] for i in range(12)}
+    lists = spark.createDataFrame(list(js.items()), "i bigint, js array<bigint>")
+    triangles = [(1, 0, 2, 0), (0, 5, 4, 1), (0, 5, 4, 2), (5, 10, 3, 0), (8, 2, 6, 3), (9, 7, 11, 0)]
+    df = spark.createDataFrame(triangles, "i bigint, j bigint, k bigint, rep int")
+    rows = C.discrete_radii(df, C.packs(points_df(spark, x), lists), 10.0)
+    got = {(r.i, r.j, r.k, r.rep): r.r for r in rows.collect()}
+    assert sorted(got) == sorted(triangles) and set(rows.columns) == {"i", "j", "k", "rep", "r"}
+    for t in triangles:
+        far = [math.log(sum(math.exp(10 * np.linalg.norm(x[v] - x[c])) for v in t[:3])) / 10 if np.linalg.norm(x[list(t[:3])] - x[c], axis=1).max() < 60
+               else np.linalg.norm(x[list(t[:3])] - x[c], axis=1).max() for v in t[:3] for c in js[v]]
+        low = min(far)
+        assert got[t] == pytest.approx(low - math.log(sum(math.exp(-10 * (f - low)) for f in far)) / 10, abs=1e-9)
+    assert all(sum(c.lstrip("_").startswith("n") for c in columns) <= 1 for columns in held)
