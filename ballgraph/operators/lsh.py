@@ -45,9 +45,13 @@ def lsh_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int = 0,
         unit = width or _spread(vectors)
         keyed = scratch.save(bucket_keys(vectors, directions / unit, shifts, tables), "keyed")
         rows = keyed.select("id", "v", F.explode("keys").alias("key"))
-        sizes = keyed.select(F.explode("keys").alias("key")).groupBy("key").count()
-        shared = sizes.where("count > 1").selectExpr(
-            "key", f"ceil(count / {P.CHUNK_ROWS}) AS chunks", f"CAST(ceil(count / {P.SPLIT_QUERIES}) AS int) AS parts"
+        # a bucket with the same points as one of another table has no other pairs, so one of them is enough
+        sizes = keyed.select("id", F.explode("keys").alias("key")).groupBy("key").agg(
+            F.count("*").alias("count"), *[F.bit_xor(F.xxhash64(F.lit(c), "id")).alias(f"set{c}") for c in (0, 1)]
+        ).where("count > 1")
+        most = P.chunk_rows(dims)
+        shared = sizes.groupBy("count", "set0", "set1").agg(F.min("key").alias("key")).selectExpr(
+            "key", f"ceil(count / {most}) AS chunks", f"CAST(ceil(count / {P.SPLIT_QUERIES}) AS int) AS parts"
         )
         rows = rows.join(shared, "key")
         members = rows.selectExpr("xxhash64(key, pmod(xxhash64(id), chunks)) AS chunk", "id", "v", "parts")
