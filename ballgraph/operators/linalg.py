@@ -24,6 +24,7 @@ TOLERANCE = 1e-6                # residual of an eigenpair, as a share of the la
 MAX_PASSES = 200                # guard of the block iteration
 DEPENDENT = 1e-12               # share of the largest below which a direction depends on others
 PARTIAL_ROWS = 4096             # rows per batch of a partial factor
+STEP_ENTRIES = 1 << 20          # cells * columns of a block multiplied at a time
 
 
 def _partial_gram(batches):
@@ -313,7 +314,7 @@ def truncated_svd(
         shared = terms.sparkSession.sparkContext.broadcast(_dense(top, n_terms, keep))
 
         def run(batch):
-            y = _times(batch, shared.value)
+            y = np.concatenate([_times(part, shared.value) for part in _steps(batch, keep)])
             return {"v": list_array(y.ravel(), np.full(len(y), keep))}
 
         rows = add_columns(packed, ["codes", "values"], run, {"v": "array<double>"})
@@ -340,6 +341,16 @@ def _sparse_rows(batch):
     return batch.column("codes").flatten().to_numpy(), batch.column("values").flatten().to_numpy(), row, offsets
 
 
+def _steps(batch, width: int):
+    """Runs of packed rows with a bounded number of cells, a row at least."""
+    ends = list_offsets(batch.column("codes"))
+    lo, most = 0, max(1, STEP_ENTRIES // max(width, 1))
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, side="right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def _times(batch, block: np.ndarray) -> np.ndarray:
     """Packed rows times a dense block."""
     codes, values, _, offsets = _sparse_rows(batch)
@@ -356,10 +367,12 @@ def _packed_image(packed: DataFrame, block: np.ndarray) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes, values, row, _ = _sparse_rows(batch)
-            y = _times(batch, block)
-            for c in range(few):
-                total[:, c] += np.bincount(codes, weights=values * y[row, c], minlength=n_terms)
+            for part in _steps(batch, few):
+                codes, values, row, _ = _sparse_rows(part)
+                order = np.argsort(codes, kind="stable")
+                code, first = np.unique(codes[order], return_index=True)
+                gain = values[order, None] * _times(part, block)[row[order]]
+                total[code] += np.add.reduceat(gain, first, axis=0)
         touched = np.flatnonzero(total.any(axis=1))
         for s in range(0, len(touched), PARTIAL_ROWS):
             part = touched[s:s + PARTIAL_ROWS]

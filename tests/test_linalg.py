@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ballgraph.operators import layout as Y
@@ -100,3 +101,16 @@ def test_svd_both_ways_of_multiplying_agree(spark, monkeypatch):
     assert np.allclose(s_sent, s[:3], rtol=1e-9) and np.allclose(s_joined, s[:3], rtol=1e-9)
     assert np.allclose(column(joined, "v"), sent, atol=1e-4)  # the same signs, too
     assert _same_up_to_sign(sent, u[:, :3] * s[:3], 1e-3)
+
+
+def test_packed_rows_are_multiplied_in_bounded_steps(monkeypatch):
+    from ballgraph.operators import linalg
+
+    monkeypatch.setattr(linalg, "STEP_ENTRIES", 24)
+    sizes = [1, 5, 9, 2, 2, 2, 3]
+    batch = pa.RecordBatch.from_pydict({
+        "codes": pa.array([list(range(n)) for n in sizes]), "values": pa.array([[1.0] * n for n in sizes]),
+    })
+    steps = [part["codes"].to_pylist() for part in linalg._steps(batch, 4)]
+    assert [row for part in steps for row in part] == batch["codes"].to_pylist()
+    assert all(len(part) == 1 or sum(map(len, part)) <= 6 for part in steps) and len(steps) == 4
