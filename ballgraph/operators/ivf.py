@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -150,7 +151,8 @@ def ivfpq_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int =
     """Inverted lists whose members travel as product-quantised residuals of their list's centre.
 
     A chunk is decoded once in its task; a query's distance to a decoded member is the usual
-    asymmetric distance. ``refine`` > 0 measures the best ``refine`` * k candidates exactly.
+    asymmetric distance. ``refine`` > 0 measures the best ``refine`` * k candidates exactly; where these are all rows,
+    the exact vectors travel with the codes, so candidates are measured in their chunk and no pair is written out.
     """
 
     def search(vectors, n, width, keep, scratch):
@@ -161,28 +163,46 @@ def ivfpq_knn(points: DataFrame, k: int, metric: str = "euclidean", seed: int =
         rest = scratch.save(_residuals(members.select("id", "v", "cell", "chunk"), pivots), "residuals")
         slices = subspaces(width, m)
         books = train_codebooks(rest, n, slices, seed, iterations)
+        whole = refine and wide >= n  # no list of candidates can be cut: they are measured where they are found
         coded = encode(rest, slices, books).select("id", "chunk", F.col("codes").cast("array<double>").alias("v"))
+        if whole:
+            coded = coded.join(vectors.select("id", F.col("v").alias("exact")), "id").select(
+                "id", "chunk", F.concat("v", "exact").alias("v")
+            )
         coded = scratch.save(coded, "codes")
         shared = vectors.sparkSession.sparkContext.broadcast((cells.cell, pivots, books))
 
         def decode(chunk, codes):
             cell, coarse, words = shared.value
             parts = [book[codes[:, s].astype(np.int64)] for s, book in enumerate(words)]
-            return np.concatenate(parts, axis=1) + coarse[cell[chunk]]
+            decoded = np.concatenate(parts, axis=1) + coarse[cell[chunk]]
+            return np.concatenate([decoded, codes[:, len(words):]], axis=1)
 
         queries = vectors.select("id", "v", F.array(F.lit(float("inf"))).alias("aux"))
         plan = lambda rows: P.plan_by_lists(rows, cells, n_probe)
-        found = P.probe_planned(
-            coded, queries, n, len(cells), plan, P.nearest_work(wide, metric), P.NEAREST_SCHEMA, decode
-        )
-        best = top_rows(found, "q", ["d", "m"], wide, "r").select("q", "m", "d")
-        if not refine:
+        work = refined_work(keep, metric) if whole else P.nearest_work(wide, metric)
+        found = P.probe_planned(coded, queries, n, len(cells), plan, work, P.NEAREST_SCHEMA, decode)
+        best = top_rows(found, "q", ["d", "m"], keep if whole else wide, "r").select("q", "m", "d")
+        if whole or not refine:
             return best
         return top_rows(measured(best, vectors, metric), "q", ["d", "m"], keep, "r").select("q", "m", "d")
 
     return searched(points, k, metric, search, "ivfpq")
 
 
+def refined_work(keep: int, metric: str) -> Callable:
+    """The ``keep`` nearest by exact distance, of members that hold their decoded and their exact vector.
+
+    For candidate lists as long as the table: every member is a candidate, so the decoded distances cut none.
+    """
+
+    def work(mid, m):
+        _, exact = np.split(m, 2, axis=1)
+        return P.nearest_work(keep, metric)(mid, np.ascontiguousarray(exact))
+
+    return work
+
+
 def measured(pairs: DataFrame, vectors: DataFrame, metric: str) -> DataFrame:
     """(q, m) with their exact distance d."""
     rows = pairs.select("q", "m").join(

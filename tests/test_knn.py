@@ -2,7 +2,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from ballgraph.operators import ivf as I
 from ballgraph.operators import knn as K
+from ballgraph.operators import lsh as L
 from ballgraph.operators import probe as P
 from ballgraph.operators.neighbours import knn
 from tests.helpers import assert_same_knn, blobs, brute_knn, knn_dict, points_df
@@ -173,3 +175,54 @@ def test_kernels_agree_with_plain_distances(metric, kind):
     level = d[:, [5, 40, 80]]
     got = np.array(P.closer_work(metric)(mid, m)(qid, q, level)["n"]).reshape(20, 3)
     assert (got == ((d[:, None] < level[:, :, None]) & (mid != qid[:, None])[:, None]).sum(axis=2)).all()
+
+
+def test_all_candidates_refined_are_measured_in_their_chunk(spark, monkeypatch):
+    """With as many candidates as rows, no pair of points is written: each chunk returns k + 1 a query at most."""
+    monkeypatch.setattr(P, "CHUNK_ROWS", 60)
+    x = np.random.default_rng(6).normal(size=(200, 5))
+    rows = []
+    kept = I.top_rows
+    monkeypatch.setattr(I, "top_rows", lambda df, *a: rows.append(df.count()) or kept(df, *a))
+    got = knn_dict(knn(points_df(spark, x), 4, "ivfpq", n_lists=4, n_probe=4, refine=200))
+    assert_same_knn(got, brute_knn(x, 4))
+    assert max(rows) <= 200 * 5 * 12
+
+
+def test_equal_buckets_are_searched_once(spark, monkeypatch):
+    x, _ = blobs(30, 2, 4, seed=3)
+    rows = []
+    kept = L.P.probe
+    monkeypatch.setattr(L.P, "probe", lambda members, *a: rows.append(members.count()) or kept(members, *a))
+    got = knn_dict(knn(points_df(spark, x), 5, "lsh", tables=6, hashes=1, width=1e6))
+    assert_same_knn(got, brute_knn(x, 5))
+    assert rows == [60]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_plans_leave_out_no_chunk_with_an_answer(spark, metric):
+    """Also with empty cells, equal pivots, several chunks a cell and all-zero vectors."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3))
+    x[5] = 0.0
+    if metric == "cosine":
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), K.COSINE_EPS)
+    pivots = np.concatenate([x[:9], x[:2], [[50.0, 0, 0]]])
+    near = P._pivot_distances(x, pivots).argmin(axis=1)
+    chunk = 2 * near + np.arange(300) % 2
+    dp = np.sqrt(((x - pivots[near]) ** 2).sum(axis=1))
+    of = [dp[chunk == c] for c in range(24)]
+    cells = P.Cells(
+        pivots, np.repeat(np.arange(12), 2), np.array([d.min(initial=np.inf) for d in of]),
+        np.array([d.max(initial=-np.inf) for d in of]), np.array([(~x[chunk == c].any(axis=1)).any() for c in range(24)]),
+    )
+    reach = rng.uniform(0.05, 0.4, size=300)
+    reach[:5] = np.inf
+    rows = [(i, [float(c) for c in x[i]], [float(reach[i])], int(chunk[i])) for i in range(300)]
+    queries = spark.createDataFrame(rows, "id bigint, v array<double>, aux array<double>, own bigint")
+    sent = {(r.id, r.chunk) for r in P.plan_by_bounds(queries, cells, metric, True).select("id", "chunk").collect()}
+    assert all(c != chunk[i] for i, c in sent) and {c for i, c in sent if i == 0} == set(chunk) - {chunk[0]}
+    for i in range(300):
+        d = P.pair_distance(np.repeat(x[i:i + 1], 300, axis=0), x, metric)
+        assert {(i, c) for c in chunk[d <= reach[i]] if c != chunk[i]} <= sent
+    assert len(sent) < 300 * 20
