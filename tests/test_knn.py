@@ -226,3 +226,17 @@ def test_plans_leave_out_no_chunk_with_an_answer(spark, metric):
         d = P.pair_distance(np.repeat(x[i:i + 1], 300, axis=0), x, metric)
         assert {(i, c) for c in chunk[d <= reach[i]] if c != chunk[i]} <= sent
     assert len(sent) < 300 * 20
+
+
+def test_equal_vectors_are_grouped_once(spark, monkeypatch):
+    """The three tables of equal vectors come from one written table, sorted by a hash before the vectors."""
+    keys, kept = [], K.top_rows
+    monkeypatch.setattr(K, "top_rows", lambda df, key, *a: keys.append(key) or kept(df, key, *a))
+    x = np.random.default_rng(9).normal(size=(60, 3))
+    x[20:40] = x[0]
+    points = points_df(spark, x)
+    scratch = K.Scratch(spark, "test")
+    tables = K._copies(points, 4, scratch)
+    assert keys == [["h", "v"]] and all("distinct" in str(t.inputFiles()) for t in tables)
+    assert sorted(r.j for r in tables[1].where("u = 0").collect()) == [0, 20, 21, 22]
+    assert {(r.i, r.u) for r in tables[2].collect()} == {(i, 0 if 20 <= i < 40 else i) for i in range(60)}
