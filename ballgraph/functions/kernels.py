@@ -1,11 +1,13 @@
 """Similarity kernel, enclosing-ball radius, loss terms and their derivatives, as SQL text.
 
 The fit builds these once per epoch; one piece of text is one call to the JVM, where the same built up
-from Column operators would be hundreds.
+from Column operators would be hundreds. The two functions on arrays, at the end, are for epochs whose layout is sent
+to the tasks; a test holds them to the SQL.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from ballgraph.functions.draws import number
@@ -104,3 +106,40 @@ def repel(r: str, kind: str, tau: float) -> tuple[str, str]:
     else:
         slope = f"-{q} / (1D - {q}) / {number(max(float(tau), TAU_FLOOR))}"
     return f"(-ln(greatest(1D - {q}, {floor})))", f"(CASE WHEN 1D - {q} >= {floor} THEN {slope} ELSE 0D END)"
+
+
+def ball_arrays(a: np.ndarray, b: np.ndarray, c: np.ndarray, soft: bool, beta: float):
+    """As ``with_ball``: the radius, and its derivatives by the three sides."""
+    sides = np.stack([a, b, c])
+    x, y, z = np.sort(sides, axis=0)
+    if soft:
+        share = np.exp(beta * (sides - z))
+        top = z + np.log(share.sum(axis=0)) / beta
+    else:  # the longest side, the first of equals, has all the weight
+        share = (np.arange(3)[:, None] == sides.argmax(axis=0)).astype(np.float64)
+        top = z
+    wide = z * z >= x * x + y * y - RIGHT_SLACK
+    s = (x + y + z) / 2.0
+    area = s * (s - x) * (s - y) * (s - z)
+    circum = x * y * z / (4.0 * np.sqrt(np.maximum(area, AREA_FLOOR)))
+    share /= share.sum(axis=0)
+    sq = sides * sides
+    with np.errstate(divide="ignore", invalid="ignore"):  # of wide triangles, where the other branch counts
+        bend = np.where(area > AREA_FLOOR, sides * (sq.sum(axis=0) - 2.0 * sq) / (8.0 * area), 0.0)
+        slopes = np.where(wide, share / 2.0, circum * (1.0 / sides - bend))
+    return np.where(wide, top / 2.0, circum), slopes
+
+
+def loss_arrays(r: np.ndarray, positive: np.ndarray, w: np.ndarray, gamma: float, kind: str, tau: float):
+    """The weighted ``attract`` of positive triangles and ``repel`` of the others, and its derivative by r."""
+    tau, weight = max(float(tau), TAU_FLOOR), np.where(positive, w, gamma * w)
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):  # where the floor counts
+        if kind == "student":
+            q = 1.0 / (1.0 + r * r)
+            near, away = 2.0 * r / (1.0 + r * r), -2.0 / (r * (1.0 + r * r))
+        else:
+            q = np.exp(-r / tau)
+            near, away = np.full(len(r), 1.0 / tau), -q / (1.0 - q) / tau
+    inside = np.where(positive, q, 1.0 - q)
+    slope = np.where(inside >= LOG_FLOOR, np.where(positive, near, away), 0.0)
+    return weight * -np.log(np.maximum(inside, LOG_FLOOR)), weight * slope

@@ -5,6 +5,9 @@ Layouts are wide here: ``(id, y0, y1, ...)``, so that every expression is genera
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from ballgraph.functions import kernels
 from ballgraph.functions.draws import number
 
 BROADCAST_BYTES = 64 << 20
+SEND_ROWS = 65_536  # rows of a task's sums in one batch
 
 
 def coords(n_components: int, prefix: str = "y") -> list[str]:
@@ -42,6 +46,62 @@ def place(triplets: DataFrame, wide: DataFrame, n_components: int, small: bool)
     )
 
 
+def layout_array(wide: DataFrame, n_points: int, n_components: int) -> np.ndarray:
+    """A layout below ``BROADCAST_BYTES`` as an array whose rows follow the ids 0 to n - 1."""
+    held = wide.select("id", *coords(n_components)).toArrow()
+    out = np.empty((n_points, n_components))
+    for c, y in enumerate(coords(n_components)):
+        out[held.column("id").to_numpy(), c] = held.column(y).to_numpy()
+    return out
+
+
+def summed_pulls(
+    triplets: DataFrame, layout, n_components: int, n_positive: int, alpha: float = 1.0, phi: str = "student",
+    tau: float = 1.0, gamma: float = 1.0, soft: bool = True, beta: float = 10.0,
+) -> DataFrame:
+    """(id, g0.., loss) of triangles (i, j, k, w, positive): ``gradient_rows`` summed by task.
+
+    ``layout`` is a broadcast variable with the array of ``layout_array``; a task holds it and a sum of its size.
+    """
+    gs, per = coords(n_components, "g"), 1.0 / max(n_positive, 1)
+    names = ["id", *gs, "loss"]
+
+    def run(batches):
+        y = layout.value
+        total, touched = np.zeros((len(y), n_components + 1)), np.zeros(len(y), dtype=bool)
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("w")))
+            if not batch.num_rows:
+                continue
+            at = [batch.column(c).to_numpy() for c in "ijk"]
+            corners = [y[c] for c in at]
+            i, j, k = corners
+            ab, ac, bc = i - j, i - k, j - k
+            sides = [np.sqrt((x * x).sum(axis=1)) for x in (ab, ac, bc)]
+            radius, slopes = kernels.ball_arrays(*sides, soft, beta)
+            w, positive = batch.column("w").to_numpy(), batch.column("positive").to_numpy(zero_copy_only=False)
+            losses, pull = kernels.loss_arrays(2.0 * radius, positive, w, gamma, phi, tau)
+            fa, fb, fc = [
+                np.where(s > 0, 2.0 * pull * (alpha * per) * r / np.where(s > 0, s, 1.0), 0.0)[:, None]
+                for s, r in zip(sides, slopes)
+            ]
+            pulls = np.concatenate([fa * ab + fb * ac, fc * bc - fa * ab, -fb * ac - fc * bc])
+            ids, place = np.unique(np.concatenate(at), return_inverse=True)
+            touched[ids] = True
+            for c in range(n_components):
+                total[ids, c] += np.bincount(place, weights=pulls[:, c], minlength=len(ids))
+            total[ids, -1] += np.bincount(place[:len(i)], weights=losses * per, minlength=len(ids))
+        found = np.flatnonzero(touched)
+        for s in range(0, len(found), SEND_ROWS):
+            part = found[s:s + SEND_ROWS]
+            columns = [pa.array(part), *(pa.array(np.ascontiguousarray(x)) for x in total[part].T)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return triplets.select("i", "j", "k", "w", "positive").mapInArrow(
+        run, "id bigint, " + ", ".join(f"{c} double" for c in names[1:])
+    )
+
+
 def triangle_losses(
     placed: DataFrame, phi: str = "student", tau: float = 1.0, gamma: float = 1.0,
     soft: bool = True, beta: float = 10.0,

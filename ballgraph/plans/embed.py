@@ -96,6 +96,9 @@ BLOCK_EPOCHS = 20
 CHAIN_EPOCHS = 5
 #: Vertices of a broadcast layout that one task sums.
 PARTITION_VERTICES = 50_000
+#: Columns of drawn triangles while layouts are broadcast.
+DRAWN = ["i", "j", "k", "w", "positive"]
+DRAWN_SCHEMA = "i bigint, j bigint, k bigint, w double, positive boolean"
 
 
 class _Epochs:
@@ -225,15 +228,43 @@ class _Epochs:
         return state
 
     def draw(self, first: int, last: int) -> str:
-        """A written table with the triangles of several epochs, in buckets that the epochs need not shuffle."""
+        """A written table with the triangles of several epochs: its folder while states are broadcast, else its name,
+        in buckets that the epochs need not shuffle."""
         rows = self.positives((first, last)).withColumn("positive", F.lit(True))
         neg = self.negatives((first, last))
         if neg is not None:
             rows = rows.unionByName(neg.withColumn("positive", F.lit(False)))
-        rows = loss.with_own_rows(rows, self.lists.select(F.col("i").alias("id")), (first, last))
+        name = f"drawn-{last}"
         if self.small:
-            return self.scratch.save_bucketed(rows, f"drawn-{last}", "i", "epoch")
-        return self.scratch.save_bucketed(loss.by_corner(rows), f"drawn-{last}", "id", "epoch")
+            rows.select("epoch", *DRAWN).write.mode("overwrite").partitionBy("epoch").parquet(self.scratch.path(name))
+            return name
+        rows = loss.with_own_rows(rows, self.lists.select(F.col("i").alias("id")), (first, last))
+        return self.scratch.save_bucketed(loss.by_corner(rows), name, "id", "epoch")
+
+    def march(self, state: DataFrame, drawn: str, first: int, last: int, name: str) -> DataFrame:
+        """The written state after the epochs, a job each on states that executors hold in memory.
+
+        Only the layout, which is below ``loss.BROADCAST_BYTES``, goes to the tasks. A lost part of a state is computed
+        again from the last written one.
+        """
+        cfg, d, spark, held, sent = self.cfg, self.cfg.n_components, state.sparkSession, [], []
+        for epoch in range(first, last + 1):
+            sent.append(spark.sparkContext.broadcast(loss.layout_array(state, self.n, d)))
+            rows = spark.read.schema(DRAWN_SCHEMA).parquet(self.scratch.path(f"{drawn}/epoch={epoch}"))
+            alpha, rate = self.alpha(epoch)
+            grads = loss.summed_pulls(
+                rows, sent[-1], d, self.n_positive, alpha, cfg.phi, cfg.exp_tau, cfg.gamma, cfg.use_softmax,
+                cfg.softmax_beta,
+            )
+            state = loss.step(state, grads, d, cfg.optimizer, rate, cfg.adagrad_lr_decay)
+            if epoch < last:
+                held.append(state.persist())
+        saved = self.scratch.save(state, name)
+        for kept in held:
+            kept.unpersist()
+        for layout in sent:
+            layout.destroy()
+        return saved
 
     def block(self, state: DataFrame, first: int, last: int, drawn: str | None = None) -> DataFrame:
         """The written state after the epochs ``first`` to ``last``, whose triangles may be ``drawn`` already."""
@@ -247,6 +278,10 @@ class _Epochs:
         table = drawn or self.draw(first, last)
         plain = plain_session(spark, -(-self.n // PARTITION_VERTICES) if self.small else None)
         paths = state.inputFiles()
+        if self.small:
+            state = self.march(plain.read.schema(state.schema).parquet(*paths), table, first, last, name)
+            self.scratch.drop(table)
+            return state
         for begin in range(first, last + 1, CHAIN_EPOCHS):
             end = min(begin + CHAIN_EPOCHS - 1, last)
             at = name if end == last else f"within-{end}"

@@ -190,3 +190,23 @@ def test_discrete_radius_moves_the_neighbours_of_one_corner_at_a_time(spark, mon
         low = min(far)
         assert got[t] == pytest.approx(low - math.log(sum(math.exp(-10 * (f - low)) for f in far)) / 10, abs=1e-9)
     assert all(sum(c.lstrip("_").startswith("n") for c in columns) <= 1 for columns in held)
+
+
+@pytest.mark.parametrize("phi,soft,d", [("student", True, 2), ("student", False, 3), ("exp", True, 2), ("exp", False, 1)])
+def test_sums_by_task_are_the_gradient_rows(spark, phi, soft, d):
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(30, d)) * rng.choice([0.01, 1.0, 200.0], size=(30, 1))
+    y[1] = y[0]          # a side without length
+    y[3] = 2 * y[2] - y[4]
+    corners = [(0, 1, 5), (2, 3, 4), *(tuple(int(x) for x in rng.choice(29, 3, replace=False)) for _ in range(200))]
+    rows = [(*c, float(w), bool(p)) for c, w, p in zip(corners, rng.uniform(size=202), rng.integers(0, 2, 202))]
+    rows.append((29, 0, 5, None, True))  # counts nowhere
+    triplets = spark.createDataFrame(rows, "i bigint, j bigint, k bigint, w double, positive boolean").repartition(3)
+    wide = spark.createDataFrame([(n, *map(float, x)) for n, x in enumerate(y)], "id bigint, " + ", ".join(f"y{c} double" for c in range(d)))
+    losses = O.triangle_losses(O.place(triplets, wide, d, True), phi, 0.7, 1.3, soft, 10.0)
+    want = O.gradients(losses, d, 101, 0.5).where("g0 IS NOT NULL").orderBy("id").collect()
+    sent = spark.sparkContext.broadcast(O.layout_array(wide.repartition(4), 30, d))
+    summed = O.sum_gradients(O.summed_pulls(triplets, sent, d, 101, 0.5, phi, 0.7, 1.3, soft, 10.0), d)
+    got = summed.orderBy("id").collect()
+    assert [r.id for r in got] == [r.id for r in want] and 29 not in [r.id for r in got]
+    assert np.allclose([tuple(r) for r in got], [tuple(r) for r in want], rtol=1e-9, atol=1e-12)
