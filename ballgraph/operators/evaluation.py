@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,10 @@ def intruder_ranks(points: DataFrame, near: DataFrame, metric: str = "euclidean"
     sought = measured.groupBy("i").agg(
         F.array_sort(F.collect_list(F.struct("slot", "j", "d"))).alias("l")
     ).select(F.col("i").alias("id"), F.col("l.j").alias("js"), F.col("l.d").alias("aux"))
+    sought = scratch.save(sought, "sought")
+    most = sought.agg(F.max(F.size("aux"))).first()[0] or 0
+    # the thresholds of a task are a matrix; nothing is closer than 0
+    sought = sought.withColumn("aux", F.concat("aux", F.array_repeat(F.lit(0.0), F.lit(most) - F.size("aux"))))
     members, cells = P.chunked(vectors, n, shape["max_width"], seed, scratch)
     queries = members.select("id", "v", "chunk").join(sought.select("id", "aux"), "id")
     work, schema = P.closer_work(metric), P.CLOSER_SCHEMA
@@ -76,6 +81,31 @@ def trustworthiness(points: DataFrame, layout: DataFrame, k: int = 15, metric: s
     return ranks.agg((F.lit(1.0) - F.lit(scale) * F.sum(excess)).alias("trustworthiness"))
 
 
+def trustworthiness_of(
+    points: DataFrame, layouts: dict[str, DataFrame], k: int = 15, metric: str = "euclidean"
+) -> DataFrame:
+    """(name, trustworthiness) of several layouts of the same points.
+
+    A pair of points that is close in several layouts is ranked once, and all ranks are counted in one pass over the
+    points, whose distances cost more than further thresholds.
+    """
+    n = points.count()
+    if not 0 < k < n / 2:
+        raise ValueError(f"k must be positive and below half the {n} points")
+    scratch = Scratch(points.sparkSession, "layouts")
+    near = reduce(DataFrame.unionByName, [
+        scratch.save(exact_knn(as_points(layout), k).select(F.lit(name).alias("name"), "i", "j"), f"near{at}")
+        for at, (name, layout) in enumerate(layouts.items())
+    ])
+    pairs = near.select("i", "j").distinct().withColumn("rank", F.col("j"))
+    ranks = scratch.save(intruder_ranks(points, pairs, metric), "ranks")
+    scale = 2.0 / (float(n) * k * (2.0 * n - 3.0 * k - 1.0))
+    excess = F.greatest(F.col("rank") - F.lit(k), F.lit(0))
+    return near.join(ranks, ["i", "j"]).groupBy("name").agg(
+        (F.lit(1.0) - F.lit(scale) * F.sum(excess)).alias("trustworthiness")
+    )
+
+
 def procrustes_similarity(first: DataFrame, second: DataFrame, n_components: int) -> float:
     """1 - disparity of two layouts (id, y) after centring, scaling and the best rotation.
 

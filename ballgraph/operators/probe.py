@@ -35,6 +35,10 @@ PIVOT_ENTRIES = 4 << 20     # pivots * width, the size bound of the broadcast
 MAX_CHUNKS = 200_000        # bounds the broadcast table of chunks
 ESTIMATE_ROWS = 10_000      # queries planned to estimate the number of probes
 PLAN_ENTRIES = 1 << 19      # rows * pivots compared at a time when planning probes
+BINS = 1 << 14              # steps of a query's histogram of distances, used
+BIN_MEMBERS = 4096          # from so many members on,
+BIN_SLOTS = 12              # so many thresholds,
+BIN_SPREAD = 64.0           # and while no member's bound is so many times the usual one
 
 
 @dataclass
@@ -473,10 +477,62 @@ def pair_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(((a - b) ** 2).sum(axis=1))
 
 
+def _bin_row(low: np.ndarray, begin: np.ndarray, end: np.ndarray, room: np.ndarray, bins: np.ndarray):
+    """For ranges of values, how many entries of a row lie below each, and (range, place) of the entries inside.
+
+    One histogram of equal steps serves all ranges; only entries of the steps that a range touches are looked at. ``room``
+    and ``bins`` are overwritten: memory taken anew for each row would cost more than the work on it.
+    """
+    kind = low.dtype.type
+    least, span = low.min(), low.max() - low.min()
+    factor = kind(BINS) / span if span > 0 else kind(0)
+    def step(x, out, to):  # rises with x
+        np.multiply(np.subtract(x, least, out=out), factor, out=out)
+        to[:] = np.clip(out, 0, BINS, out=out)
+        return to
+
+    with np.errstate(over="ignore"):
+        step(low, room, bins)
+        first, last = [step(x, np.empty_like(x), np.empty(len(x), dtype=np.intp)) for x in (begin, end)]
+    edges = np.bincount(first, minlength=BINS + 2) - np.bincount(last + 1, minlength=BINS + 2)
+    places = np.flatnonzero((np.cumsum(edges) > 0).take(bins, mode="clip"))
+    places = places[np.argsort(low[places])]
+    values = low[places]
+    before = np.concatenate([[0], np.cumsum(np.bincount(bins, minlength=BINS + 1))])
+    start, stop = np.searchsorted(values, begin, "left"), np.searchsorted(values, end, "right")
+    below = before[first] + start - np.searchsorted(bins[places], first, "left")
+    many = np.maximum(stop - start, 0)
+    ranges = np.repeat(np.arange(len(begin)), many)
+    inside = np.arange(len(ranges)) - np.repeat(np.cumsum(many) - many, many) + start[ranges]
+    return below, ranges, places[inside]
+
+
+def _binned_counts(low: np.ndarray, begin: np.ndarray, end: np.ndarray, q, m, aux, own: np.ndarray, metric: str):
+    """Members closer than each of a query's thresholds, where ``begin`` and ``end`` enclose what must be measured.
+
+    ``own`` is the place of a query among the members, or -1.
+    """
+    counts, rows, slots, cols = np.empty(aux.shape, dtype=np.int64), [], [], []
+    room, bins = np.empty_like(low[0]), np.empty(low.shape[1], dtype=np.intp)
+    for r in range(len(q)):
+        counts[r], slot, col = _bin_row(low[r], begin[r], end[r], room, bins)
+        if own[r] >= 0:
+            counts[r] -= low[r, own[r]] < begin[r]
+            slot, col = slot[col != own[r]], col[col != own[r]]
+        rows.append(np.full(len(slot), r))
+        slots.append(slot)
+        cols.append(col)
+    rows, slots, cols = np.concatenate(rows), np.concatenate(slots), np.concatenate(cols)
+    closer = _measured(q, m, rows, cols, metric) < aux[rows, slots]
+    np.add.at(counts, (rows[closer], slots[closer]), 1)
+    return counts
+
+
 def closer_work(metric: str) -> Callable:
     """For every threshold of a query, how many other members are strictly closer than it.
 
-    Only members whose bounds lie around a threshold are measured again.
+    Only members whose bounds lie around a threshold are measured again. In large chunks a histogram of the bounds serves
+    all thresholds of a query, so many cost little more than one.
     """
 
     def work(mid, m):
@@ -488,6 +544,16 @@ def closer_work(metric: str) -> Callable:
             kind = low.dtype.type
             at = np.minimum(np.searchsorted(ordered, qid), len(mid) - 1)
             own = np.flatnonzero(ordered[at] == qid)
+            wide = by_member.max()
+            # one far member would widen the range around each threshold for all
+            if len(mid) >= BIN_MEMBERS and aux.shape[1] >= BIN_SLOTS and wide <= BIN_SPREAD * np.median(by_member):
+                level = bounds.level(aux)
+                rim = np.abs(level) * 1e-6 + 1e-30  # of rounding the bounds' sums
+                begin, end = level - (by_query[:, None] + wide) - rim, level + rim
+                begin, end = np.nextafter(begin.astype(kind), kind(-np.inf)), _above(end, kind)
+                mine = np.full(len(q), -1)
+                mine[own] = order[at[own]]
+                return answers(qid, _binned_counts(low, begin, end, q, m, aux, mine, metric))
             low[own, order[at[own]]] = np.inf
             high = low + by_member.astype(kind)
             counts = np.empty(aux.shape, dtype=np.int64)
@@ -500,14 +566,16 @@ def closer_work(metric: str) -> Callable:
                 rows, cols = _places(surely ^ maybe)
                 closer = _measured(q, m, rows, cols, metric) < t[rows]
                 counts[:, s] = _counts(surely) + np.bincount(rows, weights=closer, minlength=len(q)).astype(np.int64)
-            slots = np.tile(np.arange(aux.shape[1], dtype=np.int64), len(q))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(qid, aux.shape[1])), pa.array(slots), pa.array(counts.ravel())],
-                ["q", "slot", "n"],
-            )
+            return answers(qid, counts)
 
         return answer
 
+    def answers(qid, counts):
+        slots = np.tile(np.arange(counts.shape[1], dtype=np.int64), len(qid))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(qid, counts.shape[1])), pa.array(slots), pa.array(counts.ravel())], ["q", "slot", "n"]
+        )
+
     return work
 
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ballgraph.operators import evaluation as E
@@ -122,14 +119,9 @@ def axes_layout(points, k, seed):
 
 def trust_scores(points, layouts):
     """(method, metric, value) with the one score of the report that SQL can follow cheaply."""
-    parts = [
-        E.trustworthiness(points, layout, K_TRUST).select(
-            F.lit(name).alias("method"), F.lit("trustworthiness").alias("metric"),
-            F.col("trustworthiness").alias("value"),
-        )
-        for name, layout in layouts.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return E.trustworthiness_of(points, layouts, K_TRUST).select(
+        F.col("name").alias("method"), F.lit("trustworthiness").alias("metric"), F.col("trustworthiness").alias("value")
+    )
 
 
 def experiment(t: Tables):

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ballgraph.operators import scores as S
 from ballgraph.plans.embed import fit_transform
 from ballgraph.plans.report import evaluate
+from ballgraph.session import Scratch
 from ballgraph.sources.stores import merge_reports, read_embeddings, read_reports, write_embedding
 
+LAYOUTS_AT_ONCE = 8   # layouts scored together
+
 Layout = Callable[[DataFrame, int, int], DataFrame]
 
 
@@ -52,21 +56,29 @@ def run_experiment(
 
     Layouts go to the embedding store and are scored from there, so a run can be scored again without being fitted
     again; the cube and the statistics come from the report files, so runs of several sessions add up, and only datasets
-    with new reports are merged again.
+    with new reports are merged again. Up to ``LAYOUTS_AT_ONCE`` layouts of a dataset are scored by one call of ``score``,
+    which gets them by names of its own.
     """
     spark = next(iter(datasets.values())).sparkSession
     neighbors, seeds, metrics = neighbors or S.NEIGHBORS, seeds or S.SEEDS, metrics or S.METRICS
     names = spark.createDataFrame([(name,) for name in datasets], "dataset string")
     store, reports = f"{folder}/embeddings", f"{folder}/reports"
-    for run in S.run_grid(names, neighbors, seeds).orderBy("dataset", "k", "seed").collect():
-        points = datasets[run["dataset"]].select("id", "v")
-        for name, method in methods.items():
-            write_embedding(method(points, run["k"], run["seed"]), store, name, run["dataset"], run["k"], run["seed"])
-        layouts = {
-            name: read_embeddings(spark, store, method=name, dataset=run["dataset"], k=run["k"], seed=run["seed"]).select("id", "y")
-            for name in methods
-        }
-        write_report(spark, reports, run, score(points, layouts))
+    grid = S.run_grid(names, neighbors, seeds).orderBy("dataset", "k", "seed").collect()
+    for dataset in datasets:
+        points = datasets[dataset].select("id", "v")
+        runs = [run for run in grid if run["dataset"] == dataset]
+        step = max(1, LAYOUTS_AT_ONCE // max(len(methods), 1))
+        for begin in range(0, len(runs), step):
+            some, layouts = runs[begin:begin + step], {}
+            for nth, run in enumerate(some):
+                at = {key: run[key] for key in ("dataset", "k", "seed")}
+                for name, method in methods.items():
+                    write_embedding(method(points, run["k"], run["seed"]), store, name, **at)
+                    layouts[f"{nth} {name}"] = read_embeddings(spark, store, method=name, **at).select("id", "y")
+            scores = Scratch(spark, "scores").save(score(points, layouts), "scores")
+            for nth, run in enumerate(some):
+                mine = scores.where(F.col("method").startswith(f"{nth} "))
+                write_report(spark, reports, run, mine.withColumn("method", F.expr(f"substring(method, {len(str(nth)) + 2})")))
     found = read_reports(spark, reports)
     cube = merge_reports(spark, reports, f"{folder}/cube", list(methods), metrics, neighbors, seeds)
     return Experiment(found, cube, S.seed_stats(cube))

@@ -175,3 +175,25 @@ def test_component_bars_are_those_of_the_matrix(spark, metric):
     want = sorted(T.diagrams(samples, 0, metric).collect(), key=key)
     assert [(r.repeat, r.space, r.dim, r.birth) for r in got] == [(r.repeat, r.space, r.dim, r.birth) for r in want]
     assert np.allclose([r.death for r in got], [r.death for r in want], atol=1e-6)
+
+
+def test_an_experiment_scores_its_layouts_in_one_pass(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ballgraph.operators import evaluation
+    from ballgraph.plans import catalog_report, experiment
+
+    x = np.random.default_rng(4).normal(size=(40, 4))
+    points = points_df(spark, x)
+    at = lambda c: (lambda p, k, seed: p.select("id", F.slice("v", (c + seed) % 3 + 1, 2).alias("y")))
+    methods, passes, ranks = {"a": at(0), "b c": at(1)}, [], evaluation.intruder_ranks
+    monkeypatch.setattr(evaluation, "intruder_ranks", lambda *a: passes.append(1) or ranks(*a))
+    found = experiment.run_experiment(
+        {"d": points}, methods, str(tmp_path / "experiment"), [2, 3], [0, 1], ["trustworthiness"], catalog_report.trust_scores
+    )
+    assert len(passes) == 1  # eight layouts, three of them different
+    got = {(r.method, r.k, r.seed): r.value for r in found.cube.collect()}
+    assert len(got) == 8
+    for (name, k, seed), value in got.items():
+        alone = evaluation.trustworthiness(points, methods[name](points, k, seed), 15).first()[0] if k == 2 else got[name, 2, seed]
+        assert value == pytest.approx(alone, abs=1e-12)

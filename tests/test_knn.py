@@ -240,3 +240,30 @@ def test_equal_vectors_are_grouped_once(spark, monkeypatch):
     assert keys == [["h", "v"]] and all("distinct" in str(t.inputFiles()) for t in tables)
     assert sorted(r.j for r in tables[1].where("u = 0").collect()) == [0, 20, 21, 22]
     assert {(r.i, r.u) for r in tables[2].collect()} == {(i, 0 if 20 <= i < 40 else i) for i in range(60)}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+@pytest.mark.parametrize("far", [0.0, 1e5])
+def test_ranks_of_many_thresholds_come_from_a_histogram(monkeypatch, metric, far):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(700, 6)).round(1)
+    m[100:140], m[8] = m[7], 3 * m[8]
+    m[5] += far
+    q = np.vstack([m[:20], rng.normal(size=(10, 6)), m[:3] + 1e4])
+    if metric == "cosine":
+        m, q = (x / np.linalg.norm(x, axis=1)[:, None] for x in (m, q))
+    mid = rng.permutation(700)
+    qid = np.concatenate([mid[:20], 1000 + np.arange(13)])
+    to = rng.integers(0, 700, (33, 14))
+    to[:, 0], to[:, 1] = 100, 5
+    aux = np.stack([P.pair_distance(q, m[to[:, s]], metric) for s in range(14)], axis=1)
+    aux[:, 3] = 0.0
+    d = np.stack([P.pair_distance(np.repeat(x[None], 700, 0), m, metric) for x in q])
+    d[mid == qid[:, None]] = np.inf
+    want = (d[:, None, :] < aux[:, :, None]).sum(axis=2)
+    binned, calls = P._binned_counts, []
+    monkeypatch.setattr(P, "BIN_MEMBERS", 500)
+    monkeypatch.setattr(P, "_binned_counts", lambda *a: calls.append(1) or binned(*a))
+    got = np.array(P.closer_work(metric)(mid, m)(qid, q, aux)["n"]).reshape(33, 14)
+    assert (got == want).all()
+    assert bool(calls) == (metric == "cosine" or not far)  # a far member would widen all ranges
