@@ -35,9 +35,9 @@ PIVOT_ENTRIES = 4 << 20     # pivots * width, the size bound of the broadcast
 MAX_CHUNKS = 200_000        # bounds the broadcast table of chunks
 ESTIMATE_ROWS = 10_000      # queries planned to estimate the number of probes
 PLAN_ENTRIES = 1 << 19      # rows * pivots compared at a time when planning probes
-BINS = 1 << 14              # steps of a query's histogram of distances, used
-BIN_MEMBERS = 4096          # from so many members on,
-BIN_SLOTS = 12              # so many thresholds,
+BINS = 1 << 14              # steps of a query's histogram of distances, at most; it is used
+BIN_SLOTS = 8               # where members * thresholds beyond so many
+BIN_WORK = 1 << 17          # are worth what it costs a query, measured as about 0.25 ms,
 BIN_SPREAD = 64.0           # and while no member's bound is so many times the usual one
 
 
@@ -483,22 +483,22 @@ def _bin_row(low: np.ndarray, begin: np.ndarray, end: np.ndarray, room: np.ndarr
     One histogram of equal steps serves all ranges; only entries of the steps that a range touches are looked at. ``room``
     and ``bins`` are overwritten: memory taken anew for each row would cost more than the work on it.
     """
-    kind = low.dtype.type
+    kind, steps = low.dtype.type, min(BINS, len(low) // 2 + 1)
     least, span = low.min(), low.max() - low.min()
-    factor = kind(BINS) / span if span > 0 else kind(0)
+    factor = kind(steps) / span if span > 0 else kind(0)
     def step(x, out, to):  # rises with x
         np.multiply(np.subtract(x, least, out=out), factor, out=out)
-        to[:] = np.clip(out, 0, BINS, out=out)
+        to[:] = np.clip(out, 0, steps, out=out)
         return to
 
     with np.errstate(over="ignore"):
         step(low, room, bins)
         first, last = [step(x, np.empty_like(x), np.empty(len(x), dtype=np.intp)) for x in (begin, end)]
-    edges = np.bincount(first, minlength=BINS + 2) - np.bincount(last + 1, minlength=BINS + 2)
+    edges = np.bincount(first, minlength=steps + 2) - np.bincount(last + 1, minlength=steps + 2)
     places = np.flatnonzero((np.cumsum(edges) > 0).take(bins, mode="clip"))
     places = places[np.argsort(low[places])]
     values = low[places]
-    before = np.concatenate([[0], np.cumsum(np.bincount(bins, minlength=BINS + 1))])
+    before = np.concatenate([[0], np.cumsum(np.bincount(bins, minlength=steps + 1))])
     start, stop = np.searchsorted(values, begin, "left"), np.searchsorted(values, end, "right")
     below = before[first] + start - np.searchsorted(bins[places], first, "left")
     many = np.maximum(stop - start, 0)
@@ -546,7 +546,8 @@ def closer_work(metric: str) -> Callable:
             own = np.flatnonzero(ordered[at] == qid)
             wide = by_member.max()
             # one far member would widen the range around each threshold for all
-            if len(mid) >= BIN_MEMBERS and aux.shape[1] >= BIN_SLOTS and wide <= BIN_SPREAD * np.median(by_member):
+            worth = len(mid) * (aux.shape[1] - BIN_SLOTS) >= BIN_WORK
+            if worth and wide <= BIN_SPREAD * np.median(by_member):
                 level = bounds.level(aux)
                 rim = np.abs(level) * 1e-6 + 1e-30  # of rounding the bounds' sums
                 begin, end = level - (by_query[:, None] + wide) - rim, level + rim

@@ -262,7 +262,7 @@ def test_ranks_of_many_thresholds_come_from_a_histogram(monkeypatch, metric, far
     d[mid == qid[:, None]] = np.inf
     want = (d[:, None, :] < aux[:, :, None]).sum(axis=2)
     binned, calls = P._binned_counts, []
-    monkeypatch.setattr(P, "BIN_MEMBERS", 500)
+    monkeypatch.setattr(P, "BIN_WORK", 1000)
     monkeypatch.setattr(P, "_binned_counts", lambda *a: calls.append(1) or binned(*a))
     got = np.array(P.closer_work(metric)(mid, m)(qid, q, aux)["n"]).reshape(33, 14)
     assert (got == want).all()
