@@ -267,3 +267,41 @@ def test_ranks_of_many_thresholds_come_from_a_histogram(monkeypatch, metric, far
     got = np.array(P.closer_work(metric)(mid, m)(qid, q, aux)["n"]).reshape(33, 14)
     assert (got == want).all()
     assert bool(calls) == (metric == "cosine" or not far)  # a far member would widen all ranges
+
+
+@pytest.mark.parametrize("limit", [0, 64 << 20])
+def test_lists_of_copies_are_not_dealt_out_by_point(spark, small_chunks, monkeypatch, limit):
+    """Neighbour lists move once per vector; points only meet them, and vectors move once to be grouped."""
+    monkeypatch.setattr(K, "COPY_BYTES", limit)
+    x = np.random.default_rng(10).normal(size=(260, 3)).round(1)
+    x[100:140], x[200] = x[3], -0.0 * x[200]
+    x[201] = 0.0
+    near = K.exact_knn(points_df(spark, x), 6)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(i#" not in plan
+    assert_same_knn(knn_dict(near), brute_knn(x, 6))
+
+
+def test_hashes_that_name_their_vectors_move_alone(spark):
+    x = np.random.default_rng(11).normal(size=(60, 3))
+    x[20:40], x[50] = x[0], x[45]
+    points, owners = points_df(spark, x), {}
+    for known in (None, 39, 40):  # 39 vectors: with another number of hashes, vectors are compared
+        owner = K._copies(points, 4, K.Scratch(spark, "test"), known)[2]
+        owners[known] = {(r.i, r.u) for r in owner.collect()}
+        join = next(x for x in owner._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+        assert ("v#" in join) == (known != 39)
+    want = {(i, 0 if 20 <= i < 40 else 45 if i == 50 else i) for i in range(60)}
+    assert all(found == want for found in owners.values())
+
+
+def test_members_of_whole_chunks_travel_once(spark, small_chunks, monkeypatch):
+    monkeypatch.setattr(P, "own_parts", lambda *a: 1)
+    x = np.random.default_rng(12).normal(size=(300, 3))
+    members, cells = P.chunked(points_df(spark, x), 300, 3, 0, K.Scratch(spark, "test"))
+    own = P.probe_own(members, 300, len(cells), P.nearest_work(3, "euclidean"))
+    assert "Union" not in own._jdf.queryExecution().optimizedPlan().toString()
+    chunk = {r.id: r.chunk for r in members.collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {(i, j) for i in range(300) for j in sorted((j for j in range(300) if chunk[j] == chunk[i]), key=lambda j: (d[i, j], j))[:3]}
+    assert {(r.q, r.m) for r in own.collect()} == want
