@@ -210,3 +210,38 @@ def test_sums_by_task_are_the_gradient_rows(spark, phi, soft, d):
     got = summed.orderBy("id").collect()
     assert [r.id for r in got] == [r.id for r in want] and 29 not in [r.id for r in got]
     assert np.allclose([tuple(r) for r in got], [tuple(r) for r in want], rtol=1e-9, atol=1e-12)
+
+
+def test_small_packs_go_to_the_tasks_and_triangles_stay(spark, monkeypatch):
+    """The same radii and weights as by joins, without a shuffle of triangles; unknown corners go, none has a centre: null."""
+    monkeypatch.setattr(C, "STEP_TRIANGLES", 5)
+    monkeypatch.setattr(C, "STEP_ENTRIES", 50)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 3)) * [1.0, 1.0, 30.0]
+    ids = [10 * i + 3 for i in range(12)]
+    js = {10 * i + 3: [int(j) for j in rng.choice([c for c in ids if c != 10 * i + 3], i % 5, replace=False)] for i in range(12)}
+    lists = spark.createDataFrame(list(js.items()), "i bigint, js array<bigint>")
+    packed = C.packs(points_df(spark, x, ids), lists).localCheckpoint()
+    triangles = [(3, 53, 103), (3, 13, 23), (13, 23, 43), (93, 73, 113), (93, 73, 113), (13, 23, 4), (13, 23, None), (43, 33, 3)]
+    df = spark.createDataFrame(triangles, "i bigint, j bigint, k bigint")
+    radii, weights = [], []
+    for limit in (0, C.HELD_BYTES):
+        monkeypatch.setattr(C, "HELD_BYTES", limit)
+        found = C.discrete_radii(df, packed, 10.0)
+        radii.append(sorted((r.i, r.j, r.k, -1.0 if r.r is None else r.r) for r in found.collect()))
+        rows = C.weighted_candidates_discrete(packed, 2.0, 10.0)
+        weights.append({(r.i, r.j): (r.ks, r.ws) for r in rows.collect()})
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (found, rows)]
+        assert ("Exchange" in plans[0]) == (limit == 0) and ("posexplode" in plans[1]) == (limit == 0)
+    assert [r[:3] for r in radii[0]] == [r[:3] for r in radii[1]] and len(radii[0]) == 6
+    assert [r[3] for r in radii[0]] == pytest.approx([r[3] for r in radii[1]]) and min(r[3] for r in radii[1]) == -1.0
+    assert weights[0].keys() == weights[1].keys() and len(weights[1]) == sum(map(len, js.values()))
+    for key, (ks, ws) in weights[0].items():
+        assert weights[1][key][0] == ks and weights[1][key][1] == pytest.approx(ws)
+
+
+def test_packs_with_repeated_ids_are_joined(spark):
+    x = np.random.default_rng(7).normal(size=(4, 2))
+    lists = spark.createDataFrame([(0, [1, 2]), (1, [0]), (2, [3, 3])], "i bigint, js array<bigint>")
+    assert C._held(C.packs(points_df(spark, x), lists)) is None
+    assert C._held(C.packs(points_df(spark, x, [0, 1, 2, 2]), lists.where("i < 2"))) is None
