@@ -14,7 +14,13 @@ DRAW_BITS = 60
 
 
 class Key(str):
-    """A constant of a draw that is the value of a column, such as the epoch of rows drawn for several epochs."""
+    """A constant of a draw that is the value of an integer column from ``first`` to ``last``, such as the epoch of rows
+    drawn for several epochs."""
+
+    def __new__(cls, column: str, first: int, last: int):
+        key = super().__new__(cls, column)
+        key.first, key.last = first, last
+        return key
 
 
 def number(x) -> str:
@@ -28,9 +34,11 @@ def draw(consts: tuple, *cols: str, hasher: str = "xxhash64") -> str:
     ``md5`` gives the same integers in any engine that has md5; ``xxhash64`` is the fast default.
     """
     const = "'" + "|".join(str(c) for c in consts) + "'"
-    if any(isinstance(c, Key) for c in consts):
-        texts = [f"cast({c} AS string)" if isinstance(c, Key) else f"'{c}'" for c in consts]
-        const = f"concat_ws('|', {', '.join(texts)})"
+    keys = [c for c in consts if isinstance(c, Key)]
+    if keys:  # picked from the texts of all values, as making one costs a row more than the hash of it
+        key, = keys
+        texts = ["'" + "|".join(str(x if c is key else c) for c in consts) + "'" for x in range(key.first, key.last + 1)]
+        const = f"get(array({', '.join(texts)}), cast({key} - {key.first} AS int))"
     if hasher == "md5":
         text = ", ".join([const, *(f"cast({c} AS string)" for c in cols)])
         return f"cast(conv(substr(md5(concat_ws('|', {text})), 1, {DRAW_BITS // 4}), 16, 10) AS bigint)"

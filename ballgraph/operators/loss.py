@@ -67,35 +67,35 @@ def summed_pulls(
     names = ["id", *gs, "loss"]
 
     def run(batches):
-        y = layout.value
-        total, touched = np.zeros((len(y), n_components + 1)), np.zeros(len(y), dtype=bool)
+        ys = [np.ascontiguousarray(x) for x in layout.value.T]  # a column each, as columns are gathered and added faster
+        total, touched = np.zeros((n_components + 1, len(layout.value))), np.zeros(len(layout.value), dtype=bool)
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column("w")))
             if not batch.num_rows:
                 continue
             at = [batch.column(c).to_numpy() for c in "ijk"]
-            corners = [y[c] for c in at]
-            i, j, k = corners
-            ab, ac, bc = i - j, i - k, j - k
-            sides = [np.sqrt((x * x).sum(axis=1)) for x in (ab, ac, bc)]
+            gaps = []  # of the sides, by column
+            for y in ys:
+                i, j, k = [y[c] for c in at]
+                gaps.append((i - j, i - k, j - k))
+            sides = [np.sqrt(sum(x * x for x in side)) for side in zip(*gaps)]
             radius, slopes = kernels.ball_arrays(*sides, soft, beta)
             w, positive = batch.column("w").to_numpy(), batch.column("positive").to_numpy(zero_copy_only=False)
             losses, pull = kernels.loss_arrays(2.0 * radius, positive, w, gamma, phi, tau)
             fa, fb, fc = [
-                np.where(s > 0, 2.0 * pull * (alpha * per) * r / np.where(s > 0, s, 1.0), 0.0)[:, None]
-                for s, r in zip(sides, slopes)
+                np.where(s > 0, 2.0 * pull * (alpha * per) * r / np.where(s > 0, s, 1.0), 0.0) for s, r in zip(sides, slopes)
             ]
-            pulls = np.concatenate([fa * ab + fb * ac, fc * bc - fa * ab, -fb * ac - fc * bc])
-            ids, place = np.unique(np.concatenate(at), return_inverse=True)
-            touched[ids] = True
-            for c in range(n_components):
-                total[ids, c] += np.bincount(place, weights=pulls[:, c], minlength=len(ids))
-            total[ids, -1] += np.bincount(place[:len(i)], weights=losses * per, minlength=len(ids))
+            for c, (ab, ac, bc) in enumerate(gaps):
+                ab, ac, bc = fa * ab, fb * ac, fc * bc
+                for corner, x in zip(at, (ab + ac, bc - ab, -ac - bc)):
+                    np.add.at(total[c], corner, x)
+            np.add.at(total[-1], at[0], losses * per)
+            for corner in at:
+                touched[corner] = True
         found = np.flatnonzero(touched)
         for s in range(0, len(found), SEND_ROWS):
             part = found[s:s + SEND_ROWS]
-            columns = [pa.array(part), *(pa.array(np.ascontiguousarray(x)) for x in total[part].T)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x[part]) for x in total)], names)
 
     return triplets.select("i", "j", "k", "w", "positive").mapInArrow(
         run, "id bigint, " + ", ".join(f"{c} double" for c in names[1:])
@@ -197,9 +197,10 @@ def clipped(grads: DataFrame, n_components: int, max_norm: float) -> DataFrame:
 
 def step(
     state: DataFrame, rows: DataFrame, n_components: int, optimizer: str,
-    learning_rate: float = 1.0, lr_decay: float = 0.0,
+    learning_rate: float = 1.0, lr_decay: float = 0.0, by_task: bool = False,
 ) -> DataFrame:
-    """One update from gradient rows (id, g.., loss), summed or not.
+    """One update from gradient rows (id, g.., loss), summed or not; those summed ``by_task`` are only summed again after
+    their shuffle.
 
     State and gradient rows meet in one grouped sum, so a step is a single shuffle without a join.
     Vertices without a gradient keep their position and moments. ``t`` in the state counts the steps
@@ -213,7 +214,8 @@ def step(
     pulls = rows.selectExpr(
         "id", *[f"CAST(NULL AS {'bigint' if c == 't' else 'double'}) AS {c}" for c in held], *gs, "loss"
     )
-    joined = mine.union(pulls).groupBy("id").agg(
+    met = mine.union(pulls)
+    joined = (met.repartition("id") if by_task else met).groupBy("id").agg(
         *[F.max(c).alias(c) for c in held], *[F.sum(g).alias(g) for g in gs], F.sum("loss").alias("loss")
     )
     return joined.selectExpr(*_moved(held, n_components, optimizer, learning_rate, lr_decay))

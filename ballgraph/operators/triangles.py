@@ -10,6 +10,7 @@ from ballgraph.session import Scratch
 from ballgraph.sources.points import dense_codes
 
 SLOTS_PER_TASK = 4_000_000
+LIST_BYTES, HELD_BYTES = 160, 64 << 20  # of a list of 10, and of lists that are broadcast
 REDRAWS = 4  # pre-drawn values per rejected vertex before the next free id is taken
 
 
@@ -30,7 +31,7 @@ def positive_triplets(candidates: DataFrame, n: int, per_edge: int, seed: int, e
     also: list[str] = []
     if isinstance(epoch, tuple):
         candidates = candidates.selectExpr("*", f"explode(sequence({epoch[0]}, {epoch[1]})) AS epoch")
-        epoch, also = Key("epoch"), ["epoch"]
+        epoch, also = Key("epoch", *epoch), ["epoch"]
     at = f"pmod({draw((seed, epoch, 'pos'), *key, hasher=hasher)}, size(ks))"
     drawn = candidates.selectExpr("*", f"explode(sequence(0, {per_edge - 1})) AS rep").selectExpr(
         "i", "j", "rep", "ks", *also, *(["ws"] if weighted else []),
@@ -74,31 +75,35 @@ def negative_triplets(
     ranked = n_sources is not None
     first, last, also = 0, 0, []
     if isinstance(epoch, tuple):
-        (first, last), epoch, also = epoch, Key("epoch"), ["epoch"]
+        (first, last), epoch, also = epoch, Key("epoch", *epoch), ["epoch"]
     vertex = lambda what, r: pick(n, (seed, epoch, what, r), "slot", hasher=hasher)
-    # Drawn values are columns of their own, so that the tests below only refer to them.
-    second, third = [f"_s{r}" for r in range(REDRAWS)], [f"_t{r}" for r in range(REDRAWS)]
+    # The first values drawn are columns of their own, so that the tests below only refer to them; few rows need others.
+    second, third = [[vertex(what, r) for r in range(REDRAWS)] for what in ("second", "third")]
+    first_of = lambda drawn, column, ok, otherwise: first_ok([column], ok, first_ok(drawn[1:], ok, otherwise))
     spark, total = lists.sparkSession, n_uniform + n_local
     every = total * (last - first + 1)
     tasks = max(spark.sparkContext.defaultParallelism, -(-every // SLOTS_PER_TASK))
     slots = spark.range(0, every, 1, tasks)
     if also:
-        slots = slots.selectExpr(f"id % {total} AS slot", f"cast({first} + id div {total} AS int) AS epoch")
+        # a task draws for all epochs, so that the rows of each come from all tasks
+        epochs = last - first + 1
+        slots = slots.selectExpr(f"id div {epochs} AS slot", f"cast({first} + id % {epochs} AS int) AS epoch")
     else:
         slots = slots.withColumnRenamed("id", "slot")
     source = pick(n_sources if ranked else n, (seed, epoch, "source", 0), "slot", hasher=hasher)
     sources = slots.selectExpr("slot", f"{source} AS rank", *also)
     held = lists.where("size(js) > 0").selectExpr("rank" if ranked else "i AS rank", "i", "js")
     entry = f"pmod({draw((seed, epoch, 'rank', 0), 'slot', hasher=hasher)}, size(js))"
+    # lists are hashed where they are, as sorting the slots costs more
+    held = F.broadcast(held) if n * LIST_BYTES <= HELD_BYTES else held.hint("shuffle_hash")
     rows = sources.join(held, "rank").selectExpr(
         "slot", "i", "js", *also, f"coalesce(get(js, cast({entry} AS int)), -1L) AS _edge",
-        *[f"{vertex('second', r)} AS {c}" for r, c in enumerate(second)],
-        *[f"{vertex('third', r)} AS {c}" for r, c in enumerate(third)],
+        f"CASE WHEN slot < {n_uniform} THEN {second[0]} END AS _second", f"{third[0]} AS _third",
     )
     free = lambda x: f"{x} <> i AND NOT array_contains(js, {x})"
-    anywhere = first_ok(second, free, modulo(f"{second[-1]} + 1", n))
+    anywhere = first_of(second, "_second", free, modulo(f"{second[-1]} + 1", n))
     rows = rows.selectExpr(
-        "slot", "i", "js", *also, f"CASE WHEN slot < {n_uniform} THEN {anywhere} ELSE _edge END AS j", *third
+        "slot", "i", "js", *also, f"CASE WHEN slot < {n_uniform} THEN {anywhere} ELSE _edge END AS j", "_third"
     )
     ok = fits = lambda x: f"{x} <> i AND {x} <> j"
     if exclude_neighbors:
@@ -107,4 +112,4 @@ def negative_triplets(
         )
         ok = lambda x: f"{fits(x)} AND NOT array_contains(js, {x}) AND NOT array_contains(js_j, {x})"
     bumped = next_free(f"({third[-1]} + 1)", ["i", "j"], n)
-    return rows.selectExpr("slot", "i", "j", f"{first_ok(third, ok, bumped)} AS k", *also)
+    return rows.selectExpr("slot", "i", "j", f"{first_of(third, '_third', ok, bumped)} AS k", *also)

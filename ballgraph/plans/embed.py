@@ -256,7 +256,7 @@ class _Epochs:
                 rows, sent[-1], d, self.n_positive, alpha, cfg.phi, cfg.exp_tau, cfg.gamma, cfg.use_softmax,
                 cfg.softmax_beta,
             )
-            state = loss.step(state, grads, d, cfg.optimizer, rate, cfg.adagrad_lr_decay)
+            state = loss.step(state, grads, d, cfg.optimizer, rate, cfg.adagrad_lr_decay, by_task=True)
             if epoch < last:
                 held.append(state.persist())
         saved = self.scratch.save(state, name)

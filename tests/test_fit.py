@@ -222,3 +222,26 @@ def test_epochs_need_as_many_exchanges_in_both_radius_modes(spark, cloud):
         assert "BroadcastExchange" not in physical and "Arrow" not in physical
         scratch.drop_table(table, "drawn-2")
     assert counts["euclidean"] == counts["discrete"] <= 5  # two an epoch, and the state that begins the block
+
+
+def test_a_task_draws_for_all_epochs_what_they_draw_alone(spark, monkeypatch):
+    """Texts of epochs are picked, not made for each row; few rows draw more than one value; all tasks have all epochs."""
+    from ballgraph.functions.draws import Key, draw
+
+    assert "concat" not in draw((1, Key("epoch", 3, 5), "x"), "slot")
+    lists = spark.createDataFrame([(i, [(i + 1) % 7, (i + 2) % 7, (i + 4) % 7]) for i in range(7)], "i bigint, js array<bigint>")
+    options = dict(n=7, n_uniform=300, n_local=300, seed=5)
+    rows = R.negative_triplets(lists, epoch=(3, 5), **options)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_s3" not in plan and "_t3" not in plan
+    parts = {}
+    for r in rows.selectExpr("spark_partition_id() AS p", "epoch").distinct().collect():
+        parts.setdefault(r.p, set()).add(r.epoch)
+    assert len(parts) > 1 and all(found == {3, 4, 5} for found in parts.values())
+    for epoch in (3, 4, 5):
+        alone = R.negative_triplets(lists, epoch=epoch, **options).collect()
+        assert sorted(map(tuple, rows.where(f"epoch = {epoch}").select("slot", "i", "j", "k").collect())) == sorted(map(tuple, alone))
+    for limit in (0, R.HELD_BYTES):  # joins by hashing either way
+        monkeypatch.setattr(R, "HELD_BYTES", limit)
+        joined = R.negative_triplets(lists, epoch=3, **options)._jdf.queryExecution().executedPlan().toString()
+        assert ("ShuffledHashJoin" if limit == 0 else "BroadcastHashJoin") in joined and "SortMergeJoin" not in joined

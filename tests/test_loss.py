@@ -245,3 +245,30 @@ def test_packs_with_repeated_ids_are_joined(spark):
     lists = spark.createDataFrame([(0, [1, 2]), (1, [0]), (2, [3, 3])], "i bigint, js array<bigint>")
     assert C._held(C.packs(points_df(spark, x), lists)) is None
     assert C._held(C.packs(points_df(spark, x, [0, 1, 2, 2]), lists.where("i < 2"))) is None
+
+
+def test_sums_by_task_are_added_after_their_shuffle(spark):
+    """One shuffle and no sum before it, and the same step."""
+    state = O.start_state(O.widen(layout_df(spark, np.arange(10.0).reshape(5, 2)), 2), 2, "sparse_adam")
+    rows = spark.createDataFrame([(0, 1.0, 2.0, 0.5), (0, 0.5, -2.0, 0.25), (3, 1.0, 1.0, 0.0)], "id bigint, g0 double, g1 double, loss double")
+    one, two = (O.step(state, rows, 2, "sparse_adam", by_task=late) for late in (False, True))
+    plan = two._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1
+    assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning(id"):]
+    assert np.allclose(sorted(map(tuple, one.collect())), sorted(map(tuple, two.collect())), atol=1e-12)
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_candidates_move_vectors_in_single_precision_if_they_have_no_other(spark, single):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(9, 3)).astype(np.float32).astype(float) + (0.0 if single else 1e-12)
+    js = {i: [int(j) for j in rng.choice([c for c in range(9) if c != i], 3, replace=False)] for i in range(9)}
+    packed = C.packs(points_df(spark, x), spark.createDataFrame(list(js.items()), "i bigint, js array<bigint>"))
+    rows = C.weighted_candidates(packed, 2.0, False)
+    assert ("as array<float>" in rows._jdf.queryExecution().optimizedPlan().toString()) == single
+    for r in rows.collect():
+        assert r.ks == [k for k in js[r.i] + js[r.j] if k not in (r.i, r.j)]
+        for k, w in zip(r.ks, r.ws):
+            sides = [np.linalg.norm(x[p] - x[q]) for p, q in ((r.i, r.j), (r.i, k), (r.j, k))]
+            radius = C.ball_radius_rows(*(np.array([s]) for s in sides), False, 10.0)[0]
+            assert w == pytest.approx(np.exp(-4.0 * radius / 2.0))
