@@ -245,3 +245,12 @@ def test_a_task_draws_for_all_epochs_what_they_draw_alone(spark, monkeypatch):
         monkeypatch.setattr(R, "HELD_BYTES", limit)
         joined = R.negative_triplets(lists, epoch=3, **options)._jdf.queryExecution().executedPlan().toString()
         assert ("ShuffledHashJoin" if limit == 0 else "BroadcastHashJoin") in joined and "SortMergeJoin" not in joined
+
+
+def test_sessions_of_epochs_send_rows_without_a_look_at_their_bytes(spark):
+    from ballgraph.session import plain_session
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    assert plain_session(spark, 3).conf.get(name) == str(2**31 - 1)
+    assert plain_session(spark).conf.get(name) == spark.conf.get(name) == before != str(2**31 - 1)
